@@ -32,25 +32,23 @@ def minmax(df: DataFrame, cols: Iterable[str], by: list[str] | None = None,
            suffix: str = "", scale: float = 1.0) -> DataFrame:
     """Min-max scale ``cols`` to [0, scale]; a constant column scales to 0.
 
-    Without ``by`` the statistics are one global aggregate (one row,
-    broadcast); with ``by`` they are a window per key.
+    Without ``by`` the statistics come from one global aggregate used as
+    scalar subqueries (Catalyst merges them into a single pass); with ``by``
+    they are a window per key.
     """
     cols = list(cols)
-    stats = []
-    for c in cols:
-        stats += [F.min(c).alias(f"__min_{c}"), F.max(c).alias(f"__max_{c}")]
     if by:
         w = Window.partitionBy(*by)
-        out = df
-        for c in cols:
-            out = out.withColumn(f"__min_{c}", F.min(c).over(w)).withColumn(f"__max_{c}", F.max(c).over(w))
+        lo = {c: F.min(c).over(w) for c in cols}
+        hi = {c: F.max(c).over(w) for c in cols}
     else:
-        out = df.crossJoin(F.broadcast(df.agg(*stats)))
+        lo = {c: df.agg(F.min(c)).scalar() for c in cols}
+        hi = {c: df.agg(F.max(c)).scalar() for c in cols}
+    out = df
     for c in cols:
-        lo, hi = F.col(f"__min_{c}"), F.col(f"__max_{c}")
-        scaled = F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(F.lit(0.0)) * F.lit(float(scale))
-        out = out.withColumn(c + suffix, scaled)
-    return out.drop(*[f"__min_{c}" for c in cols], *[f"__max_{c}" for c in cols])
+        scaled = F.when(hi[c] > lo[c], (F.col(c) - lo[c]) / (hi[c] - lo[c])).otherwise(F.lit(0.0))
+        out = out.withColumn(c + suffix, scaled * F.lit(float(scale)) if scale != 1.0 else scaled)
+    return out
 
 
 def zscore(df: DataFrame, cols: Iterable[str], by: list[str] | None = None, suffix: str = "") -> DataFrame:
@@ -58,18 +56,15 @@ def zscore(df: DataFrame, cols: Iterable[str], by: list[str] | None = None, suff
     cols = list(cols)
     if by:
         w = Window.partitionBy(*by)
-        out = df
-        for c in cols:
-            out = out.withColumn(f"__mu_{c}", F.avg(c).over(w)).withColumn(f"__sd_{c}", F.stddev_pop(c).over(w))
+        mu = {c: F.avg(c).over(w) for c in cols}
+        sd = {c: F.stddev_pop(c).over(w) for c in cols}
     else:
-        stats = []
-        for c in cols:
-            stats += [F.avg(c).alias(f"__mu_{c}"), F.stddev_pop(c).alias(f"__sd_{c}")]
-        out = df.crossJoin(F.broadcast(df.agg(*stats)))
+        mu = {c: df.agg(F.avg(c)).scalar() for c in cols}
+        sd = {c: df.agg(F.stddev_pop(c)).scalar() for c in cols}
+    out = df
     for c in cols:
-        mu, sd = F.col(f"__mu_{c}"), F.col(f"__sd_{c}")
-        out = out.withColumn(c + suffix, F.when(sd > 0, (F.col(c) - mu) / sd).otherwise(F.lit(0.0)))
-    return out.drop(*[f"__mu_{c}" for c in cols], *[f"__sd_{c}" for c in cols])
+        out = out.withColumn(c + suffix, F.when(sd[c] > 0, (F.col(c) - mu[c]) / sd[c]).otherwise(F.lit(0.0)))
+    return out
 
 
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, rank_col: str | None = None) -> DataFrame:

@@ -75,6 +75,21 @@ def product_sales(t: Tables, since: dt.datetime | None = None) -> DataFrame:
     )
 
 
+def product_units(t: Tables) -> DataFrame:
+    """Per product: ``units_all`` over every detail line and ``n_rows`` (no sale join)."""
+    per_stock = t.sale_detail.groupBy("stock_id").agg(
+        F.sum("quantity").alias("units_all"), F.count(F.lit(1)).alias("n_details"))
+    return (
+        t.stock.select(F.col("id").alias("stock_id"), "product_id")
+        .join(per_stock, "stock_id", "left")
+        .groupBy("product_id")
+        .agg(
+            F.sum("units_all").alias("units_all"),
+            F.sum(F.greatest(F.coalesce(F.col("n_details"), F.lit(0)), F.lit(1))).alias("n_rows"),
+        )
+    )
+
+
 def product_reviews(t: Tables) -> DataFrame:
     """Per product: ``avg_rating`` (NULL ratings ignored) and ``n_reviews``."""
     return t.review.groupBy("product_id").agg(

@@ -107,3 +107,28 @@ def user_average_rating(t: Tables, users: DataFrame, default: float = 3.0) -> Da
     return req.join(avg, "user_id", "left").select(
         "user_id", F.coalesce(F.nullif(F.col("__avg"), F.lit(0.0)), F.lit(float(default))).alias("user_avg")
     )
+
+
+def personalized(t: Tables, users: DataFrame, min_rating: float = 0, min_purchases: int = 0,
+                 limit: int = DEFAULT_LIMIT, semantics: str = "corrected", bands: int = 32) -> DataFrame:
+    """Unbought products scored ``total × (5 − |avg_rating − user_avg|)``, top ``limit`` per user.
+
+    Output: ``user_id, product_id, product_name, total_purchases,
+    average_rating, score``. The exact answer is computed without pairing
+    every user with every product; see ``operators.banded_topk``.
+    """
+    from shopcast.operators.banded_topk import banded_topk
+
+    stats = spine.product_stats(t, semantics=semantics)
+    stats = _having(stats, "average_rating", "total", min_rating, min_purchases).select(
+        "product_id", "product_name", F.col("total").alias("__t"), F.col("average_rating").alias("__a"))
+    req = users.select("user_id").where(F.col("user_id").isNotNull()).distinct()
+    uavg = user_average_rating(t, req)
+    mine = spine.purchases(t).select("user_id", "product_id").join(req, "user_id", "left_semi")
+    top = banded_topk(stats, uavg, mine, weight="__t", centre="__a", user_value="user_avg", k=limit, bands=bands)
+    return top.select(
+        "user_id", "product_id", "product_name",
+        F.col("__t").cast("long").alias("total_purchases"),
+        F.col("__a").alias("average_rating"),
+        "score",
+    )

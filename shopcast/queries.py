@@ -14,12 +14,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopcast.plans import recommend
-from shopcast.sources.tables import mapping_ctes, tpch_tables
+from shopcast.operators import ratings as ratings_op
+from shopcast.operators import spine
+from shopcast.plans import employees, features, forecast, products, recommend
+from shopcast.sources.tables import (mapping_ctes, tpch_employee_records, tpch_product_records, tpch_tables,
+                                     user_lookup)
 
 AS_OF = dt.datetime(2001, 8, 1)
 DAYS = 30
 LIMIT = 50
+FORECAST_START = dt.date(2000, 1, 1)
+FORECAST_END = dt.date(2000, 12, 31)
+SERIES = "priority"
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -54,12 +60,110 @@ def q_similar_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.similar_users(t, _all_users(t), limit=LIMIT)
 
 
+def q_personalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tpch_tables(spark, sf_dir)
+    return recommend.personalized(t, _all_users(t), limit=LIMIT)
+
+
+def _round_log(df: DataFrame) -> DataFrame:
+    # DuckDB has no log1p; ln(1 + x) may differ in the last bit, so the
+    # check compares price_log at 9 decimals.
+    return df.withColumn("price_log", F.round("price_log", 9))
+
+
+def q_product_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_log(features.product_features(tpch_tables(spark, sf_dir)))
+
+
+def q_product_features_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_log(features.product_features(tpch_tables(spark, sf_dir), semantics="reference"))
+
+
+def q_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ratings_op.ratings(tpch_tables(spark, sf_dir))
+
+
+def q_known_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tpch_tables(spark, sf_dir)
+    return spine.known_products(t, _all_users(t))
+
+
+def q_user_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tpch_tables(spark, sf_dir)
+    return user_lookup(t, t.users.select("email"))
+
+
+def q_monthly_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast.monthly_sales(tpch_tables(spark, sf_dir).sale, FORECAST_START, FORECAST_END)
+
+
+def q_monthly_sales_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast.monthly_sales(tpch_tables(spark, sf_dir).sale, "all", series=SERIES)
+
+
+def q_sales_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    monthly = forecast.monthly_sales(tpch_tables(spark, sf_dir).sale, FORECAST_START, FORECAST_END)
+    return forecast.sales_forecast(monthly)
+
+
+def q_sales_forecast_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast.sales_forecast(forecast.monthly_sales(tpch_tables(spark, sf_dir).sale, "all"))
+
+
+def q_sales_forecast_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    monthly = forecast.monthly_sales(tpch_tables(spark, sf_dir).sale, "all", series=SERIES)
+    return forecast.sales_forecast(monthly, series=SERIES)
+
+
+def q_product_performance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.product_performance(tpch_product_records(spark, sf_dir))
+
+
+def q_product_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.product_summary(products.product_performance(tpch_product_records(spark, sf_dir)))
+
+
+def q_product_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.product_tiers(tpch_product_records(spark, sf_dir))
+
+
+def q_employee_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return employees.employee_scores(tpch_employee_records(spark, sf_dir))
+
+
+def q_employee_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = employees.employee_performance(tpch_employee_records(spark, sf_dir))
+    return out.select("employee_id", "performance_cluster", "performance_score")
+
+
+def q_employee_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = employees.employee_performance(tpch_employee_records(spark, sf_dir))
+    return out.select("employee_id", "is_anomaly")
+
+
 QUERIES: dict[str, QueryFn] = {
     "popular": q_popular,
     "popular_reference": q_popular_reference,
     "trending": q_trending,
     "trending_reference": q_trending_reference,
     "similar_users": q_similar_users,
+    "personalized": q_personalized,
+    "product_features": q_product_features,
+    "product_features_reference": q_product_features_reference,
+    "ratings": q_ratings,
+    "known_products": q_known_products,
+    "user_lookup": q_user_lookup,
+    "monthly_sales": q_monthly_sales,
+    "monthly_sales_by_priority": q_monthly_sales_by_priority,
+    "sales_forecast": q_sales_forecast,
+    "sales_forecast_all": q_sales_forecast_all,
+    "sales_forecast_by_priority": q_sales_forecast_by_priority,
+    "product_performance_score": q_product_performance_score,
+    "product_summary": q_product_summary,
+    "product_tiers": q_product_tiers,
+    "employee_score": q_employee_score,
+    "employee_clusters": q_employee_clusters,
+    "employee_anomalies": q_employee_anomalies,
 }
 
 
@@ -166,6 +270,185 @@ select user_id, product_id, product_name, purchased_by_similar_users, average_ra
 from ranked where rn <= {LIMIT}
 """
 
+# Brute force: every user scored against every product.
+ORACLES["personalized"] = mapping_ctes() + "," + _SPINE.format(since="") + "," + _BUY + f""",
+stats as (
+  select p.id as product_id, p.name as product_name, coalesce(pp.units_ok, 0) as t, coalesce(rv.avg_rating, 0) as a
+  from product p left join per_product pp on pp.product_id = p.id left join rv on rv.product_id = p.id),
+ua as (
+  select u.id as user_id, coalesce(nullif(r.av, 0), 3.0) as user_avg
+  from users u left join (select user_id, avg(rating) as av from review group by user_id) r on r.user_id = u.id),
+scored as (
+  select ua.user_id, s.product_id, s.product_name, cast(s.t as bigint) as total_purchases,
+         s.a as average_rating, s.t * (5 - abs(s.a - ua.user_avg)) as score
+  from ua cross join stats s
+  where not exists (select 1 from buy b where b.user_id = ua.user_id and b.product_id = s.product_id)),
+ranked as (select *, row_number() over (partition by user_id order by score desc, product_id) as rn from scored)
+select user_id, product_id, product_name, total_purchases, average_rating, score from ranked where rn <= {LIMIT}
+"""
+
+ORACLES["product_features"] = mapping_ctes() + f""",
+units as (select st.product_id, sum(d.quantity) as units_all
+          from sale_detail d join stock st on st.id = d.stock_id group by st.product_id),
+rv as (select product_id, avg(rating) as avg_rating, count(id) as n_reviews from review group by product_id)
+select p.id as product_id, p.name, cast(p.price as double) as price,
+       coalesce(rv.avg_rating, 0) as avg_rating,
+       cast(coalesce(rv.n_reviews, 0) as bigint) as review_count,
+       coalesce(u.units_all, 0) as total_sales,
+       round(ln(1 + cast(p.price as double)), 9) as price_log,
+       coalesce(rv.n_reviews, 0) * coalesce(rv.avg_rating, 0) as popularity
+from product p left join units u on u.product_id = p.id left join rv on rv.product_id = p.id
+"""
+
+ORACLES["product_features_reference"] = mapping_ctes() + f""",
+chain as (
+  select p.id as product_id, p.name, p.price,
+         coalesce(avg(r.rating), 0) as avg_rating,
+         coalesce(count(r.id), 0) as review_count,
+         coalesce(sum(sd.quantity), 0) as total_sales
+  from product p
+  left join review r on p.id = r.product_id
+  left join stock st on p.id = st.product_id
+  left join sale_detail sd on st.id = sd.stock_id
+  left join sale s on sd.sale_id = s.id
+  group by p.id, p.name, p.price)
+select product_id, name, cast(price as double) as price, avg_rating, cast(review_count as bigint) as review_count,
+       total_sales, round(ln(1 + cast(price as double)), 9) as price_log, review_count * avg_rating as popularity
+from chain
+"""
+
+ORACLES["ratings"] = mapping_ctes() + """,
+r as (
+  select user_id, product_id, rating from review
+  where rating is not null and user_id is not null and product_id is not null
+  union all
+  select s.user_id, st.product_id, 4.0E0 as rating
+  from sale s join sale_detail d on d.sale_id = s.id join stock st on st.id = d.stock_id
+  where s.status = 'completed' and s.user_id is not null)
+select user_id, product_id, avg(rating) as rating from r group by user_id, product_id
+"""
+
+ORACLES["known_products"] = mapping_ctes() + """
+select distinct st.product_id, s.user_id
+from sale s join sale_detail d on d.sale_id = s.id join stock st on st.id = d.stock_id
+where s.status = 'completed' and s.user_id in (select id from users)
+union
+select product_id, user_id from review where product_id is not null and user_id in (select id from users)
+"""
+
+ORACLES["user_lookup"] = mapping_ctes() + """
+select e.email, min(u.id) as user_id
+from (select distinct email from users) e join users u on u.email = e.email
+group by e.email
+"""
+
+_MONTHLY = """
+s as (select * from sale where status = 'completed'{where}),
+m as (select {key} as k, date_trunc('month', created_at) as mth,
+             cast(sum(cast(grand_total as decimal(18,2))) as double) as total_sales,
+             count(id) as transaction_count
+      from s group by all),
+b as (select k, min(mth) as lo, max(mth) as hi from m group by k),
+sp as (select k, unnest(generate_series(lo, hi, interval 1 month)) as mth from b),
+g as (select sp.k, sp.mth, coalesce(m.total_sales, 0) as total_sales,
+             cast(coalesce(m.transaction_count, 0) as bigint) as transaction_count
+      from sp left join m on m.k = sp.k and m.mth = sp.mth)
+"""
+
+_RANGE = (" and created_at >= timestamp '2000-01-01 00:00:00'"
+          " and created_at < timestamp '2001-01-01 00:00:00'")
+
+ORACLES["monthly_sales"] = mapping_ctes() + "," + _MONTHLY.format(where=_RANGE, key="0") + """
+select total_sales, transaction_count, strftime(mth, '%b') as month, strftime(mth, '%Y-%m') as period from g
+"""
+
+ORACLES["monthly_sales_by_priority"] = mapping_ctes() + "," + _MONTHLY.format(where="", key="priority") + """
+select k as priority, total_sales, transaction_count, strftime(mth, '%b') as month, strftime(mth, '%Y-%m') as period
+from g
+"""
+
+_FORECAST = """,
+x as (select k, total_sales as y,
+             (year(mth) - year(min(mth) over w)) * 12 + month(mth) - month(min(mth) over w) as x,
+             count(*) over w as n
+      from g window w as (partition by k)),
+fit as (select k, any_value(n) as n,
+               regr_slope(y, x) filter (where x < n - ceil(0.2 * n)) as b1,
+               regr_intercept(y, x) filter (where x < n - ceil(0.2 * n)) as b0,
+               arg_max(y, x) as cur,
+               max(case when x = n - 2 then y end) as prev
+        from x group by k),
+err as (select x.k, avg(abs(y - (b0 + b1 * x))) as mae, avg(y) as mean_test,
+               stddev_pop(y - (b0 + b1 * x)) as sd
+        from x join fit on fit.k = x.k where x >= x.n - ceil(0.2 * x.n) group by x.k),
+res as (select fit.k, fit.n, b0 + b1 * fit.n as f, coalesce(sd, 0) as sd,
+               coalesce(greatest(0, 100 - mae / nullif(mean_test, 0) * 100), 0) as acc,
+               case when prev > 0 then (cur - prev) / prev * 100 else 0 end as growth
+        from fit left join err on err.k = fit.k)
+select {key_out}
+       case when n >= 3 then round(f, 2) else 0 end as next_month_forecast,
+       case when n >= 3 then round(least(90 + n * 2, 95), 2) else 0 end as confidence_level,
+       case when n >= 3 then round(greatest(0, f - 1.5 * sd), 2) else 0 end as expected_range_low,
+       case when n >= 3 then round(f + 1.5 * sd, 2) else 0 end as expected_range_high,
+       case when n >= 3 then round(growth, 2) else 0 end as growth_rate,
+       case when n >= 3 then round(acc, 2) else 0 end as model_accuracy
+from res
+"""
+
+ORACLES["sales_forecast"] = (mapping_ctes() + "," + _MONTHLY.format(where=_RANGE, key="0")
+                             + _FORECAST.format(key_out=""))
+ORACLES["sales_forecast_all"] = (mapping_ctes() + "," + _MONTHLY.format(where="", key="0")
+                                 + _FORECAST.format(key_out=""))
+ORACLES["sales_forecast_by_priority"] = (mapping_ctes() + "," + _MONTHLY.format(where="", key="priority")
+                                         + _FORECAST.format(key_out="k as priority,"))
+
+_PRODUCT_SCORE = """,
+c as (select * from product_record
+      where product_id is not null and name is not null and price is not null
+        and units_sold is not null and stock is not null),
+f as (select *, price * units_sold as revenue,
+             case when stock + units_sold <> 0 then units_sold / (stock + units_sold) end as stock_ratio,
+             case when price <> 0 then units_sold / price end as sales_velocity
+      from c),
+mm as (select min(revenue) as r0, max(revenue) as r1, min(stock_ratio) as s0, max(stock_ratio) as s1,
+              min(sales_velocity) as v0, max(sales_velocity) as v1 from f),
+sc as (select f.*,
+              coalesce(case when r1 > r0 then (revenue - r0) / (r1 - r0) else 0 end, 0) as revenue_scaled,
+              coalesce(case when s1 > s0 then (stock_ratio - s0) / (s1 - s0) else 0 end, 0) as stock_ratio_scaled,
+              coalesce(case when v1 > v0 then (sales_velocity - v0) / (v1 - v0) else 0 end, 0)
+                as sales_velocity_scaled,
+              stock_ratio is null or sales_velocity is null as is_degenerate
+       from f, mm),
+scored as (select *, (0.0E0 + 0.5E0 * revenue_scaled + 0.3E0 * stock_ratio_scaled + 0.2E0 * sales_velocity_scaled)
+                     * 100.0E0 as performance_score
+           from sc)
+"""
+
+ORACLES["product_performance_score"] = mapping_ctes() + _PRODUCT_SCORE + """
+select product_id, name, price, units_sold, stock, revenue, stock_ratio, sales_velocity, is_degenerate,
+       revenue_scaled, stock_ratio_scaled, sales_velocity_scaled, performance_score
+from scored
+"""
+
+ORACLES["product_summary"] = mapping_ctes() + _PRODUCT_SCORE + """
+select round(avg(performance_score), 1) as avg_score,
+       first(name order by performance_score desc, product_id) as top_product,
+       round(sum(revenue), 2) as total_revenue
+from scored
+"""
+
+ORACLES["employee_score"] = mapping_ctes() + """,
+f as (select employee_id, coalesce(completed_tasks, 0) as completed_tasks, coalesce(total_tasks, 0) as total_tasks,
+             coalesce(avg_task_hours, 0) as avg_task_hours
+      from employee_record),
+r as (select *, case when total_tasks > 0 then completed_tasks / total_tasks else 0 end as completion_rate from f),
+s as (select *, 0.4E0 * completion_rate + 0.3E0 * (1.0E0 - avg_task_hours) + 0.3E0 * completed_tasks as raw from r),
+mm as (select min(raw) as lo, max(raw) as hi from s)
+select employee_id, completed_tasks, total_tasks, avg_task_hours, completion_rate,
+       case when hi > lo then (raw - lo) / (hi - lo) else 0 end * 100.0E0 as performance_score
+from s, mm
+"""
+
 
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)

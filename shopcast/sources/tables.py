@@ -224,3 +224,16 @@ def tpch_employee_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tpch_product_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(spark, sf_dir, "product_record")
+
+
+def user_lookup(t: Tables, emails: DataFrame) -> DataFrame:
+    """Resolve e-mails to user ids: ``email, user_id`` (first match = smallest id).
+
+    E-mails without a user are absent; :func:`unknown_emails` lists them.
+    """
+    first = t.users.where(F.col("email").isNotNull()).groupBy("email").agg(F.min("id").alias("user_id"))
+    return emails.select("email").distinct().join(first, "email")
+
+
+def unknown_emails(t: Tables, emails: DataFrame) -> DataFrame:
+    return emails.select("email").distinct().join(t.users.select("email"), "email", "left_anti")
