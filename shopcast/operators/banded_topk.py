@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopcast.functions.expr import global_rank, top_n
+from shopcast.session import materialize
 
 # Relative slack on the threshold; it only adds candidates, so the result
 # stays exact when lb/ub round differently from the score.
@@ -38,7 +39,9 @@ def banded_topk(items: DataFrame, users: DataFrame, exclude: DataFrame, *, weigh
     Output: item columns + ``user_key`` + ``score``; ties broken by item key.
     """
     w, c = F.col(weight), F.col(centre)
-    excl = exclude.select(user_key, item_key).distinct()
+    # items and users feed several joins below: computed once, lineage cut.
+    items = materialize(items)
+    excl = materialize(exclude.select(user_key, item_key).distinct())
     n_excl = excl.join(items.select(item_key), item_key, "left_semi").groupBy(user_key).agg(
         F.count(F.lit(1)).alias("__m"))
 
@@ -47,16 +50,16 @@ def banded_topk(items: DataFrame, users: DataFrame, exclude: DataFrame, *, weigh
     width = (a_hi - a_lo) / F.lit(float(bands))
     band = F.when(width > 0, F.least(F.floor((F.col(user_value) - a_lo) / width), F.lit(bands - 1))) \
         .otherwise(F.lit(0)).cast("int")
-    u = (users.select(user_key, user_value).withColumn("__band", band)
-         .join(n_excl, user_key, "left")
-         .withColumn("__need", F.lit(k) + F.coalesce(F.col("__m"), F.lit(0))))
+    u = materialize(users.select(user_key, user_value).withColumn("__band", band)
+                    .join(n_excl, user_key, "left")
+                    .withColumn("__need", F.lit(k) + F.coalesce(F.col("__m"), F.lit(0))))
 
     # Band bounds from the users actually in the band (at most `bands` rows).
     bounds = u.groupBy("__band").agg(F.min(user_value).alias("__lo"), F.max(user_value).alias("__hi"))
 
     fmin = F.lit(full) - F.greatest(F.abs(c - F.col("__lo")), F.abs(c - F.col("__hi")))
     fmax = F.lit(full) - F.greatest(F.lit(0.0), F.col("__lo") - c, c - F.col("__hi"))
-    per_band = (
+    per_band = materialize(
         items.select(item_key, weight, centre)
         .withColumn("__band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))))
         .join(F.broadcast(bounds), "__band")
@@ -75,8 +78,9 @@ def banded_topk(items: DataFrame, users: DataFrame, exclude: DataFrame, *, weigh
     ranked = global_rank(per_band.select("__band", item_key, "__ub"),
                          [F.col("__band"), F.col("__ub").desc(), F.col(item_key)], "__pos")
     start = ranked.groupBy("__band").agg(F.min("__pos").alias("__start"), F.count(F.lit(1)).alias("__size"))
-    ranked = ranked.join(F.broadcast(start), "__band") \
-        .select("__band", item_key, (F.col("__pos") - F.col("__start") + 1).alias("__r"))
+    ranked = materialize(ranked.join(F.broadcast(start.select("__band", "__start")), "__band")
+                         .select("__band", item_key, (F.col("__pos") - F.col("__start") + 1).alias("__r")))
+    sizes = ranked.groupBy("__band").agg(F.max("__r").alias("__size"))
 
     # R(band, n) = number of items with ub >= G(band, n): merge thresholds into the ub order.
     merged = per_band.select("__band", F.col("__ub").alias("__v"), F.lit(0).alias("__tag"),
@@ -89,9 +93,9 @@ def banded_topk(items: DataFrame, users: DataFrame, exclude: DataFrame, *, weigh
              .select("__band", "__n", (F.col("__pos") - F.col("__mstart") - F.col("__n") + 1).alias("__reach")))
 
     # Each user's candidate count; no threshold (need > items) means every item.
-    cand_n = (u.join(reach, (u["__band"] == reach["__band"]) & (u["__need"] == reach["__n"]), "left")
+    cand_n = materialize(u.join(reach, (u["__band"] == reach["__band"]) & (u["__need"] == reach["__n"]), "left")
               .drop(reach["__band"]).drop(reach["__n"])
-              .join(F.broadcast(start.select("__band", "__size")), "__band")
+              .join(F.broadcast(sizes), "__band")
               .select(user_key, user_value, "__band",
                       F.coalesce(F.col("__reach"), F.col("__size")).alias("__reach")))
     cands = (cand_n.withColumn("__r", F.explode(F.sequence(F.lit(1), F.greatest(F.col("__reach"), F.lit(1)))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopcast.operators import spine
@@ -43,3 +43,59 @@ def product_features(t: Tables, semantics: str = "corrected") -> DataFrame:
         F.log1p(price).alias("price_log"),
         (review_count * avg_rating).alias("popularity"),
     )
+
+
+def scaled_feature_vectors(feats: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
+    """``id, vec``: the six features min-max scaled with statistics of ``fit_on``
+    (default: the same rows); a constant feature scales to 0."""
+    fit_on = fit_on if fit_on is not None else feats
+    cols = []
+    for c in FEATURES:
+        lo = fit_on.agg(F.min(c)).scalar()
+        hi = fit_on.agg(F.max(c)).scalar()
+        x = F.col(c).cast("double")
+        cols.append(F.when(hi > lo, (x - lo) / (hi - lo)).otherwise(F.lit(0.0)))
+    return feats.select(F.col("product_id").alias("id"), F.array(*cols).alias("vec"))
+
+
+def content_based(t: Tables, targets: DataFrame, limit: int = 50) -> DataFrame:
+    """Most similar products to each target (cosine over min-max scaled features).
+
+    ``targets``: column ``product_id``. Output: ``target_id, product_id,
+    product_name, similarity_score, price, average_rating``; the target
+    itself is excluded, unknown targets give no rows.
+    """
+    from shopcast.operators.knn import cosine_topk
+
+    feats = product_features(t)
+    vecs = scaled_feature_vectors(feats)
+    q = vecs.join(targets.select(F.col("product_id").alias("id")).distinct(), "id", "left_semi")
+    top = cosine_topk(q, vecs, limit)
+    info = feats.select("product_id", F.col("name").alias("product_name"), "price",
+                        F.col("avg_rating").alias("average_rating"))
+    return top.join(info, top["item_id"] == info["product_id"]).select(
+        F.col("query_id").alias("target_id"), "product_id", "product_name",
+        F.col("similarity").alias("similarity_score"), "price", "average_rating")
+
+
+def is_train(key: str = "product_id", share: int = 80) -> Column:
+    """Deterministic ``share`` % / rest split on a key (stable under repartitioning)."""
+    return F.pmod(F.col(key) * F.lit(7919) + F.lit(13), F.lit(100)) < F.lit(share)
+
+
+def holdout_distance(t: Tables, k: int = 10) -> DataFrame:
+    """Mean cosine distance from each held-out product to its ``k`` nearest
+    training products (scaler fitted on the training split).
+
+    One row: ``mean_distance, test_products, neighbours``.
+    """
+    from shopcast.operators.knn import cosine_topk
+
+    feats = product_features(t)
+    train = feats.where(is_train())
+    test = feats.where(~is_train())
+    top = cosine_topk(scaled_feature_vectors(test, train), scaled_feature_vectors(train, train), k,
+                      exclude_self=False)
+    return top.agg(F.round(F.avg(F.lit(1.0) - F.col("similarity")), 9).alias("mean_distance"),
+                   F.countDistinct("query_id").alias("test_products"),
+                   F.count(F.lit(1)).alias("neighbours"))

@@ -26,6 +26,7 @@ LIMIT = 50
 FORECAST_START = dt.date(2000, 1, 1)
 FORECAST_END = dt.date(2000, 12, 31)
 SERIES = "priority"
+KNN_K = 10
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -141,6 +142,22 @@ def q_employee_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("employee_id", "is_anomaly")
 
 
+def q_content_based(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tpch_tables(spark, sf_dir)
+    return features.content_based(t, t.product.select(F.col("id").alias("product_id")), limit=LIMIT)
+
+
+def q_content_holdout_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.holdout_distance(tpch_tables(spark, sf_dir), k=KNN_K)
+
+
+def q_embedding_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shopcast.operators.knn import as_vectors, cosine_topk
+    vecs = as_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", array_col="embedding")
+    top = cosine_topk(vecs, vecs, KNN_K)
+    return top.select(F.col("query_id").alias("vec_id"), F.col("item_id").alias("neighbour_id"), "similarity")
+
+
 QUERIES: dict[str, QueryFn] = {
     "popular": q_popular,
     "popular_reference": q_popular_reference,
@@ -164,6 +181,9 @@ QUERIES: dict[str, QueryFn] = {
     "employee_score": q_employee_score,
     "employee_clusters": q_employee_clusters,
     "employee_anomalies": q_employee_anomalies,
+    "content_based": q_content_based,
+    "content_holdout_distance": q_content_holdout_distance,
+    "embedding_knn": q_embedding_knn,
 }
 
 
@@ -449,6 +469,80 @@ select employee_id, completed_tasks, total_tasks, avg_task_hours, completion_rat
 from s, mm
 """
 
+_FEATURES = """,
+units as (select st.product_id, sum(d.quantity) as units_all
+          from sale_detail d join stock st on st.id = d.stock_id group by st.product_id),
+rv as (select product_id, avg(rating) as avg_rating, count(id) as n_reviews from review group by product_id),
+feat as (select p.id as product_id, p.name, cast(p.price as double) as price,
+                coalesce(rv.avg_rating, 0) as avg_rating, cast(coalesce(rv.n_reviews, 0) as double) as review_count,
+                coalesce(u.units_all, 0) as total_sales, ln(1 + cast(p.price as double)) as price_log,
+                coalesce(rv.n_reviews, 0) * coalesce(rv.avg_rating, 0) as popularity
+         from product p left join units u on u.product_id = p.id left join rv on rv.product_id = p.id)
+"""
+
+# Spark computes price_log with log1p; DuckDB only has ln(1 + x). The two may
+# differ in the last bit, which the 9-decimal rounding of similarities absorbs.
+_SCALED = """,
+mm as (select {stats} from {fit}),
+vec as (select product_id, {scaled} from {rows}, mm)
+"""
+
+_COLS = ["price", "avg_rating", "review_count", "total_sales", "price_log", "popularity"]
+
+
+def _scaled(rows: str, fit: str, name: str) -> str:
+    stats = ", ".join(f"min({c}) as lo_{c}, max({c}) as hi_{c}" for c in _COLS)
+    scaled = ", ".join(f"case when hi_{c} > lo_{c} then ({c} - lo_{c}) / (hi_{c} - lo_{c}) else 0 end as x_{c}"
+                       for c in _COLS)
+    return _SCALED.format(stats=stats, fit=fit, scaled=scaled, rows=rows).replace("mm as", f"mm_{name} as") \
+        .replace("vec as", f"{name} as").replace(", mm)", f", mm_{name})")
+
+
+def _cos(a: str, b: str) -> str:
+    dot = "0.0E0 + " + " + ".join(f"{a}.x_{c} * {b}.x_{c}" for c in _COLS)
+    na = "0.0E0 + " + " + ".join(f"{a}.x_{c} * {a}.x_{c}" for c in _COLS)
+    nb = "0.0E0 + " + " + ".join(f"{b}.x_{c} * {b}.x_{c}" for c in _COLS)
+    return f"case when ({na}) > 0 and ({nb}) > 0 then ({dot}) / sqrt(({na}) * ({nb})) else 0 end"
+
+
+ORACLES["content_based"] = mapping_ctes() + _FEATURES + _scaled("feat", "feat", "v") + f""",
+pairs as (select a.product_id as target_id, b.product_id, round({_cos("a", "b")}, 9) as similarity_score
+          from v a join v b on a.product_id <> b.product_id),
+ranked as (select *, row_number() over (partition by target_id order by similarity_score desc, product_id) as rn
+           from pairs)
+select r.target_id, r.product_id, f.name as product_name, r.similarity_score, f.price, f.avg_rating as average_rating
+from ranked r join feat f on f.product_id = r.product_id
+where rn <= {LIMIT}
+"""
+
+_TRAIN = "(((product_id * 7919 + 13) % 100 + 100) % 100) < 80"
+
+ORACLES["content_holdout_distance"] = (
+    mapping_ctes() + _FEATURES
+    + f""",
+train as (select * from feat where {_TRAIN}),
+test as (select * from feat where not ({_TRAIN}))"""
+    + _scaled("train", "train", "vtr") + _scaled("test", "train", "vte")
+    + f""",
+pairs as (select a.product_id as q, b.product_id as i, round({_cos("a", "b")}, 9) as s
+          from vte a cross join vtr b),
+ranked as (select *, row_number() over (partition by q order by s desc, i) as rn from pairs)
+select round(avg(1 - s), 9) as mean_distance, count(distinct q) as test_products, count(*) as neighbours
+from ranked where rn <= {KNN_K}
+""")
+
+ORACLES["embedding_knn"] = f"""
+with e as (select vec_id, cast(embedding as double[]) as v from embeddings),
+pairs as (
+  select a.vec_id, b.vec_id as neighbour_id,
+         round(case when list_dot_product(a.v, a.v) > 0 and list_dot_product(b.v, b.v) > 0
+                    then list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))
+                    else 0 end, 9) as similarity
+  from e a join e b on a.vec_id <> b.vec_id),
+ranked as (select *, row_number() over (partition by vec_id order by similarity desc, neighbour_id) as rn from pairs)
+select vec_id, neighbour_id, similarity from ranked where rn <= {KNN_K}
+"""
+
 
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: ANSI-safe arithmetic is written with try_divide,
 # timestamps are wall-clock (TIMESTAMP_NTZ) and compared in UTC, AQE re-plans
@@ -60,3 +60,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint directory and return the re-read frame.
+
+    Used where one intermediate result feeds several later joins: it is
+    computed once, survives executor loss (unlike a cached or
+    locally-checkpointed copy) and the downstream plans stay short.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
