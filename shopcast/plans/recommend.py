@@ -132,3 +132,55 @@ def personalized(t: Tables, users: DataFrame, min_rating: float = 0, min_purchas
         F.col("__a").alias("average_rating"),
         "score",
     )
+
+
+def collaborative(t: Tables, users: DataFrame, limit: int = DEFAULT_LIMIT, k: int = 40,
+                  similarity: DataFrame | None = None) -> DataFrame:
+    """Item-based collaborative filtering: unknown products by predicted rating.
+
+    Output per requested user: ``user_id, product_id, product_name,
+    predicted_rating, price`` (top ``limit``, ties by ``product_id``).
+    Known products (completed purchases and any review) are excluded.
+
+    Only (user, product) pairs with at least one similar rated item are
+    scored; every other unknown product has the global-mean prediction, and
+    of those only the ``limit`` smallest ids can be kept — found by an
+    equi-join on the id rank, not by pairing each user with every product.
+    """
+    from shopcast.functions.expr import global_rank
+    from shopcast.operators import ratings as rt
+    from shopcast.session import materialize
+
+    r = materialize(rt.ratings(t))
+    sim = similarity if similarity is not None else rt.item_similarity(r)
+    req = users.select("user_id").where(F.col("user_id").isNotNull()).distinct()
+    known = materialize(spine.known_products(t, req))
+    mean = rt.global_mean(r)
+    fallback = F.round(F.least(F.lit(rt.RATING_MAX), F.greatest(F.lit(rt.RATING_MIN), mean)), rt.ROUND)
+
+    # pairs with a neighbour: the requested users' rated items -> similar items
+    mine = r.join(req, "user_id", "left_semi")
+    pairs = (mine.select("user_id", F.col("product_id").alias("item_i"))
+             .join(sim.select("item_i", F.col("item_j").alias("product_id")), "item_i")
+             .select("user_id", "product_id").distinct()
+             .join(known, ["user_id", "product_id"], "left_anti")
+             .join(t.product.select(F.col("id").alias("product_id")), "product_id", "left_semi"))
+    scored = materialize(rt.predict(pairs, r, sim, k=k, mean=mean).select("user_id", "product_id", "prediction"))
+
+    # the smallest unknown, unscored product ids (global-mean prediction)
+    taken = known.unionByName(scored.select("user_id", "product_id"))
+    n_taken = taken.groupBy("user_id").agg(F.count(F.lit(1)).alias("__x"))
+    ids = global_rank(t.product.select(F.col("id").alias("product_id")), [F.col("product_id")], "__k")
+    fill = (req.join(n_taken, "user_id", "left")
+            .withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(limit) + F.coalesce("__x", F.lit(0)))))
+            .join(ids, "__k")
+            .join(taken, ["user_id", "product_id"], "left_anti")
+            .select("user_id", "product_id", fallback.alias("prediction")))
+    fill = top_n(fill, ["user_id"], [F.col("product_id")], limit)
+
+    cands = scored.unionByName(fill)
+    top = top_n(cands, ["user_id"], [F.col("prediction").desc(), F.col("product_id")], limit)
+    info = t.product.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"), "price")
+    return top.join(info, "product_id").select(
+        "user_id", "product_id", "product_name", F.col("prediction").alias("predicted_rating"),
+        F.col("price").cast("double").alias("price"))

@@ -27,6 +27,7 @@ FORECAST_START = dt.date(2000, 1, 1)
 FORECAST_END = dt.date(2000, 12, 31)
 SERIES = "priority"
 KNN_K = 10
+KNN_NEIGHBOURS = 40
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -158,6 +159,20 @@ def q_embedding_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select(F.col("query_id").alias("vec_id"), F.col("item_id").alias("neighbour_id"), "similarity")
 
 
+def q_item_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sim = ratings_op.item_similarity(ratings_op.ratings(tpch_tables(spark, sf_dir)))
+    return sim.withColumn("similarity", F.round("similarity", 9))
+
+
+def q_collaborative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tpch_tables(spark, sf_dir)
+    return recommend.collaborative(t, _all_users(t), limit=LIMIT)
+
+
+def q_collaborative_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ratings_op.cross_validate(ratings_op.ratings(tpch_tables(spark, sf_dir)), folds=3)
+
+
 QUERIES: dict[str, QueryFn] = {
     "popular": q_popular,
     "popular_reference": q_popular_reference,
@@ -184,6 +199,9 @@ QUERIES: dict[str, QueryFn] = {
     "content_based": q_content_based,
     "content_holdout_distance": q_content_holdout_distance,
     "embedding_knn": q_embedding_knn,
+    "item_similarity": q_item_similarity,
+    "collaborative": q_collaborative,
+    "collaborative_cv": q_collaborative_cv,
 }
 
 
@@ -543,6 +561,88 @@ ranked as (select *, row_number() over (partition by vec_id order by similarity
 select vec_id, neighbour_id, similarity from ranked where rn <= {KNN_K}
 """
 
+_RATINGS = """,
+r0 as (
+  select user_id, product_id, rating from review
+  where rating is not null and user_id is not null and product_id is not null
+  union all
+  select s.user_id, st.product_id, 4.0E0 as rating
+  from sale s join sale_detail d on d.sale_id = s.id join stock st on st.id = d.stock_id
+  where s.status = 'completed' and s.user_id is not null),
+r as (select user_id, product_id, avg(rating) as rating from r0 group by user_id, product_id)
+"""
+
+_SIM = """
+select a.product_id as i, b.product_id as j,
+       sum(a.rating * b.rating) / sqrt(sum(a.rating * a.rating) * sum(b.rating * b.rating)) as s
+from r a join r b on a.user_id = b.user_id and a.product_id <> b.product_id
+group by a.product_id, b.product_id
+"""
+
+ORACLES["item_similarity"] = mapping_ctes() + _RATINGS + f""",
+sim as ({_SIM})
+select i as item_i, j as item_j, round(s, 9) as similarity from sim
+"""
+
+ORACLES["collaborative"] = mapping_ctes() + _RATINGS + f""",
+sim as ({_SIM}),
+mu as (select avg(rating) as m from r),
+known as (
+  select distinct s.user_id, st.product_id
+  from sale s join sale_detail d on d.sale_id = s.id join stock st on st.id = d.stock_id
+  where s.status = 'completed' and s.user_id is not null
+  union
+  select user_id, product_id from review where product_id is not null and user_id is not null),
+nb as (
+  select r.user_id, sim.i as product_id, round(sim.s, 9) as s, r.rating as rj, r.product_id as j
+  from r join sim on sim.j = r.product_id
+  where sim.s > 0 and r.user_id in (select id from users)
+    and not exists (select 1 from known k where k.user_id = r.user_id and k.product_id = sim.i)),
+top as (select *, row_number() over (partition by user_id, product_id order by s desc, j) as rn from nb),
+est as (select user_id, product_id, sum(s * rj) / sum(s) as e from top where rn <= {KNN_NEIGHBOURS}
+        group by user_id, product_id),
+cand as (
+  select u.id as user_id, p.id as product_id from users u cross join product p
+  where not exists (select 1 from known k where k.user_id = u.id and k.product_id = p.id)),
+pred as (
+  select c.user_id, c.product_id,
+         round(least(5, greatest(1, coalesce(est.e, (select m from mu)))), 9) as prediction
+  from cand c left join est on est.user_id = c.user_id and est.product_id = c.product_id),
+ranked as (select *, row_number() over (partition by user_id order by prediction desc, product_id) as rn from pred)
+select x.user_id, x.product_id, p.name as product_name, x.prediction as predicted_rating,
+       cast(p.price as double) as price
+from ranked x join product p on p.id = x.product_id
+where x.rn <= {LIMIT}
+"""
+
+ORACLES["collaborative_cv"] = mapping_ctes() + _RATINGS + f""",
+rf as (select *, ((user_id * 31 + product_id) % 3 + 3) % 3 as fold from r),
+folds as (select unnest([0, 1, 2]) as f),
+train as (select folds.f, rf.user_id, rf.product_id, rf.rating from folds join rf on rf.fold <> folds.f),
+test as (select folds.f, rf.user_id, rf.product_id, rf.rating from folds join rf on rf.fold = folds.f),
+sim as (
+  select a.f, a.product_id as i, b.product_id as j,
+         sum(a.rating * b.rating) / sqrt(sum(a.rating * a.rating) * sum(b.rating * b.rating)) as s
+  from train a join train b on a.f = b.f and a.user_id = b.user_id and a.product_id <> b.product_id
+  group by a.f, a.product_id, b.product_id),
+mu as (select f, avg(rating) as m from train group by f),
+nb as (
+  select t.f, t.user_id, t.product_id, round(sim.s, 9) as s, tr.rating as rj, tr.product_id as j
+  from test t join train tr on tr.f = t.f and tr.user_id = t.user_id
+  join sim on sim.f = t.f and sim.i = t.product_id and sim.j = tr.product_id
+  where sim.s > 0),
+top as (select *, row_number() over (partition by f, user_id, product_id order by s desc, j) as rn from nb),
+est as (select f, user_id, product_id, sum(s * rj) / sum(s) as e from top where rn <= {KNN_NEIGHBOURS}
+        group by f, user_id, product_id),
+pred as (
+  select t.f, t.rating, round(least(5, greatest(1, coalesce(est.e, mu.m))), 9) as p
+  from test t left join est on est.f = t.f and est.user_id = t.user_id and est.product_id = t.product_id
+  join mu on mu.f = t.f)
+select f as fold, round(sqrt(avg((p - rating) * (p - rating))), 6) as rmse, round(avg(abs(p - rating)), 6) as mae,
+       count(*) as n
+from pred group by f
+"""
+
 
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
