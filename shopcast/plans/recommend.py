@@ -184,3 +184,38 @@ def collaborative(t: Tables, users: DataFrame, limit: int = DEFAULT_LIMIT, k: in
     return top.join(info, "product_id").select(
         "user_id", "product_id", "product_name", F.col("prediction").alias("predicted_rating"),
         F.col("price").cast("double").alias("price"))
+
+
+STRATEGIES = ("popular", "trending", "content_based", "similar_users", "personalized", "collaborative")
+USER_STRATEGIES = ("similar_users", "personalized", "collaborative")
+
+
+def recommend(t: Tables, strategy: str = "popular", users: DataFrame | None = None,
+              emails: DataFrame | None = None, targets: DataFrame | None = None, min_rating: float = 0,
+              min_purchases: int = 0, limit: int = DEFAULT_LIMIT, as_of: dt.datetime | None = None,
+              semantics: str = "corrected", similarity: DataFrame | None = None) -> DataFrame:
+    """Route to one strategy. ``users`` (``user_id``) or ``emails`` (``email``)
+    are needed by the user strategies, ``targets`` (``product_id``) by
+    content_based; an unknown strategy raises ``ValueError``."""
+    from shopcast.plans.features import content_based
+    from shopcast.sources.tables import user_lookup
+
+    if strategy not in STRATEGIES:
+        raise ValueError("Invalid strategy")
+    if strategy == "popular":
+        return popular_products(t, min_rating, min_purchases, limit, semantics)
+    if strategy == "trending":
+        return trending_products(t, as_of, DEFAULT_DAYS, min_rating, min_purchases, limit, semantics)
+    if strategy == "content_based":
+        if targets is None:
+            raise ValueError("product_id required for content_based strategy")
+        return content_based(t, targets, limit)
+    if users is None:
+        if emails is None:
+            raise ValueError(f"Email is required for {strategy} strategy")
+        users = user_lookup(t, emails).select("user_id")
+    if strategy == "similar_users":
+        return similar_users(t, users, min_rating, min_purchases, limit, semantics)
+    if strategy == "personalized":
+        return personalized(t, users, min_rating, min_purchases, limit, semantics)
+    return collaborative(t, users, limit, similarity=similarity)
