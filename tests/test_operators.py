@@ -39,12 +39,13 @@ def test_cosine_topk_equals_brute_force(spark, dims, exclude):
     vecs[5] = [0.0] * dims          # a zero vector
     vecs[6] = list(vecs[7])         # an exact duplicate
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vecs)], "id long, vec array<double>")
-    fast = knn.cosine_topk(df, df, 5, exclude_self=exclude)
     slow = knn.brute_force_topk(df, df, 5, exclude_self=exclude)
     cols = ["query_id", "item_id", "similarity"]
-    assert _rows(fast, cols) == _rows(slow, cols)
-    zero = [r for r in fast.collect() if r.query_id == 5]
-    assert zero and all(r.similarity == 0.0 for r in zero)
+    for method, kw in (("pruned", {}), ("blocked", {"block": 40})):
+        fast = knn.cosine_topk(df, df, 5, exclude_self=exclude, method=method, **kw)
+        assert _rows(fast, cols) == _rows(slow, cols), method
+        zero = [r for r in fast.collect() if r.query_id == 5]
+        assert zero and all(r.similarity == 0.0 for r in zero)
 
 
 def test_global_rank(spark):
