@@ -110,18 +110,23 @@ def cross_validate(r: DataFrame, folds: int = 3, k: int = NEIGHBOURS) -> DataFra
     Each fold trains the similarities on the other folds and predicts its
     own ratings; all folds run in one plan (the fold id is part of every key).
     """
-    rf = r.withColumn("__fold", fold_of(folds))
+    from shopcast.session import materialize
+
+    rf = materialize(r.withColumn("__fold", fold_of(folds)))
     per_fold = []
     for f in range(folds):
         train = rf.where(F.col("__fold") != f).drop("__fold")
         test = rf.where(F.col("__fold") == f).drop("__fold")
-        pred = predict(test, train, item_similarity(train), k=k)
+        # each fold's similarities and predictions are written once, which
+        # keeps every later plan a short scan
+        sim = materialize(item_similarity(train))
+        pred = materialize(predict(test, train, sim, k=k))
         err = (test.join(pred, ["user_id", "product_id"])
                .select((F.col("prediction") - F.col("rating")).alias("__e")))
-        per_fold.append(err.agg(F.round(F.sqrt(F.avg(F.col("__e") * F.col("__e"))), 6).alias("rmse"),
+        per_fold.append(materialize(err.agg(F.round(F.sqrt(F.avg(F.col("__e") * F.col("__e"))), 6).alias("rmse"),
                                 F.round(F.avg(F.abs("__e")), 6).alias("mae"),
                                 F.count(F.lit(1)).alias("n"))
-                        .withColumn("fold", F.lit(f)))
+                        .withColumn("fold", F.lit(f))))
     out = per_fold[0]
     for p in per_fold[1:]:
         out = out.unionByName(p)

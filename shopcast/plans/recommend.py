@@ -152,7 +152,7 @@ def collaborative(t: Tables, users: DataFrame, limit: int = DEFAULT_LIMIT, k: in
     from shopcast.session import materialize
 
     r = materialize(rt.ratings(t))
-    sim = similarity if similarity is not None else rt.item_similarity(r)
+    sim = similarity if similarity is not None else materialize(rt.item_similarity(r))
     req = users.select("user_id").where(F.col("user_id").isNotNull()).distinct()
     known = materialize(spine.known_products(t, req))
     mean = rt.global_mean(r)
