@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +23,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Files of a checkpoint go when the driver no longer refers to it.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -45,8 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint directory of the session.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that one is
-    used as is. Only when it is unset (local tests) a fresh scratch folder is
-    created.
+    used as is. Only a local session (tests, benches) without that setting gets a
+    fresh scratch folder; on a cluster a folder of the driver is of no use to
+    executors, so a missing setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -56,12 +62,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if current:
         return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="shopcast-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder for written tables, below the shared checkpoint directory."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context, so that functions run there wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_shopcast_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="shopcast-py-")) / "shopcast.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(archive))
+    sc._shopcast_shipped = True
+
+
+def prepare(spark: SparkSession) -> None:
+    """What every registered query needs of a session: a checkpoint directory, and this package on the workers."""
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint directory and return the re-read frame.
 
