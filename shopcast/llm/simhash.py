@@ -73,11 +73,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def _forest(a: np.ndarray, b: np.ndarray | None, distance: int) -> list[tuple[int, int]]:
     """Links that connect what pairs within ``distance`` connect, among ``a`` or between ``a`` and ``b``."""
     nodes = a if b is None else np.concatenate([a, b])
+    bits = nodes.view(np.uint64)  # of a negative number, bitwise_count would count the absolute value's
     label = np.arange(len(nodes))
     found = []
     for i in range(len(a)):
         first = i + 1 if b is None else len(a)
-        near = np.flatnonzero(np.bitwise_count(nodes[first:] ^ a[i]) <= distance) + first
+        near = np.flatnonzero(np.bitwise_count(bits[first:] ^ bits[i]) <= distance) + first
         while len(apart := near[label[near] != label[i]]):
             j = apart[0]
             found.append((int(a[i]), int(nodes[j])))
