@@ -2,7 +2,8 @@
 
 Method. A text's features are its words (between ASCII white space) and the byte
 n-grams of length 3 to 5 of each word with a blank before and after it, hashed
-into ``BUCKETS`` rows of a learned embedding table. The rows are averaged over the
+into ``BUCKETS`` rows of a learned embedding table; a word that is the one before it
+again has row 0 as a further feature, whatever the word. The rows are averaged over the
 text, and a softmax layer turns the average into a probability. Table and layer
 are learned together by stochastic gradient descent in numpy.
 
@@ -42,7 +43,9 @@ _SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 def features(texts: list[str | None]) -> tuple[Joined, list[tuple[np.ndarray, np.ndarray]]]:
     """The joined texts, and (bucket, byte where it begins) of the words and of the n-grams of each length."""
     j = Joined(texts, ~_SPACE)
-    out = [((segments(j.raw, j.begin, j.end) % np.uint64(BUCKETS)).astype(np.int32), j.begin)]
+    words = segments(j.raw, j.begin, j.end)
+    again = np.flatnonzero((words[1:] == words[:-1]) & (j.doc[1:] == j.doc[:-1])) + 1
+    out = [((words % np.uint64(BUCKETS)).astype(np.int32), j.begin), (np.zeros(len(again), np.int32), j.begin[again])]
     space = _SPACE[j.raw]
     b = np.where(space, 32, j.raw).astype(np.uint32)
     for n in (3, 4, 5):
