@@ -11,7 +11,7 @@ fitted on leave-one-out votes of the examples. The neighbours are the evidence.
 Vocabulary: the words (runs of letters, lower-cased) whose presence in toxic texts is
 not chance: log-likelihood ratio above 2 ln(words tested) + 4, which keeps false
 terms rare at any number of words. Counted once per group of near copies (texts
-whose word triples have the same MinHash), so that a copied text does not make its
+whose word triples have the same two smallest hashes), so that a copied text does not make its
 words evidence. Without this choice, cosine would compare what texts are about
 and not how they speak. A text without any term has no neighbour; its score
 is the share of toxic texts among labelled ones without a term.
@@ -28,6 +28,7 @@ are scored each; further columns pass through ``reject``.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -57,9 +58,10 @@ def words(text: str | None) -> list[str]:
 
 
 def sketch(ws: list[str]) -> int:
-    """MinHash of a text's word triples: near copies mostly have the same."""
+    """The two smallest hashes of a text's word triples, as one number: near copies mostly have the same, texts that share a passage seldom."""
     h = xxhash.xxh64_intdigest
-    return min((h(" ".join(t)) for t in zip(ws, ws[1:], ws[2:], strict=False)), default=h(" ".join(ws))) >> 1
+    least = heapq.nsmallest(2, {h(" ".join(t)) for t in zip(ws, ws[1:], ws[2:], strict=False)})
+    return h(str(least) if least else " ".join(ws)) >> 1
 
 
 class BlockMaxIndex:
