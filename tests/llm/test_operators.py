@@ -1,0 +1,428 @@
+"""Each operator against a brute-force version, an exact round trip or held-out labels."""
+
+import itertools
+import random
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from shopcast.llm import dedup, licenses, mixing, packing, quality, simhash, tokens, topk, toxicity
+from shopcast.llm import queries as registered
+from shopcast.testing import compare, duck
+
+SMALL, SF = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+WHITE = " \t\n\x0b\x0c\r"
+
+
+@pytest.mark.parametrize("name", sorted(registered.ORACLES))
+def test_oracle(spark, name):
+    out = compare(name, registered.QUERIES[name](spark, SF), duck(SF), registered.ORACLES[name])
+    assert out.ok, out.detail
+    assert out.rows_spark
+
+
+# -- mixing ------------------------------------------------------------------------
+
+def _targets(sizes, weights=(5, 2, 1), most=3):
+    """Share by weight, stop at the bound, share what is over again, until none is above."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    total, full = sum(sizes.values()), set()
+    while True:
+        left = total - sum(most * sizes[s] for s in full)
+        rest = sum(w[s] for s in names if s not in full)
+        t = {s: most * sizes[s] if s in full else left * w[s] / rest for s in names}
+        over = {s for s in names if s not in full and t[s] > most * sizes[s]}
+        if not over:
+            return t
+        full |= over
+
+
+def _check_mix(rows):
+    by = {}
+    for r in rows:
+        by.setdefault(r.source, []).append(r)
+    sizes = {s: sum(r.size for r in g) for s, g in by.items()}
+    want = _targets(sizes)
+    for s, g in by.items():
+        assert {r.source_size for r in g} == {sizes[s]}
+        assert all(r.target == pytest.approx(want[s]) and r.taken == r.copies * r.size and 0 <= r.copies <= 3 for r in g)
+        if sizes[s]:
+            assert abs(sum(r.taken for r in g) - want[s]) <= max(r.size for r in g)
+            expected = want[s] / sizes[s]
+            assert all(int(expected) <= r.copies <= -(-expected // 1) for r in g)
+
+
+def test_mixing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = mixing.plan(docs).collect()
+    _check_mix(rows)
+    words = {r.doc_id: len((r.text or "").encode().split()) for r in docs.collect()}
+    assert {r.doc_id: r.size for r in rows} == words
+    assert sorted(rows) == sorted(mixing.plan(docs.repartition(7)).collect())  # the order of the input doesn't matter
+    taken = {r.doc_id: r.copies for r in rows if r.copies}
+    assert {r.doc_id: r["count"] for r in mixing.mix(docs).groupBy("doc_id").count().collect()} == taken
+
+
+def test_mixing_hot_source_and_bounds(spark):
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.randint(0, 40), "z" if i % 3 else rng.choice(["a", "b", None, "é", "Z"])) for i in range(3000)]
+    rows += [(9000 + i, "w " * 5, "tiny") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.plan(docs)
+    _check_mix(plan.collect())
+    assert "Python" not in plan._jdf.queryExecution().toString() and "Pandas" not in plan._jdf.queryExecution().toString()
+
+
+# -- simhash -----------------------------------------------------------------------
+
+def _fingerprint(text, n=3):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in "".join(" " if c in WHITE else c for c in low).split(" ") if w]
+    if not words:
+        return 0
+    sh = [" ".join(words[i:i + n]) for i in range(len(words) - n + 1)] or [" ".join(words)]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def _components(fps, distance=3):
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(fps)), 2):
+        if (fps[i] ^ fps[j]).bit_count() <= distance:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return [find(i) for i in range(len(fps))]
+
+
+def test_simhash(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    extra = [(10_000 + i, t) for i, t in enumerate(["A b c d", "É é ÀB Zz zz", "x", "", " \x0b\x0c", "A b C d", "a B c D", "\x1c a \x85 b"])]
+    texts = [(r.doc_id, r.text) for r in docs] + extra
+    got = sorted(simhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    fps = [_fingerprint(t) for _, t in texts]
+    assert [r.fingerprint for r in got] == [f"{x:016x}" for x in fps]
+    assert [r.component_id for r in got] == [texts[i][0] for i in _components(fps)]
+
+
+def test_simhash_dense_buckets(spark):
+    """Chains of fingerprints, many in one bucket, which is cut into chunks."""
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = set(base)
+    for b in base:
+        x = b
+        for _ in range(rng.randint(0, 30)):
+            x ^= 1 << rng.randrange(12) | 1 << rng.randrange(12) | 1 << rng.randrange(64)
+            fps.add(x)
+    fps |= {base[0] ^ i for i in range(600)}
+    fps = sorted(fps)
+    signed = [x - 2**64 if x >= 2**63 else x for x in fps]
+    links = [(r.u % 2**64, r.v % 2**64) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), bucket=64).collect()]
+    assert all((u ^ v).bit_count() <= 3 for u, v in links)
+    place = {x: i for i, x in enumerate(fps)}
+    want = _components(fps)
+    from shopcast.llm.graph import components
+    label = {r.node: r.label for r in components(spark.createDataFrame([(place[u], place[v]) for u, v in links], "u long, v long")).collect()}
+    assert [label.get(i, i) for i in range(len(fps))] == want
+
+
+# -- top-k -------------------------------------------------------------------------
+
+def test_topk_brute_force(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=(900, 20)) * np.linspace(3, 0.1, 20), np.repeat(rng.integers(-2, 3, (5, 20)), 40, axis=0)])
+    df = spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    v = np.floor(256 * x.astype(np.float32).astype(np.float64)).astype(np.int64)
+    want = []
+    for q in range(0, len(x), 50):
+        s = v @ v[q]
+        order = sorted((j for j in range(len(x)) if j != q), key=lambda j: (-s[j], j))[:5]
+        want += [(q, k + 1, j, int(s[j])) for k, j in enumerate(order)]
+    for chunk, queries in ((16_384, 1024), (100, 3)):
+        assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0, chunk=chunk, queries=queries).collect())) == want
+
+
+# -- exact dedup -------------------------------------------------------------------
+
+def test_cuckoo_index():
+    index, live, rng = dedup.CuckooIndex(2), {}, random.Random(2)
+    names = [f"{rng.getrandbits(256):064x}" for _ in range(3000)]
+    names += [n[:20] + f"{rng.getrandbits(160):040x}" + n[60:] for n in names[:500]]  # same place and fingerprint, other digest
+    for step in range(12_000):
+        d = rng.choice(names)
+        if rng.random() < 0.3:
+            assert index.delete(d) == (live.pop(d, None) is not None)
+        else:
+            n, i = rng.randint(0, 5), rng.choice([None, rng.randrange(9)])
+            index.add(d, 1, n, i)
+            old = live.get(d)
+            best = (n, i) if old is None or (-n, i is None, i or 0) < (-old[1], old[2] is None, old[2] or 0) else (old[1], old[2])
+            live[d] = [1 + (old[0] if old else 0), *best]
+        if step % 1000 == 0:
+            assert {e[0]: e[1:] for e in index.entries()} == live
+    assert {e[0]: e[1:] for e in index.entries()} == live and index.size == len(live)
+    assert all(index.get(d) == [d, *live[d]] if d in live else index.get(d) is None for d in names)
+    assert index.n_buckets > 2  # it grew
+
+
+def test_index_update(spark):
+    d = lambda rows: dedup.records(spark.createDataFrame(rows, "doc_id long, text string"))
+    index = dedup.update(None, d([(1, "a b"), (2, "ab"), (3, "c")]))
+    index = dedup.update(index, d([(0, "c"), (5, "e")]), deletes=d([(9, "a  b"), (9, "zz")]))
+    assert sorted((r.keep_id, r.n) for r in index.collect()) == [(0, 2), (5, 1)]
+
+
+# -- tokens and packing ------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def hf():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _odd_texts():
+    rng = random.Random(8)
+    parts = ["the ", "Wörter ", "don't", "<|endoftext|>", "  ", "\n\n", "\t", "123,456", " ", " x", "日本語", "🙂", "'ll", "...", "\x00", "a" * 50, " " * 40, "é", "\x1c", "\x85", "İ", "<|endof", "text|>"]
+    yield from ("", " ", "\n", "x" * 5000, " " * 5000, "ab " * 4000, "ab" * 4000 + " z", "<|endoftext|>" * 500)
+    for _ in range(150):
+        yield "".join(rng.choice(parts) for _ in range(rng.randint(1, 400)))
+
+
+def test_ids_are_the_librarys(hf):
+    enc = tokens.Encoder()
+    assert enc.fast is not None
+    for t in _odd_texts():
+        assert enc.ids(t) == hf.encode(t, add_special_tokens=False).ids
+    vocab = hf.get_vocab()
+    byte = tokens._byte_letters()
+    words = [bytes(byte[c] for c in w).decode("utf-8", "ignore") for w in vocab if w != "<|endoftext|>"]
+    for w, e in zip(words, hf.encode_batch(words, add_special_tokens=False), strict=True):
+        assert enc.fast.encode(w, allowed_special="all") == e.ids
+
+
+def test_overlaps(hf):
+    enc = tokens.Encoder()
+    for t in _odd_texts():
+        want = hf.encode(t, add_special_tokens=False).ids
+        for chunk, overlap in ((7, 3), (64, 16), (500, 1)):
+            assert enc.encode(t, chunk, overlap).tolist() == want
+
+
+def test_token_counts(spark, hf):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    rows = [(r.doc_id, r.text) for r in docs] + [(-1, "lang " * 20_000), (-2, "x" * 40_000), (-3, None)]
+    got = {r.doc_id: r for r in tokens.count_tokens(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (i, t), e in zip(rows, hf.encode_batch([t or "" for _, t in rows], add_special_tokens=False), strict=True):
+        assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), len(e.ids), len(e.ids) > 1024)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_other_tokenizers(name):
+    import public_tokenizers
+    if name.endswith(".json"):
+        from tokenizers import Tokenizer
+        want = lambda t: Tokenizer.from_file(public_tokenizers.path(name)).encode(t, add_special_tokens=False).ids
+    else:
+        import sentencepiece
+        want = lambda t: sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name)).encode(t)
+    for t in ("Hello there, Wörld", "a b " * 50, ""):
+        assert tokens.Encoder(name).encode(t, 20, 5).tolist() == want(t)
+
+
+def _check_packing(pieces, texts, hf, capacity=1024):
+    ids = {i: [*hf.encode(t or "", add_special_tokens=False).ids, 0] for i, t in texts.items()}
+    by_doc, by_seq = {}, {}
+    for p in pieces:
+        by_doc.setdefault(p.doc_id, []).append(p)
+        by_seq.setdefault(p.sequence_id, []).append(p)
+    assert set(by_doc) == set(ids)
+    for i, ps in by_doc.items():
+        at = 0
+        for p in sorted(ps, key=lambda p: p.start):
+            assert p.start == at and p.length > 0 and p.doc_tokens == len(ids[i])
+            assert p.ids_crc32 == zlib.crc32(np.array(ids[i][at:at + p.length], "<u4").tobytes())
+            at += p.length
+        assert at == len(ids[i])
+    for ps in by_seq.values():
+        at = 0
+        for p in sorted(ps, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= capacity
+    return len(by_seq) * capacity / sum(map(len, ids.values()))
+
+
+def test_packing(spark, hf):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert _check_packing(packing.pack(docs).collect(), texts, hf) < 1.01
+    assert _check_packing(packing.pack(docs.repartition(3), window=20_000).collect(), texts, hf) < 1.06
+    with_ids = packing.pack(docs.limit(50), with_ids=True).collect()
+    assert all(len(p.ids) == p.length for p in with_ids)
+
+
+def test_assignment_is_balanced():
+    rng = random.Random(4)
+    lengths = [min(1023, 1 + int(rng.expovariate(1 / 150))) for _ in range(4000)]
+    placed = packing.assign(lengths, 1024)
+    room, cost = {}, {}
+    for _, _, n, s, _ in placed:
+        room[s] = room.get(s, 0) + n
+        cost[s] = cost.get(s, 0) + n + n * n / 1024
+    assert max(room.values()) <= 1024 and sum(room.values()) == sum(lengths) and len(room) == -(-sum(lengths) // 1024)
+    assert len(placed) < 1.2 * len(lengths)  # few cuts
+    in_order, at, fixed = {}, 0, {}
+    for n in lengths:  # filled one after the other, for comparison
+        while n:
+            s, k = at // 1024, min(n, 1024 - at % 1024)
+            fixed[s] = fixed.get(s, 0) + k + k * k / 1024
+            at, n = at + k, n - k
+    assert np.std(list(cost.values())) < np.std(list(fixed.values()))
+    assert in_order == {}
+
+
+# -- toxicity and quality ----------------------------------------------------------
+
+def test_block_max_index():
+    rng = random.Random(6)
+    vec = lambda: (lambda v: {t: w / sum(x * x for x in v.values()) ** 0.5 for t, w in v.items()})({rng.randrange(30): rng.choice([1.0, 2.0, 0.5]) for _ in range(rng.randint(1, 5))})
+    vectors = [vec() for _ in range(500)]
+    index = toxicity.BlockMaxIndex(vectors, block=16)
+    for _ in range(200):
+        q = vec()
+        sims = [round(sum(w * v.get(t, 0.0) for t, w in q.items()), 12) for v in vectors]
+        want = sorted((i for i, s in enumerate(sims) if s > 0), key=lambda i: (-sims[i], i))[:15]
+        got = index.search(q, 15)
+        assert [i for i, _ in got] == want and np.allclose([s for _, s in got], [sims[i] for i in want])
+
+
+def _learned(spark, n=1500):
+    """Texts of which those with a word of ``bad`` are toxic; copies of one clean and one toxic text."""
+    rng = random.Random(9)
+    bad, plain = ["grobian", "schuft", "lump"], ["wort" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(400)]
+    rows = []
+    for i in range(n):
+        words = [rng.choice(plain) for _ in range(rng.randint(3, 80))]
+        toxic = i % 7 == 0
+        if toxic:
+            for _ in range(rng.randint(1, 3)):
+                words.insert(rng.randrange(len(words)), rng.choice(bad).upper() + rng.choice(["", "!", "**"]))
+        rows.append((i, " ".join(words), int(toxic)))
+    rows += [(n + i, "an innocent text with rare words zufall beispiel", 0) for i in range(100)]
+    rows += [(2 * n + i, "a copied text with curious terms kurios seltsam grobian", 1) for i in range(100)]
+    return spark.createDataFrame(rows, "doc_id long, text string, y int")
+
+
+def test_toxicity_held_out(spark):
+    data = _learned(spark)
+    got = toxicity.scores(data, data.where("doc_id % 2 = 0").select("doc_id", "y")).join(data, "doc_id").collect()
+    held = [r for r in got if r.doc_id % 2]
+    assert np.mean([r.predicted == r.y for r in held]) > 0.99
+    assert abs(np.mean([r.score for r in held]) - np.mean([r.y for r in held])) < 0.03
+    assert all(r.evidence and r.evidence[0].cosine > 0 for r in held if r.predicted)
+    clean = spark.createDataFrame([(1, "kurios seltsam terms curious"), (2, "")], "doc_id long, text string")
+    model, _ = toxicity.fit(data, data.select("doc_id", "y"))
+    assert {"grobian", "schuft", "lump"} <= set(model.terms) and "kurios" not in model.terms  # copies are counted once
+    assert toxicity.reject(data, data.select("doc_id", "y")).where("y = 1").count() == 0
+    assert clean.where(toxicity.score(clean, model, F.col("text")) < 0.5).count() == 2
+
+
+def test_quality_held_out(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    got = registered.op5_quality_classifier(spark, SF).join(labels, "doc_id").where("held_out").collect()
+    assert len(got) > 50 and np.mean([r.predicted == r.quality for r in got]) > 0.95
+    assert docs.count() == registered.op5_quality_classifier(spark, SF).count()
+
+
+def test_toxicity_query(spark):
+    got = registered.op8_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
+    assert np.mean([r.predicted == r.toxic for r in got]) > 0.9
+    assert not [r for r in got if r.predicted and not r.toxic]
+
+
+def test_features_of_joined_texts_are_those_of_each():
+    texts = ["One two two\nthree", "", None, " a  b ", "ünï cödé", "x" * 300]
+    model = quality.Model(np.random.default_rng(0).normal(size=quality.BUCKETS + 1).astype(np.float32), -0.5)
+    alone = [model.logits([t])[0] for t in texts]
+    assert np.allclose(model.logits(texts), alone) and alone[1] == alone[2] == -0.5
+    ids, n = quality.counts(texts[0])
+    assert np.isclose(alone[0], -0.5 + (model.weights[ids] @ n) / n.sum() + model.weights[-1])
+
+
+# -- licenses ----------------------------------------------------------------------
+
+def test_licenses(spark):
+    rng = random.Random(12)
+    words = [w for t in licenses.TEMPLATES.values() for w in t.split()] + [f"w{i}" for i in range(100)]
+    texts, planted = [], []
+    for i in range(300):
+        parts = [rng.choice(words) for _ in range(rng.randint(0, 120))]
+        if i % 3 == 0:
+            name = rng.choice(sorted(licenses.TEMPLATES))
+            at = rng.randint(0, len(parts))
+            notice = licenses.TEMPLATES[name].split()
+            if len(notice) > 30 and i % 2:
+                notice[rng.randrange(len(notice))] = "CHANGED"
+            parts[at:at] = notice
+            planted.append((i, name))
+        texts.append(" ".join(parts).upper() if i % 5 == 0 else " \n".join(parts))
+    texts += ["", None, "y" * 100_000]
+    library = licenses.Library(licenses.TEMPLATES)
+    every = library.scan(texts, exhaustive=True)
+    assert library.scan(texts) == every
+    assert [m[0:2] for i in range(len(texts)) for m in [(i, *x[1:]) for x in library.scan([texts[i]])]] == [m[0:2] for m in every]
+    assert {(d, n) for d, n, *_ in every} >= {p for p in planted}
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == every
+    for r in got[:50]:
+        assert licenses.Shingles([(texts[r.doc_id]).encode()[r.begin_byte:r.end_byte].decode()]).words.size >= 5
+
+
+# -- pipeline ----------------------------------------------------------------------
+
+def test_pipeline_against_brute_force(spark, hf, tmp_path):
+    docs, kept = spark.read.parquet(f"{SF}/documents.parquet"), {}
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{n}")
+        before, docs = docs.collect(), spark.read.parquet(f"{tmp_path}/{n}")
+        rows = docs.collect()
+        if name != "packing":
+            assert docs.schema.names == ["doc_id", "text", "lang", "source", "n_chars"]
+            assert set(rows) <= set(before)
+        kept[name] = {r.doc_id for r in rows}
+        if name == "toxicity":
+            toxic = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.toxic == 0}
+            assert toxic & {r.doc_id for r in before} <= kept[name]  # clean ones stay
+        if name == "exact_dedup":
+            best = {}
+            for r in sorted(before, key=lambda r: (-len(r.text), r.doc_id)):
+                best.setdefault("".join(c for c in r.text if c not in WHITE), r.doc_id)
+            assert kept[name] == set(best.values()) and len(rows) == len(best)
+        if name == "simhash_near_dedup":
+            order = sorted(before, key=lambda r: r.doc_id)
+            comp = _components([_fingerprint(r.text) for r in order])
+            assert kept[name] == {order[i].doc_id for i in set(comp)} and len(rows) == len(set(comp))
+        if name == "source_mixing":
+            plan = {r.doc_id: r.copies for r in mixing.plan(spark.read.parquet(f"{tmp_path}/{n - 1}")).collect()}
+            _check_mix(mixing.plan(spark.read.parquet(f"{tmp_path}/{n - 1}")).collect())
+            assert len(rows) == sum(plan.values())
+        if name == "packing":
+            assert sum(r.length for r in rows) == sum(len(hf.encode(r.text, add_special_tokens=False).ids) + 1 for r in before)
+            seqs = {}
+            for r in rows:
+                seqs[r.sequence_id] = seqs.get(r.sequence_id, 0) + r.length
+            assert max(seqs.values()) <= 1024
+    final = corpus_pipeline.run(spark, SF)
+    assert final.count() == docs.count()
