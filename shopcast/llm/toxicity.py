@@ -9,8 +9,10 @@ the bound falls below the k-th best cosine. The neighbours vote with weight
 fitted on leave-one-out votes of the examples. The neighbours are the evidence.
 
 Vocabulary: the words (runs of letters, lower-cased) whose presence in toxic texts is
-not chance: log-likelihood ratio above 2 ln(words tested) + 4, which keeps false
-terms rare at any number of words. Counted once per group of near copies (texts
+not chance (log-likelihood ratio above 2 ln(words tested) + 4, which keeps false
+terms rare at any number of words) and whose texts are toxic at a share nearer to 1
+than to the share of all texts (so that words which only lean to one side stay out,
+however many texts show it). Counted once per group of near copies (texts
 whose word triples have the same two smallest hashes), so that a copied text does not make its
 words evidence. Without this choice, cosine would compare what texts are about
 and not how they speak. A text without any term has no neighbour; its score
@@ -167,7 +169,7 @@ def vocabulary(sample: DataFrame, most: int = TERMS) -> list[str]:
     # Twice the log-likelihood of the word's and the other texts' shares of toxic ones against one common share.
     ratio = 2 * (part(a, n * rate) + part(n - a, n * (1 - rate)) + part(n1 - a, (n0 + n1 - n) * rate) + part(n0 - n + a, (n0 + n1 - n) * (1 - rate)))
     bar = 2 * math.log(max(1, found.count())) + 4
-    best = found.where(a > n * rate).withColumn("ratio", ratio).where(F.col("ratio") > bar).orderBy(F.desc("ratio"), "word").limit(most)
+    best = found.where(a >= n * (1 + rate) / 2).withColumn("ratio", ratio).where(F.col("ratio") > bar).orderBy(F.desc("ratio"), "word").limit(most)
     return sorted(r["word"] for r in best.select("word").collect())
 
 
