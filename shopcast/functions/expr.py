@@ -12,6 +12,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shopcast.session import materialize
+
 
 def guarded_ratio(num: Column | str, den: Column | str) -> Column:
     """``num / den`` when ``den > 0`` else 0.0 (no ANSI divide-by-zero)."""
@@ -19,31 +21,15 @@ def guarded_ratio(num: Column | str, den: Column | str) -> Column:
     return F.when(den > 0, F.try_divide(num, den)).otherwise(F.lit(0.0))
 
 
-def clamp(c: Column | str, lo: float | None = None, hi: float | None = None) -> Column:
-    c = _c(c)
-    if lo is not None:
-        c = F.greatest(c, F.lit(float(lo)))
-    if hi is not None:
-        c = F.least(c, F.lit(float(hi)))
-    return c
-
-
-def minmax(df: DataFrame, cols: Iterable[str], by: list[str] | None = None,
-           suffix: str = "", scale: float = 1.0) -> DataFrame:
+def minmax(df: DataFrame, cols: Iterable[str], suffix: str = "", scale: float = 1.0) -> DataFrame:
     """Min-max scale ``cols`` to [0, scale]; a constant column scales to 0.
 
-    Without ``by`` the statistics come from one global aggregate used as
-    scalar subqueries (Catalyst merges them into a single pass); with ``by``
-    they are a window per key.
+    The statistics are one global aggregate used as scalar subqueries, which
+    Catalyst merges into a single pass.
     """
     cols = list(cols)
-    if by:
-        w = Window.partitionBy(*by)
-        lo = {c: F.min(c).over(w) for c in cols}
-        hi = {c: F.max(c).over(w) for c in cols}
-    else:
-        lo = {c: df.agg(F.min(c)).scalar() for c in cols}
-        hi = {c: df.agg(F.max(c)).scalar() for c in cols}
+    lo = {c: df.agg(F.min(c)).scalar() for c in cols}
+    hi = {c: df.agg(F.max(c)).scalar() for c in cols}
     out = df
     for c in cols:
         scaled = F.when(hi[c] > lo[c], (F.col(c) - lo[c]) / (hi[c] - lo[c])).otherwise(F.lit(0.0))
@@ -51,22 +37,6 @@ def minmax(df: DataFrame, cols: Iterable[str], by: list[str] | None = None,
     return out
 
 
-def zscore(df: DataFrame, cols: Iterable[str], by: list[str] | None = None, suffix: str = "") -> DataFrame:
-    """Standardize with the population std; a constant column becomes 0."""
-    cols = list(cols)
-    if by:
-        w = Window.partitionBy(*by)
-        mu = {c: F.avg(c).over(w) for c in cols}
-        sd = {c: F.stddev_pop(c).over(w) for c in cols}
-    else:
-        mu = {c: df.agg(F.avg(c)).scalar() for c in cols}
-        sd = {c: df.agg(F.stddev_pop(c)).scalar() for c in cols}
-    out = df
-    for c in cols:
-        out = out.withColumn(c + suffix, F.when(sd[c] > 0, (F.col(c) - mu[c]) / sd[c]).otherwise(F.lit(0.0)))
-    return out
-
-
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, rank_col: str | None = None) -> DataFrame:
     """Top ``n`` rows per ``by`` group (row_number, planned as WindowGroupLimit).
 
@@ -81,40 +51,23 @@ def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, rank_col: s
     return out.drop("__rn")
 
 
-def cosine_arrays(a: Column | str, b: Column | str) -> Column:
-    """Cosine of two equal-length numeric arrays; 0 when either has zero norm."""
-    a, b = _c(a), _c(b)
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-    na = F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v * v)
-    nb = F.aggregate(b, F.lit(0.0), lambda acc, v: acc + v * v)
-    return F.when((na > 0) & (nb > 0), dot / F.sqrt(na * nb)).otherwise(F.lit(0.0))
-
-
-def cosine_columns(a: list[str], b: list[str]) -> Column:
-    """Cosine between two vectors stored as parallel double columns."""
-    dot = sum((F.col(x) * F.col(y) for x, y in zip(a, b)), F.lit(0.0))
-    na = sum((F.col(x) * F.col(x) for x in a), F.lit(0.0))
-    nb = sum((F.col(y) * F.col(y) for y in b), F.lit(0.0))
-    return F.when((na > 0) & (nb > 0), dot / F.sqrt(na * nb)).otherwise(F.lit(0.0))
-
-
 def global_rank(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
     """Dense 1-based position of every row in ``order`` without a one-task window.
 
-    The rows are range-partitioned and sorted by ``order``; each partition
-    numbers its rows, and a tiny table of per-partition counts (one row per
-    partition) gives each partition its offset.
+    The rows are range-partitioned and sorted by ``order``, and each gets its
+    place within its partition. That frame is written once: partition numbers
+    depend on sampled bounds, so every later use reads the written copy. The
+    offsets are a table with one row per partition.
     """
-    part = "__part"
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id())
-    local = ranged.withColumn("__local", F.row_number().over(Window.partitionBy(part).orderBy(*order)))
-    counts = local.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.withColumn(
-        "__off", F.coalesce(F.sum("__n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).select(part, "__off")
-    return (local.join(F.broadcast(offsets), part)
-            .withColumn(name, (F.col("__off") + F.col("__local")).cast("long"))
-            .drop(part, "__local", "__off"))
+    at, part = "__at", "__part"
+    rows = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    rows = rows.withColumn(part, F.shiftright(at, 33))
+    counts = rows.groupBy(part).agg(F.count(F.lit(1)).alias("__n"), F.min(at).alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col(part).alias("__p"), (before - F.col("__first") + 1).alias("__off"))
+    return (rows.join(F.broadcast(offsets), F.col(part) == F.col("__p"))
+            .withColumn(name, (F.col(at) + F.col("__off")).cast("long"))
+            .drop(at, part, "__p", "__off"))
 
 
 def _c(c: Column | str) -> Column:

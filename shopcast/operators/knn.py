@@ -1,23 +1,8 @@
 """Exact k-nearest neighbours by cosine similarity.
 
-Two exact plans: ``blocked_topk`` (bounded block pairs, one matrix product
-per task) and ``pruned_topk``, described here:
-
-Items and queries are vectors (``array<double>``). Every non-zero vector gets
-its angle ``phi`` to one pivot direction (the mean unit vector). For any two
-vectors the angle between them is at least ``|phi(q) − phi(x)|`` (triangle
-inequality on the sphere), so:
-
-1. items are numbered by ``phi``;
-2. each query scores the ``2k`` items next to it in that order (seeds); the
-   k-th best seed angle ``R(q)`` bounds its true k-th neighbour angle;
-3. only items with ``phi`` in ``[phi(q) − R, phi(q) + R]`` can beat it —
-   a contiguous position range, produced by ``explode(sequence(lo, hi))``
-   and an equi-join on the position.
-
-Zero vectors have similarity 0 with everything (as cosine distance 1 does in
-the usual libraries): a zero query takes the ``k`` smallest item ids, and
-the ``k`` smallest zero items are added as candidates to every query.
+Queries meet items in bounded blocks, one matrix product per task. Zero
+vectors have similarity 0 with everything (as cosine distance 1 does in the
+usual libraries), so a zero query takes the ``k`` smallest item ids.
 
 All rankings are ``similarity desc, id asc`` on the similarity rounded to
 ``ROUND`` decimals, so last-bit noise cannot reorder near-ties.
@@ -32,11 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopcast.functions.expr import global_rank, top_n
-from shopcast.session import materialize
+from shopcast.functions.expr import top_n
 
 ROUND = 9
-_SLACK = 1e-6
 
 
 def _dot(a: Column, b: Column, d: int) -> Column:
@@ -63,29 +46,12 @@ def as_vectors(df: DataFrame, key: str, cols: list[str] | None = None, array_col
 
 
 def cosine_topk(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool = True,
-                method: str = "blocked", **kw) -> DataFrame:
+                block: int = 2048) -> DataFrame:
     """Top ``k`` items per query by cosine similarity.
 
     ``queries`` and ``items``: ``id, vec``. Output ``query_id, item_id,
-    similarity`` (similarity rounded to ``ROUND`` decimals). With
-    ``exclude_self`` an item never matches the query with the same id.
-
-    ``method="blocked"`` scores bounded blocks of queries against bounded
-    blocks of items with one matrix product per task (:func:`blocked_topk`);
-    ``method="pruned"`` scores only the items an angular bound lets through
-    (:func:`pruned_topk`), which wins when vectors are low-dimensional and
-    the item set is much larger than ``k``.
-    """
-    if method == "blocked":
-        return blocked_topk(queries, items, k, exclude_self, **kw)
-    if method == "pruned":
-        return pruned_topk(queries, items, k, exclude_self, **kw)
-    raise ValueError(f"unknown k-NN method {method!r}")
-
-
-def blocked_topk(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool = True,
-                 block: int = 2048) -> DataFrame:
-    """Exact top-k by blocks: ``(query block, item block)`` cogroups.
+    similarity`` (rounded to ``ROUND`` decimals). With ``exclude_self`` an item
+    never matches the query with the same id.
 
     Queries and items are hashed into blocks of about ``block`` vectors;
     every query block meets every item block in one cogroup task, which
@@ -119,8 +85,12 @@ def blocked_topk(queries: DataFrame, items: DataFrame, k: int, exclude_self: boo
         if exclude_self:
             sim = np.where(qid[:, None] == iid[None, :], -np.inf, sim)
         take = min(k, sim.shape[1])
-        # order by similarity desc, then item id asc
-        order = np.lexsort((np.broadcast_to(iid, sim.shape), -sim), axis=1)[:, :take]
+        # Only items that reach the k-th similarity are ordered: by similarity
+        # desc, then item id asc (columns stand in id order, the sort is stable).
+        by_id = np.argsort(iid, kind="stable")
+        sim, iid = sim[:, by_id], iid[by_id]
+        bar = np.partition(sim, sim.shape[1] - take, axis=1)[:, sim.shape[1] - take]
+        order = np.stack([(c := np.flatnonzero(row >= b))[np.argsort(-row[c], kind="stable")[:take]] for row, b in zip(sim, bar, strict=True)])
         rows_q = np.repeat(qid, take)
         rows_i = iid[order].ravel()
         rows_s = np.take_along_axis(sim, order, axis=1).ravel()
@@ -128,120 +98,11 @@ def blocked_topk(queries: DataFrame, items: DataFrame, k: int, exclude_self: boo
         return pd.DataFrame({"query_id": rows_q[keep], "item_id": rows_i[keep], "similarity": rows_s[keep]})
 
     partial = (q.groupBy("__qb", "__ib").cogroup(it.groupBy("__qb", "__ib"))
-               .applyInPandas(lambda a, b: score(a, b), "query_id long, item_id long, similarity double"))
+               .applyInPandas(lambda a, b: score(a, b), f"query_id {queries.schema['id'].dataType.simpleString()}, "
+                              f"item_id {items.schema['id'].dataType.simpleString()}, similarity double"))
     return top_n(partial, ["query_id"], [F.col("similarity").desc(), F.col("item_id")], k)
 
 
-def pruned_topk(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool = True,
-                seeds: int | None = None) -> DataFrame:
-    """Top ``k`` by cosine, scoring only the items inside each query's angular window."""
-    seeds = seeds or 2 * k
-    first = items.select(F.size("vec").alias("d")).limit(1).collect()
-    d = int(first[0]["d"]) if first else 0
-    n2 = _dot(F.col("vec"), F.col("vec"), d)
-    items = items.withColumn("__n2", n2)
-    queries = queries.withColumn("__n2", n2)
-    nonzero = items.where(F.col("__n2") > 0)
-
-    # Pivot = mean of the unit vectors (one small aggregate; d numbers to the driver).
-    pivot = [0.0] * d
-    if d:
-        means = nonzero.agg(*[F.avg(F.col("vec")[i] / F.sqrt(F.col("__n2"))).alias(f"m{i}") for i in range(d)]).first()
-        pivot = [float(means[f"m{i}"] or 0.0) for i in range(d)]
-    norm = math.sqrt(sum(v * v for v in pivot))
-    pivot = [v / norm for v in pivot] if norm > 0 else [1.0] + [0.0] * max(d - 1, 0)
-    piv = F.array(*[F.lit(v) for v in pivot])
-
-    def angle(vec: str, n2: str) -> Column:
-        return F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), _dot(F.col(vec), piv, d) / F.sqrt(F.col(n2)))))
-
-    phi = angle("vec", "__n2")
-    # The numbered items feed five joins below: write them once to the
-    # checkpoint directory, which also keeps the later plans short.
-    ranked = materialize(global_rank(nonzero.select("id", "vec", phi.alias("__phi")), [F.col("__phi"), F.col("id")],
-                         "__pos"))
-    n_items = ranked.count()
-
-    q = queries.select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"), F.col("__n2").alias("__qn2"))
-    q_nz = q.where(F.col("__qn2") > 0)
-    q_phi = angle("qvec", "__qn2")
-    # position of each query in the phi order = number of items with smaller-or-equal phi
-    q_nz = q_nz.withColumn("__qphi", q_phi)
-    anchor = _positions(ranked.select("__phi"), q_nz.select("query_id", F.col("__qphi").alias("__v")),
-                        inclusive=True).withColumnRenamed("__cnt", "__anchor")
-    q_nz = materialize(q_nz.join(anchor, "query_id"))
-
-    # Seeds: the items around the query's place in the phi order.
-    half = max(1, (seeds + 1) // 2) + (1 if exclude_self else 0)
-    seed = (q_nz.withColumn("__pos", F.explode(F.sequence(F.greatest(F.col("__anchor") - half + 1, F.lit(1)),
-                                                           F.least(F.col("__anchor") + half, F.lit(max(n_items, 1))))))
-            .join(ranked.select("__pos", F.col("id").alias("item_id"), F.col("vec").alias("ivec")), "__pos"))
-    if exclude_self:
-        seed = seed.where(F.col("item_id") != F.col("query_id"))
-    seed = seed.withColumn("__sim", cosine(F.col("qvec"), F.col("ivec"), d))
-    kth = (top_n(seed, ["query_id"], [F.col("__sim").desc(), F.col("item_id")], k, rank_col="__r")
-           .groupBy("query_id").agg(F.min("__sim").alias("__kth"), F.count(F.lit(1)).alias("__got")))
-    # Items that can tie the k-th rounded similarity have a raw similarity of at
-    # least kth - 1e-9; the angle slack covers acos rounding near +-1.
-    kth_floor = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("__kth") - F.lit(2e-9)))
-    radius = F.when(F.col("__got") >= k, F.acos(kth_floor)).otherwise(F.lit(math.pi)) + F.lit(_SLACK)
-    bounds = materialize(q_nz.join(kth, "query_id", "left").withColumn("__got", F.coalesce("__got", F.lit(0)))
-              .select("query_id", "qvec", (F.col("__qphi") - radius).alias("__lo_v"),
-                      (F.col("__qphi") + radius).alias("__hi_v")))
-    lo = _positions(ranked.select("__phi"), bounds.select("query_id", F.col("__lo_v").alias("__v")), inclusive=False) \
-        .select("query_id", (F.col("__cnt") + 1).alias("__lo"))
-    hi = _positions(ranked.select("__phi"), bounds.select("query_id", F.col("__hi_v").alias("__v")), inclusive=True) \
-        .select("query_id", F.col("__cnt").alias("__hi"))
-    spans = materialize(bounds.join(lo, "query_id").join(hi, "query_id"))
-    window = (spans
-              .where(F.col("__hi") >= F.col("__lo"))
-              .withColumn("__pos", F.explode(F.sequence("__lo", "__hi")))
-              .join(ranked.select("__pos", F.col("id").alias("item_id"), F.col("vec").alias("ivec")), "__pos")
-              .select("query_id", "item_id", cosine(F.col("qvec"), F.col("ivec"), d).alias("similarity")))
-
-    # Zero items (similarity 0 with everything): the k (+1) smallest ids are enough.
-    extra = k + (1 if exclude_self else 0)
-    zero_items = items.where(~(F.col("__n2") > 0)).select(F.col("id").alias("item_id"))
-    zero_cands = _first_ids(q.select("query_id"), zero_items, extra)
-    # Zero queries: similarity 0 with every item, so the smallest ids win.
-    zero_q = _first_ids(q.where(~(F.col("__qn2") > 0)).select("query_id"),
-                        items.select(F.col("id").alias("item_id")), extra)
-
-    cands = window.unionByName(zero_cands).unionByName(zero_q)
-    if exclude_self:
-        cands = cands.where(F.col("item_id") != F.col("query_id"))
-    cands = cands.withColumn("similarity", F.round("similarity", ROUND)).distinct()
-    return top_n(cands, ["query_id"], [F.col("similarity").desc(), F.col("item_id")], k)
-
-
-def _first_ids(queries: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """Every query paired with the ``n`` smallest ids (similarity 0), via an equi-join on rank."""
-    first = top_n(ids, [], [F.col("item_id")], n)
-    numbered = first.withColumn("__k", F.row_number().over(Window.orderBy("item_id")))  # <= n rows
-    return (queries.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(n))))
-            .join(F.broadcast(numbered), "__k")
-            .select("query_id", "item_id", F.lit(0.0).alias("similarity")))
-
-
-def _positions(ordered: DataFrame, probes: DataFrame, inclusive: bool) -> DataFrame:
-    """For each probe value ``__v``: how many ``__phi`` values are < it (or <= with ``inclusive``).
-
-    Merges probes into the item order with one distributed sort; a probe's
-    position minus the number of probes before it is its item count.
-    """
-    # tag orders probes against equal item values: before them (strict) or after them (inclusive)
-    ptag = 2 if inclusive else 0
-    merged = (ordered.select(F.col("__phi").alias("__v"), F.lit(1).alias("__tag"),
-                             F.lit(None).cast("long").alias("query_id"))
-              .unionByName(probes.select("__v", F.lit(ptag).alias("__tag"), F.col("query_id").cast("long"))))
-    order = [F.col("__v"), F.col("__tag"), F.col("query_id")]
-    mpos = global_rank(merged, order, "__mpos").where(F.col("__tag") == ptag)
-    ppos = global_rank(probes.select("__v", F.lit(ptag).alias("__tag"), F.col("query_id").cast("long")),
-                       order, "__ppos")
-    return (mpos.join(ppos.select("query_id", "__ppos"), "query_id")
-            .select("query_id", (F.col("__mpos") - F.col("__ppos")).alias("__cnt")))
-
-
 def brute_force_topk(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
     """Reference answer for tests on small fixtures: score every (query, item) pair."""
     d = int(items.select(F.size("vec")).first()[0])

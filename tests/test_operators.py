@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import tables, ts
+from shopcast import session
+from shopcast.functions import expr
 from shopcast.functions.expr import global_rank
-from shopcast.operators import banded_topk, knn
+from shopcast.operators import banded_topk, knn, ratings
 from shopcast.plans import forecast, recommend
 
 
@@ -41,9 +43,9 @@ def test_cosine_topk_equals_brute_force(spark, dims, exclude):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vecs)], "id long, vec array<double>")
     slow = knn.brute_force_topk(df, df, 5, exclude_self=exclude)
     cols = ["query_id", "item_id", "similarity"]
-    for method, kw in (("pruned", {}), ("blocked", {"block": 40})):
-        fast = knn.cosine_topk(df, df, 5, exclude_self=exclude, method=method, **kw)
-        assert _rows(fast, cols) == _rows(slow, cols), method
+    for block in (40, 2048):
+        fast = knn.cosine_topk(df, df, 5, exclude_self=exclude, block=block)
+        assert _rows(fast, cols) == _rows(slow, cols), block
         zero = [r for r in fast.collect() if r.query_id == 5]
         assert zero and all(r.similarity == 0.0 for r in zero)
 
@@ -55,6 +57,19 @@ def test_global_rank(spark):
     assert all(r.pos == r.v + 1 for r in out)
 
 
+def test_global_rank_keeps_every_row_and_its_payload(spark):
+    """Columns outside the sort key, many partitions: no row lost, no place given twice."""
+    df = spark.range(0, 200_000, 1, 16).select(
+        F.pmod(F.xxhash64("id"), F.lit(5000)).alias("v"), "id", F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    out = global_rank(df, [F.col("v"), F.col("id")], "pos")
+    n, places, lo, hi, ids, bad = out.agg(
+        F.count(F.lit(1)), F.countDistinct("pos"), F.min("pos"), F.max("pos"), F.countDistinct("id"),
+        F.count_if(F.col("payload") != F.sha2(F.col("id").cast("string"), 256))).first()
+    assert (n, places, lo, hi, ids, bad) == (200_000, 200_000, 1, 200_000, 200_000, 0)
+    rows = [(r.v, r.id) for r in out.orderBy("pos").limit(3000).collect()]
+    assert rows == sorted(rows)
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -67,15 +82,35 @@ def _shop(spark):
         users=[(1, "a@x"), (2, "b@x")])
 
 
-def test_plans_have_no_cartesian_product(spark):
+def test_plans_have_no_cartesian_product(spark, monkeypatch):
     t = _shop(spark)
     users = spark.createDataFrame([(1,), (2,)], "user_id long")
+    seen = []
+    written = session.materialize
+
+    def spy(df):
+        seen.append(_plan(df))
+        return written(df)
+
+    for module in (recommend, banded_topk, ratings, expr):
+        monkeypatch.setattr(module, "materialize", spy)
     for df in (recommend.similar_users(t, users), recommend.personalized(t, users),
-               recommend.collaborative(t, users), recommend.popular_products(t)):
-        plan = _plan(df)
+               recommend.collaborative(t, users), recommend.popular_products(t), ratings.cross_validate(ratings.ratings(t))):
+        seen.append(_plan(df))
+    assert len(seen) > 15  # the written parts as well as what follows them
+    for plan in seen:
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_trending_drops_old_lines_before_the_aggregate(spark):
+    """In corrected mode the filtered sale is an inner join, so no line outside the window is aggregated."""
+    t = _shop(spark)
+    corrected = _plan(recommend.trending_products(t, as_of=ts(2001, 1, 5)))
+    assert "LeftOuter" in _plan(recommend.trending_products(t, as_of=ts(2001, 1, 5), semantics="reference"))
+    join = [line for line in corrected.splitlines() if "sale_id" in line and "Join" in line]
+    assert join and all("Inner" in line for line in join)
+
+
 def test_per_user_top_n_uses_window_group_limit(spark):
     t = _shop(spark)
     users = spark.createDataFrame([(1,), (2,)], "user_id long")
