@@ -1,20 +1,22 @@
-"""k-means tiers with Spark ML, labelled by the mean score of each cluster.
+"""k-means as Spark aggregates, clusters labelled by their mean score.
 
-Cluster ids from k-means are arbitrary; the jobs order clusters by the mean
-of a score column so that label 0 / "Low" is always the weakest cluster.
-The fitted centres are k rows (k fixed by the caller), so the label table is
-broadcast.
+Deterministic: the first centres are the rows whose feature sum is nearest to
+``k`` evenly spaced values between the smallest and the largest sum. A Lloyd step
+is one aggregate over the rows, with the k centres as literals; steps go on
+until the centres, rounded to ``ROUND`` decimals, stay (or come back). Cluster ids
+are arbitrary, so the jobs order clusters by the mean of a score column: label 0 /
+"Low" is always the weakest cluster.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_K = 3
-DEFAULT_SEED = 42
+ROUND = 9
 
 
 def require_distinct_rows(df: DataFrame, cols: list[str], k: int) -> None:
@@ -24,27 +26,54 @@ def require_distinct_rows(df: DataFrame, cols: list[str], k: int) -> None:
         raise ValueError(f"k-means with k={k} needs at least {k} distinct feature rows, got {n}")
 
 
-def fit_kmeans(df: DataFrame, cols: list[str], k: int = DEFAULT_K, seed: int = DEFAULT_SEED,
-               max_iter: int = 50) -> KMeansModel:
+@dataclass
+class KMeans:
+    cols: list[str]
+    centres: list[list[float]]
+
+    def nearest(self) -> Column:
+        """Number of the nearest centre, the first of equally near ones."""
+        d = [sum(((F.col(c) - F.lit(x)) * (F.col(c) - F.lit(x)) for c, x in zip(self.cols, xs, strict=True)), F.lit(0.0))
+             for xs in self.centres]
+        return (F.array_position(F.array(*d), F.array_min(F.array(*d))) - 1).cast("int")
+
+
+def _first_centres(df: DataFrame, cols: list[str], k: int) -> list[list[float]]:
+    total = F.round(sum((F.col(c) for c in cols), F.lit(0.0)), ROUND)
+    lo, hi = df.agg(F.min(total), F.max(total)).first()
+    row = F.struct(*[F.col(c).cast("double").alias(c) for c in cols])
+    chosen: list = []
+    for j in range(k):
+        want = lo + (hi - lo) * j / max(1, k - 1)
+        rest = df if not chosen else df.where(~row.isin(*[F.struct(*map(F.lit, c)) for c in chosen]))
+        chosen.append(list(rest.agg(F.min(F.struct(F.round(F.abs(total - F.lit(want)), ROUND).alias("d"), row.alias("r")))).first()[0]["r"]))
+    return chosen
+
+
+def fit_kmeans(df: DataFrame, cols: list[str], k: int = DEFAULT_K) -> KMeans:
+    """Centres of ``k`` clusters of the rows of ``df``, which is read once per step: pass a written frame."""
     require_distinct_rows(df, cols, k)
-    vec = VectorAssembler(inputCols=cols, outputCol="__features").transform(df.select(*cols))
-    km = KMeans(k=k, seed=seed, featuresCol="__features", predictionCol="__cluster", maxIter=max_iter,
-                initMode="k-means||")
-    return km.fit(vec)
+    model, seen = KMeans(list(cols), _first_centres(df, cols, k)), set()
+    while (state := tuple(map(tuple, model.centres))) not in seen:
+        seen.add(state)
+        means = df.groupBy(model.nearest().alias("c")).agg(*[F.round(F.avg(c), ROUND).alias(c) for c in cols]).collect()
+        at = {r["c"]: [r[c] for c in cols] for r in means}
+        model = KMeans(model.cols, [at.get(i, x) for i, x in enumerate(model.centres)])
+    return model
 
 
-def assign(model: KMeansModel, df: DataFrame, cols: list[str], out: str = "cluster") -> DataFrame:
-    vec = VectorAssembler(inputCols=cols, outputCol="__features").transform(df)
-    return model.transform(vec).drop("__features").withColumnRenamed("__cluster", out)
+def assign(model: KMeans, df: DataFrame, cols: list[str], out: str = "cluster") -> DataFrame:
+    return df.withColumn(out, KMeans(list(cols), model.centres).nearest())
 
 
 def rank_clusters(df: DataFrame, cluster: str, score: str, labels: list[str] | None = None,
                   out: str | None = None) -> DataFrame:
     """Replace arbitrary cluster ids by their rank of mean ``score`` (0 = lowest).
 
-    With ``labels`` the rank is mapped to a label (e.g. Low / Medium / High).
+    With ``labels`` the rank is mapped to a label (e.g. Low / Medium / High). The
+    label table has a row per cluster and is broadcast.
     """
-    means = df.groupBy(cluster).agg(F.avg(score).alias("__mean"))
+    means = df.groupBy(cluster).agg(F.round(F.avg(score), ROUND).alias("__mean"))
     ranks = means.withColumn("__rank", (F.row_number().over(Window.orderBy("__mean", cluster)) - 1).cast("int"))
     if labels:
         mapping = F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(i), F.lit(lab))])

@@ -1,36 +1,45 @@
 """Isolation forest (Liu, Ting & Zhou, 2008) as a Spark job.
 
-1. Sample: every (row, tree) pair gets a hash ``xxhash64(id, tree, seed)``;
-   each tree keeps the ``psi`` rows with the smallest hash. A hash pre-filter
-   (``~4·psi/n`` share per tree) keeps the exploded rows near ``4·T·psi``
-   however large the input is.
+1. Sample: each tree takes the ``psi`` rows of smallest hash (row id, tree). A task
+   keeps the ``psi`` smallest per tree of the rows it reads, and a window merges
+   what the tasks kept: at most ``trees * psi`` rows per task are shuffled.
 2. Build: ``groupBy(tree).applyInPandas`` grows one tree from at most
-   ``psi`` rows (bounded memory per task).
-3. Score: the forest has at most ``T·(2·psi − 1)`` nodes — a size fixed by
-   the parameters — and is broadcast; ``mapInPandas`` scores Arrow batches
-   with vectorized NumPy traversal.
-4. Threshold: the ``1 − contamination`` quantile of the training scores;
-   rows scoring above it are anomalies. Exact ``percentile`` up to
-   ``EXACT_QUANTILE_ROWS`` rows, ``percentile_approx`` beyond.
+   ``psi`` rows. Features and split places come from hashes of (node, tree).
+3. Score: the forest has at most ``trees * (2 psi - 1)`` nodes — a size fixed by
+   the parameters — and is broadcast; a pandas UDF over the feature columns
+   walks the trees, all other columns stay in the JVM. Scores are rounded to
+   ``ROUND`` decimals.
+4. Threshold: the ``1 - contamination`` quantile of the training scores, exact
+   (rounded scores have at most 10**ROUND distinct values); rows above it
+   are anomalies.
+
+The hash is integer arithmetic below 2**63, so SQL can repeat it.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shopcast.functions.expr import top_n
 
-EXACT_QUANTILE_ROWS = 1_000_000
+ROUND = 6
+PRIME = 2**31 - 1
 _EULER = 0.5772156649015329
-NODE_SCHEMA = ("tree int, node int, feature int, split double, left int, right int, "
-               "size long, depth int")
+NODE_SCHEMA = "tree int, node long, feature int, split double, size long, depth int"
+
+
+def mixed(x, salt):
+    """Hash of whole numbers (arrays or ints) with a salt, below ``PRIME``."""
+    h = (x % PRIME + 1) * ((salt * 7919 + 104_729) % PRIME) % PRIME
+    h = (h ^ (h >> 15)) * 48_271 % PRIME
+    return (h ^ (h >> 13)) * 69_621 % PRIME
 
 
 def avg_path(n: float) -> float:
@@ -50,120 +59,111 @@ class Forest:
     threshold: float | None = None
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple]:
-    """Grow one isolation tree; returns (node, feature, split, left, right, size, depth) rows."""
+def _grow(x: np.ndarray, tree: int, max_depth: int) -> list[tuple]:
+    """Grow one isolation tree; rows (node, feature, split, size, depth). A node's children are 2 * node and 2 * node + 1."""
     rows: list[tuple] = []
-    stack = [(np.arange(len(x)), 0, 0)]
-    next_id = 1
+    stack = [(np.arange(len(x)), 1, 0)]
     while stack:
         idx, node, depth = stack.pop()
         sub = x[idx]
-        if depth >= max_depth or len(idx) <= 1:
-            rows.append((node, -1, 0.0, -1, -1, len(idx), depth))
-            continue
         lo, hi = sub.min(axis=0), sub.max(axis=0)
         usable = np.flatnonzero(hi > lo)
-        if usable.size == 0:
-            rows.append((node, -1, 0.0, -1, -1, len(idx), depth))
+        if depth >= max_depth or len(idx) <= 1 or usable.size == 0:
+            rows.append((node, -1, 0.0, len(idx), depth))
             continue
-        f = int(rng.choice(usable))
-        split = float(rng.uniform(lo[f], hi[f]))
-        go_left = sub[:, f] < split
-        left, right = next_id, next_id + 1
-        next_id += 2
-        rows.append((node, f, split, left, right, len(idx), depth))
-        stack.append((idx[go_left], left, depth + 1))
-        stack.append((idx[~go_left], right, depth + 1))
+        f = int(usable[mixed(node, tree + 1000) % len(usable)])
+        split = float(lo[f] + (hi[f] - lo[f]) * ((mixed(node, tree + 2000) % 1_048_576 + 0.5) / 1_048_576.0))
+        left = sub[:, f] < split
+        rows.append((node, f, split, len(idx), depth))
+        stack += [(part, 2 * node + right, depth + 1) for right, part in enumerate((idx[left], idx[~left])) if len(part)]
     return rows
 
 
+def _smallest(trees: int, psi: int):
+    """Of a task's rows, the ``psi`` of smallest hash per tree."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[pd.DataFrame | None] = [None] * trees
+        for rows in batches:
+            ids = rows["__id"].to_numpy(np.int64)
+            for t in range(trees):
+                h = mixed(ids, t)
+                near = rows.iloc[np.argpartition(h, psi - 1)[:psi]] if len(h) > psi else rows
+                near = near.assign(tree=t, __h=mixed(near["__id"].to_numpy(np.int64), t))
+                both = near if kept[t] is None else pd.concat([kept[t], near])
+                kept[t] = both.sort_values(["__h", "__id"]).head(psi)
+        yield from (k for k in kept if k is not None)
+
+    return run
+
+
 def fit(df: DataFrame, cols: list[str], id_col: str, trees: int = 100, psi: int = 256,
-        contamination: float = 0.05, seed: int = 42) -> Forest:
-    """Fit a forest on ``cols`` of ``df`` (``id_col`` must identify rows)."""
+        contamination: float = 0.05) -> Forest:
+    """Fit a forest on ``cols`` of ``df`` (``id_col``, a whole number, must identify rows)."""
     n = df.count()
     if n == 0:
         raise ValueError("isolation forest needs at least one row")
     psi = int(min(psi, n))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    keep = min(1.0, 4.0 * psi / n)
-    h = lambda t: F.xxhash64(F.col(id_col), t, F.lit(seed))
-    share = lambda t: F.pmod(h(t), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
-    tree_ids = F.sequence(F.lit(0), F.lit(trees - 1))
-    if keep < 1.0:
-        tree_ids = F.filter(tree_ids, lambda t: share(t) < F.lit(keep))
-    exploded = (df.select(id_col, *[F.col(c).cast("double").alias(c) for c in cols])
-                .withColumn("tree", F.explode(tree_ids))
-                .withColumn("__h", h(F.col("tree"))))
-    sample = top_n(exploded, ["tree"], [F.col("__h"), F.col(id_col)], psi).drop("__h")
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), *[F.col(c).cast("double").alias(c) for c in cols])
+    near = rows.mapInPandas(_smallest(trees, psi), ", ".join(["__id long", *[f"`{c}` double" for c in cols], "tree int", "__h long"]))
+    sample = top_n(near, ["tree"], [F.col("__h"), F.col("__id")], psi)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        rng = np.random.default_rng([seed, tree])
-        rows = _grow(pdf[cols].to_numpy(dtype=float), rng, max_depth)
-        out = pd.DataFrame(rows, columns=["node", "feature", "split", "left", "right", "size", "depth"])
+        out = pd.DataFrame(_grow(pdf[cols].to_numpy(dtype=float), tree, max_depth), columns=["node", "feature", "split", "size", "depth"])
         out.insert(0, "tree", tree)
         return out
 
     nodes = sample.groupBy("tree").applyInPandas(build, NODE_SCHEMA).toPandas()
     forest = Forest(nodes=nodes, cols=list(cols), psi=psi)
-    scored = score(df, forest)
-    q = 1.0 - contamination
-    agg = F.percentile("anomaly_score", q) if n <= EXACT_QUANTILE_ROWS else F.percentile_approx(
-        "anomaly_score", q, 100_000)
-    forest.threshold = float(scored.agg(agg).first()[0])
+    forest.threshold = float(score(df, forest).agg(F.percentile("anomaly_score", 1.0 - contamination)).first()[0])
     return forest
 
 
-def _path_lengths(x: np.ndarray, nodes: pd.DataFrame) -> np.ndarray:
-    """Mean adjusted path length of every row of ``x`` over all trees."""
-    total = np.zeros(len(x))
-    n_trees = 0
-    for _, t in nodes.groupby("tree"):
-        t = t.sort_values("node")
-        size = int(t["node"].max()) + 1
-        feature = np.full(size, -1)
-        split = np.zeros(size)
-        left = np.full(size, -1)
-        right = np.full(size, -1)
-        leaf_n = np.zeros(size)
-        depth = np.zeros(size)
-        ids = t["node"].to_numpy()
-        feature[ids] = t["feature"].to_numpy()
-        split[ids] = t["split"].to_numpy()
-        left[ids] = t["left"].to_numpy()
-        right[ids] = t["right"].to_numpy()
-        leaf_n[ids] = t["size"].to_numpy()
-        depth[ids] = t["depth"].to_numpy()
-        cur = np.zeros(len(x), dtype=int)
-        active = feature[cur] >= 0
-        while active.any():
-            rows = np.flatnonzero(active)
-            f = feature[cur[rows]]
-            goes_left = x[rows, f] < split[cur[rows]]
-            cur[rows] = np.where(goes_left, left[cur[rows]], right[cur[rows]])
-            active = feature[cur] >= 0
-        adj = np.array([avg_path(v) for v in leaf_n])
-        total += depth[cur] + adj[cur]
-        n_trees += 1
-    return total / max(n_trees, 1)
+class Walker:
+    """The forest's nodes as arrays, children by position."""
+
+    def __init__(self, nodes: pd.DataFrame):
+        self.trees = []
+        for _, t in nodes.groupby("tree"):
+            t = t.sort_values("node")
+            ids = t["node"].to_numpy()
+            place = {n: i for i, n in enumerate(ids.tolist())}
+            child = np.array([[place.get(2 * n, 0), place.get(2 * n + 1, 0)] for n in ids.tolist()])
+            leaf = np.array([d + avg_path(s) for d, s in zip(t["depth"], t["size"], strict=True)])
+            self.trees.append((t["feature"].to_numpy(), t["split"].to_numpy(), child, leaf))
+
+    def path_lengths(self, x: np.ndarray) -> np.ndarray:
+        """Mean adjusted path length of every row of ``x`` over all trees."""
+        total = np.zeros(len(x))
+        for feature, split, child, leaf in self.trees:
+            cur = np.zeros(len(x), dtype=int)
+            rows = np.flatnonzero(feature[cur] >= 0)
+            while rows.size:
+                at = cur[rows]
+                cur[rows] = child[at, (x[rows, feature[at]] >= split[at]).astype(int)]
+                rows = rows[feature[cur[rows]] >= 0]
+            total += leaf[cur]
+        return total / max(len(self.trees), 1)
 
 
 def score(df: DataFrame, forest: Forest) -> DataFrame:
     """``df`` + ``anomaly_score`` in (0, 1]; higher is more anomalous."""
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(forest.nodes)
-    cols, c_psi = forest.cols, avg_path(forest.psi)
-    schema = T.StructType(list(df.schema.fields) + [T.StructField("anomaly_score", T.DoubleType())])
-
-    def run(batches):
-        nodes = bc.value
-        for pdf in batches:
-            x = pdf[cols].to_numpy(dtype=float)
-            h = _path_lengths(x, nodes) if len(pdf) else np.zeros(0)
-            s = np.power(2.0, -h / c_psi) if c_psi > 0 else np.ones(len(pdf))
-            yield pdf.assign(anomaly_score=s)
-
-    return df.mapInPandas(run, schema)
+    bc = df.sparkSession.sparkContext.broadcast(forest.nodes)
+    c_psi = avg_path(forest.psi)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        walker = Walker(bc.value)  # once per task
+        for x in batches:
+            h = walker.path_lengths(x.to_numpy(dtype=float))
+            yield pd.Series(np.power(2.0, -h / c_psi) if c_psi > 0 else np.ones(len(x)))
+
+    # pandas_udf reads the kind of function from the hints, as objects.
+    run.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.Series]}
+    udf = F.pandas_udf(run, "double")
+    features = F.struct(*[F.col(c).cast("double").alias(c) for c in forest.cols])
+    return df.withColumn("anomaly_score", F.round(udf(features), ROUND))
 
 
 def flag(df: DataFrame, forest: Forest, out: str = "is_anomaly") -> DataFrame:

@@ -10,16 +10,15 @@ that same space for fitting and prediction.
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopcast.functions.expr import guarded_ratio, minmax
 from shopcast.operators import clustering, iforest
+from shopcast.session import exists, materialize
+from shopcast.sources.tables import require_columns, require_rows
 
 METRICS = ["completed_tasks", "total_tasks", "avg_task_hours"]
 FEATURES = ["completed_tasks", "total_tasks", "avg_task_hours", "completion_rate"]
@@ -49,60 +48,62 @@ def employee_scores(df: DataFrame) -> DataFrame:
 class EmployeeModel:
     mean: dict[str, float]
     std: dict[str, float]
-    kmeans: KMeansModel
-    forest: iforest.Forest
+    kmeans: clustering.KMeans | None = None
+    forest: iforest.Forest | None = None
 
     def standardize(self, df: DataFrame) -> DataFrame:
+        """``z_*`` columns, rounded so that the last bit of a mean doesn't decide a split."""
         out = df
         for c in FEATURES:
             mu, sd = self.mean[c], self.std[c]
-            z = (F.col(c) - F.lit(mu)) / F.lit(sd) if sd > 0 else F.lit(0.0)
+            z = F.round((F.col(c) - F.lit(mu)) / F.lit(sd), clustering.ROUND) if sd > 0 else F.lit(0.0)
             out = out.withColumn(f"z_{c}", z)
         return out
 
-    def save(self, path: str) -> None:
-        os.makedirs(path, exist_ok=True)
-        self.kmeans.write().overwrite().save(f"{path}/kmeans")
-        spark = SparkSession.getActiveSession()
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Two tables under ``path``: the forest's nodes, and one row of JSON with the rest."""
+        meta = {"mean": self.mean, "std": self.std, "centres": self.kmeans.centres, "cols": self.forest.cols,
+                "psi": self.forest.psi, "threshold": self.forest.threshold}
         spark.createDataFrame(self.forest.nodes).write.mode("overwrite").parquet(f"{path}/forest")
-        meta = {"mean": self.mean, "std": self.std, "cols": self.forest.cols, "psi": self.forest.psi,
-                "threshold": self.forest.threshold}
-        spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").json(f"{path}/meta")
+        spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").parquet(f"{path}/meta")
 
     @classmethod
-    def load(cls, path: str) -> "EmployeeModel":
-        spark = SparkSession.getActiveSession()
-        meta = json.loads(spark.read.json(f"{path}/meta").first()["meta"])
+    def load(cls, spark: SparkSession, path: str) -> EmployeeModel:
+        meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
         nodes = spark.read.parquet(f"{path}/forest").toPandas()
         forest = iforest.Forest(nodes=nodes, cols=meta["cols"], psi=meta["psi"], threshold=meta["threshold"])
-        return cls(meta["mean"], meta["std"], KMeansModel.load(f"{path}/kmeans"), forest)
+        return cls(meta["mean"], meta["std"], clustering.KMeans(meta["cols"], meta["centres"]), forest)
 
 
-def fit(df: DataFrame, id_col: str = "employee_id", k: int = 3, seed: int = 42,
-        contamination: float = 0.05) -> EmployeeModel:
+def fit_scaler(df: DataFrame) -> EmployeeModel:
+    """The means and standard deviations of the features."""
     f = features(df)
     stats = f.agg(*[F.avg(c).alias(f"m_{c}") for c in FEATURES],
                   *[F.stddev_pop(c).alias(f"s_{c}") for c in FEATURES]).first()
-    mean = {c: float(stats[f"m_{c}"]) for c in FEATURES}
-    std = {c: float(stats[f"s_{c}"] or 0.0) for c in FEATURES}
+    return EmployeeModel({c: float(stats[f"m_{c}"]) for c in FEATURES}, {c: float(stats[f"s_{c}"] or 0.0) for c in FEATURES})
+
+
+def fit(df: DataFrame, id_col: str = "employee_id", k: int = 3, contamination: float = 0.05,
+        parts: tuple[str, ...] = ("clusters", "anomalies")) -> EmployeeModel:
+    """Scaler and, as ``parts`` asks, the clusters and the forest."""
+    df = materialize(df)
+    model = fit_scaler(df)
     zcols = [f"z_{c}" for c in FEATURES]
-    model = EmployeeModel(mean, std, None, None)  # type: ignore[arg-type]
-    z = model.standardize(f).cache()
-    model.kmeans = clustering.fit_kmeans(z, zcols, k=k, seed=seed)
-    model.forest = iforest.fit(z.select(id_col, *zcols), zcols, id_col, contamination=contamination, seed=seed)
+    z = materialize(model.standardize(features(df)).select(id_col, *zcols))
+    if "clusters" in parts:
+        model.kmeans = clustering.fit_kmeans(z, zcols, k=k)
+    if "anomalies" in parts:
+        model.forest = iforest.fit(z, zcols, id_col, contamination=contamination)
     return model
 
 
-def load_or_fit(df: DataFrame, path: str | None, **kw) -> EmployeeModel:
-    """Load the model saved under ``path``; otherwise fit on ``df`` and save it there."""
-    if path:
-        try:
-            return EmployeeModel.load(path)
-        except Exception:  # noqa: BLE001 - any unreadable/missing model means refit
-            pass
+def load_or_fit(df: DataFrame, path: str, **kw) -> EmployeeModel:
+    """Load the model saved under ``path``; when there is none, fit on ``df`` and save it there."""
+    spark = df.sparkSession
+    if exists(spark, f"{path}/meta"):
+        return EmployeeModel.load(spark, path)
     model = fit(df, **kw)
-    if path:
-        model.save(path)
+    model.save(spark, path)
     return model
 
 
@@ -110,18 +111,18 @@ def employee_performance(df: DataFrame, model: EmployeeModel | None = None,
                          id_col: str = "employee_id") -> DataFrame:
     """Input columns + ``completion_rate, performance_cluster, is_anomaly, performance_score``.
 
-    ``performance_cluster`` is 0/1/2 ordered by the clusters' mean score.
+    ``performance_cluster`` is 0/1/2 ordered by the clusters' mean score. A model
+    fitted for one part only gives only that part's column.
     """
+    require_columns(df, [id_col, *METRICS])
+    df = materialize(df)
+    require_rows(df, "employee records")
     model = model or fit(df, id_col=id_col)
     zcols = [f"z_{c}" for c in FEATURES]
-    z = model.standardize(features(df))
-    clustered = clustering.assign(model.kmeans, z, zcols, out="__cluster")
-    flagged = iforest.flag(clustered, model.forest, out="is_anomaly").drop("anomaly_score")
-    scored = score(flagged)
-    ranked = clustering.rank_clusters(scored, "__cluster", "performance_score", out="performance_cluster")
-    return ranked.drop(*zcols)
-
-
-def records_frame(spark: SparkSession, records: list[dict]) -> DataFrame:
-    """Employee records given as a list of dicts (the reference's JSON body)."""
-    return spark.createDataFrame(pd.DataFrame.from_records(records))
+    out = score(model.standardize(features(df)))
+    if model.forest:
+        out = iforest.flag(out, model.forest, out="is_anomaly").drop("anomaly_score")
+    if model.kmeans:
+        out = clustering.assign(model.kmeans, out, zcols, out="__cluster")
+        out = clustering.rank_clusters(out, "__cluster", "performance_score", out="performance_cluster")
+    return out.drop(*zcols)

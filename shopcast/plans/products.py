@@ -3,13 +3,16 @@ scaled, a weighted 0–100 score, k-means tiers and a one-row summary."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopcast.functions.expr import minmax
 from shopcast.operators import clustering
 from shopcast.operators.spine import check_semantics
-from shopcast.sources.tables import require_columns
+from shopcast.session import exists, materialize
+from shopcast.sources.tables import require_columns, require_rows
 
 REQUIRED = ["product_id", "name", "price", "units_sold", "stock"]
 FEATURES = ["revenue", "stock_ratio", "sales_velocity"]
@@ -42,11 +45,31 @@ def product_performance(df: DataFrame) -> DataFrame:
     return scaled.withColumn("performance_score", score)
 
 
-def product_tiers(df: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
-    """``product_performance`` + ``performance_tier`` (Low / Medium / High by mean score)."""
-    scored = product_performance(df).cache()
+def save_tiers(spark: SparkSession, model: clustering.KMeans, path: str) -> None:
+    """The tier model as one row of JSON under ``path``."""
+    meta = json.dumps({"cols": model.cols, "centres": model.centres})
+    spark.createDataFrame([(meta,)], "meta string").write.mode("overwrite").parquet(path)
+
+
+def load_tiers(spark: SparkSession, path: str) -> clustering.KMeans:
+    return clustering.KMeans(**json.loads(spark.read.parquet(path).first()["meta"]))
+
+
+def product_tiers(df: DataFrame, k: int = 3, path: str | None = None) -> DataFrame:
+    """``product_performance`` + ``performance_tier`` (Low / Medium / High by mean score).
+
+    With ``path`` the tier model saved there is used, or fitted and saved when there is none.
+    """
+    spark = df.sparkSession
+    scored = materialize(product_performance(df))
+    require_rows(scored, "product records")
     cols = [c + "_scaled" for c in FEATURES]
-    model = clustering.fit_kmeans(scored, cols, k=k, seed=seed)
+    if path and exists(spark, path):
+        model = load_tiers(spark, path)
+    else:
+        model = clustering.fit_kmeans(scored, cols, k=k)
+        if path:
+            save_tiers(spark, model, path)
     out = clustering.assign(model, scored, cols, out="__cluster")
     return clustering.rank_clusters(out, "__cluster", "performance_score",
                                     labels=TIER_LABELS if k == 3 else None, out="performance_tier")

@@ -1,8 +1,11 @@
 """Forecast, product and employee scoring on literal fixtures."""
 
 import datetime as dt
+import shutil
+from decimal import Decimal
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from shopcast.functions.expr import minmax
 from shopcast.operators import clustering, iforest
@@ -147,3 +150,49 @@ def test_isolation_forest_flags_far_point(spark):
     assert 999 in flagged
     assert len(flagged) <= 0.05 * len(rows) + 1
     assert max(out, key=lambda r: r.anomaly_score).id == 999
+
+
+def test_forest_passes_other_columns_through(spark):
+    rows = [(i, float(i % 7), 9007199254740993 if i % 2 else None, Decimal("12345678901234567.89"), dt.datetime(2001, 1, 1, 0, 0, 0, 123456)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, a double, big long, money decimal(20,2), at timestamp_ntz")
+    out = iforest.flag(df, iforest.fit(df, ["a"], "id", trees=10, psi=16))
+    assert sorted(tuple(r)[:5] for r in out.select(*df.columns).collect()) == sorted(rows, key=lambda r: r[0])
+
+
+def test_forest_sample_is_that_of_smallest_hashes(spark):
+    """The same trees whatever the partitions, and as many rows per tree as asked."""
+    rows = [(i, float((i * 7919) % 1000), float(i % 13)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    one, two = (iforest.fit(d, ["a", "b"], "id", trees=5, psi=32) for d in (df.repartition(1), df.repartition(9)))
+    assert one.threshold == two.threshold
+    key = lambda f: f.nodes.sort_values(["tree", "node"]).reset_index(drop=True)
+    assert key(one).equals(key(two))
+    assert set(one.nodes[one.nodes.node == 1]["size"]) == {32}
+
+
+def test_employee_model_round_trip(spark, tmp_path):
+    rows = [(i, float(i % 9), 10.0, float(i % 4)) for i in range(80)] + [(999, 500.0, 500.0, 90.0)]
+    df = spark.createDataFrame(rows, EMP)
+    path = f"{tmp_path}/employees"
+    first = employees.employee_performance(df, employees.load_or_fit(df, path)).collect()
+    again = employees.employee_performance(df, employees.load_or_fit(df.limit(5), path)).collect()  # loaded
+    assert sorted(first) == sorted(again)
+    assert {r.employee_id for r in first if r.is_anomaly} >= {999}
+    shutil.rmtree(tmp_path / "employees/forest")
+    with pytest.raises(AnalysisException):  # a damaged model is an error, not a reason to overwrite it
+        employees.load_or_fit(df, path)
+
+
+def test_tier_model_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"p{i}", 1.0 + i % 5, float(i * i), 10.0, "x") for i in range(30)], PROD)
+    path = f"{tmp_path}/tiers"
+    first = products.product_tiers(df, path=path).collect()
+    assert sorted(products.product_tiers(df, path=path).collect()) == sorted(first)
+    assert {r.performance_tier for r in first} == {"Low", "Medium", "High"}
+
+
+def test_empty_records_are_an_error(spark):
+    with pytest.raises(ValueError):
+        employees.employee_performance(spark.createDataFrame([], EMP))
+    with pytest.raises(ValueError):
+        products.product_tiers(spark.createDataFrame([], PROD))
