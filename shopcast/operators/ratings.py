@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shopcast.functions.expr import top_n
 from shopcast.operators import spine
+from shopcast.session import materialize
 from shopcast.sources.tables import Tables
 
 IMPLICIT_RATING = 4.0
@@ -38,31 +39,58 @@ def ratings(t: Tables, implicit: float = IMPLICIT_RATING) -> DataFrame:
 NEIGHBOURS = 40
 RATING_MIN, RATING_MAX = 1.0, 5.0
 ROUND = 9
+# Items of one user that are paired in one go.
+HEAVY_USER = 2000
 
 
-def item_similarity(r: DataFrame) -> DataFrame:
+def item_similarity(r: DataFrame, of: DataFrame | None = None, heavy: int = HEAVY_USER) -> DataFrame:
     """Cosine similarity of every item pair that shares at least one rater.
 
     ``r``: ``user_id, product_id, rating`` (one row per pair). Output
     ``item_i, item_j, similarity`` for ``i != j`` (both orders), computed over
-    the common raters only: ``Σ r_i r_j / sqrt(Σ r_i² · Σ r_j²)``.
-
-    The pairs come from a self-join on the user; each user contributes
-    ``n_u²`` rows, which a partial aggregate on (i, j) folds before the
-    shuffle. AQE splits a user partition that is much larger than the rest.
+    the common raters only: ``Σ r_i r_j / sqrt(Σ r_i² · Σ r_j²)``. With ``of``
+    (``product_id``) only the rows whose ``item_j`` is in it.
+
+    The pairs come from a self-join on the user. Each pair is made once and
+    the aggregated rows are mirrored. A user with more than ``heavy`` items has
+    the items cut into chunks; two chunks meet under a join key of their own, so no
+    task holds all pairs of one user. A partial aggregate on the pair folds
+    them before the shuffle.
     """
-    a = r.select("user_id", F.col("product_id").alias("item_i"), F.col("rating").alias("ri"))
-    b = r.select("user_id", F.col("product_id").alias("item_j"), F.col("rating").alias("rj"))
-    return (a.join(b, "user_id")
-            .where(F.col("item_i") != F.col("item_j"))
-            .groupBy("item_i", "item_j")
+    chunks = r.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / heavy).cast("int").alias("__chunks"))
+    rows = r.join(chunks, "user_id").withColumn("__c", F.pmod(F.xxhash64("product_id"), F.col("__chunks")).cast("int"))
+    if of is None:
+        first, second = F.sequence(F.col("__c"), F.col("__chunks") - 1), F.sequence(F.lit(0), F.col("__c"))
+        once = (F.col("__one") < F.col("__two")) | (F.col("item_i") < F.col("item_j"))
+        left = rows
+    else:
+        every = F.sequence(F.lit(0), F.col("__chunks") - 1)
+        first = second = every
+        once = F.col("item_i") != F.col("item_j")
+        left = rows.join(of.select("product_id").distinct(), "product_id", "left_semi")
+    a = left.select("user_id", F.col("__c").alias("__one"), F.explode(first).alias("__two"),
+                    F.col("product_id").alias("item_i"), F.col("rating").alias("ri"))
+    b = rows.select("user_id", F.col("__c").alias("__two"), F.explode(second).alias("__one"),
+                    F.col("product_id").alias("item_j"), F.col("rating").alias("rj"))
+    pairs = a.join(b, ["user_id", "__one", "__two"]).where(once)
+    if of is None:
+        swap = F.col("item_i") > F.col("item_j")
+        pairs = pairs.select(F.least("item_i", "item_j").alias("item_i"), F.greatest("item_i", "item_j").alias("item_j"),
+                             F.when(swap, F.col("rj")).otherwise(F.col("ri")).alias("ri"),
+                             F.when(swap, F.col("ri")).otherwise(F.col("rj")).alias("rj"))
+    sums = (pairs.groupBy("item_i", "item_j")
             .agg(F.sum(F.col("ri") * F.col("rj")).alias("__num"),
                  F.sum(F.col("ri") * F.col("ri")).alias("__si"),
-                 F.sum(F.col("rj") * F.col("rj")).alias("__sj"))
-            .select("item_i", "item_j",
-                    F.when((F.col("__si") > 0) & (F.col("__sj") > 0),
-                           F.col("__num") / F.sqrt(F.col("__si") * F.col("__sj"))).otherwise(F.lit(0.0))
-                    .alias("similarity")))
+                 F.sum(F.col("rj") * F.col("rj")).alias("__sj")))
+    similarity = F.when((F.col("__si") > 0) & (F.col("__sj") > 0),
+                        F.col("__num") / F.sqrt(F.col("__si") * F.col("__sj"))).otherwise(F.lit(0.0)).alias("similarity")
+    sim = sums.select("item_i", "item_j", similarity)
+    if of is not None:
+        return sim.select(F.col("item_j").alias("item_i"), F.col("item_i").alias("item_j"), "similarity")
+    ends = F.array(F.struct(F.col("item_i").alias("i"), F.col("item_j").alias("j")),
+                   F.struct(F.col("item_j").alias("i"), F.col("item_i").alias("j")))
+    return sim.select(F.explode(ends).alias("e"), "similarity").select(
+        F.col("e.i").alias("item_i"), F.col("e.j").alias("item_j"), "similarity")
 
 
 def global_mean(r: DataFrame) -> Column:
@@ -70,15 +98,31 @@ def global_mean(r: DataFrame) -> Column:
     return r.agg(F.avg("rating")).scalar()
 
 
+def _clipped(estimate: Column) -> Column:
+    return F.round(F.least(F.lit(RATING_MAX), F.greatest(F.lit(RATING_MIN), estimate)), ROUND)
+
+
+def _estimate(near: DataFrame, k: int) -> DataFrame:
+    """Weighted mean over the ``k`` most similar rows per (user_id, product_id) of ``near``."""
+    top = top_n(near, ["user_id", "product_id"], [F.col("__s").desc(), F.col("item_j")], k)
+    return _weighted(top)
+
+
+def _weighted(near: DataFrame) -> DataFrame:
+    return near.groupBy("user_id", "product_id").agg(
+        (F.sum(F.col("__s") * F.col("rj")) / F.sum("__s")).alias("__est"),
+        F.count(F.lit(1)).alias("neighbours"))
+
+
 def predict(pairs: DataFrame, r: DataFrame, sim: DataFrame, k: int = NEIGHBOURS,
             mean: Column | None = None) -> DataFrame:
-    """Predicted rating for each (user_id, product_id) of ``pairs``.
+    """Predicted rating for each (user_id, product_id) of ``pairs``, a list of few products per user.
 
     Neighbours of (u, i) are the items j rated by u with ``sim(i, j) > 0``;
     the ``k`` most similar (similarity rounded to 9 decimals, then j) give
     ``Σ sim·r / Σ sim``. Without neighbours the prediction is the global mean
     of ``r``. Clipped to [1, 5]. Output ``user_id, product_id, prediction,
-    neighbours``.
+    neighbours``. For all products of a user see :func:`predict_all`.
     """
     mean = mean if mean is not None else global_mean(r)
     rated = r.select("user_id", F.col("product_id").alias("item_j"), F.col("rating").alias("rj"))
@@ -87,18 +131,30 @@ def predict(pairs: DataFrame, r: DataFrame, sim: DataFrame, k: int = NEIGHBOURS,
                   ["product_id", "item_j"])
             .where(F.col("similarity") > 0)
             .withColumn("__s", F.round("similarity", ROUND)))
-    top = top_n(near, ["user_id", "product_id"], [F.col("__s").desc(), F.col("item_j")], k)
-    est = top.groupBy("user_id", "product_id").agg(
-        (F.sum(F.col("__s") * F.col("rj")) / F.sum("__s")).alias("__est"),
-        F.count(F.lit(1)).alias("neighbours"))
+    est = _estimate(near, k)
     return (pairs.select("user_id", "product_id").join(est, ["user_id", "product_id"], "left")
-            .select("user_id", "product_id",
-                    F.round(F.least(F.lit(RATING_MAX), F.greatest(F.lit(RATING_MIN),
-                                                                  F.coalesce("__est", mean))), ROUND)
-                    .alias("prediction"),
+            .select("user_id", "product_id", _clipped(F.coalesce("__est", mean)).alias("prediction"),
                     F.coalesce("neighbours", F.lit(0)).alias("neighbours")))
 
 
+def predict_all(mine: DataFrame, sim: DataFrame, known: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+    """Predictions for every product that has a neighbour among a user's rated items and is not ``known``.
+
+    ``mine``: ``user_id, product_id, rating`` of the requested users; ``known``:
+    ``user_id, product_id``. One join of the rated items with the similarities.
+    The cut at ``k`` neighbours can only matter for a user with more than ``k``
+    rated items; all others are aggregated without a window. Output
+    ``user_id, product_id, prediction``.
+    """
+    n = mine.groupBy("user_id").agg(F.count(F.lit(1)).alias("__n"))
+    near = (mine.join(n, "user_id").select("user_id", "__n", F.col("product_id").alias("item_j"), F.col("rating").alias("rj"))
+            .join(sim.where(F.col("similarity") > 0).select("item_j", F.col("item_i").alias("product_id"),
+                                                            F.round("similarity", ROUND).alias("__s")), "item_j"))
+    est = _weighted(near.where(F.col("__n") <= k)).unionByName(_estimate(near.where(F.col("__n") > k), k))
+    return (est.join(known.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")
+            .select("user_id", "product_id", _clipped(F.col("__est")).alias("prediction")))
+
+
 def fold_of(n_folds: int = 3) -> Column:
     """Deterministic fold of a rating: ``(user_id·31 + product_id) mod n``."""
     return F.pmod(F.col("user_id") * F.lit(31) + F.col("product_id"), F.lit(n_folds)).cast("int")
@@ -108,10 +164,9 @@ def cross_validate(r: DataFrame, folds: int = 3, k: int = NEIGHBOURS) -> DataFra
     """k-fold RMSE and MAE of the item-based model: ``fold, rmse, mae, n``.
 
     Each fold trains the similarities on the other folds and predicts its
-    own ratings; all folds run in one plan (the fold id is part of every key).
+    own ratings. The folds run one after the other as this is called; each
+    fold's one-row result is written.
     """
-    from shopcast.session import materialize
-
     rf = materialize(r.withColumn("__fold", fold_of(folds)))
     per_fold = []
     for f in range(folds):

@@ -41,19 +41,28 @@ def qualifying_sales(t: Tables, since: dt.datetime | None = None) -> DataFrame:
     return s
 
 
-def product_sales(t: Tables, since: dt.datetime | None = None) -> DataFrame:
+def product_sales(t: Tables, since: dt.datetime | None = None, semantics: str = "corrected") -> DataFrame:
     """Per product: ``units_all``, ``units_ok``, ``lines_ok``, ``n_rows``.
 
-    ``units_all`` sums every detail line; ``units_ok`` / ``lines_ok`` only
-    lines whose sale is completed (and recent when ``since`` is given);
-    ``n_rows`` is how many rows the product contributes to the literal
-    product ⟕ stock ⟕ sale_detail chain (a stock without details counts 1,
-    a product without stock counts 1).
+    ``units_ok`` / ``lines_ok`` sum the detail lines whose sale is completed (and
+    recent when ``since`` is given). Corrected mode needs only these, so the
+    filtered sale is an inner join: lines of other sales are dropped before the
+    aggregate, and a runtime filter can prune the detail scan; ``units_all`` and
+    ``n_rows`` are NULL. Reference mode keeps every line: ``units_all`` sums them
+    and ``n_rows`` counts the rows of the product ⟕ stock ⟕ sale_detail chain (a
+    stock without details counts 1, a product without stock counts 1).
     """
     ok = qualifying_sales(t, since).select(F.col("id").alias("sale_id"), F.lit(True).alias("ok"))
+    detail = t.sale_detail.select("sale_id", "stock_id", "quantity")
+    stock = t.stock.select(F.col("id").alias("stock_id"), "product_id")
+    if semantics == "corrected":
+        per_stock = detail.join(ok, "sale_id").groupBy("stock_id").agg(
+            F.sum("quantity").alias("units_ok"), F.count(F.lit(1)).alias("lines_ok"))
+        return per_stock.join(stock, "stock_id").groupBy("product_id").agg(
+            F.lit(None).cast("double").alias("units_all"), F.sum("units_ok").alias("units_ok"),
+            F.sum("lines_ok").alias("lines_ok"), F.lit(None).cast("long").alias("n_rows"))
     per_stock = (
-        t.sale_detail.select("sale_id", "stock_id", "quantity")
-        .join(ok, "sale_id", "left")
+        detail.join(ok, "sale_id", "left")
         .groupBy("stock_id")
         .agg(
             F.sum("quantity").alias("units_all"),
@@ -63,8 +72,7 @@ def product_sales(t: Tables, since: dt.datetime | None = None) -> DataFrame:
         )
     )
     return (
-        t.stock.select(F.col("id").alias("stock_id"), "product_id")
-        .join(per_stock, "stock_id", "left")
+        stock.join(per_stock, "stock_id", "left")
         .groupBy("product_id")
         .agg(
             F.sum("units_all").alias("units_all"),
@@ -102,11 +110,11 @@ def product_stats(t: Tables, since: dt.datetime | None = None, semantics: str =
     """One row per product: id, name, price and the spine measures.
 
     Output: ``product_id, product_name, price, total, lines, avg_rating,
-    average_rating, review_count, total_all`` where ``total``/``lines`` follow
+    average_rating, review_count`` where ``total``/``lines`` follow
     ``semantics`` (see module doc) and ``average_rating`` is ``avg`` or 0.
     """
     check_semantics(semantics)
-    sales = product_sales(t, since)
+    sales = product_sales(t, since, semantics)
     reviews = product_reviews(t)
     base = (
         t.product.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"), "price")
@@ -120,12 +128,10 @@ def product_stats(t: Tables, since: dt.datetime | None = None, semantics: str =
         total = F.coalesce(F.col("units_ok"), F.lit(0.0))
         lines = F.col("lines_ok")
         review_count = n_rev
-        total_all = F.coalesce(F.col("units_all"), F.lit(0.0))
     else:
         total = F.coalesce(F.col("units_all"), F.lit(0.0)) * review_factor
         lines = F.coalesce(F.col("lines_ok"), F.lit(0)) * review_factor
         review_count = n_rev * n_rows
-        total_all = total
     return base.select(
         "product_id",
         "product_name",
@@ -135,7 +141,6 @@ def product_stats(t: Tables, since: dt.datetime | None = None, semantics: str =
         F.col("avg_rating"),
         F.coalesce(F.col("avg_rating"), F.lit(0.0)).alias("average_rating"),
         review_count.cast("long").alias("review_count"),
-        total_all.alias("total_all"),
     )
 
 
@@ -155,6 +160,16 @@ def purchases(t: Tables) -> DataFrame:
     )
 
 
+def sale_lines(t: Tables) -> DataFrame:
+    """One row per detail line in the shape of ``sale`` with its ``product_id``; ``grand_total`` is quantity times price."""
+    product = t.product.select(F.col("id").alias("product_id"), "price")
+    return (t.sale_detail.select(F.col("sale_id").alias("id"), "stock_id", "quantity")
+            .join(t.sale.select("id", "user_id", "status", "created_at"), "id")
+            .join(t.stock.select(F.col("id").alias("stock_id"), "product_id"), "stock_id")
+            .join(product, "product_id")
+            .select("id", "user_id", "status", "created_at", "product_id", (F.col("quantity") * F.col("price")).alias("grand_total")))
+
+
 def known_products(t: Tables, users: DataFrame) -> DataFrame:
     """Products each requested user bought (completed) or reviewed (any rating).
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopcast.operators import spine
+from shopcast.operators.knn import cosine_topk
+from shopcast.session import materialize
 from shopcast.sources.tables import Tables
 
 FEATURES = ("price", "avg_rating", "review_count", "total_sales", "price_log", "popularity")
@@ -45,30 +47,36 @@ def product_features(t: Tables, semantics: str = "corrected") -> DataFrame:
     )
 
 
-def scaled_feature_vectors(feats: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
-    """``id, vec``: the six features min-max scaled with statistics of ``fit_on``
-    (default: the same rows); a constant feature scales to 0."""
-    fit_on = fit_on if fit_on is not None else feats
+def feature_scaler(feats: DataFrame) -> DataFrame:
+    """``feature, min, max``: the min-max statistics of the six features."""
+    stats = feats.agg(*[F.struct(F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"))
+                        .alias(c) for c in FEATURES])
+    return stats.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"{c}.min").alias("min"), F.col(f"{c}.max").alias("max"))
+        for c in FEATURES])).alias("s")).select("s.*")
+
+
+def scaled_feature_vectors(feats: DataFrame, scale: DataFrame) -> DataFrame:
+    """``id, vec``: the six features min-max scaled with ``scale`` (six rows, see :func:`feature_scaler`); a constant feature scales to 0."""
+    bounds = {r["feature"]: (r["min"], r["max"]) for r in scale.collect()}
     cols = []
     for c in FEATURES:
-        lo = fit_on.agg(F.min(c)).scalar()
-        hi = fit_on.agg(F.max(c)).scalar()
+        lo, hi = bounds[c]
         x = F.col(c).cast("double")
-        cols.append(F.when(hi > lo, (x - lo) / (hi - lo)).otherwise(F.lit(0.0)))
+        cols.append((x - F.lit(lo)) / F.lit(hi - lo) if lo is not None and hi > lo else F.lit(0.0))
     return feats.select(F.col("product_id").alias("id"), F.array(*cols).alias("vec"))
 
 
-def content_based(t: Tables, targets: DataFrame, limit: int = 50) -> DataFrame:
+def content_based(t: Tables, targets: DataFrame, limit: int = 50, scaler: DataFrame | None = None) -> DataFrame:
     """Most similar products to each target (cosine over min-max scaled features).
 
-    ``targets``: column ``product_id``. Output: ``target_id, product_id,
+    ``targets``: column ``product_id``. ``scaler``: statistics of a trained model,
+    by default those of the live features. Output: ``target_id, product_id,
     product_name, similarity_score, price, average_rating``; the target
     itself is excluded, unknown targets give no rows.
     """
-    from shopcast.operators.knn import cosine_topk
-
-    feats = product_features(t)
-    vecs = scaled_feature_vectors(feats)
+    feats = materialize(product_features(t))
+    vecs = scaled_feature_vectors(feats, scaler if scaler is not None else feature_scaler(feats))
     q = vecs.join(targets.select(F.col("product_id").alias("id")).distinct(), "id", "left_semi")
     top = cosine_topk(q, vecs, limit)
     info = feats.select("product_id", F.col("name").alias("product_name"), "price",
@@ -89,12 +97,11 @@ def holdout_distance(t: Tables, k: int = 10) -> DataFrame:
 
     One row: ``mean_distance, test_products, neighbours``.
     """
-    from shopcast.operators.knn import cosine_topk
-
-    feats = product_features(t)
+    feats = materialize(product_features(t))
     train = feats.where(is_train())
     test = feats.where(~is_train())
-    top = cosine_topk(scaled_feature_vectors(test, train), scaled_feature_vectors(train, train), k,
+    scale = feature_scaler(train)
+    top = cosine_topk(scaled_feature_vectors(test, scale), scaled_feature_vectors(train, scale), k,
                       exclude_self=False)
     return top.agg(F.round(F.avg(F.lit(1.0) - F.col("similarity")), 9).alias("mean_distance"),
                    F.countDistinct("query_id").alias("test_products"),

@@ -1,9 +1,9 @@
 """Product recommendation strategies (popular, trending, similar users,
 personalized, content-based, collaborative) and the routing between them.
 
-Every strategy returns one lazy DataFrame. The per-user strategies take a
-DataFrame of requested users (column ``user_id``) and answer all of them in one
-plan; results are ranked per user with ``row_number`` (WindowGroupLimit), the
+Every strategy returns a DataFrame. Popular and trending are lazy; the per-user
+strategies take a DataFrame of requested users (column ``user_id``), write
+intermediate results as they are called, and answer all users in one plan; results are ranked per user with ``row_number`` (WindowGroupLimit), the
 global ones with ``orderBy().limit()`` (TakeOrderedAndProject). Ties are
 broken by ``product_id`` so the kept rows are deterministic.
 """
@@ -11,13 +11,19 @@ broken by ``product_id`` so the kept rows are deterministic.
 from __future__ import annotations
 
 import datetime as dt
+from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopcast.functions.expr import top_n
+from shopcast.functions.expr import global_rank, top_n
+from shopcast.operators import ratings as rt
 from shopcast.operators import spine
-from shopcast.sources.tables import Tables
+from shopcast.session import materialize
+from shopcast.sources.tables import Tables, unknown_emails, user_lookup
+
+if TYPE_CHECKING:
+    from shopcast.plans.training import RecommenderModel
 
 DEFAULT_LIMIT = 50
 DEFAULT_DAYS = 30
@@ -58,6 +64,10 @@ def trending_products(t: Tables, as_of: dt.datetime | None = None, days: int = D
     return top_n(out, [], [F.col("trend_score").desc(), F.col("product_id")], limit)
 
 
+#: Products whose buyers are summed up instead of paired: the HOT most bought ones.
+HOT = 8
+
+
 def similar_users(t: Tables, users: DataFrame, min_rating: float = 0, min_purchases: int = 0,
                   limit: int = DEFAULT_LIMIT, semantics: str = "corrected") -> DataFrame:
     """Products bought by users who share a purchase with the requested user.
@@ -65,38 +75,71 @@ def similar_users(t: Tables, users: DataFrame, min_rating: float = 0, min_purcha
     Output per requested user: ``user_id, product_id, product_name,
     purchased_by_similar_users, average_rating`` (top ``limit``). A user
     without purchases, or without similar users, gets no rows.
+
+    A popular product makes all its buyers neighbours of each other, so buyers
+    are not paired through the ``HOT`` most bought products. A user's hot
+    products are a bit set, of which there are at most ``2**HOT - 1``; lines are
+    summed per bit set and product, and per requested bit set over all bit sets
+    that overlap it. Users who share no hot product are found through the other
+    products, as pairs. Of the sums for a bit set, a user needs the best
+    ``limit`` plus as many as the user's own products, and those of products that pairs
+    add to: any other product is behind ``limit`` products of the list.
     """
     spine.check_semantics(semantics)
-    buy = spine.purchases(t).select("user_id", "product_id", "lines")
+    buy = materialize(spine.purchases(t).select("user_id", "product_id", "lines"))
+    hot = [r["product_id"] for r in buy.where(F.col("product_id").isNotNull()).groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
+           .orderBy(F.desc("n"), "product_id").limit(HOT).select("product_id").collect()]
+    bit = F.lit(0)
+    for i, p in enumerate(hot):
+        bit = F.when(F.col("product_id") == p, F.lit(1 << i)).otherwise(bit)
+    sets = buy.groupBy("user_id").agg(F.bit_or(bit).alias("hot"), F.count(F.lit(1)).alias("owned"))
+    buy = materialize(buy.join(sets, "user_id"))
     req = users.select("user_id").where(F.col("user_id").isNotNull()).distinct()
-    mine = buy.join(req, "user_id", "left_semi").select("user_id", "product_id")
-    # users sharing at least one product with each requested user
-    neighbours = (
-        mine.join(buy.select(F.col("user_id").alias("other"), "product_id"), "product_id")
-        .where(F.col("other") != F.col("user_id"))
-        .select("user_id", "other")
-        .distinct()
-    )
-    theirs = buy.select(F.col("user_id").alias("other"), "product_id", "lines")
-    counts = (
-        neighbours.join(theirs, "other")
-        .join(mine, ["user_id", "product_id"], "left_anti")
-        .groupBy("user_id", "product_id")
-        .agg(F.sum("lines").alias("lines"))
-    )
+    mine = materialize(buy.join(req, "user_id", "left_semi"))
+
+    # What a product needs to be listed: its name, rating and factor of the count.
     reviews = spine.product_reviews(t)
-    rf = F.greatest(F.coalesce(F.col("n_reviews"), F.lit(0)), F.lit(1))
-    purchased = F.col("lines") if semantics == "corrected" else F.col("lines") * rf
-    out = (
-        counts.join(t.product.select(F.col("id").alias("product_id"), F.col("name").alias("product_name")), "product_id")
+    factor = F.lit(1) if semantics == "corrected" else F.greatest(F.coalesce(F.col("n_reviews"), F.lit(0)), F.lit(1))
+    info = materialize(
+        t.product.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
         .join(reviews, "product_id", "left")
-        .select(
-            "user_id", "product_id", "product_name",
-            purchased.cast("long").alias("purchased_by_similar_users"),
-            F.coalesce(F.col("avg_rating"), F.lit(0.0)).alias("average_rating"),
-        )
-    )
-    out = _having(out, "average_rating", "purchased_by_similar_users", min_rating, min_purchases)
+        .select("product_id", "product_name", F.coalesce(F.col("avg_rating"), F.lit(0.0)).alias("average_rating"),
+                factor.cast("long").alias("factor"))
+        .where(F.col("average_rating") >= F.lit(float(min_rating))))
+
+    # Lines by the buyers of a hot product, per requested bit set.
+    wanted = sorted(r["hot"] for r in mine.where("hot > 0").select("hot").distinct().collect())  # at most 2**HOT - 1
+    by_set = buy.where("hot > 0").groupBy("hot", "product_id").agg(F.sum("lines").alias("lines"))
+    overlapping = F.filter(F.array(*map(F.lit, wanted)).cast("array<int>"), lambda w: w.bitwiseAND(F.col("hot")) != 0)
+    base = (by_set.select("product_id", "lines", F.explode(overlapping).alias("hot"))
+            .groupBy("hot", "product_id").agg(F.sum("lines").alias("lines"))
+            .join(info.select("product_id", "factor"), "product_id")
+            .select("hot", "product_id", (F.col("lines") * F.col("factor")).alias("n")))
+    base = materialize(base.withColumn("rank", F.row_number().over(
+        Window.partitionBy("hot").orderBy(F.desc("n"), "product_id"))))
+    own = mine.groupBy("user_id", "hot", "owned").agg(F.count(F.lit(1)).alias("__n"))
+    listed = (own.join(base, "hot").where(F.col("rank") <= F.col("owned") + limit)
+              .select("user_id", "product_id", "n"))
+
+    # Lines by users who share another product, and no hot one.
+    cold = lambda df: df.where(~F.col("product_id").isin(hot)) if hot else df
+    other = cold(buy).select("product_id", F.col("user_id").alias("other"), F.col("hot").alias("other_hot"))
+    pairs = (cold(mine).select("user_id", "hot", "product_id").join(other, "product_id")
+             .where((F.col("other") != F.col("user_id")) & (F.col("hot").bitwiseAND(F.col("other_hot")) == 0))
+             .select("user_id", "hot", "other").distinct())
+    paired = (pairs.join(buy.select(F.col("user_id").alias("other"), "product_id", "lines"), "other")
+              .groupBy("user_id", "hot", "product_id").agg(F.sum("lines").alias("lines"))
+              .join(info.select("product_id", "factor"), "product_id")
+              .join(base.select("hot", "product_id", F.col("n").alias("n_base")), ["hot", "product_id"], "left")
+              .select("user_id", "product_id", (F.col("lines") * F.col("factor") + F.coalesce("n_base", F.lit(0))).alias("n")))
+
+    # A product in both lists has its whole count in the second, which is the larger.
+    counts = listed.unionByName(paired).groupBy("user_id", "product_id").agg(F.max("n").alias("n"))
+    out = (counts.join(mine.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")
+           .where(F.col("n") >= F.lit(min_purchases))
+           .join(info, "product_id")
+           .select("user_id", "product_id", "product_name", F.col("n").cast("long").alias("purchased_by_similar_users"),
+                   "average_rating"))
     return top_n(out, ["user_id"], [F.col("purchased_by_similar_users").desc(), F.col("product_id")], limit)
 
 
@@ -135,43 +178,43 @@ def personalized(t: Tables, users: DataFrame, min_rating: float = 0, min_purchas
 
 
 def collaborative(t: Tables, users: DataFrame, limit: int = DEFAULT_LIMIT, k: int = 40,
-                  similarity: DataFrame | None = None) -> DataFrame:
+                  similarity: DataFrame | None = None, few_users: bool = False) -> DataFrame:
     """Item-based collaborative filtering: unknown products by predicted rating.
 
     Output per requested user: ``user_id, product_id, product_name,
     predicted_rating, price`` (top ``limit``, ties by ``product_id``).
     Known products (completed purchases and any review) are excluded.
 
-    Only (user, product) pairs with at least one similar rated item are
-    scored; every other unknown product has the global-mean prediction, and
+    Every product with a similar rated item is predicted by one join of the
+    users' ratings with the similarities (``similarity`` where a trained table is
+    given; with ``few_users`` only those of items that the users rated); every other unknown product has the global-mean prediction, and
     of those only the ``limit`` smallest ids can be kept — found by an
     equi-join on the id rank, not by pairing each user with every product.
+    Intermediate results are written as this is called.
     """
-    from shopcast.functions.expr import global_rank
-    from shopcast.operators import ratings as rt
-    from shopcast.session import materialize
-
     r = materialize(rt.ratings(t))
-    sim = similarity if similarity is not None else materialize(rt.item_similarity(r))
-    req = users.select("user_id").where(F.col("user_id").isNotNull()).distinct()
+    req = materialize(users.select("user_id").where(F.col("user_id").isNotNull()).distinct())
+    mine = r.join(req, "user_id", "left_semi")
+    sim = similarity if similarity is not None else materialize(rt.item_similarity(r, of=mine if few_users else None))
     known = materialize(spine.known_products(t, req))
     mean = rt.global_mean(r)
     fallback = F.round(F.least(F.lit(rt.RATING_MAX), F.greatest(F.lit(rt.RATING_MIN), mean)), rt.ROUND)
-
-    # pairs with a neighbour: the requested users' rated items -> similar items
-    mine = r.join(req, "user_id", "left_semi")
-    pairs = (mine.select("user_id", F.col("product_id").alias("item_i"))
-             .join(sim.select("item_i", F.col("item_j").alias("product_id")), "item_i")
-             .select("user_id", "product_id").distinct()
-             .join(known, ["user_id", "product_id"], "left_anti")
-             .join(t.product.select(F.col("id").alias("product_id")), "product_id", "left_semi"))
-    scored = materialize(rt.predict(pairs, r, sim, k=k, mean=mean).select("user_id", "product_id", "prediction"))
-
-    # the smallest unknown, unscored product ids (global-mean prediction)
-    taken = known.unionByName(scored.select("user_id", "product_id"))
+    scored = rt.predict_all(mine, sim, known, k).join(
+        t.product.select(F.col("id").alias("product_id")), "product_id", "left_semi")
+    scored = materialize(top_n(scored, ["user_id"], [F.col("prediction").desc(), F.col("product_id")], limit)
+                         .select("user_id", "product_id", "prediction"))
+
+    # A product without neighbours can only be listed where the global mean reaches a user's last listed prediction.
+    last = scored.groupBy("user_id").agg(F.count(F.lit(1)).alias("__n"), F.min("prediction").alias("__last"))
+    short = materialize(req.join(last, "user_id", "left")
+                        .where(F.coalesce(F.col("__n"), F.lit(0)) < limit).select("user_id")
+                        .unionByName(last.where((F.col("__n") >= limit) & (F.col("__last") <= fallback)).select("user_id")))
+    # Of those users, the smallest ids that are neither known nor predicted.
+    theirs = rt.predict_all(mine.join(short, "user_id", "left_semi"), sim, known, k).select("user_id", "product_id")
+    taken = materialize(known.join(short, "user_id", "left_semi").unionByName(theirs))
     n_taken = taken.groupBy("user_id").agg(F.count(F.lit(1)).alias("__x"))
     ids = global_rank(t.product.select(F.col("id").alias("product_id")), [F.col("product_id")], "__k")
-    fill = (req.join(n_taken, "user_id", "left")
+    fill = (short.join(n_taken, "user_id", "left")
             .withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(limit) + F.coalesce("__x", F.lit(0)))))
             .join(ids, "__k")
             .join(taken, ["user_id", "product_id"], "left_anti")
@@ -193,29 +236,36 @@ USER_STRATEGIES = ("similar_users", "personalized", "collaborative")
 def recommend(t: Tables, strategy: str = "popular", users: DataFrame | None = None,
               emails: DataFrame | None = None, targets: DataFrame | None = None, min_rating: float = 0,
               min_purchases: int = 0, limit: int = DEFAULT_LIMIT, as_of: dt.datetime | None = None,
-              semantics: str = "corrected", similarity: DataFrame | None = None) -> DataFrame:
-    """Route to one strategy. ``users`` (``user_id``) or ``emails`` (``email``)
-    are needed by the user strategies, ``targets`` (``product_id``) by
-    content_based; an unknown strategy raises ``ValueError``."""
+              semantics: str = "corrected", model: RecommenderModel | None = None) -> DataFrame:
+    """Route to one strategy.
+
+    The user strategies need ``users`` (``user_id``) or ``emails`` (``email``; one
+    that no user has is an error), content_based needs ``targets``
+    (``product_id``). ``model`` (see ``plans.training``) serves content_based with
+    its scaler and collaborative with its similarities. An unknown strategy
+    raises ``ValueError``.
+    """
     from shopcast.plans.features import content_based
-    from shopcast.sources.tables import user_lookup
 
     if strategy not in STRATEGIES:
-        raise ValueError("Invalid strategy")
+        raise ValueError(f"unknown strategy {strategy!r}; known are {', '.join(STRATEGIES)}")
     if strategy == "popular":
         return popular_products(t, min_rating, min_purchases, limit, semantics)
     if strategy == "trending":
         return trending_products(t, as_of, DEFAULT_DAYS, min_rating, min_purchases, limit, semantics)
     if strategy == "content_based":
         if targets is None:
-            raise ValueError("product_id required for content_based strategy")
-        return content_based(t, targets, limit)
+            raise ValueError("content_based needs the products (targets) to compare with")
+        return content_based(t, targets, limit, scaler=model.scaler if model else None)
     if users is None:
         if emails is None:
-            raise ValueError(f"Email is required for {strategy} strategy")
+            raise ValueError(f"{strategy} needs users or their e-mail addresses")
+        unknown = unknown_emails(t, emails).limit(5).collect()
+        if unknown:
+            raise ValueError(f"no user has the address {', '.join(str(r['email']) for r in unknown)}")
         users = user_lookup(t, emails).select("user_id")
     if strategy == "similar_users":
         return similar_users(t, users, min_rating, min_purchases, limit, semantics)
     if strategy == "personalized":
         return personalized(t, users, min_rating, min_purchases, limit, semantics)
-    return collaborative(t, users, limit, similarity=similarity)
+    return collaborative(t, users, limit, similarity=model.similarity if model else None, few_users=True)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from shopcast.operators import ratings as rt
 from shopcast.plans import features
+from shopcast.session import exists
 from shopcast.sources.tables import Tables
 
 
@@ -25,14 +26,6 @@ class RecommenderModel:
     metrics: DataFrame       # metric, value
 
 
-def _scaler(feats: DataFrame) -> DataFrame:
-    stats = feats.agg(*[F.struct(F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"))
-                        .alias(c) for c in features.FEATURES])
-    return stats.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"{c}.min").alias("min"), F.col(f"{c}.max").alias("max"))
-        for c in features.FEATURES])).alias("s")).select("s.*")
-
-
 def evaluate(t: Tables, folds: int = 3, k: int = 10) -> DataFrame:
     """``metric, value``: hold-out k-NN distance and per-fold / mean CV RMSE and MAE."""
     hold = features.holdout_distance(t, k=k).select(F.lit("knn_test_mean_distance").alias("metric"),
@@ -53,7 +46,7 @@ def train_recommender(t: Tables, path: str, folds: int = 3) -> DataFrame:
     """Fit, evaluate and save both models under ``path``; returns the metrics."""
     feats = features.product_features(t)
     r = rt.ratings(t)
-    _scaler(feats).write.mode("overwrite").parquet(f"{path}/scaler")
+    features.feature_scaler(feats).write.mode("overwrite").parquet(f"{path}/scaler")
     rt.item_similarity(r).write.mode("overwrite").parquet(f"{path}/similarity")
     evaluate(t, folds=folds).write.mode("overwrite").parquet(f"{path}/metrics")
     return t.product.sparkSession.read.parquet(f"{path}/metrics")
@@ -65,10 +58,8 @@ def load(spark: SparkSession, path: str) -> RecommenderModel:
 
 
 def load_or_train(t: Tables, path: str) -> RecommenderModel:
-    """Load the saved models; train and save them first when they are missing."""
+    """Load the saved models; train and save them first when there are none under ``path``."""
     spark = t.product.sparkSession
-    try:
-        return load(spark, path)
-    except Exception:  # noqa: BLE001 - missing or unreadable model means retrain
+    if not exists(spark, f"{path}/metrics"):
         train_recommender(t, path)
-        return load(spark, path)
+    return load(spark, path)

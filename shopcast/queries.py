@@ -28,6 +28,9 @@ FORECAST_END = dt.date(2000, 12, 31)
 SERIES = "priority"
 KNN_K = 10
 KNN_NEIGHBOURS = 40
+MIN_RATING = 3.0
+MIN_PURCHASES = 100
+MIN_RECENT = 25
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +76,29 @@ def _round_log(df: DataFrame) -> DataFrame:
     return df.withColumn("price_log", F.round("price_log", 9))
 
 
+def q_popular_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recommend.popular_products(tpch_tables(spark, sf_dir), MIN_RATING, MIN_PURCHASES, limit=LIMIT)
+
+
+def q_trending_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recommend.trending_products(tpch_tables(spark, sf_dir), as_of=AS_OF, days=DAYS, min_rating=MIN_RATING,
+                                       min_purchases=MIN_RECENT, limit=LIMIT)
+
+
+def q_similar_users_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tpch_tables(spark, sf_dir)
+    return recommend.similar_users(t, _all_users(t), limit=LIMIT, semantics="reference")
+
+
+def q_personalized_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tpch_tables(spark, sf_dir)
+    return recommend.personalized(t, _all_users(t), limit=LIMIT, semantics="reference")
+
+
+def q_monthly_sales_by_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast.monthly_sales(spine.sale_lines(tpch_tables(spark, sf_dir)), "all", series="product_id")
+
+
 def q_product_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_log(features.product_features(tpch_tables(spark, sf_dir)))
 
@@ -134,12 +160,14 @@ def q_employee_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_employee_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = employees.employee_performance(tpch_employee_records(spark, sf_dir))
+    records = tpch_employee_records(spark, sf_dir)
+    out = employees.employee_performance(records, employees.fit(records, parts=("clusters",)))
     return out.select("employee_id", "performance_cluster", "performance_score")
 
 
 def q_employee_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = employees.employee_performance(tpch_employee_records(spark, sf_dir))
+    records = tpch_employee_records(spark, sf_dir)
+    out = employees.employee_performance(records, employees.fit(records, parts=("anomalies",)))
     return out.select("employee_id", "is_anomaly")
 
 
@@ -180,6 +208,11 @@ QUERIES: dict[str, QueryFn] = {
     "trending_reference": q_trending_reference,
     "similar_users": q_similar_users,
     "personalized": q_personalized,
+    "popular_min": q_popular_min,
+    "trending_min": q_trending_min,
+    "similar_users_reference": q_similar_users_reference,
+    "personalized_reference": q_personalized_reference,
+    "monthly_sales_by_product": q_monthly_sales_by_product,
     "product_features": q_product_features,
     "product_features_reference": q_product_features_reference,
     "ratings": q_ratings,
@@ -644,6 +677,203 @@ from pred group by f
 """
 
 
+ORACLES["popular_min"] = mapping_ctes() + "," + _SPINE.format(since="") + f"""
+select p.id as product_id, p.name as product_name, cast(pp.units_ok as bigint) as total_purchases,
+       rv.avg_rating as average_rating
+from product p join per_product pp on pp.product_id = p.id join rv on rv.product_id = p.id
+where rv.avg_rating >= {MIN_RATING} and pp.units_ok >= {MIN_PURCHASES}
+order by pp.units_ok desc, p.id
+limit {LIMIT}
+"""
+
+ORACLES["trending_min"] = mapping_ctes() + "," + _SPINE.format(since=f" and created_at >= timestamp '{_SINCE}'") + f"""
+select p.id as product_id, p.name as product_name, cast(pp.units_ok as bigint) as total_purchases,
+       rv.avg_rating as average_rating, pp.lines_ok * rv.avg_rating as trend_score
+from product p join per_product pp on pp.product_id = p.id join rv on rv.product_id = p.id
+where rv.avg_rating >= {MIN_RATING} and pp.units_ok >= {MIN_RECENT}
+order by trend_score desc, p.id
+limit {LIMIT}
+"""
+
+# The literal chain: details of the neighbours' completed sales times reviews.
+ORACLES["similar_users_reference"] = mapping_ctes() + "," + _BUY + f""",
+nb as (select distinct m.user_id, b.user_id as other
+       from buy m join buy b on b.product_id = m.product_id
+       where b.user_id <> m.user_id and m.user_id in (select id from users)),
+per_other as (
+  select s.user_id as other, st.product_id, count(s.id) as n, sum(r.rating) as rating_sum, count(r.rating) as rating_n
+  from sale s join sale_detail d on d.sale_id = s.id join stock st on st.id = d.stock_id
+  left join review r on r.product_id = st.product_id
+  where s.status = 'completed' and s.user_id is not null
+  group by s.user_id, st.product_id),
+scored as (
+  select nb.user_id, o.product_id, cast(sum(o.n) as bigint) as purchased_by_similar_users
+  from nb join per_other o on o.other = nb.other
+  where not exists (select 1 from buy m where m.user_id = nb.user_id and m.product_id = o.product_id)
+  group by nb.user_id, o.product_id),
+rv as (select product_id, avg(rating) as avg_rating from review group by product_id),
+ranked as (
+  select s.*, p.name as product_name, coalesce(rv.avg_rating, 0) as average_rating,
+         row_number() over (partition by s.user_id order by s.purchased_by_similar_users desc, s.product_id) as rn
+  from scored s join product p on p.id = s.product_id left join rv on rv.product_id = s.product_id)
+select user_id, product_id, product_name, purchased_by_similar_users, average_rating from ranked where rn <= {LIMIT}
+"""
+
+ORACLES["personalized_reference"] = mapping_ctes() + "," + _BUY + f""",
+stats as (
+  select p.id as product_id, p.name as product_name, coalesce(sum(sd.quantity), 0) as t, coalesce(avg(r.rating), 0) as a
+  from product p
+  left join stock st on p.id = st.product_id
+  left join sale_detail sd on st.id = sd.stock_id
+  left join sale s on sd.sale_id = s.id and s.status = 'completed'
+  left join review r on p.id = r.product_id
+  group by p.id, p.name),
+ua as (
+  select u.id as user_id, coalesce(nullif(r.av, 0), 3.0) as user_avg
+  from users u left join (select user_id, avg(rating) as av from review group by user_id) r on r.user_id = u.id),
+scored as (
+  select ua.user_id, s.product_id, s.product_name, cast(s.t as bigint) as total_purchases,
+         s.a as average_rating, s.t * (5 - abs(s.a - ua.user_avg)) as score
+  from ua cross join stats s
+  where not exists (select 1 from buy b where b.user_id = ua.user_id and b.product_id = s.product_id)),
+ranked as (select *, row_number() over (partition by user_id order by score desc, product_id) as rn from scored)
+select user_id, product_id, product_name, total_purchases, average_rating, score from ranked where rn <= {LIMIT}
+"""
+
+ORACLES["monthly_sales_by_product"] = mapping_ctes() + """,
+sale_line as (select s.id, s.status, s.created_at, st.product_id, d.quantity * p.price as grand_total
+              from sale s join sale_detail d on d.sale_id = s.id join stock st on st.id = d.stock_id
+              join product p on p.id = st.product_id),""" + _MONTHLY.format(where="", key="product_id").replace("from sale ", "from sale_line ") + """
+select k as product_id, total_sales, transaction_count, strftime(mth, '%b') as month, strftime(mth, '%Y-%m') as period
+from g
+"""
+
+
+def _kmeans(src: str, cols: list[str], k: int = 3) -> str:
+    """CTEs that cluster the rows of ``src``: ``km`` has its columns and ``g``, the number of the cluster.
+
+    The steps of ``operators.clustering``, the Lloyd steps as a recursive CTE.
+    """
+    row, centre = ", ".join(cols), [f"c{i}" for i in range(len(cols))]
+    firsts = []
+    for j in range(k):
+        unlike = " and ".join(f"not exists (select 1 from km{i} o where {' and '.join(f'f.{c} = o.{x}' for c, x in zip(cols, centre))})"
+                              for i in range(j)) or "true"
+        firsts.append(f"km{j} as materialized (select {', '.join(f'f.{c} as {x}' for c, x in zip(cols, centre))} from km_rows f, km_range b "
+                      f"where {unlike} order by round(abs(f.km_sum - (b.lo + (b.hi - b.lo) * {j} / {k - 1}.0E0)), 9), {row} limit 1)")
+    d = [" + ".join(["0.0E0", *(f"(f.{c} - r.c[{n}][{m}]) * (f.{c} - r.c[{n}][{m}])" for m, c in enumerate(cols, 1))]) for n in range(1, k + 1)]
+    near = f"list_position([{', '.join(d)}], least({', '.join(d)}))"
+    start = ", ".join(f"[{', '.join(f'km{j}.{x}' for x in centre)}]" for j in range(k))
+    means = ", ".join(f"round(avg({c}), 9)" for c in cols)
+    return f"""
+km_rows as materialized (select *, round({' + '.join(['0.0E0', *cols])}, 9) as km_sum from {src}),
+km_range as (select min(km_sum) as lo, max(km_sum) as hi from km_rows),
+{", ".join(firsts)},
+km_steps(i, c, done) as (
+  select 0, [{start}], false from {", ".join(f"km{j}" for j in range(k))}
+  union all
+  select i + 1, list(m order by g), list(m order by g) = any_value(c)
+  from (select i, any_value(c) as c, g, [{means}] as m
+        from (select r.i, r.c, f.*, {near} as g from km_steps r, km_rows f where not r.done) group by i, g)
+  group by i),
+km_last as (select c from km_steps order by i desc limit 1),
+km as (select f.*, {near} as g from km_rows f, km_last r)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+ORACLES["product_tiers"] = _recursive(mapping_ctes() + _PRODUCT_SCORE + "," + _kmeans(
+    "scored", ["revenue_scaled", "stock_ratio_scaled", "sales_velocity_scaled"]) + """,
+ranks as (select g, row_number() over (order by round(avg(performance_score), 9), g) as r from km group by g)
+select product_id, name, price, units_sold, stock, revenue, stock_ratio, sales_velocity, is_degenerate,
+       revenue_scaled, stock_ratio_scaled, sales_velocity_scaled, performance_score,
+       ['Low', 'Medium', 'High'][r] as performance_tier
+from km join ranks using (g)
+""")
+
+_EMPLOYEE = """,
+f as (select employee_id, coalesce(completed_tasks, 0) as completed_tasks, coalesce(total_tasks, 0) as total_tasks,
+             coalesce(avg_task_hours, 0) as avg_task_hours
+      from employee_record),
+r as (select *, case when total_tasks > 0 then completed_tasks / total_tasks else 0 end as completion_rate from f),
+s as (select *, 0.4E0 * completion_rate + 0.3E0 * (1.0E0 - avg_task_hours) + 0.3E0 * completed_tasks as raw from r),
+mm as (select min(raw) as lo, max(raw) as hi,
+              avg(completed_tasks) as m1, avg(total_tasks) as m2, avg(avg_task_hours) as m3, avg(completion_rate) as m4,
+              stddev_pop(completed_tasks) as s1, stddev_pop(total_tasks) as s2, stddev_pop(avg_task_hours) as s3,
+              stddev_pop(completion_rate) as s4 from s),
+z as (select employee_id, case when hi > lo then (raw - lo) / (hi - lo) else 0 end * 100.0E0 as performance_score,
+             case when s1 > 0 then round((completed_tasks - m1) / s1, 9) else 0.0E0 end as z1,
+             case when s2 > 0 then round((total_tasks - m2) / s2, 9) else 0.0E0 end as z2,
+             case when s3 > 0 then round((avg_task_hours - m3) / s3, 9) else 0.0E0 end as z3,
+             case when s4 > 0 then round((completion_rate - m4) / s4, 9) else 0.0E0 end as z4
+      from s, mm)"""
+
+ORACLES["employee_clusters"] = _recursive(mapping_ctes() + _EMPLOYEE + "," + _kmeans("z", ["z1", "z2", "z3", "z4"]) + """,
+ranks as (select g, cast(row_number() over (order by round(avg(performance_score), 9), g) - 1 as integer) as r from km group by g)
+select employee_id, r as performance_cluster, performance_score from km join ranks using (g)
+""")
+
+
+def _hash(x: str, salt: str) -> str:
+    """``operators.iforest.mixed`` in SQL."""
+    one = f"((({x}) % 2147483647 + 1) * ((({salt}) * 7919 + 104729) % 2147483647) % 2147483647)"
+    two = f"(xor({one}, {one} >> 15) * 48271 % 2147483647)"
+    return f"(xor({two}, {two} >> 13) * 69621 % 2147483647)"
+
+
+def _forest(src: str, key: str, cols: list[str], trees: int = 100, psi: int = 256) -> str:
+    """CTEs of an isolation forest over ``src``: ``anomaly`` has ``key`` and ``anomaly_score``. A level of all trees per CTE."""
+    levels = psi.bit_length() - 1
+    xs = ", ".join(cols)
+    usable = ", ".join(f"case when hi_{c} > lo_{c} then {i} end" for i, c in enumerate(cols))
+    pick = lambda what: "case f " + " ".join(f"when {i} then {what.format(c)}" for i, c in enumerate(cols)) + " end"
+    out = [f"""
+fo_n as (select count(*) as n, least({psi}, count(*)) as psi from {src}),
+fo_depth as (select psi, cast(ceil(log2(greatest(psi, 2))) as integer) as depth from fo_n),
+fo_rows0 as materialized (
+  select t, 1 as node, {key}, {xs} from (
+    select t, {key}, {xs}, row_number() over (partition by t order by {_hash(key, 't')}, {key}) as rn
+    from {src}, (select unnest(range({trees})) as t)), fo_depth where rn <= psi)"""]
+    for level in range(levels + 1):
+        stats = ", ".join(f"min({c}) as lo_{c}, max({c}) as hi_{c}" for c in cols)
+        out.append(f"""
+fo_nodes{level} as materialized (
+  select *, case when f is not null then {pick('lo_{0}')} + ({pick('hi_{0}')} - {pick('lo_{0}')})
+                 * (({_hash('node', 't + 2000')} % 1048576 + 0.5E0) / 1048576.0E0) end as split,
+         {level} + case when n <= 1 then 0.0E0 when n = 2 then 1.0E0
+                   else 2.0E0 * (ln(n - 1.0E0) + 0.5772156649015329E0) - 2.0E0 * (n - 1.0E0) / n end as path
+  from (select *, case when {level} < (select depth from fo_depth) and n > 1 and len(us) > 0 then us[{_hash('node', 't + 1000')} % len(us) + 1] end as f
+        from (select t, node, n, list_filter([{usable}], lambda u: u is not null) as us, {", ".join(f"lo_{c}, hi_{c}" for c in cols)}
+              from (select t, node, count(*) as n, {stats} from fo_rows{level} group by t, node))))""")
+        if level < levels:
+            out.append(f"""
+fo_rows{level + 1} as materialized (
+  select r.t, 2 * r.node + case when {pick('r.{0}')} < k.split then 0 else 1 end as node, {key}, {", ".join(f"r.{c}" for c in cols)}
+  from fo_rows{level} r join fo_nodes{level} k on k.t = r.t and k.node = r.node where k.f is not null)""")
+    out.append(f"""
+fo_walk0 as (select t, 1 as node, {key}, {xs} from {src}, (select unnest(range({trees})) as t))""")
+    for level in range(levels):
+        out.append(f"""
+fo_walk{level + 1} as materialized (
+  select r.t, 2 * r.node + case when {pick('r.{0}')} < k.split then 0 else 1 end as node, {key}, {", ".join(f"r.{c}" for c in cols)}
+  from fo_walk{level} r join fo_nodes{level} k on k.t = r.t and k.node = r.node where k.f is not null)""")
+    ends = "\n  union all ".join(f"select w.{key}, k.path from fo_walk{i} w join fo_nodes{i} k on k.t = w.t and k.node = w.node where k.f is null" for i in range(levels + 1))
+    out.append(f"""
+fo_paths as ({ends}),
+anomaly as (
+  select {key}, round(power(2.0E0, -avg(path) / case when psi <= 1 then null when psi = 2 then 1.0E0
+              else 2.0E0 * (ln(psi - 1.0E0) + 0.5772156649015329E0) - 2.0E0 * (psi - 1.0E0) / psi end), 6) as anomaly_score
+  from fo_paths, fo_depth group by {key}, psi)""")
+    return ",".join(out)
+
+
+ORACLES["employee_anomalies"] = mapping_ctes() + _EMPLOYEE + "," + _forest("z", "employee_id", ["z1", "z2", "z3", "z4"]) + """
+select employee_id, anomaly_score > (select quantile_cont(anomaly_score, 0.95) from anomaly) as is_anomaly from anomaly
+"""
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 

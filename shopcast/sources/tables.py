@@ -84,16 +84,6 @@ class Tables:
             raise ValueError(f"missing tables: {missing}")
         return cls(**{name: normalize(frames[name], name) for name in RELATIONAL})
 
-    @classmethod
-    def from_parquet(cls, spark: SparkSession, root: str) -> "Tables":
-        """One parquet directory per table under ``root``."""
-        return cls.from_frames(**{n: spark.read.parquet(f"{root}/{n}") for n in RELATIONAL})
-
-    def register(self) -> None:
-        """Expose the tables as temp views for spark.sql."""
-        for name in RELATIONAL:
-            getattr(self, name).createOrReplaceTempView(name)
-
 
 def normalize(df: DataFrame, name: str) -> DataFrame:
     """Cast the known columns to the fixed schema; NaN becomes NULL.
@@ -109,7 +99,8 @@ def normalize(df: DataFrame, name: str) -> DataFrame:
     known = {f.name: f.dataType for f in schema.fields}
     for c in df.columns:
         if c in known:
-            col = F.col(c).cast(known[c])
+            # A string that is no date, or no number, is NULL rather than the end of the job.
+            col = F.col(c).try_cast(known[c])
             if isinstance(known[c], T.DoubleType):
                 col = F.nanvl(col, F.lit(None).cast("double"))
             cols.append(col.alias(c))
@@ -122,25 +113,27 @@ def require_columns(df: DataFrame, required: list[str]) -> None:
     """Plan-time check that every required column is present."""
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required fields: {required}")
+        raise ValueError(f"the input lacks the columns {missing}")
 
 
 def require_rows(df: DataFrame, what: str = "input") -> None:
     """Raise when the input is empty (a limit-1 job, not a count)."""
     if df.isEmpty():
-        raise ValueError(f"No {what} available")
+        raise ValueError(f"{what}: the input has no rows")
 
 
-def read_records(spark: SparkSession, path: str, kind: str, fmt: str = "json") -> DataFrame:
-    """Read employee or product records (JSON array files or parquet).
+def read_records(spark: SparkSession, path: str, kind: str, fmt: str = "json",
+                 extra: T.StructType | None = None) -> DataFrame:
+    """Employee or product records from JSON files (an array, or an object per record) or another format.
 
-    The known columns are read with their fixed types; other columns are
-    inferred and passed through.
+    The schema is fixed: the known columns and those of ``extra``, which pass
+    through. So the files are read once, and a column that is missing in them is
+    NULL. An input without rows is an error.
     """
-    if fmt == "json":
-        df = spark.read.option("multiLine", True).json(path)
-    else:
-        df = spark.read.format(fmt).load(path)
+    schema = T.StructType([*SCHEMAS[kind].fields, *(extra.fields if extra else [])])
+    reader = spark.read.schema(schema)
+    df = reader.option("multiLine", True).json(path) if fmt == "json" else reader.format(fmt).load(path)
+    require_rows(df, kind)
     return normalize(df, kind)
 
 
@@ -214,8 +207,7 @@ def _mapped(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tpch_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The six relational inputs derived from the TPC-H-style parquet files."""
-    frames = {n: _mapped(spark, sf_dir, n) for n in RELATIONAL}
-    return Tables(**frames)
+    return Tables.from_frames(**{n: _mapped(spark, sf_dir, n) for n in RELATIONAL})
 
 
 def tpch_employee_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,19 @@
-"""Recommendation strategies on literal fixtures (hand-computed answers)."""
+"""Recommendation strategies on literal fixtures (hand-computed answers) and against brute force."""
+
+import datetime as dt
+import random
+import shutil
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from helpers import tables, ts
 from shopcast.operators import ratings as rt
 from shopcast.operators import spine
-from shopcast.plans import recommend
+from shopcast.plans import recommend, training
+from shopcast.sources.tables import normalize, read_records
 
 
 def _fanout(spark):
@@ -137,3 +144,115 @@ def test_router(spark):
     emails = spark.createDataFrame([("u1@x",)], "email string")
     assert recommend.recommend(t, "similar_users", emails=emails).count() == 1
     assert recommend.recommend(t).count() == 4
+    with pytest.raises(ValueError, match="nobody@x"):
+        recommend.recommend(t, "similar_users", emails=spark.createDataFrame([("u1@x",), ("nobody@x",)], "email string"))
+
+
+def _random_shop(spark, seed, hot=True):
+    """Users 0-39, products 0-29; product 0 is bought by everybody and user 0 bought everything."""
+    rnd = random.Random(seed)
+    sales, details, reviews = [], [], []
+    for u in range(40):
+        bought = {rnd.randrange(1, 30) for _ in range(rnd.randrange(5))} | ({0} if hot else set()) | (set(range(30)) if u == 0 else set())
+        for p in sorted(bought):
+            sales.append((1000 * u + p, u, "completed", 1.0, ts(2001, 1, 1)))
+            details += [(1000 * u + p, p, float(rnd.randint(1, 3)))] * rnd.randint(1, 2)
+    for i in range(60):
+        reviews.append((i, rnd.randrange(40), rnd.randrange(30), float(rnd.randint(1, 5))))
+    return tables(spark, product=[(p, f"p{p}", float(p)) for p in range(30)], stock=[(p, p) for p in range(30)], sale=sales,
+                  sale_detail=details, review=reviews, users=[(u, f"u{u}@x") for u in range(42)])
+
+
+@pytest.mark.parametrize("seed,hot,limit", [(1, True, 5), (2, False, 4), (3, True, 50)])
+def test_similar_users_with_a_hot_product_and_a_heavy_user(spark, monkeypatch, seed, hot, limit):
+    monkeypatch.setattr(recommend, "HOT", 3)
+    t = _random_shop(spark, seed, hot)
+    lines = {(r.user_id, r.product_id): r.lines for r in spine.purchases(t).collect()}
+    owned = {u: {p for v, p in lines if v == u} for u in range(42)}
+    want = set()
+    for u in range(42):
+        counts = {}
+        for v in range(40):
+            if v != u and owned[u] & owned[v]:
+                for p in owned[v] - owned[u]:
+                    counts[p] = counts.get(p, 0) + lines[v, p]
+        want |= {(u, p, n) for p, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:limit]}
+    users = spark.createDataFrame([(u,) for u in range(42)], "user_id long")
+    got = {(r.user_id, r.product_id, r.purchased_by_similar_users) for r in recommend.similar_users(t, users, limit=limit).collect()}
+    assert got == want
+
+
+def test_item_similarity_of_a_heavy_user(spark):
+    """One user rated every item; the items are cut into chunks, and each pair is made once."""
+    rnd = random.Random(4)
+    rated = {(0, p): float(rnd.randint(1, 5)) for p in range(50)} | {(rnd.randrange(1, 9), rnd.randrange(50)): float(rnd.randint(1, 5)) for _ in range(80)}
+    r = spark.createDataFrame([(u, p, x) for (u, p), x in rated.items()], "user_id long, product_id long, rating double")
+    want = {}
+    for i in range(50):
+        for j in range(50):
+            both = [(rated[u, i], rated[u, j]) for u in range(9) if (u, i) in rated and (u, j) in rated]
+            if i != j and both:
+                want[i, j] = sum(a * b for a, b in both) / (sum(a * a for a, _ in both) * sum(b * b for _, b in both)) ** 0.5
+    for heavy in (2000, 7):
+        rows = rt.item_similarity(r, heavy=heavy).collect()
+        assert {(x.item_i, x.item_j): pytest.approx(x.similarity) for x in rows} == want and len(rows) == len(want)
+        few = rt.item_similarity(r, of=spark.createDataFrame([(3,), (7,)], "product_id long"), heavy=heavy).collect()
+        assert {(x.item_i, x.item_j): pytest.approx(x.similarity) for x in few} == {k: v for k, v in want.items() if k[1] in (3, 7)}
+
+
+@pytest.mark.parametrize("k,limit", [(2, 6), (40, 50)])
+def test_collaborative_brute_force(spark, k, limit):
+    t = _random_shop(spark, 5)
+    r = {(x.user_id, x.product_id): x.rating for x in rt.ratings(t).collect()}
+    sim = {(x.item_i, x.item_j): round(x.similarity, 9) for x in rt.item_similarity(rt.ratings(t)).collect()}
+    known = {(x.user_id, x.product_id) for x in t.review.collect()} | {(x.user_id, x.product_id) for x in spine.purchases(t).collect()}
+    mean, want = sum(r.values()) / len(r), set()
+    for u in range(42):
+        pred = []
+        for i in range(30):
+            if (u, i) not in known:
+                near = sorted(((sim[i, j], j) for j in range(30) if (u, j) in r and sim.get((i, j), 0) > 0), key=lambda x: (-x[0], x[1]))[:k]
+                e = sum(s * r[u, j] for s, j in near) / sum(s for s, _ in near) if near else mean
+                pred.append((round(min(5.0, max(1.0, e)), 9), i))
+        want |= {(u, i, p) for p, i in sorted(pred, key=lambda x: (-x[0], x[1]))[:limit]}
+    users = spark.createDataFrame([(u,) for u in range(42)], "user_id long")
+    for few in (False, True):
+        got = recommend.collaborative(t, users, limit=limit, k=k, few_users=few).collect()
+        assert {(x.user_id, x.product_id) for x in got} == {(u, i) for u, i, _ in want}
+        scores = {(u, i): p for u, i, p in want}
+        assert all(x.predicted_rating == pytest.approx(scores[x.user_id, x.product_id], abs=2e-9) for x in got)
+
+
+def test_trained_recommender_is_served(spark, tmp_path):
+    t = _random_shop(spark, 6)
+    path = f"{tmp_path}/model"
+    model = training.load_or_train(t, path)
+    assert {"knn_test_mean_distance", "cv_rmse_mean", "cv_mae_mean"} <= {m.metric for m in model.metrics.collect()}
+    before = (tmp_path / "model/similarity/_SUCCESS").stat().st_mtime_ns
+    again = training.load_or_train(t, path)  # loaded, not trained anew
+    assert (tmp_path / "model/similarity/_SUCCESS").stat().st_mtime_ns == before
+    users, targets = spark.createDataFrame([(3,), (4,)], "user_id long"), spark.createDataFrame([(2,)], "product_id long")
+    for kw in ({"strategy": "collaborative", "users": users}, {"strategy": "content_based", "targets": targets}):
+        served, live = (sorted(map(tuple, recommend.recommend(t, model=m, **kw).collect())) for m in (again, None))
+        assert [x[:2] for x in served] == [x[:2] for x in live] and served
+    shutil.rmtree(tmp_path / "model/scaler")
+    with pytest.raises(AnalysisException):  # a damaged model is an error, not a reason to overwrite it
+        training.load_or_train(t, path)
+
+
+def test_normalize_bad_values(spark):
+    raw = spark.createDataFrame([("1", "2", "completed", "nan", "2001-02-03 04:05:06"), ("x", None, None, "1.5", "no date")],
+                                "id string, user_id string, status string, grand_total string, created_at string")
+    out = normalize(raw, "sale").collect()
+    assert out[0].id == 1 and out[0].grand_total is None and out[0].created_at == dt.datetime(2001, 2, 3, 4, 5, 6)
+    assert out[1].id is None and out[1].created_at is None and out[1].grand_total == 1.5
+
+
+def test_read_records(spark, tmp_path):
+    (tmp_path / "e.json").write_text('[{"employee_id": 1, "completed_tasks": 2, "total_tasks": 4.0, "team": "a"}, {"employee_id": 2}]')
+    df = read_records(spark, str(tmp_path / "e.json"), "employee_record", extra=StructType([StructField("team", StringType())]))
+    rows = {r.employee_id: r for r in df.collect()}
+    assert rows[1].team == "a" and rows[1].completed_tasks == 2.0 and rows[2].avg_task_hours is None
+    (tmp_path / "none.json").write_text("[]")
+    with pytest.raises(ValueError):
+        read_records(spark, str(tmp_path / "none.json"), "employee_record")
