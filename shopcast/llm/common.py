@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shopcast.session import materialize
 
-__all__ = ["materialize", "read", "text_slices", "ascii_words", "row_key", "free_name", "keep_rows"]
+__all__ = ["materialize", "read", "text_slices", "text_pieces", "ascii_words", "row_key", "id_key", "free_name", "keep_rows"]
 
 #: Runs of anything but ASCII white space, as the Spark side splits words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,6 +28,21 @@ def text_slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[
             yield batch.slice(at, rows)
 
 
+#: Characters of a text that are turned into Python or numpy objects at a time.
+PIECE = 1 << 20
+_SPACE = re.compile(r"[ \t\n\x0b\x0c\r]")
+
+
+def text_pieces(text: str | None, size: int = PIECE) -> Iterator[str]:
+    """The text in pieces of about ``size`` characters, cut before ASCII white space, so that no word is cut."""
+    at = 0
+    while text and len(text) - at > size and (m := _SPACE.search(text, at + size)):
+        yield text[at:m.start()]
+        at = m.start()
+    if text:
+        yield text[at:]
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """Words of the text with A-Z lower-cased; ``bytes`` methods know ASCII letters and ASCII white space only."""
     return text.encode().lower().split() if text else []

@@ -23,16 +23,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def segments(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each segment values[begin:end] (small integers) that depends on its content and length only.
+def segments(values: np.ndarray, begin: np.ndarray, end: np.ndarray, span: int = 1 << 19) -> np.ndarray:
+    """A hash of each segment values[begin:end] (small integers, segments in order) that depends on its content and length only.
 
     A running sum of value * base**position gives a segment's sum as a
-    difference; the power of its beginning is divided out. Arithmetic is modulo 2**64.
+    difference; the power of its beginning is divided out. Arithmetic is modulo
+    2**64. Segments are taken together as far as ``span`` values reach.
     """
-    n = len(values)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=sums[1:])
-    return mixed((sums[end] - sums[begin]) * _powers(_INVERSE, n + 1)[begin] + (end - begin).astype(np.uint64))
+    out, i = np.zeros(len(begin), np.uint64), 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + span, side="right")))
+        first = int(begin[i])
+        part = values[first:int(end[j - 1])]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(part)), out=sums[1:])
+        b, e = begin[i:j] - first, end[i:j] - first
+        out[i:j] = mixed((sums[e] - sums[b]) * _powers(_INVERSE, len(part) + 1)[b] + (e - b).astype(np.uint64))
+        i = j
+    return out
 
 
 class Joined:

@@ -3,7 +3,8 @@
 Method. A text's features are its words (between ASCII white space) and the byte
 n-grams of length 3 to 5 of each word with a blank before and after it, hashed
 into ``BUCKETS`` rows of a learned embedding table; a word that is the one before it
-again has row 0 as a further feature, whatever the word. The rows are averaged over the
+again (within pieces of about a million characters, in which texts are read) has
+row 0 as a further feature, whatever the word. The rows are averaged over the
 text, and a softmax layer turns the average into a probability. Table and layer
 are learned together by stochastic gradient descent in numpy.
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopcast.llm.common import text_slices
+from shopcast.llm.common import text_pieces, text_slices
 from shopcast.llm.hashing import Joined, by_size, segments
 
 BUCKETS, DIM = 1 << 16, 8
@@ -64,8 +65,11 @@ def features(texts: list[str | None]) -> tuple[Joined, list[tuple[np.ndarray, np
 
 def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and how often each occurs."""
-    _, parts = features([text])
-    return np.unique(np.concatenate([p for p, _ in parts]), return_counts=True)
+    n = np.zeros(BUCKETS, np.int64)
+    for piece in text_pieces(text):
+        for ids, _ in features([piece])[1]:
+            n += np.bincount(ids, minlength=BUCKETS)
+    return np.flatnonzero(n).astype(np.int32), n[n > 0].astype(np.int32)
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> np.ndarray:
@@ -106,19 +110,27 @@ class Model:
         self.weights, self.prior = weights, prior
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
-        out = np.full(len(texts), self.prior)
-        for i, k in by_size(texts):
-            j, parts = features(texts[i:k])
-            total, n = np.zeros(k - i), np.zeros(k - i)
-            for ids, at in parts:
-                sums = np.concatenate([[0.0], np.cumsum(self.weights[ids], dtype=np.float64)])
-                # A text's n-grams may begin at the blank before it, and end at the blank after it.
-                lo, hi = np.searchsorted(at, j.start - 1), np.searchsorted(at, j.stop - 1)
-                total += sums[hi] - sums[lo]
-                n += hi - lo
-            some = np.diff(np.concatenate([[0], np.cumsum(np.bincount(j.doc, minlength=k - i))])) > 0
-            out[i:k] += np.where(some, total / np.maximum(n, 1) + self.weights[-1], 0.0)
-        return out
+        """Logit of class 1 for each text."""
+        pieces = [(i, p) for i, t in enumerate(texts) for p in text_pieces(t)]
+        of = np.array([i for i, _ in pieces], np.int64)
+        total, n = np.zeros(len(texts)), np.zeros(len(texts))
+        for lo, hi in by_size([p for _, p in pieces]):
+            sums, counts = self._sums([p for _, p in pieces[lo:hi]])
+            np.add.at(total, of[lo:hi], sums)
+            np.add.at(n, of[lo:hi], counts)
+        return self.prior + np.where(n > 0, total / np.maximum(n, 1) + self.weights[-1], 0.0)
+
+    def _sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the features' logits, and number of features; both 0 for a text without words."""
+        j, parts = features(texts)
+        total, n = np.zeros(len(texts)), np.zeros(len(texts))
+        for ids, at in parts:
+            sums = np.concatenate([[0.0], np.cumsum(self.weights[ids], dtype=np.float64)])
+            # A text's n-grams may begin at the blank before it, and end at the blank after it.
+            lo, hi = np.searchsorted(at, j.start - 1), np.searchsorted(at, j.stop - 1)
+            total += sums[hi] - sums[lo]
+            n += hi - lo
+        return total, n
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
@@ -133,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     def count(batches):
         for b in text_slices(batches):
             got = [counts(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in got], pa.binary())], ["doc_id", "y", "ids", "n"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([c.tobytes() for _, c in got], pa.binary())], ["doc_id", "y", "ids", "n"])
 
     def learn(table: pa.Table) -> pa.Table:
         rows = [(y, np.frombuffer(i, np.int32), np.frombuffer(n, np.int32)) for _, y, i, n in sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "y", "ids", "n")), strict=True))]

@@ -23,6 +23,7 @@ empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopcast.llm.common import ascii_words, id_key, keep_rows, materialize, text_slices
+from shopcast.llm.common import ascii_words, id_key, keep_rows, materialize, text_pieces, text_slices
 from shopcast.llm.graph import components
 
 SHINGLE, DISTANCE = 3, 3
@@ -39,22 +40,31 @@ SHINGLE, DISTANCE = 3, 3
 BUCKET = 2048
 
 
+def _shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the text's shingles, about a million characters at a time; of fewer words, of all of them together."""
+    h64, carry, whole = xxhash.xxh64_intdigest, [], True
+    for piece in text_pieces(text):
+        words = carry + ascii_words(piece)
+        if len(words) < shingle:
+            carry = words
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        begins = np.concatenate([[0], ends[:-1] + 1])
+        spans = zip(begins.tolist(), ends[shingle - 1:].tolist(), strict=False)
+        yield np.fromiter((h64(joined[b:e], 42) for b, e in spans), np.uint64, len(words) - shingle + 1)
+        carry, whole = words[len(words) - shingle + 1:], False
+    if whole and carry:
+        yield np.array([h64(b" ".join(carry), 42)], np.uint64)
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    words = ascii_words(text)
-    if not words:
-        return 0
-    n = min(shingle, len(words))
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    begins = np.concatenate([[0], ends[:-1] + 1])
-    h64 = xxhash.xxh64_intdigest
-    spans = zip(begins.tolist(), ends[n - 1:].tolist(), strict=False)
     total, ones = 0, np.zeros(64, np.int64)
-    hashes = np.fromiter((h64(joined[b:e], 42) for b, e in spans), np.uint64, len(words) - n + 1)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at:at + (1 << 16)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        total += len(part)
+    for hashes in _shingle_hashes(text, shingle):
+        for at in range(0, len(hashes), 1 << 16):
+            part = hashes[at:at + (1 << 16)]
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            total += len(part)
     return int(sum(1 << int(i) for i in np.flatnonzero(2 * ones > total)))
 
 

@@ -34,6 +34,7 @@ import heapq
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -43,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopcast.llm.common import materialize, text_slices
+from shopcast.llm.common import materialize, text_pieces, text_slices
 from shopcast.llm.quality import labelled
 
 __all__ = ["labelled", "fit", "scores", "reject", "BlockMaxIndex", "Model"]
@@ -55,8 +56,10 @@ SEED = 11
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+def words(text: str | None) -> Iterator[str]:
+    """Words of the text, which is read about a million characters at a time."""
+    for piece in text_pieces(text):
+        yield from _WORD.findall(piece.lower())
 
 
 def sketch(ws: list[str]) -> int:
@@ -155,7 +158,7 @@ def vocabulary(sample: DataFrame, most: int = TERMS) -> list[str]:
 
     def run(batches):
         for b in text_slices(batches):
-            ws = [words(t) for t in b.column("text").to_pylist()]
+            ws = [list(words(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([sketch(w) for w in ws], pa.int64()), pa.array([sorted(set(w)) for w in ws], pa.list_(pa.string()))], ["y", "sketch", "words"])
 
     texts = materialize(sample.select("y", "text").mapInArrow(run, "y int, sketch long, words array<string>").dropDuplicates(["sketch", "y"]))

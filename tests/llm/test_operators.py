@@ -352,6 +352,24 @@ def test_toxicity_query(spark):
     assert not [r for r in got if r.predicted and not r.toxic]
 
 
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    from shopcast.llm import common
+    rng = random.Random(3)
+    text = " ".join(rng.choice(["Ab", "cd\n", "x" * 30, "é!", "trash"]) for _ in range(3000)) + " \x0b"
+    monkeypatch.setattr(common.text_pieces, "__defaults__", (1 << 40,))
+    whole = simhash.fingerprint(text), quality.counts(text), list(toxicity.words(text))
+    assert whole[0] == _fingerprint(text)
+    for size in (1, 50, 1000):
+        monkeypatch.setattr(common.text_pieces, "__defaults__", (size,))
+        pieces = list(common.text_pieces(text))
+        assert "".join(pieces) == text and len(pieces) > 3
+        assert simhash.fingerprint(text) == whole[0] and list(toxicity.words(text)) == whole[2]
+        ids, n = quality.counts(text)
+        same = (whole[1][0] > 0).sum()  # all but bucket 0, the word that comes again
+        assert ids[ids > 0].tolist() == whole[1][0][whole[1][0] > 0].tolist() and len(ids[ids > 0]) == same
+        assert n[ids > 0].tolist() == whole[1][1][whole[1][0] > 0].tolist()
+
+
 def test_features_of_joined_texts_are_those_of_each():
     texts = ["One two two\nthree", "", None, " a  b ", "ünï cödé", "x" * 300]
     model = quality.Model(np.random.default_rng(0).normal(size=quality.BUCKETS + 1).astype(np.float32), -0.5)
