@@ -17,7 +17,7 @@ the candidate rows, instead of ``users × items``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopcast.functions.expr import global_rank, top_n
@@ -28,6 +28,13 @@ from shopcast.session import materialize
 _SLACK = 1e-9
 
 
+def _ranked_in_band(rows: DataFrame, order: Column, item_key: str, name: str) -> DataFrame:
+    """Place from 1 within the band, by a distributed sort of all bands at once (a band may hold any share of the rows)."""
+    ranked = global_rank(rows, [F.col("__band"), order, F.col(item_key)], "__pos")
+    start = ranked.groupBy("__band").agg(F.min("__pos").alias("__start"))
+    return ranked.join(F.broadcast(start), "__band").withColumn(name, F.col("__pos") - F.col("__start") + 1).drop("__pos", "__start")
+
+
 def banded_topk(items: DataFrame, users: DataFrame, exclude: DataFrame, *, weight: str, centre: str,
                 user_value: str, k: int, bands: int = 32, item_key: str = "product_id",
                 user_key: str = "user_id", full: float = 5.0) -> DataFrame:
@@ -68,18 +75,15 @@ def banded_topk(items: DataFrame, users: DataFrame, exclude: DataFrame, *, weigh
                 F.greatest(w * fmin, w * fmax).alias("__ub"))
     )
 
-    # Thresholds G(band, n): the n-th largest lb, n <= max need (WindowGroupLimit).
-    max_need = u.agg(F.max("__need")).first()[0] or k
-    thresholds = top_n(per_band.select("__band", "__lb", item_key), ["__band"],
-                       [F.col("__lb").desc(), F.col(item_key)], int(max_need), rank_col="__n") \
-        .select("__band", "__n", (F.col("__lb") - F.abs(F.col("__lb")) * _SLACK).alias("__g"))
+    # Thresholds G(band, n), the n-th largest lb, for the n that users of the band need.
+    wanted = u.select("__band", F.col("__need").cast("long").alias("__n")).distinct()
+    thresholds = (_ranked_in_band(per_band.select("__band", "__lb", item_key), F.col("__lb").desc(), item_key, "__n")
+                  .join(wanted, ["__band", "__n"])
+                  .select("__band", "__n", (F.col("__lb") - F.abs(F.col("__lb")) * _SLACK).alias("__g")))
 
     # Items numbered by ub inside each band.
-    ranked = global_rank(per_band.select("__band", item_key, "__ub"),
-                         [F.col("__band"), F.col("__ub").desc(), F.col(item_key)], "__pos")
-    start = ranked.groupBy("__band").agg(F.min("__pos").alias("__start"), F.count(F.lit(1)).alias("__size"))
-    ranked = materialize(ranked.join(F.broadcast(start.select("__band", "__start")), "__band")
-                         .select("__band", item_key, (F.col("__pos") - F.col("__start") + 1).alias("__r")))
+    ranked = materialize(_ranked_in_band(per_band.select("__band", item_key, "__ub"), F.col("__ub").desc(), item_key, "__r")
+                         .select("__band", item_key, "__r"))
     sizes = ranked.groupBy("__band").agg(F.max("__r").alias("__size"))
 
     # R(band, n) = number of items with ub >= G(band, n): merge thresholds into the ub order.
@@ -89,8 +93,11 @@ def banded_topk(items: DataFrame, users: DataFrame, exclude: DataFrame, *, weigh
                                        F.col("__n").cast("long")))
     merged = global_rank(merged, [F.col("__band"), F.col("__v").desc(), F.col("__tag"), F.col("__n")], "__pos")
     mstart = merged.groupBy("__band").agg(F.min("__pos").alias("__mstart"))
-    reach = (merged.where(F.col("__tag") == 1).join(F.broadcast(mstart), "__band")
-             .select("__band", "__n", (F.col("__pos") - F.col("__mstart") - F.col("__n") + 1).alias("__reach")))
+    # Thresholds of a band come in the order of n, so those before one are numbered as well.
+    marks = merged.where(F.col("__tag") == 1).withColumn("__before", F.row_number().over(
+        Window.partitionBy("__band").orderBy("__pos")))
+    reach = (marks.join(F.broadcast(mstart), "__band")
+             .select("__band", "__n", (F.col("__pos") - F.col("__mstart") + 1 - F.col("__before")).alias("__reach")))
 
     # Each user's candidate count; no threshold (need > items) means every item.
     cand_n = materialize(u.join(reach, (u["__band"] == reach["__band"]) & (u["__need"] == reach["__n"]), "left")
