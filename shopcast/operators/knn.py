@@ -1,8 +1,18 @@
 """Exact k-nearest neighbours by cosine similarity.
 
-Queries meet items in bounded blocks, one matrix product per task. Zero
-vectors have similarity 0 with everything (as cosine distance 1 does in the
-usual libraries), so a zero query takes the ``k`` smallest item ids.
+Method. Items are dealt to cells by the nearest of at most ``CELLS`` centres
+(items chosen by hash); a cell has its centre and the largest angle of an item to
+it. A query first meets its own cell, which gives it a bar: its k-th similarity
+there. It then visits only the cells that may hold an item as near as that: by
+the triangle inequality on the sphere, the angle between a query and an item
+is at least the query's angle to the cell's centre less the cell's largest
+angle. Cells are cut into blocks; a block of queries meets a block of items in
+one task with one matrix product. No pair becomes a row, a task holds two
+blocks, and skipped cells are proven to hold no neighbour.
+
+Zero vectors have similarity 0 with everything (as cosine distance 1 does in the
+usual libraries). A zero query takes the ``k`` smallest item ids; zero items form
+a cell that every query visits whose bar is not above 0.
 
 All rankings are ``similarity desc, id asc`` on the similarity rounded to
 ``ROUND`` decimals, so last-bit noise cannot reorder near-ties.
@@ -14,12 +24,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopcast.functions.expr import top_n
+from shopcast.session import materialize
 
 ROUND = 9
+CELLS = 256
+_SLACK = 1e-6
 
 
 def _dot(a: Column, b: Column, d: int) -> Column:
@@ -45,62 +58,116 @@ def as_vectors(df: DataFrame, key: str, cols: list[str] | None = None, array_col
     return df.select(F.col(key).alias("id"), vec.alias("vec"))
 
 
+def _top(qdf: pd.DataFrame, idf: pd.DataFrame, k: int, exclude_self: bool) -> pd.DataFrame:
+    """The ``k`` most similar items of one block for each query of another."""
+    if qdf.empty or idf.empty:
+        return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
+    qv, iv = _matrix(qdf["vec"]), _matrix(idf["vec"])
+    denom = np.sqrt(np.outer((qv * qv).sum(axis=1), (iv * iv).sum(axis=1)))
+    sim = np.round(np.where(denom > 0, (qv @ iv.T) / np.where(denom > 0, denom, 1.0), 0.0), ROUND)
+    qid, iid = qdf["id"].to_numpy(), idf["id"].to_numpy()
+    if exclude_self:
+        sim = np.where(qid[:, None] == iid[None, :], -np.inf, sim)
+    take = min(k, sim.shape[1])
+    # Only items that reach the k-th similarity are ordered: by similarity
+    # desc, then item id asc (columns stand in id order, the sort is stable).
+    by_id = np.argsort(iid, kind="stable")
+    sim, iid = sim[:, by_id], iid[by_id]
+    bar = np.partition(sim, sim.shape[1] - take, axis=1)[:, sim.shape[1] - take]
+    order = np.stack([(c := np.flatnonzero(row >= b))[np.argsort(-row[c], kind="stable")[:take]]
+                      for row, b in zip(sim, bar, strict=True)])
+    found = np.take_along_axis(sim, order, axis=1).ravel()
+    keep = np.isfinite(found)
+    return pd.DataFrame({"query_id": np.repeat(qid, take)[keep], "item_id": iid[order].ravel()[keep], "similarity": found[keep]})
+
+
+def _matrix(vecs: pd.Series) -> np.ndarray:
+    return np.stack(vecs.to_numpy()).astype(float)
+
+
+def _angles(vecs: pd.Series, centres: np.ndarray) -> np.ndarray:
+    """Angle of each vector to each centre."""
+    v = _matrix(vecs)
+    norm = np.sqrt(np.outer((v * v).sum(axis=1), (centres * centres).sum(axis=1)))
+    return np.arccos(np.clip((v @ centres.T) / norm, -1.0, 1.0))
+
+
+def _meet(q: DataFrame, it: DataFrame, k: int, exclude_self: bool, block: int) -> DataFrame:
+    """Best items per query and block: ``q`` meets the items of the same ``cell``, block by block."""
+    n_q = {r["cell"]: math.ceil(r["n"] / block) for r in q.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_i = {r["cell"]: math.ceil(r["n"] / block) for r in it.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    both = sorted(set(n_q) & set(n_i))  # at most CELLS and the zero cell
+    parts = lambda n: F.create_map(*[F.lit(x) for c in both for x in (c, n[c])])[F.col("cell")] if both else F.lit(1)
+    deal = lambda df, own, other: (df.where(F.col("cell").isin(both))
+                                   .withColumn(own, F.pmod(F.xxhash64("id"), parts(n_q if own == "__q" else n_i)).cast("int"))
+                                   .withColumn(other, F.explode(F.sequence(F.lit(0), parts(n_q if other == "__q" else n_i) - 1))))
+    keys = ["cell", "__q", "__i"]
+    schema = f"query_id {q.schema['id'].dataType.simpleString()}, item_id {it.schema['id'].dataType.simpleString()}, similarity double"
+    return (deal(q.select("id", "vec", "cell"), "__q", "__i").groupBy(*keys)
+            .cogroup(deal(it.select("id", "vec", "cell"), "__i", "__q").groupBy(*keys))
+            .applyInPandas(lambda a, b: _top(a, b, k, exclude_self), schema))
+
+
 def cosine_topk(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool = True,
-                block: int = 2048) -> DataFrame:
+                block: int = 2048, cells: int = CELLS, visits: list[int] | None = None) -> DataFrame:
     """Top ``k`` items per query by cosine similarity.
 
-    ``queries`` and ``items``: ``id, vec``. Output ``query_id, item_id,
+    ``queries`` and ``items``: ``id, vec`` (one length). Output ``query_id, item_id,
     similarity`` (rounded to ``ROUND`` decimals). With ``exclude_self`` an item
-    never matches the query with the same id.
-
-    Queries and items are hashed into blocks of about ``block`` vectors;
-    every query block meets every item block in one cogroup task, which
-    computes the similarities with one NumPy matrix product and keeps the
-    top ``k`` per query. No pair becomes a row; a task holds at most two
-    blocks, whatever the input size. The partial lists (``k`` per query and
-    item block) are merged by a per-query window.
+    never matches the query with the same id. ``visits`` gets the number of
+    (query, other cell) pairs visited and possible.
     """
-    nq, ni = queries.count(), items.count()
-    bq, bi = max(1, math.ceil(nq / block)), max(1, math.ceil(ni / block))
-    q = (queries.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"),
-                        F.pmod(F.xxhash64("id"), F.lit(bq)).cast("int").alias("__qb"))
-         .withColumn("__ib", F.explode(F.sequence(F.lit(0), F.lit(bi - 1)))))
-    it = (items.select(F.col("id").alias("iid"), F.col("vec").alias("ivec"),
-                       F.pmod(F.xxhash64("id"), F.lit(bi)).cast("int").alias("__ib"))
-          .withColumn("__qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
-
-    def score(qdf: pd.DataFrame, idf: pd.DataFrame) -> pd.DataFrame:
-        if qdf.empty or idf.empty:
-            return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
-        qv = np.array(qdf["qvec"].tolist(), dtype=float)
-        iv = np.array(idf["ivec"].tolist(), dtype=float)
-        qn, inn = (qv * qv).sum(axis=1), (iv * iv).sum(axis=1)
-        dot = qv @ iv.T
-        denom = np.sqrt(np.outer(qn, inn))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            sim = np.where(denom > 0, dot / np.where(denom > 0, denom, 1.0), 0.0)
-        sim = np.round(sim, ROUND)
-        qid = qdf["qid"].to_numpy()
-        iid = idf["iid"].to_numpy()
+    zero = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x) == 0
+    items, queries = (df.select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec")) for df in (items, queries))
+    items, queries = materialize(items.withColumn("zero", zero)), materialize(queries.withColumn("zero", zero))
+    n = items.count()
+    chosen = items.where(~F.col("zero")).orderBy(F.xxhash64("id"), "id").limit(max(1, min(cells, math.ceil(n / block)))).collect()
+    centres = np.array([r["vec"] for r in chosen], dtype=float)  # at most ``cells`` vectors
+    columns = lambda df: f"id {df.schema['id'].dataType.simpleString()}, vec array<double>, cell int, angle double"
+
+    def dealt(batches):
+        for rows in batches:
+            if len(rows):
+                a = _angles(rows["vec"], centres)
+                cell = a.argmin(axis=1)
+                yield rows.assign(cell=cell, angle=a[np.arange(len(a)), cell])
+
+    it = materialize(items.where(~F.col("zero")).select("id", "vec").mapInPandas(dealt, columns(items)))
+    q = materialize(queries.where(~F.col("zero")).select("id", "vec").mapInPandas(dealt, columns(queries)))
+    radius = {r["cell"]: r["r"] for r in it.groupBy("cell").agg(F.max("angle").alias("r")).collect()}
+    near = materialize(top_n(_meet(q, it, k, exclude_self, block), ["query_id"], [F.col("similarity").desc(), F.col("item_id")], k))
+    bars = near.groupBy("query_id").agg(F.min("similarity").alias("bar"), F.count(F.lit(1)).alias("n"))
+    bars = q.join(bars, q["id"] == bars["query_id"], "left").select("id", "vec", "cell", F.when(F.col("n") >= k, F.col("bar")).alias("bar"))
+
+    def visiting(batches):
+        cell_ids = np.array(sorted(radius), dtype=int)
+        reach = np.array([radius[c] for c in cell_ids])
+        for rows in batches:
+            if len(rows):
+                a = _angles(rows["vec"], centres)[:, cell_ids]
+                # Similarities are rounded, and angles lose digits near 0: visit a little more.
+                limit = np.arccos(np.clip(rows["bar"].fillna(-1.0).to_numpy() - 2e-9, -1.0, 1.0)) + _SLACK
+                go = (a - reach[None, :] <= limit[:, None]) & (cell_ids[None, :] != rows["cell"].to_numpy()[:, None])
+                r, c = np.nonzero(go)
+                yield pd.DataFrame({"id": rows["id"].to_numpy()[r], "vec": rows["vec"].to_numpy()[r], "cell": cell_ids[c], "angle": 0.0})
+
+    ids = queries.schema["id"].dataType.simpleString()
+    away = materialize(bars.mapInPandas(visiting, f"id {ids}, vec array<double>, cell int, angle double"))
+    if visits is not None:
+        visits += [away.count(), q.count() * max(0, len(radius) - 1)]
+    zeros = items.where("zero").select("id", "vec", F.lit(-1).alias("cell"))
+    to_zeros = bars.where(F.col("bar").isNull() | (F.col("bar") <= 0)).select("id", "vec", F.lit(-1).alias("cell"))
+    found = (near.unionByName(_meet(away, it, k, exclude_self, block))
+             .unionByName(_meet(to_zeros, zeros, k, exclude_self, block)))
+    # A zero query is as near to every item.
+    first = [r["id"] for r in items.orderBy("id").limit(k + 1).select("id").collect()]
+    if first:
+        rest = F.array(*map(F.lit, first))
         if exclude_self:
-            sim = np.where(qid[:, None] == iid[None, :], -np.inf, sim)
-        take = min(k, sim.shape[1])
-        # Only items that reach the k-th similarity are ordered: by similarity
-        # desc, then item id asc (columns stand in id order, the sort is stable).
-        by_id = np.argsort(iid, kind="stable")
-        sim, iid = sim[:, by_id], iid[by_id]
-        bar = np.partition(sim, sim.shape[1] - take, axis=1)[:, sim.shape[1] - take]
-        order = np.stack([(c := np.flatnonzero(row >= b))[np.argsort(-row[c], kind="stable")[:take]] for row, b in zip(sim, bar, strict=True)])
-        rows_q = np.repeat(qid, take)
-        rows_i = iid[order].ravel()
-        rows_s = np.take_along_axis(sim, order, axis=1).ravel()
-        keep = np.isfinite(rows_s)
-        return pd.DataFrame({"query_id": rows_q[keep], "item_id": rows_i[keep], "similarity": rows_s[keep]})
-
-    partial = (q.groupBy("__qb", "__ib").cogroup(it.groupBy("__qb", "__ib"))
-               .applyInPandas(lambda a, b: score(a, b), f"query_id {queries.schema['id'].dataType.simpleString()}, "
-                              f"item_id {items.schema['id'].dataType.simpleString()}, similarity double"))
-    return top_n(partial, ["query_id"], [F.col("similarity").desc(), F.col("item_id")], k)
+            rest = F.filter(rest, lambda x: x != F.col("id"))
+        found = found.unionByName(queries.where("zero").select(
+            F.col("id").alias("query_id"), F.explode(F.slice(rest, 1, k)).alias("item_id"), F.lit(0.0).alias("similarity")))
+    return top_n(found, ["query_id"], [F.col("similarity").desc(), F.col("item_id")], k)
 
 
 def brute_force_topk(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
