@@ -66,6 +66,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int =
     """Per row of ``docs`` (doc_id, text, source): doc_id, source, row_hash, size, source_size, target, copies, taken."""
     keys = ["source", "size", "h", "doc_id", "row_hash", "salt"]
     slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", F.lit(seed)).alias("h"), row_key(docs).alias("row_hash"), F.monotonically_increasing_id().alias("salt"))
+    slim = materialize(slim)  # range bounds are sampled from it first, so the texts would be read twice
     rows = materialize(slim.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).drop("h", "salt").withColumn("at", F.monotonically_increasing_id()))
     rows = rows.withColumn("part", F.shiftright("at", 33))
     parts = rows.groupBy("part", "source").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.sum("size").alias("words"))
