@@ -16,15 +16,14 @@ however many texts show it). Counted once per group of near copies (texts
 whose word triples have the same two smallest hashes), so that a copied text does not make its
 words evidence. Without this choice, cosine would compare what texts are about
 and not how they speak. A text without any term has no neighbour; its score
-is the share of toxic texts among labelled ones without a term.
+is the share of toxic texts among labelled ones without a term, at most 0.49.
 
 Fitting uses at most ``FIT_ROWS`` labelled texts, those whose ids hash lowest, and
 at most ``TERMS`` terms, the best first; these bounds hold the index that the
 tasks get. Document frequencies are counted over all texts, and every row is scored.
 
 Rows: null and empty texts have no term; an id with labels of both kinds counts by
-majority (as often: not at all); without labels every score is 0.5 and below
-the threshold; ties between neighbours go to the smaller doc_id; repeated rows
+majority (as often: not at all); without labels every score is 0.49; ties between neighbours go to the smaller doc_id; repeated rows
 are scored each; further columns pass through ``reject``.
 """
 
@@ -202,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, terms: int
     model = Model({t: i for i, t in enumerate(vocab)}, idf, k=k)
     sample = counts.join(ids, "doc_id")
     plain = sample.where(F.size("terms") == 0).agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    model.base = (plain[1] + 0.5) / (plain[0] + 1) if vocab and plain[0] else 0.49
+    model.base = min(0.49, (plain[1] + 0.5) / (plain[0] + 1))  # nothing in such a text speaks for toxicity
     # Examples with like terms stand together, so that few blocks have a high bound.
     rows = sorted((r["terms"], r["tf"], r["doc_id"], r["y"]) for r in sample.where(F.size("terms") > 0).select("doc_id", "y", "terms", "tf").collect())
     rows.sort(key=lambda r: (max(r[0], key=lambda t: (idf[t], -t)), r[0], r[2]))
