@@ -18,7 +18,8 @@ floats, which is what the tasks get. No shuffle of texts.
 Rows: null and empty texts get the score of the prior; an id with labels of both
 kinds counts by majority (as often: not at all); labels other than 0 and 1 and
 ids without a text are left out; with one class or none, scores are the prior's;
-repeated rows are scored each; further columns pass through.
+repeated rows are scored each; further columns are not read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -172,6 +173,6 @@ def score(model: Model, text: Column) -> Column:
 
 
 def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted``, learned from ``labels`` (doc_id, y)."""
+    """Per row of ``docs`` (doc_id, text): doc_id, score (0 to 1) and predicted, learned from ``labels`` (doc_id, y)."""
     s = score(fit(docs, labels, fit_rows), F.col("text"))
     return docs.select("doc_id", s.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
