@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from shopcast.operators import ratings as ratings_op
 from shopcast.operators import spine
-from shopcast.plans import employees, features, forecast, products, recommend
+from shopcast.plans import employees, features, forecast, products, recommend, training
 from shopcast.sources.tables import (mapping_ctes, tpch_employee_records, tpch_product_records, tpch_tables,
                                      user_lookup)
 
@@ -171,6 +171,19 @@ def q_employee_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("employee_id", "is_anomaly")
 
 
+def q_employee_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return employees.employee_performance(tpch_employee_records(spark, sf_dir))
+
+
+def q_recommender_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.evaluate(tpch_tables(spark, sf_dir), k=KNN_K)
+
+
+def q_recommend_by_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tpch_tables(spark, sf_dir)
+    return recommend.recommend(t, "similar_users", emails=t.users.select("email"), limit=LIMIT)
+
+
 def q_content_based(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tpch_tables(spark, sf_dir)
     return features.content_based(t, t.product.select(F.col("id").alias("product_id")), limit=LIMIT)
@@ -229,6 +242,9 @@ QUERIES: dict[str, QueryFn] = {
     "employee_score": q_employee_score,
     "employee_clusters": q_employee_clusters,
     "employee_anomalies": q_employee_anomalies,
+    "employee_performance": q_employee_performance,
+    "recommender_evaluation": q_recommender_evaluation,
+    "recommend_by_email": q_recommend_by_email,
     "content_based": q_content_based,
     "content_holdout_distance": q_content_holdout_distance,
     "embedding_knn": q_embedding_knn,
@@ -874,6 +890,24 @@ select employee_id, anomaly_score > (select quantile_cont(anomaly_score, 0.95) f
 """
 
 
+ORACLES["employee_performance"] = f"""
+select * from ({ORACLES["employee_score"]})
+join (select employee_id, performance_cluster from ({ORACLES["employee_clusters"]})) using (employee_id)
+join ({ORACLES["employee_anomalies"]}) using (employee_id)
+"""
+
+ORACLES["recommender_evaluation"] = f"""
+with hold as ({ORACLES["content_holdout_distance"]}), cv as ({ORACLES["collaborative_cv"]})
+select 'knn_test_mean_distance' as metric, mean_distance as value from hold
+union all select 'cv_rmse_fold' || fold, rmse from cv
+union all select 'cv_mae_fold' || fold, mae from cv
+union all select 'cv_rmse_mean', round(avg(rmse), 6) from cv
+union all select 'cv_mae_mean', round(avg(mae), 6) from cv
+"""
+
+ORACLES["recommend_by_email"] = ORACLES["similar_users"]
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 
