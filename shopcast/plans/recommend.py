@@ -117,8 +117,10 @@ def similar_users(t: Tables, users: DataFrame, min_rating: float = 0, min_purcha
             .select("hot", "product_id", (F.col("lines") * F.col("factor")).alias("n")))
     base = materialize(base.withColumn("rank", F.row_number().over(
         Window.partitionBy("hot").orderBy(F.desc("n"), "product_id"))))
-    own = mine.groupBy("user_id", "hot", "owned").agg(F.count(F.lit(1)).alias("__n"))
-    listed = (own.join(base, "hot").where(F.col("rank") <= F.col("owned") + limit)
+    own = mine.select("user_id", "hot", "owned").distinct()
+    listed = (own.where("hot > 0")
+              .select("user_id", "hot", F.explode(F.sequence(F.lit(1), (F.col("owned") + limit).cast("int"))).alias("rank"))
+              .join(base, ["hot", "rank"])
               .select("user_id", "product_id", "n"))
 
     # Lines by users who share another product, and no hot one.
