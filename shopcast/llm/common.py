@@ -58,7 +58,7 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def row_key(df: DataFrame) -> Column:
     """64-bit hash of a whole row. Used together with the row's id: rows that agree in both are repeats of one row."""
-    flat = [F.to_json(F.struct(F.col(f"`{c}`"))) if t.startswith(("map", "variant")) else F.col(f"`{c}`") for c, t in df.dtypes]
+    flat = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t or "variant" in t else F.col(f"`{c}`") for c, t in df.dtypes]
     return F.xxhash64(*flat)
 
 
