@@ -8,45 +8,60 @@ with the same last hash are the same; one is kept. The hashes of proper prefixes
 are collected without repeats, and an anti-join keeps the conversations whose
 last hash is none of them. Only those are rendered.
 
-Scale: rows with the same first turn, or copies of one conversation, meet as
-hashes and are reduced before they are shuffled (distinct, partial aggregation).
-A conversation is held as one row, as the rendered result is.
-
-Rows: turns are ordered by ``turn`` (null last), then role, then text; rows equal
-in all four columns are one turn; null role and text count as empty; rows of a
-null conv_id are one conversation; a group of equal conversations has its
-smallest conv_id (null only if all are); further columns are not read; an empty
-table gives an empty result.
+Scale: turns are hashed where they are read, and only hashes are shuffled until
+the maximal conversations are known; then their texts are. Copies, and
+conversations with the same beginning, meet as hashes that are reduced before
+they are shuffled (sets and counts per task). A conversation's hashes, and the
+text of a maximal one, are held as one row, as the rendered result is.
+
+Rows: turns are ordered by ``turn`` (null last), then role, then the hash of their
+content; rows equal in all four columns are one turn; null role and text count as
+empty; rows of a null conv_id are one conversation; a group of equal
+conversations has its smallest conv_id (null only if all are); further columns
+are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shopcast.llm.common import materialize
+
 #: Markers of a turn in the rendered text.
 START, END = "<|im_start|>", "<|im_end|>"
 
 
-def conversations(turns: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, turns (role, text), hashes (of each prefix)."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    # ``last`` puts turns without a number last; sort_array puts null first.
-    one = F.struct(F.col("turn").isNull().alias("last"), F.col("turn").alias("turn"), text("role").alias("role"), text("text").alias("text"))
-    convs = turns.select("conv_id", one.alias("t")).distinct().groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    turn_hash = lambda t: F.sha2(F.concat(F.length(t["role"]).cast("string"), F.lit(":"), t["role"], t["text"]), 256)
-    # Latest hash first while folding: the one before is at hand, and no list is searched.
-    step = lambda acc, t: F.concat(F.array(F.sha2(F.concat(F.coalesce(F.try_element_at(acc, F.lit(1)), F.lit("")), turn_hash(t)), 256)), acc)
-    hashes = F.reverse(F.aggregate("ts", F.array().cast("array<string>"), step))
-    return convs.select("conv_id", F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"), hashes.alias("hashes"))
+def _turns(turns: DataFrame) -> DataFrame:
+    """conv_id, role, text without nulls, and ``place``, by which a conversation's turns are sorted."""
+    t = turns.select("conv_id", "turn", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
+    content = F.unhex(F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")), 256))
+    place = F.struct(F.col("turn").isNull().alias("last"), F.col("turn").alias("turn"), F.col("role").alias("role"), content.alias("hash"))
+    return t.select("conv_id", place.alias("place"), "role", "text")
+
+
+def _newest(acc: Column) -> Column:
+    """First element of a list that grows at its front, null if it is empty."""
+    return F.try_element_at(acc, F.lit(1))
+
+
+def prefix_hashes(turns: DataFrame) -> DataFrame:
+    """One row per conversation: conv_id, hashes (of each prefix, the shortest first)."""
+    convs = _turns(turns).groupBy("conv_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    step = lambda acc, t: F.concat(F.array(F.unhex(F.sha2(F.concat(F.coalesce(_newest(acc), F.lit(b"")), t["hash"]), 256))), acc)
+    return convs.select("conv_id", F.reverse(F.aggregate("places", F.array().cast("array<binary>"), step)).alias("hashes"))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
-    """Conversations that no longer one begins with: conv_id, n_copies, turns."""
-    c = conversations(turns)
-    distinct = c.groupBy(F.element_at("hashes", -1).alias("last")).agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"), F.first("turns").alias("turns"))
-    prefixes = c.select(F.explode(F.slice("hashes", 1, F.size("hashes") - 1)).alias("last")).distinct()
-    return distinct.join(prefixes, "last", "left_anti").select("conv_id", "n_copies", "turns")
+    """Conversations that no longer one begins with: conv_id, n_copies, turns (role, text)."""
+    hashes = materialize(prefix_hashes(turns))
+    distinct = hashes.groupBy(F.element_at("hashes", -1).alias("last")).agg(F.min("conv_id").alias("kept_id"), F.count(F.lit(1)).alias("n_copies"))
+    prefixes = hashes.select(F.explode(F.slice("hashes", 1, F.size("hashes") - 1)).alias("last")).distinct()
+    kept = distinct.join(prefixes, "last", "left_anti").select("kept_id", "n_copies")
+    rows = _turns(turns).join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id")))
+    one = F.collect_set(F.struct("place", "role", "text"))
+    convs = rows.groupBy("conv_id", "n_copies").agg(F.sort_array(one).alias("ts"))
+    return convs.select("conv_id", "n_copies", F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
 def render(convs: DataFrame, start: str = START, end: str = END) -> DataFrame:
@@ -54,7 +69,7 @@ def render(convs: DataFrame, start: str = START, end: str = END) -> DataFrame:
     head = lambda t: F.concat(F.lit(start), t["role"], F.lit("\n"))
     tail = F.lit(end + "\n")
     whole = F.array_join(F.transform("turns", lambda t: F.concat(head(t), t["text"], tail)), "")
-    begin = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(1))["end"] + len(end) + 1, F.lit(0))
+    begin = lambda acc: F.coalesce(_newest(acc)["end"] + len(end) + 1, F.lit(0))
     span = lambda acc, t: F.concat(F.array(F.struct(t["role"].alias("role"), (begin(acc) + F.length(head(t))).alias("begin"), (begin(acc) + F.length(head(t)) + F.length(t["text"])).alias("end"))), acc)
     spans = F.reverse(F.aggregate("turns", F.array().cast("array<struct<role:string,begin:int,end:int>>"), span))
     return convs.withColumns({"text": whole, "spans": spans})

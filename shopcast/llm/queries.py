@@ -77,7 +77,7 @@ ORACLES: dict[str, str] = {}
 
 ORACLES["op1_chat_formatting"] = r"""
 with t as (select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations),
-n as (select *, row_number() over (partition by conv_id order by turn nulls last, role, text) as i from t),
+n as (select *, row_number() over (partition by conv_id order by turn nulls last, role, sha256(length(role) || ':' || role || text)) as i from t),
 p as (select conv_id, i, list(struct_pack(r := role, t := text)) over (partition by conv_id order by i) as prefix,
              count(*) over (partition by conv_id) as n from n),
 c as (select prefix as turns, any_value(n) as n, min(conv_id) as conv_id, count(*) as n_copies from p where i = n group by prefix)
