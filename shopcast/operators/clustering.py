@@ -2,9 +2,8 @@
 
 Deterministic: the first centres are the rows whose feature sum is nearest to
 ``k`` evenly spaced values between the smallest and the largest sum. A Lloyd step
-is one aggregate over the rows, with the k centres as literals; steps go on
-until the centres, rounded to ``ROUND`` decimals, stay (or come back). Cluster ids
-are arbitrary, so the jobs order clusters by the mean of a score column: label 0 /
+sums the rows per cluster in every task; steps go on until the centres, rounded to
+``ROUND`` decimals, stay (or come back). Cluster ids are arbitrary, so the jobs order clusters by the mean of a score column: label 0 /
 "Low" is always the weakest cluster.
 """
 
@@ -12,6 +11,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,15 +51,39 @@ def _first_centres(df: DataFrame, cols: list[str], k: int) -> list[list[float]]:
     return chosen
 
 
+def _step(df: DataFrame, model: KMeans) -> KMeans:
+    """One Lloyd step: every task sums its rows per cluster, k rows per task are added up on the driver.
+
+    The centres are data of the tasks, not literals of the plan, which would be compiled anew in every step.
+    """
+    cols, centres = model.cols, np.array(model.centres)
+
+    def sums(batches):
+        total = np.zeros((len(centres), len(cols) + 1))
+        for rows in batches:
+            x = rows[cols].to_numpy(dtype=float)
+            d = np.zeros((len(x), len(centres)))
+            for i in range(len(cols)):  # in the order of KMeans.nearest, for the same last bit
+                d += (x[:, [i]] - centres[:, i]) * (x[:, [i]] - centres[:, i])
+            near = d.argmin(axis=1)
+            for c in range(len(centres)):
+                total[c] += [*x[near == c].sum(axis=0), (near == c).sum()]
+        yield pd.DataFrame(total, columns=[*cols, "n"]).assign(c=range(len(centres)))
+
+    schema = ", ".join([*[f"`{c}` double" for c in cols], "n double", "c int"])
+    total = np.zeros((len(centres), len(cols) + 1))
+    for r in df.select(*cols).mapInPandas(sums, schema).collect():
+        total[r["c"]] += [*(r[c] for c in cols), r["n"]]
+    return KMeans(cols, [[round(float(x), ROUND) for x in t[:-1] / t[-1]] if t[-1] else old for t, old in zip(total, model.centres, strict=True)])
+
+
 def fit_kmeans(df: DataFrame, cols: list[str], k: int = DEFAULT_K) -> KMeans:
     """Centres of ``k`` clusters of the rows of ``df``, which is read once per step: pass a written frame."""
     require_distinct_rows(df, cols, k)
     model, seen = KMeans(list(cols), _first_centres(df, cols, k)), set()
     while (state := tuple(map(tuple, model.centres))) not in seen:
         seen.add(state)
-        means = df.groupBy(model.nearest().alias("c")).agg(*[F.round(F.avg(c), ROUND).alias(c) for c in cols]).collect()
-        at = {r["c"]: [r[c] for c in cols] for r in means}
-        model = KMeans(model.cols, [at.get(i, x) for i, x in enumerate(model.centres)])
+        model = _step(df, model)
     return model
 
 

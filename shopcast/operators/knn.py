@@ -94,15 +94,17 @@ def _angles(vecs: pd.Series, centres: np.ndarray) -> np.ndarray:
 
 def _meet(q: DataFrame, it: DataFrame, k: int, exclude_self: bool, block: int) -> DataFrame:
     """Best items per query and block: ``q`` meets the items of the same ``cell``, block by block."""
+    schema = f"query_id {q.schema['id'].dataType.simpleString()}, item_id {it.schema['id'].dataType.simpleString()}, similarity double"
     n_q = {r["cell"]: math.ceil(r["n"] / block) for r in q.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_i = {r["cell"]: math.ceil(r["n"] / block) for r in it.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    both = sorted(set(n_q) & set(n_i))  # at most CELLS and the zero cell
-    parts = lambda n: F.create_map(*[F.lit(x) for c in both for x in (c, n[c])])[F.col("cell")] if both else F.lit(1)
+    both = sorted(set(n_q) & set(n_i))  # at most CELLS, or the zero cell
+    if not both:
+        return q.sparkSession.createDataFrame([], schema)
+    parts = lambda n: F.create_map(*[F.lit(x) for c in both for x in (c, n[c])])[F.col("cell")]
     deal = lambda df, own, other: (df.where(F.col("cell").isin(both))
                                    .withColumn(own, F.pmod(F.xxhash64("id"), parts(n_q if own == "__q" else n_i)).cast("int"))
                                    .withColumn(other, F.explode(F.sequence(F.lit(0), parts(n_q if other == "__q" else n_i) - 1))))
     keys = ["cell", "__q", "__i"]
-    schema = f"query_id {q.schema['id'].dataType.simpleString()}, item_id {it.schema['id'].dataType.simpleString()}, similarity double"
     return (deal(q.select("id", "vec", "cell"), "__q", "__i").groupBy(*keys)
             .cogroup(deal(it.select("id", "vec", "cell"), "__i", "__q").groupBy(*keys))
             .applyInPandas(lambda a, b: _top(a, b, k, exclude_self), schema))
@@ -132,8 +134,13 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool
                 cell = a.argmin(axis=1)
                 yield rows.assign(cell=cell, angle=a[np.arange(len(a)), cell])
 
-    it = materialize(items.where(~F.col("zero")).select("id", "vec").mapInPandas(dealt, columns(items)))
-    q = materialize(queries.where(~F.col("zero")).select("id", "vec").mapInPandas(dealt, columns(queries)))
+    def in_cells(df):
+        df = df.where(~F.col("zero")).select("id", "vec")
+        if len(chosen) < 2:  # one cell: nothing to skip
+            return df.withColumns({"cell": F.lit(0), "angle": F.lit(0.0)})
+        return materialize(df.mapInPandas(dealt, columns(df)))
+
+    it, q = in_cells(items), in_cells(queries)
     radius = {r["cell"]: r["r"] for r in it.groupBy("cell").agg(F.max("angle").alias("r")).collect()}
     near = materialize(top_n(_meet(q, it, k, exclude_self, block), ["query_id"], [F.col("similarity").desc(), F.col("item_id")], k))
     bars = near.groupBy("query_id").agg(F.min("similarity").alias("bar"), F.count(F.lit(1)).alias("n"))
@@ -152,13 +159,15 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool
                 yield pd.DataFrame({"id": rows["id"].to_numpy()[r], "vec": rows["vec"].to_numpy()[r], "cell": cell_ids[c], "angle": 0.0})
 
     ids = queries.schema["id"].dataType.simpleString()
-    away = materialize(bars.mapInPandas(visiting, f"id {ids}, vec array<double>, cell int, angle double"))
-    if visits is not None:
-        visits += [away.count(), q.count() * max(0, len(radius) - 1)]
+    found = near
+    if len(chosen) > 1:
+        away = materialize(bars.mapInPandas(visiting, f"id {ids}, vec array<double>, cell int, angle double"))
+        found = found.unionByName(_meet(away, it, k, exclude_self, block))
+        if visits is not None:
+            visits += [away.count(), q.count() * (len(radius) - 1)]
     zeros = items.where("zero").select("id", "vec", F.lit(-1).alias("cell"))
     to_zeros = bars.where(F.col("bar").isNull() | (F.col("bar") <= 0)).select("id", "vec", F.lit(-1).alias("cell"))
-    found = (near.unionByName(_meet(away, it, k, exclude_self, block))
-             .unionByName(_meet(to_zeros, zeros, k, exclude_self, block)))
+    found = found.unionByName(_meet(to_zeros, zeros, k, exclude_self, block))
     # A zero query is as near to every item.
     first = [r["id"] for r in items.orderBy("id").limit(k + 1).select("id").collect()]
     if first:

@@ -46,8 +46,8 @@ HEAVY_USER = 2000
 def item_similarity(r: DataFrame, of: DataFrame | None = None, heavy: int = HEAVY_USER) -> DataFrame:
     """Cosine similarity of every item pair that shares at least one rater.
 
-    ``r``: ``user_id, product_id, rating`` (one row per pair). Output
-    ``item_i, item_j, similarity`` for ``i != j`` (both orders), computed over
+    ``r``: ``user_id, product_id, rating`` (one row per pair), read three times:
+    pass a written frame. Output ``item_i, item_j, similarity`` for ``i != j`` (both orders), computed over
     the common raters only: ``Σ r_i r_j / sqrt(Σ r_i² · Σ r_j²)``. With ``of``
     (``product_id``) only the rows whose ``item_j`` is in it.
 
@@ -57,28 +57,23 @@ def item_similarity(r: DataFrame, of: DataFrame | None = None, heavy: int = HEAV
     task holds all pairs of one user. A partial aggregate on the pair folds
     them before the shuffle.
     """
-    chunks = r.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / heavy).cast("int").alias("__chunks"))
-    rows = r.join(chunks, "user_id").withColumn("__c", F.pmod(F.xxhash64("product_id"), F.col("__chunks")).cast("int"))
+    a = r.select("user_id", F.col("product_id").alias("item_i"), F.col("rating").alias("ri"))
+    b = r.select("user_id", F.col("product_id").alias("item_j"), F.col("rating").alias("rj"))
+    chunks = (r.groupBy("user_id").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > heavy)
+              .select("user_id", F.ceil(F.col("__n") / heavy).cast("int").alias("__chunks")))
     if of is None:
-        first, second = F.sequence(F.col("__c"), F.col("__chunks") - 1), F.sequence(F.lit(0), F.col("__c"))
-        once = (F.col("__one") < F.col("__two")) | (F.col("item_i") < F.col("item_j"))
-        left = rows
+        once = F.col("item_i") < F.col("item_j")
     else:
-        every = F.sequence(F.lit(0), F.col("__chunks") - 1)
-        first = second = every
         once = F.col("item_i") != F.col("item_j")
-        left = rows.join(of.select("product_id").distinct(), "product_id", "left_semi")
-    a = left.select("user_id", F.col("__c").alias("__one"), F.explode(first).alias("__two"),
-                    F.col("product_id").alias("item_i"), F.col("rating").alias("ri"))
-    b = rows.select("user_id", F.col("__c").alias("__two"), F.explode(second).alias("__one"),
-                    F.col("product_id").alias("item_j"), F.col("rating").alias("rj"))
-    pairs = a.join(b, ["user_id", "__one", "__two"]).where(once)
-    if of is None:
-        swap = F.col("item_i") > F.col("item_j")
-        pairs = pairs.select(F.least("item_i", "item_j").alias("item_i"), F.greatest("item_i", "item_j").alias("item_j"),
-                             F.when(swap, F.col("rj")).otherwise(F.col("ri")).alias("ri"),
-                             F.when(swap, F.col("ri")).otherwise(F.col("rj")).alias("rj"))
-    sums = (pairs.groupBy("item_i", "item_j")
+        b = b.join(of.select(F.col("product_id").alias("item_j")).distinct(), "item_j", "left_semi")
+    light = a.join(chunks, "user_id", "left_anti").join(b, "user_id").where(once)
+    deal = lambda df, item, own, other: (df.join(chunks, "user_id")
+                                         .withColumn(own, F.pmod(F.xxhash64(item), F.col("__chunks")).cast("int"))
+                                         .withColumn(other, F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)))
+                                         .drop("__chunks"))
+    cut = (deal(a, "item_i", "__one", "__two").join(deal(b, "item_j", "__two", "__one"), ["user_id", "__one", "__two"]).where(once))
+    cols = ["item_i", "item_j", "ri", "rj"]
+    sums = (light.select(*cols).unionByName(cut.select(*cols)).groupBy("item_i", "item_j")
             .agg(F.sum(F.col("ri") * F.col("rj")).alias("__num"),
                  F.sum(F.col("ri") * F.col("ri")).alias("__si"),
                  F.sum(F.col("rj") * F.col("rj")).alias("__sj")))
@@ -86,7 +81,7 @@ def item_similarity(r: DataFrame, of: DataFrame | None = None, heavy: int = HEAV
                         F.col("__num") / F.sqrt(F.col("__si") * F.col("__sj"))).otherwise(F.lit(0.0)).alias("similarity")
     sim = sums.select("item_i", "item_j", similarity)
     if of is not None:
-        return sim.select(F.col("item_j").alias("item_i"), F.col("item_i").alias("item_j"), "similarity")
+        return sim
     ends = F.array(F.struct(F.col("item_i").alias("i"), F.col("item_j").alias("j")),
                    F.struct(F.col("item_j").alias("i"), F.col("item_i").alias("j")))
     return sim.select(F.explode(ends).alias("e"), "similarity").select(
@@ -105,11 +100,7 @@ def _clipped(estimate: Column) -> Column:
 def _estimate(near: DataFrame, k: int) -> DataFrame:
     """Weighted mean over the ``k`` most similar rows per (user_id, product_id) of ``near``."""
     top = top_n(near, ["user_id", "product_id"], [F.col("__s").desc(), F.col("item_j")], k)
-    return _weighted(top)
-
-
-def _weighted(near: DataFrame) -> DataFrame:
-    return near.groupBy("user_id", "product_id").agg(
+    return top.groupBy("user_id", "product_id").agg(
         (F.sum(F.col("__s") * F.col("rj")) / F.sum("__s")).alias("__est"),
         F.count(F.lit(1)).alias("neighbours"))
 
@@ -150,9 +141,18 @@ def predict_all(mine: DataFrame, sim: DataFrame, known: DataFrame, k: int = NEIG
     near = (mine.join(n, "user_id").select("user_id", "__n", F.col("product_id").alias("item_j"), F.col("rating").alias("rj"))
             .join(sim.where(F.col("similarity") > 0).select("item_j", F.col("item_i").alias("product_id"),
                                                             F.round("similarity", ROUND).alias("__s")), "item_j"))
-    est = _weighted(near.where(F.col("__n") <= k)).unionByName(_estimate(near.where(F.col("__n") > k), k))
-    return (est.join(known.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")
-            .select("user_id", "product_id", _clipped(F.col("__est")).alias("prediction")))
+    # Known products take part in the aggregate as marked rows, which drops them without another join.
+    seen = F.lit(1).alias("__known")
+    sums = (near.where(F.col("__n") <= k)
+            .select("user_id", "product_id", (F.col("__s") * F.col("rj")).alias("__num"), "__s", F.lit(0).alias("__known"))
+            .unionByName(known.select("user_id", "product_id", F.lit(0.0).alias("__num"), F.lit(0.0).alias("__s"), seen))
+            .groupBy("user_id", "product_id")
+            .agg(F.sum("__num").alias("__num"), F.sum("__s").alias("__s"), F.max("__known").alias("__known"))
+            .where(F.col("__known") == 0)
+            .select("user_id", "product_id", (F.col("__num") / F.col("__s")).alias("__est")))
+    cut = (_estimate(near.where(F.col("__n") > k), k).select("user_id", "product_id", "__est")
+           .join(known.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti"))
+    return sums.unionByName(cut).select("user_id", "product_id", _clipped(F.col("__est")).alias("prediction"))
 
 
 def fold_of(n_folds: int = 3) -> Column:

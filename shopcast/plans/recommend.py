@@ -129,20 +129,24 @@ def similar_users(t: Tables, users: DataFrame, min_rating: float = 0, min_purcha
     pairs = (cold(mine).select("user_id", "hot", "product_id").join(other, "product_id")
              .where((F.col("other") != F.col("user_id")) & (F.col("hot").bitwiseAND(F.col("other_hot")) == 0))
              .select("user_id", "hot", "other").distinct())
-    paired = (pairs.join(buy.select(F.col("user_id").alias("other"), "product_id", "lines"), "other")
-              .groupBy("user_id", "hot", "product_id").agg(F.sum("lines").alias("lines"))
-              .join(info.select("product_id", "factor"), "product_id")
-              .join(base.select("hot", "product_id", F.col("n").alias("n_base")), ["hot", "product_id"], "left")
-              .select("user_id", "product_id", (F.col("lines") * F.col("factor") + F.coalesce("n_base", F.lit(0))).alias("n")))
-
-    # A product in both lists has its whole count in the second, which is the larger.
-    counts = listed.unionByName(paired).groupBy("user_id", "product_id").agg(F.max("n").alias("n"))
-    out = (counts.join(mine.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")
-           .where(F.col("n") >= F.lit(min_purchases))
-           .join(info, "product_id")
-           .select("user_id", "product_id", "product_name", F.col("n").cast("long").alias("purchased_by_similar_users"),
-                   "average_rating"))
-    return top_n(out, ["user_id"], [F.col("purchased_by_similar_users").desc(), F.col("product_id")], limit)
+    # A user's own products take part in the aggregate as marked rows, which drops them without another join.
+    lines = (pairs.join(buy.select(F.col("user_id").alias("other"), "product_id", "lines"), "other")
+             .select("user_id", "hot", "product_id", "lines", F.lit(0).alias("own"))
+             .unionByName(mine.select("user_id", "hot", "product_id", F.lit(0).cast("long").alias("lines"), F.lit(1).alias("own"))))
+    paired = (lines.groupBy("user_id", "hot", "product_id").agg(F.sum("lines").alias("lines"), F.max("own").alias("own"))
+              .where("own = 0").join(info.select("product_id", "factor"), "product_id")
+              .select("user_id", "hot", "product_id", (F.col("lines") * F.col("factor")).alias("n")))
+
+    # With hot products, the count is that of the pairs and that of the bit set; a product in both lists has it whole in the larger.
+    with_set = (paired.where("hot > 0").join(base.select("hot", "product_id", F.col("n").alias("n_base")), ["hot", "product_id"], "left")
+                .select("user_id", "product_id", (F.col("n") + F.coalesce("n_base", F.lit(0))).alias("n")))
+    either = (listed.join(mine.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")
+              .unionByName(with_set).groupBy("user_id", "product_id").agg(F.max("n").alias("n")))
+    counts = either.unionByName(paired.where("hot = 0").select("user_id", "product_id", "n"))
+    best = top_n(counts.where(F.col("n") >= F.lit(min_purchases)).join(info.select("product_id"), "product_id", "left_semi"),
+                 ["user_id"], [F.col("n").desc(), F.col("product_id")], limit)
+    return best.join(info, "product_id").select(
+        "user_id", "product_id", "product_name", F.col("n").cast("long").alias("purchased_by_similar_users"), "average_rating")
 
 
 def user_average_rating(t: Tables, users: DataFrame, default: float = 3.0) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from shopcast.operators import ratings as ratings_op
 from shopcast.operators import spine
 from shopcast.plans import employees, features, forecast, products, recommend, training
+from shopcast.session import materialize
 from shopcast.sources.tables import (mapping_ctes, tpch_employee_records, tpch_product_records, tpch_tables,
                                      user_lookup)
 
@@ -201,7 +202,7 @@ def q_embedding_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_item_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sim = ratings_op.item_similarity(ratings_op.ratings(tpch_tables(spark, sf_dir)))
+    sim = ratings_op.item_similarity(materialize(ratings_op.ratings(tpch_tables(spark, sf_dir))))
     return sim.withColumn("similarity", F.round("similarity", 9))
 
 
