@@ -1,28 +1,43 @@
 """Toxicity scores by votes of the nearest labelled examples.
 
-Method. Labelled texts that carry a vocabulary term are examples. A text's nearest
-examples by exact TF-IDF cosine are found in a block-max inverted index: a
-term's postings are cut into blocks of ``BLOCK`` examples with the largest weight
-of each; blocks are visited in descending order of the bound that follows, until
-the bound falls below the k-th best cosine. The neighbours vote with weight
-1 / (1.05 - cosine); the share of toxic votes is calibrated by a logistic curve
-fitted on leave-one-out votes of the examples. The neighbours are the evidence.
-
-Vocabulary: the words (runs of letters, lower-cased) whose presence in toxic texts is
+Method. All labelled texts are examples; a text is scored twice and the higher score counts.
+
+1. *Terms*: how a text speaks. Its nearest examples by exact TF-IDF cosine over the
+   vocabulary of toxic texts are found in a block-max inverted index: a term's postings are
+   cut into blocks of ``BLOCK`` examples with the largest weight of each; blocks are visited
+   in descending order of the bound that follows, until the bound falls below the k-th best
+   cosine. The neighbours vote with weight 1 / (1.05 - cosine); the share of toxic votes is
+   calibrated by a logistic curve fitted on leave-one-out votes of the examples. A text
+   without a term has the share of toxic texts among labelled ones without a term.
+2. *Copies*: what a text says. All examples whose exact TF-IDF cosine over all words is at
+   least ``COPY`` vote with weight 1 / (1.05 - cosine)**3, besides the share above with the
+   weight of one example at ``COPY``. A toxic example that holds terms votes only on texts that
+   hold one of these, as copies of it that lack them are clean. They are found by the
+   text's rare words: with its words in order of rarity, the last ones with a norm of ``REST``
+   add at most that to a cosine, so only examples that get ``COPY`` - ``REST`` from the words
+   before are compared whole.
+
+The evidence is the neighbours of the score that counts.
+
+Words are runs of letters, lower-cased; a run with letters of a script without spaces counts
+by its pairs of letters. Vocabulary: the words whose presence in toxic texts is
 not chance (log-likelihood ratio above 2 ln(words tested) + 4, which keeps false
 terms rare at any number of words) and whose texts are toxic at a share nearer to 1
 than to the share of all texts (so that words which only lean to one side stay out,
-however many texts show it). Counted once per group of near copies (texts
+however many texts show it). Then, as long as words are found, the same share and a
+binomial test with a false discovery rate of ``FALSE`` over the texts without a term so
+far: as the terms explain nearly all toxic texts, a word in two or three of the others stands
+out. Counted once per group of near copies (texts
 whose word triples have the same two smallest hashes), so that a copied text does not make its
 words evidence. Without this choice, cosine would compare what texts are about
-and not how they speak. A text without any term has no neighbour; its score
-is the share of toxic texts among labelled ones without a term, at most 0.49.
+and not how they speak, which is what the second score is for.
 
 Fitting uses at most ``FIT_ROWS`` labelled texts, those whose ids hash lowest, and
-at most ``TERMS`` terms, the best first; these bounds hold the index that the
-tasks get. Document frequencies are counted over all texts, and every row is scored.
+at most ``TERMS`` terms, the best first; these bounds hold the indexes that the
+tasks get. Document frequencies of terms are counted over all texts, those of other words
+over the examples, and every row is scored.
 
-Rows: null and empty texts have no term; an id with labels of both kinds counts by
+Rows: null and empty texts have no word; an id with labels of both kinds counts by
 majority (as often: not at all); without labels every score is 0.49; ties between neighbours go to the smaller doc_id; repeated rows
 are scored each; further columns pass through ``reject``.
 """
@@ -32,6 +47,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -46,19 +62,35 @@ from pyspark.sql import functions as F
 from shopcast.llm.common import materialize, text_pieces, text_slices
 from shopcast.llm.quality import labelled
 
-__all__ = ["labelled", "fit", "scores", "reject", "BlockMaxIndex", "Model"]
+__all__ = ["labelled", "fit", "scores", "reject", "BlockMaxIndex", "CopyIndex", "Model"]
 
 FIT_ROWS, TERMS, K, BLOCK = 20_000, 50_000, 15, 64
+#: Cosine over all words from which an example is a near copy.
+COPY = 0.75
+#: Norm of the most frequent words of a text, which are not looked up to find near copies.
+REST = 0.5
+#: Share of chance finds among the words that are added to the vocabulary after the first.
+FALSE = 0.02
 #: Examples whose leave-one-out votes fit the calibration.
 CALIBRATION = 2000
 SEED = 11
 _WORD = re.compile(r"[^\W\d_]+")
+#: Thai, Lao, Burmese, Khmer, kana and Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def words(text: str | None) -> Iterator[str]:
     """Words of the text, which is read about a million characters at a time."""
     for piece in text_pieces(text):
-        yield from _WORD.findall(piece.lower())
+        found = _WORD.findall(piece.lower())
+        if piece.isascii() or not _UNSPACED.search(piece):
+            yield from found
+            continue
+        for w in found:
+            if len(w) > 1 and _UNSPACED.search(w):
+                yield from (w[i:i + 2] for i in range(len(w) - 1))
+            else:
+                yield w
 
 
 def sketch(ws: list[str]) -> int:
@@ -107,6 +139,119 @@ class BlockMaxIndex:
         return [(i, -s) for s, i in best]
 
 
+def hashed(counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words, ascending, and how often each occurs."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, counts), np.uint64, len(counts))
+    order = np.argsort(h)
+    return h[order], np.fromiter(counts.values(), np.int32, len(counts))[order]
+
+
+class Examples:
+    """Labelled texts, in order of doc_id: ids, labels, sketches, and of each text the places of its words among all words' hashes, and how often each occurs."""
+
+    def __init__(self, table: pa.Table):
+        """``table``: doc_id, y, sketch, words and n (bytes of ``hashed``, n compressed)."""
+        small = table.select(["doc_id", "y"])
+        place = np.lexsort((small.column("y").to_numpy(), small.column("doc_id").to_numpy()))
+        self.ids, self.y, self.sketch = (table.column(c).to_numpy()[place] for c in ("doc_id", "y", "sketch"))
+        flat = lambda c, kind, read: np.concatenate([np.zeros(0, kind), *(np.frombuffer(read(table.column(c)[i].as_buffer()), kind) for i in place.tolist())])
+        self.begin = np.append(0, np.cumsum([table.column("words")[i].as_buffer().size // 8 for i in place.tolist()], dtype=np.int64))
+        self.n, words = flat("n", np.int32, zlib.decompress), flat("words", np.uint64, lambda b: b)
+        del table, small
+        order = np.argsort(words)
+        words = words[order]
+        first = np.append(True, words[1:] != words[:-1])[:len(words)]
+        self.words, self.term = words[first], np.empty(len(words), np.int32)
+        self.term[order] = np.cumsum(first, dtype=np.int32) - 1
+
+    def of(self, terms: list[str]) -> np.ndarray:
+        """Per word whether it is one of ``terms``."""
+        return np.isin(self.words, np.array([xxhash.xxh64_intdigest(w) for w in terms], np.uint64))
+
+    def rows(self) -> np.ndarray:
+        """The text of each of ``term``."""
+        return np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.begin))
+
+
+class CopyIndex:
+    """Exact search for all examples whose TF-IDF cosine over all words reaches ``level``."""
+
+    def __init__(self, e: Examples, level: float = COPY, rest: float = REST, terms: dict[str, int] | None = None):
+        self.level, self.rest, self.n, self.words = level, rest, len(e.ids), e.words
+        df = np.bincount(e.term, minlength=len(e.words))
+        self.idf = (np.log((1 + self.n) / (1 + df)) + 1).astype(np.float32)
+        # Equal texts are one row.
+        held: dict[bytes, int] = {}
+        #: Per distinct text: its examples, and its terms.
+        self.rows: list[list[tuple[int, int]]] = []
+        self.terms: list[frozenset[int]] = []
+        place = {xxhash.xxh64_intdigest(w): t for w, t in (terms or {}).items()}
+        term = {int(i): place[int(e.words[i])] for i in np.flatnonzero(e.of(list(terms or {})))}
+        is_term = np.isin(e.term, np.array(list(term), np.int32))
+        kept = []
+        for i, (doc_id, y) in enumerate(zip(e.ids.tolist(), e.y.tolist(), strict=True)):
+            at = slice(e.begin[i], e.begin[i + 1])
+            k = held.setdefault(xxhash.xxh3_128_digest(e.term[at].tobytes() + b"|" + e.n[at].tobytes()), len(self.rows))
+            if k == len(self.rows):
+                self.rows.append([])
+                self.terms.append(frozenset(term[t] for t in e.term[at][is_term[at]].tolist()))
+                kept.append(i)
+            self.rows[k].append((doc_id, y))
+        chosen = np.zeros(len(e.ids), bool)
+        chosen[kept] = True
+        entries = np.flatnonzero(chosen[e.rows()])
+        self.term, self.times = e.term[entries], e.n[entries]
+        self.begin = np.append(0, np.cumsum(np.diff(e.begin)[chosen]))
+        self.posts: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        """Without what each task can make anew, which is most of it."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("weight", "post_weight", "post")} | {"posts": None, "times": zlib.compress(self.times.tobytes(), 1)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {"times": np.frombuffer(zlib.decompress(state["times"]), np.int32)}
+
+    def _post(self) -> None:
+        row = np.repeat(np.arange(len(self.rows), dtype=np.int32), np.diff(self.begin))
+        weight = (1 + np.log(self.times.astype(np.float32))) * self.idf[self.term]
+        self.weight = weight / np.sqrt(np.bincount(row, weight**2, len(self.rows))).astype(np.float32)[row]
+        order = np.argsort(self.term, kind="stable")
+        self.posts, self.post_weight = row[order], self.weight[order]
+        self.post = np.append(0, np.cumsum(np.bincount(self.term, minlength=len(self.words))))
+
+    def search(self, h: np.ndarray, n: np.ndarray) -> list[tuple[int, float]]:
+        """(place in ``rows``, cosine) of the examples that reach the level, the nearest first."""
+        if not len(h) or not len(self.words):
+            return []
+        if self.posts is None:
+            self._post()
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        known = self.words[at] == h
+        weight = (1 + np.log(n)) * np.where(known, self.idf[at], math.log(1 + self.n) + 1)
+        weight /= math.sqrt(weight @ weight)
+        at, weight = at[known], weight[known]
+        order = np.argsort(-self.idf[at], kind="stable")
+        at, weight = at[order], weight[order]
+        look = int(np.count_nonzero(np.cumsum(weight[::-1]**2)[::-1] > self.rest**2))
+        lo, size = self.post[at[:look]], self.post[at[:look] + 1] - self.post[at[:look]]
+        entries = np.arange(int(size.sum())) + np.repeat(lo - (np.cumsum(size) - size), size)
+        sums = np.bincount(self.posts[entries], self.post_weight[entries] * np.repeat(weight[:look], size), len(self.rows))
+        rest = math.sqrt(max(0.0, weight[look:] @ weight[look:]))
+        found = np.flatnonzero(sums >= self.level - rest - 1e-5)
+        if not len(found):
+            return []
+        place = np.argsort(at)
+        words, values = at[place], weight[place]
+        cosine = np.zeros(len(found))
+        for k, i in enumerate(found.tolist()):
+            own = self.term[self.begin[i]:self.begin[i + 1]]  # ascending
+            p = np.minimum(np.searchsorted(words, own), len(words) - 1)
+            cosine[k] = np.where(words[p] == own, values[p], 0.0) @ self.weight[self.begin[i]:self.begin[i + 1]]
+        cosine = np.minimum(np.round(cosine, 6), 1.0)
+        hit = np.flatnonzero(cosine >= self.level - 1e-6)
+        return sorted(zip(found[hit].tolist(), cosine[hit].tolist(), strict=True), key=lambda x: (-x[1], self.rows[x[0]][0][0]))
+
+
 @dataclass
 class Model:
     terms: dict[str, int]
@@ -114,6 +259,7 @@ class Model:
     ids: list[int] = field(default_factory=list)  # of the examples
     labels: list[int] = field(default_factory=list)
     index: BlockMaxIndex | None = None
+    copies: CopyIndex | None = None
     base: float = 0.0  # score of texts without a term
     curve: tuple[float, float] = (0.0, 0.0)
     k: int = K
@@ -137,6 +283,32 @@ class Model:
         a, b = self.curve
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, a * self.vote(near) + b)))), near
 
+    def copied(self, counts: dict[str, int], tf: dict[int, int]) -> tuple[float, list[tuple[int, int, float]]]:
+        """Score by near copies of the text, and the nearest of them: doc_id, label, cosine."""
+        near = self.copies.search(*hashed(counts)) if self.copies else []
+        held = [(i, c, [(d, y) for d, y in self.copies.rows[i] if not y or not self.copies.terms[i] or self.copies.terms[i] & tf.keys()]) for i, c in near]
+        near = [(c, e) for _, c, e in held if e]
+        weight = lambda cosine: (1.05 - cosine)**-3
+        total = weight(self.copies.level) if near else 1.0
+        toxic = total * self.base
+        for cosine, e in near:
+            total += weight(cosine) * len(e)
+            toxic += weight(cosine) * sum(y for _, y in e)
+        return toxic / total, [(doc_id, y, c) for c, e in near[:self.k] for doc_id, y in e[:self.k]][:self.k]
+
+    def judge(self, text: str | None, known: dict) -> tuple[float, list[tuple[int, int, float]]]:
+        """Score of the text and its evidence: doc_id, label, cosine. ``known`` keeps scores by terms."""
+        counts = Counter(words(text))
+        tf = {self.terms[w]: n for w, n in counts.items() if w in self.terms}
+        key = tuple(sorted(tf.items()))
+        if key not in known:
+            if len(known) > 20_000:
+                known.clear()
+            s, near = self.score(dict(key))
+            known[key] = s, [(self.ids[i], self.labels[i], c) for i, c in near]
+        by_terms, by_copies = known[key], self.copied(counts, tf)
+        return by_copies if by_copies[1] and (by_copies[0] > by_terms[0] or not by_terms[1]) else by_terms
+
 
 def _calibrated(votes: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of the logistic curve through votes and labels; targets are drawn in a little (Platt), so one class is enough."""
@@ -175,6 +347,66 @@ def vocabulary(sample: DataFrame, most: int = TERMS) -> list[str]:
     return sorted(r["word"] for r in best.select("word").collect())
 
 
+def examples(sample: DataFrame) -> Examples:
+    """The labelled texts, from (doc_id, y, text)."""
+
+    def run(batches):
+        for b in text_slices(batches):
+            ws = [list(words(t)) for t in b.column("text").to_pylist()]
+            got = [hashed(Counter(w)) for w in ws]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([sketch(w) for w in ws], pa.int64()), pa.array([h.tobytes() for h, _ in got], pa.binary()), pa.array([zlib.compress(n.tobytes(), 1) for _, n in got], pa.binary())], ["doc_id", "y", "sketch", "words", "n"])
+
+    found = Examples(sample.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, sketch long, words binary, n binary").toArrow())
+    pa.default_memory_pool().release_unused()
+    return found
+
+
+def _chance(a: int, n: int, rate: float) -> float:
+    """Probability of ``a`` or more toxic ones among ``n`` texts."""
+    log = lambda k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(rate) + (n - k) * math.log1p(-rate)
+    return min(1.0, sum(math.exp(log(k)) for k in range(a, n + 1)))
+
+
+def further(e: Examples, known: list[str], most: int) -> set[int]:
+    """Hashes of words that tell the toxic ones among the examples without a ``known`` term or a word found before."""
+    one = np.zeros(len(e.ids), bool)
+    one[list({(s, y): i for i, s, y in zip(range(len(one) - 1, -1, -1), e.sketch[::-1].tolist(), e.y[::-1].tolist(), strict=True)}.values())] = True  # of near copies, the smallest doc_id
+    row, word, y, term, every = e.rows(), e.term, e.y, e.of(known), e.words
+    found: list[int] = []
+    while len(found) < most:
+        free = one & (np.bincount(row[term[word]], minlength=len(one)) == 0)
+        left, toxic = int(free.sum()), int(y[free].sum())
+        if not 0 < toxic < left:
+            break
+        rate = toxic / left
+        n = np.bincount(word[free[row]], minlength=len(every))
+        a = np.bincount(word[(free & (y == 1))[row]], minlength=len(every))
+        tested = int((n >= 2).sum())
+        some = np.flatnonzero((n >= 2) & (a >= 2) & (a >= n * (1 + rate) / 2))
+        kinds, of = np.unique(np.stack([a[some], n[some]]), axis=1, return_inverse=True)
+        chance = np.array([_chance(int(i), int(k), rate) for i, k in kinds.T])[of.ravel()]
+        order = np.lexsort((every[some], chance))
+        fine = np.flatnonzero(chance[order] <= FALSE * np.arange(1, len(some) + 1) / max(1, tested))
+        new = some[order[:fine[-1] + 1]] if len(fine) else some[:0]
+        if not len(new):
+            break
+        term[new] = True
+        found += every[new].tolist()
+    return set(found[:most])
+
+
+def spelled(sample: DataFrame, hashes: set[int]) -> list[str]:
+    """The words of the sample's texts with these hashes."""
+    if not hashes:
+        return []
+
+    def run(batches):
+        for b in text_slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({w for t in b.column("text").to_pylist() for w in words(t) if xxhash.xxh64_intdigest(w) in hashes}), pa.string())], ["word"])
+
+    return sorted(r["word"] for r in sample.select("text").mapInArrow(run, "word string").distinct().collect())
+
+
 def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
     """doc_id and, for the terms that a text has, their numbers and how often they occur."""
     place = {t: i for i, t in enumerate(terms)}
@@ -193,7 +425,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, terms: int
     # At most fit_rows ids.
     ids = F.broadcast(labels.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(fit_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    vocab = vocabulary(texts.join(ids, "doc_id"), terms)
+    labelled_texts = materialize(texts.join(ids, "doc_id").select("doc_id", "y", "text"))
+    vocab = vocabulary(labelled_texts, terms)
+    every = examples(labelled_texts)
+    vocab = sorted({*vocab, *spelled(labelled_texts, further(every, vocab, terms - len(vocab)))})
     counts = materialize(term_counts(docs, vocab))
     n = counts.count()
     df = {r["t"]: r["n"] for r in counts.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -201,7 +436,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, terms: int
     model = Model({t: i for i, t in enumerate(vocab)}, idf, k=k)
     sample = counts.join(ids, "doc_id")
     plain = sample.where(F.size("terms") == 0).agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    model.base = min(0.49, (plain[1] + 0.5) / (plain[0] + 1))  # nothing in such a text speaks for toxicity
+    model.base = (plain[1] + 0.5) / (plain[0] + 1) if len(every.ids) else 0.49
+    model.copies = CopyIndex(every, terms=model.terms)
     # Examples with like terms stand together, so that few blocks have a high bound.
     rows = sorted((r["terms"], r["tf"], r["doc_id"], r["y"]) for r in sample.where(F.size("terms") > 0).select("doc_id", "y", "terms", "tf").collect())
     rows.sort(key=lambda r: (max(r[0], key=lambda t: (idf[t], -t)), r[0], r[2]))
@@ -217,25 +453,19 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, terms: int
 
 def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, k: int = K) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, score (0 to 1), predicted, evidence (the neighbours: doc_id, label, cosine)."""
-    model, counts = fit(docs, labels, fit_rows, k=k)
+    model, _ = fit(docs, labels, fit_rows, k=k)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m, known = shared.value, {}
-        for b in text_slices(batches, 2048):
-            out = []
-            for terms, tf in zip(b.column("terms").to_pylist(), b.column("tf").to_pylist(), strict=True):
-                key = (tuple(terms), tuple(tf))
-                if key not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    s, near = m.score(dict(zip(*key, strict=True)))
-                    known[key] = s, [{"doc_id": m.ids[i], "label": m.labels[i], "cosine": c} for i, c in near]
-                out.append(known[key])
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], kind)], ["doc_id", "score", "evidence"])
-
-    out = counts.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id:long,label:int,cosine:double>>")
+        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
+        for b in text_slices(batches):
+            out = [m.judge(t, known) for t in b.column("text").to_pylist()]
+            near = [[{"doc_id": d, "label": y, "cosine": c} for d, y, c in o[1]] for o in out]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([o[0] for o in out], pa.float64()), pa.array(near, kind)], ["doc_id", "score", "evidence"])
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = slim.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id:long,label:int,cosine:double>>")
     return out.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
@@ -245,8 +475,8 @@ def score(docs: DataFrame, model: Model, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
-        m = shared.value
-        return pd.Series([m.score(m.tf(t))[0] for t in texts], dtype="float64")
+        m, known = shared.value, {}
+        return pd.Series([m.judge(t, known)[0] for t in texts], dtype="float64")
 
     return run(text.cast("string"))
 

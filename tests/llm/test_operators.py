@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -339,6 +340,45 @@ def test_toxicity_held_out(spark):
     assert clean.where(toxicity.score(clean, model, F.col("text")) < 0.5).count() == 2
 
 
+def test_toxicity_copies_and_rare_insults(spark):
+    rng = random.Random(21)
+    plain = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    text = lambda n=60: [rng.choice(plain) for _ in range(n)]
+    rows = [(i, " ".join(text()), 0) for i in range(900)]
+    rows += [(1000 + i, " ".join([*text(), rng.choice(["grobian", "schuft"])]), 1) for i in range(100)]
+    alone = [(2000 + i, " ".join(text()), 1) for i in range(3)]  # toxic by no word of their own
+    rare = [(3000 + i, " ".join([*text(30), "zwiderwurz", *text(30)]), 1) for i in range(3)]
+    han = [(4000 + i, "".join(chr(0x4e00 + rng.randrange(900)) for _ in range(40)) + "\u767d\u75f4", 1) for i in range(3)]
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows + alone + rare + han], "doc_id long, y int")
+    near = [(5000 + i, " ".join(w if j % 8 else "other" + str(j) for j, w in enumerate(t.split())), 1) for i, (_, t, _) in enumerate(alone)]
+    held = [(6000, " ".join([*text(), "ZWIDERWURZ!"]), 1), (6001, "".join(chr(0x5e00 + i) for i in range(40)) + "\u767d\u75f4", 1), *((7000 + i, t, 1) for i, (_, t, _) in enumerate(alone)), *near]
+    held += [(8000 + i, " ".join(text()), 0) for i in range(50)] + [(9000, rows[5][1] + " more", 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows + alone + rare + han + held], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.scores(docs, labels).collect()}
+    assert [d for d, _, y in rows + alone + rare + han + held if got[d].predicted != y] == []
+    for i in range(3):
+        assert got[7000 + i].evidence[0][:3] == (2000 + i, 1, 1.0) and got[5000 + i].evidence[0].doc_id == 2000 + i
+    assert {r.doc_id for r in toxicity.reject(docs, labels).collect()} == {d for d, r in got.items() if not r.predicted}
+
+
+def test_copy_index_against_brute_force():
+    rng = random.Random(22)
+    texts = [[rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(400)]
+    texts += [[w for w in t if rng.random() > 0.2] for t in texts]
+    held = [toxicity.hashed(toxicity.Counter(t)) for t in texts]
+    table = pa.table({"doc_id": range(500), "y": pa.array([0] * 500, pa.int32()), "sketch": range(500), "words": [h.tobytes() for h, _ in held[:500]], "n": [zlib.compress(n.tobytes()) for _, n in held[:500]]})
+    index = toxicity.CopyIndex(toxicity.Examples(table), 0.7)
+    df = toxicity.Counter(w for t in texts[:500] for w in set(t))
+    def vector(t):
+        v = {w: (1 + np.log(n)) * (np.log(501 / (1 + df[w])) + 1) for w, n in toxicity.Counter(t).items()}
+        return {w: x / sum(y * y for y in v.values()) ** 0.5 for w, x in v.items()}
+    vectors = [vector(t) for t in texts]
+    for q, h in zip(vectors, held, strict=True):
+        cos = [sum(x * v.get(w, 0.0) for w, x in q.items()) for v in vectors[:500]]
+        got = {d: c for i, c in index.search(*h) for d, _ in index.rows[i]}
+        assert got.keys() == {i for i, c in enumerate(cos) if c >= 0.7} and all(abs(cos[i] - c) < 1e-5 for i, c in got.items())
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = registered.op5_quality_classifier(spark, SF).join(labels, "doc_id").where("held_out").collect()
