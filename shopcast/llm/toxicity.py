@@ -25,8 +25,8 @@ not chance (log-likelihood ratio above 2 ln(words tested) + 4, which keeps false
 terms rare at any number of words) and whose texts are toxic at a share nearer to 1
 than to the share of all texts (so that words which only lean to one side stay out,
 however many texts show it). Then, as long as words are found, the same share and a
-binomial test with a false discovery rate of ``FALSE`` over the texts without a term so
-far: as the terms explain nearly all toxic texts, a word in two or three of the others stands
+binomial test with a false discovery rate of ``FALSE`` (among the words of at least 2, 3, ..
+6 texts each) over the texts without a term so far: as the terms explain nearly all toxic texts, a word in two or three of the others stands
 out. Counted once per group of near copies (texts
 whose word triples have the same two smallest hashes), so that a copied text does not make its
 words evidence. Without this choice, cosine would compare what texts are about
@@ -381,13 +381,15 @@ def further(e: Examples, known: list[str], most: int) -> set[int]:
         rate = toxic / left
         n = np.bincount(word[free[row]], minlength=len(every))
         a = np.bincount(word[(free & (y == 1))[row]], minlength=len(every))
-        tested = int((n >= 2).sum())
         some = np.flatnonzero((n >= 2) & (a >= 2) & (a >= n * (1 + rate) / 2))
         kinds, of = np.unique(np.stack([a[some], n[some]]), axis=1, return_inverse=True)
         chance = np.array([_chance(int(i), int(k), rate) for i, k in kinds.T])[of.ravel()]
         order = np.lexsort((every[some], chance))
-        fine = np.flatnonzero(chance[order] <= FALSE * np.arange(1, len(some) + 1) / max(1, tested))
-        new = some[order[:fine[-1] + 1]] if len(fine) else some[:0]
+        new = some[:0]
+        for least in range(2, 7):  # words of few texts cannot stand out in a small sample and only raise the bar for the others
+            held = order[n[some[order]] >= least]
+            fine = np.flatnonzero(chance[held] <= FALSE * np.arange(1, len(held) + 1) / max(1, int((n >= least).sum())))
+            new = np.union1d(new, some[held[:fine[-1] + 1]]) if len(fine) else new
         if not len(new):
             break
         term[new] = True

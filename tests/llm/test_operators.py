@@ -361,6 +361,27 @@ def test_toxicity_copies_and_rare_insults(spark):
     assert {r.doc_id for r in toxicity.reject(docs, labels).collect()} == {d for d, r in got.items() if not r.predicted}
 
 
+def test_toxicity_stage_recall(spark, tmp_path):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in registered.op8_toxicity(spark, SF).collect()}
+    toxic = [r.doc_id for r in labels.where("toxic = 1").collect()]
+    assert all(got[d].predicted for d in toxic if not got[d].held_out)
+    assert np.mean([got[d].predicted for d in toxic if got[d].held_out]) > 0.6  # two of six hold no insult and have no labelled copy
+    rng = random.Random(23)
+    clean = [r for r in docs.join(labels.where("toxic = 0"), "doc_id", "left_semi").where("length(text) > 800").orderBy("doc_id").collect()]
+    pool = [w for r in clean for w in r.text.split()]
+    planted = [(10**6 + i, rng.sample(pool, 150)) for i in range(4)]  # toxic by no single word
+    planted += [(10**6 + 10 + i, [*rng.sample(pool, 60), "zwiderwurz", *rng.sample(pool, 60)]) for i in range(5)]
+    near = [(2 * 10**6 + d, [x if j % 10 else "changed" + str(j) for j, x in enumerate(w)]) for d, w in planted[:4]]
+    rare = [(3 * 10**6, [*rng.sample(pool, 150), "Zwiderwurz!"])]
+    more = spark.createDataFrame([(d, " ".join(w)) for d, w in [*planted, *[(4 * 10**6 + d, w) for d, w in planted], *near, *rare]], "doc_id long, text string")
+    labels.select("doc_id", "toxic").union(spark.createDataFrame([(d, 1) for d, _ in planted], "doc_id long, toxic int")).write.parquet(f"{tmp_path}/labels.parquet")
+    every = docs.unionByName(more.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("x").alias("source"), F.length("text").cast(dict(docs.dtypes)["n_chars"]).alias("n_chars")))
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, every, str(tmp_path)).collect()}
+    assert kept & {r.doc_id for r in more.collect()} == set() and kept & set(toxic) == set()
+    assert {r.doc_id for r in labels.where("toxic = 0").collect()} <= kept
+
+
 def test_copy_index_against_brute_force():
     rng = random.Random(22)
     texts = [[rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(400)]
