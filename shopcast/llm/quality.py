@@ -9,7 +9,7 @@ text, and a softmax layer turns the average into a probability. Table and layer
 are learned together by stochastic gradient descent in numpy.
 
 Fitting uses at most ``FIT_ROWS`` labelled texts of each class, those whose ids
-hash lowest, whole texts; one task learns from their feature counts. The sample
+hash lowest, whole texts, one of each id; one task learns from their feature counts. The sample
 is balanced, so the classes' counts over all labels given enter the softmax as
 the prior. Scoring covers all rows and whole texts in one pass; as the average is
 linear, a feature's share in the logit is one number of a table of ``BUCKETS``
@@ -104,6 +104,13 @@ def labelled(labels: DataFrame, label: str) -> DataFrame:
     return one.where("y <> 0.5").select("doc_id", (F.col("y") > 0.5).cast("int").alias("y"))
 
 
+def one_text(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, y, text): a row per id of ``ids`` (doc_id, y; few rows) that ``docs`` has; of an id's rows, the text with the smallest hash."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    least = F.min(F.struct(F.col("text").isNull().alias("none"), F.xxhash64("text").alias("hash"), "text")).alias("least")
+    return texts.groupBy("doc_id", "y").agg(least).select("doc_id", "y", "least.text")
+
+
 class Model:
     """``weights``: logit by bucket and the bias; ``prior``: logit of class 1 among all labels."""
 
@@ -141,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     order = F.xxhash64("doc_id", F.lit(SEED))
     lowest = [labels.where(F.col("y") == y).orderBy(order, "doc_id").limit(fit_rows) for y in (0, 1)]
     # At most 2 * fit_rows ids.
-    sample = F.broadcast(lowest[0].union(lowest[1]))
+    sample = lowest[0].union(lowest[1])
 
     def count(batches):
         for b in text_slices(batches):
@@ -153,8 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         weights = train(rows) if len({r[0] for r in rows}) == 2 else np.zeros(BUCKETS + 1, np.float32)
         return pa.table({"model": pa.array([weights.tobytes()], pa.binary())})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("doc_id", "y", "text")
-    found = texts.mapInArrow(count, "doc_id long, y int, ids binary, n binary").groupBy((F.col("y") * 0).alias("all")).applyInArrow(learn, "model binary").collect()
+    found = one_text(docs, sample).mapInArrow(count, "doc_id long, y int, ids binary, n binary").groupBy((F.col("y") * 0).alias("all")).applyInArrow(learn, "model binary").collect()
     weights = np.frombuffer(found[0]["model"], np.float32) if found else np.zeros(BUCKETS + 1, np.float32)
     return Model(weights, prior)
 

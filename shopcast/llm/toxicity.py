@@ -32,7 +32,7 @@ whose word triples have the same two smallest hashes), so that a copied text doe
 words evidence. Without this choice, cosine would compare what texts are about
 and not how they speak, which is what the second score is for.
 
-Fitting uses at most ``FIT_ROWS`` labelled texts, those whose ids hash lowest, and
+Fitting uses at most ``FIT_ROWS`` labelled texts, those whose ids hash lowest, one text of each id, and
 at most ``TERMS`` terms, the best first; these bounds hold the indexes that the
 tasks get. Document frequencies of terms are counted over all texts, those of other words
 over the examples, and every row is scored.
@@ -60,7 +60,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopcast.llm.common import materialize, text_pieces, text_slices
-from shopcast.llm.quality import labelled
+from shopcast.llm.quality import labelled, one_text
 
 __all__ = ["labelled", "fit", "scores", "reject", "BlockMaxIndex", "CopyIndex", "Model"]
 
@@ -425,9 +425,8 @@ def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, terms: int = TERMS, k: int = K) -> tuple[Model, DataFrame]:
     """The model, and the term counts of all rows of ``docs`` (doc_id, text). ``labels``: doc_id, y."""
     # At most fit_rows ids.
-    ids = F.broadcast(labels.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(fit_rows))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    labelled_texts = materialize(texts.join(ids, "doc_id").select("doc_id", "y", "text"))
+    ids = labels.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(fit_rows)
+    labelled_texts = materialize(one_text(docs, ids))
     vocab = vocabulary(labelled_texts, terms)
     every = examples(labelled_texts)
     vocab = sorted({*vocab, *spelled(labelled_texts, further(every, vocab, terms - len(vocab)))})
@@ -436,7 +435,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, terms: int
     df = {r["t"]: r["n"] for r in counts.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
     idf = np.array([math.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(len(vocab))])
     model = Model({t: i for i, t in enumerate(vocab)}, idf, k=k)
-    sample = counts.join(ids, "doc_id")
+    sample = term_counts(labelled_texts, vocab).join(labelled_texts.select("doc_id", "y"), "doc_id")
     plain = sample.where(F.size("terms") == 0).agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     model.base = (plain[1] + 0.5) / (plain[0] + 1) if len(every.ids) else 0.49
     model.copies = CopyIndex(every, terms=model.terms)

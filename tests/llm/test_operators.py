@@ -382,6 +382,14 @@ def test_toxicity_stage_recall(spark, tmp_path):
     assert {r.doc_id for r in labels.where("toxic = 0").collect()} <= kept
 
 
+def test_a_labelled_id_that_repeats_is_one_example(spark):
+    data = _learned(spark, 300)
+    labels, again = data.select("doc_id", "y"), data.where("doc_id = 7").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("n")
+    assert toxicity.fit(data.union(again), labels)[0].copies.n == labels.count()
+    models = [quality.fit(d, labels) for d in (data, data.union(again))]
+    assert (models[0].weights == models[1].weights).all()
+
+
 def test_copy_index_against_brute_force():
     rng = random.Random(22)
     texts = [[rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(400)]
