@@ -4,30 +4,35 @@ Method. A text is a sequence of words (runs of ASCII letters, digits and
 non-ASCII bytes, ASCII lower-cased) and of its shingles of
 ``min(5, words of the template)`` words. For templates of one size class
 (shingle length, number of shingles rounded up to a power of two, L) the text is
-cut into windows of 2 L shingles, every L shingles, so a notice of up to L + 1
-shingles lies in one window whole. A window's MinHash signature, in bands of
-``ROWS`` values, retrieves the templates that share a band. For each, the share
-of the template's distinct shingles that occur in the window is counted exactly;
-from 0.8 on it is a match.
-
-Guarantee: a window of 2 L shingles that holds a share of at least 0.8 of a
+cut into windows of 2 L shingles, every L shingles from its beginning. A window's
+MinHash signature, in bands of ``ROWS`` values, retrieves the templates that share a
+band. For a text and a template so retrieved, all places of the template's shingles in the
+text are taken, without regard to windows. Places less than 2 L apart belong
+together; from the first on, the places are taken until they hold a share of at
+least 0.8 of the template's distinct shingles, those in front that come again are dropped,
+and the places that follow are added until one repeats. That is a match; the next is sought behind it.
+
+Guarantee: a text is missed only if no window of it shares a band with the template. A
+window of 2 L shingles that holds a share of at least 0.8 of a
 template of more than L / 2 shingles has a Jaccard similarity with it of at
 least 0.8 (L / 2) / (2 L + 0.2 (L / 2)) > 0.19. With ROWS = 1 a band agrees with
 that probability, so all of ``BANDS`` = 64 bands miss with a probability under
-2e-6 (for a template of L shingles contained whole: 0.5 ** 64).
+2e-6 (for a template of L shingles contained whole: 0.5 ** 64). A match that a border cuts or
+that insertions stretch lies in several windows with smaller shares, each of which may retrieve it.
 
 Scale: one pass without a shuffle; what is sent to the tasks is the list of
 templates, a parameter. Texts are hashed about a megabyte at a time; a longer
 text is hashed whole.
 
-Rows: null and empty texts have no match; of matching windows that touch, the
-one that holds most (the first of these) is the match, so a text has a row for each
-separate occurrence; repeated rows are scanned each; a null doc_id is passed on;
+Rows: null and empty texts have no match; a text has a row for each
+separate occurrence, whatever rows stand beside it; repeated rows are scanned each; a null doc_id is passed on;
 further columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,6 +87,31 @@ def _blocks(values: np.ndarray, length: int) -> np.ndarray:
     return values
 
 
+def occurrences(at: np.ndarray, values: np.ndarray, size: int, threshold: float, gap: int) -> list[tuple[int, int, float]]:
+    """First and last place, and share, of each occurrence of a template with ``size`` shingles, of which ``values`` stand at the places ``at``."""
+    out, at, values = [], at.tolist(), values.tolist()
+    held: Counter = Counter()
+    lo, hi = 0, 0
+    while hi < len(at):
+        if hi > lo and at[hi] - at[hi - 1] >= gap:
+            held.clear()
+            lo = hi
+        held[values[hi]] += 1
+        hi += 1
+        if len(held) / size < threshold:
+            continue
+        while held[values[lo]] > 1:
+            held[values[lo]] -= 1
+            lo += 1
+        while hi < len(at) and at[hi] - at[hi - 1] < gap and values[hi] not in held:
+            held[values[hi]] += 1
+            hi += 1
+        out.append((at[lo], at[hi - 1], len(held) / size))
+        held.clear()
+        lo = hi
+    return out
+
+
 class Library:
     """Templates by size class (shingle length, L), with a table of each band's keys."""
 
@@ -143,25 +173,23 @@ class Library:
             shingles = s.of(n)
             if not len(shingles):
                 continue
-            hits: dict[tuple[int, int, int], list[tuple[int, float, int, int]]] = {}
-            for length, w, k in sorted((self.windows if exhaustive else self.candidates)(shingles, n)):
-                own = self.classes[n, length][k][1]
-                at = np.flatnonzero(np.isin(shingles[w * length:(w + 2) * length], own)) + w * length
-                for doc in np.unique(t.doc[at]).tolist():  # a window may reach over several texts
-                    inside = at[t.doc[at] == doc]
-                    share = len(np.unique(shingles[inside])) / len(own)
-                    if share >= threshold:
-                        first = int(t.start[doc])
-                        hits.setdefault((doc, length, k), []).append((w, share, int(t.begin[inside[0]]) - first, int(t.end[inside[-1] + n - 1]) - first))
-            for (doc, length, k), run in hits.items():
-                for i, hit in enumerate(run):
-                    if i == 0 or hit[0] > run[i - 1][0] + 1:
-                        best = hit
-                        found.append([doc, self.classes[n, length][k][0], *best[1:]])
-                    elif hit[1] > best[1]:
-                        best = hit
-                        found[-1][2:] = best[1:]
-        return sorted(tuple(f) for f in found)
+            # Each text begins with a block of the largest class and is followed by an empty one.
+            doc, block = t.doc[:len(shingles)], max(length for m, length in self.classes if m == n)
+            first = np.searchsorted(doc, np.arange(len(texts) + 1))
+            blocks = np.where(np.diff(first) > 0, -(-np.diff(first) // block) + 1, 0)
+            begin = np.append(0, np.cumsum(blocks * block))
+            spread = np.zeros(begin[-1], np.uint64)
+            spread[np.arange(len(shingles)) + (begin - first)[doc]] = shingles
+            pairs = set()
+            for length, w, k in (self.windows if exhaustive else self.candidates)(spread, n):
+                for at in (w * length, min((w + 1) * length, len(spread) - 1)):
+                    pairs.add((int(np.searchsorted(begin, at, side="right")) - 1, length, k))
+            for d, length, k in pairs:
+                name, own = self.classes[n, length][k]
+                at = np.flatnonzero(np.isin(shingles[first[d]:first[d + 1]], own)) + first[d]
+                for i, j, share in occurrences(at, shingles[at], len(own), threshold, 2 * length):
+                    found.append((d, name, share, int(t.begin[i] - t.start[d]), int(t.end[j + n - 1] - t.start[d])))
+        return sorted(found)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -477,6 +477,33 @@ def test_licenses(spark):
         assert licenses.Shingles([(texts[r.doc_id]).encode()[r.begin_byte:r.end_byte].decode()]).words.size >= 5
 
 
+def test_licenses_do_not_depend_on_windows():
+    rng = random.Random(31)
+    library, every = licenses.Library(licenses.TEMPLATES), licenses.TEMPLATES
+    notice = every["Apache-2.0-header"].split()
+    edited = notice[:15] + [f"new{i}" for i in range(12)] + notice[15:]
+    for before in range(70):  # all places in the windows
+        text = " ".join([f"w{i}" for i in range(before)] + edited + ["end"])
+        got = [m for m in library.scan([text]) if m[1] == "Apache-2.0-header"]
+        assert len(got) == 1 and got[0][2] == 23 / 27 and text[got[0][3]:got[0][4]] == " ".join(edited)
+        assert [(0, *m[1:]) for m in library.scan(["x " * before, text]) if m[1] == "Apache-2.0-header"] == got
+    assert [m[1] for m in library.scan([" ".join(notice + notice + ["and"] + notice)])].count("Apache-2.0-header") == 3
+    for _ in range(60):  # a brute force over the whole text: which templates it holds
+        name = rng.choice(sorted(every))
+        words = every[name].split()
+        for _ in range(rng.randint(0, 2)):
+            words.insert(rng.randrange(len(words)), " ".join(["more"] * rng.randint(1, 12)))
+        words = " ".join([f"w{i}" for i in range(rng.randint(0, 90))] + words).split()
+        plain = lambda t: "".join(c if c.isalnum() else " " for c in t.lower()).split()
+        want = set()
+        for other, text in every.items():
+            n = min(5, len(plain(text)))
+            own, there = ({tuple(w[i:i + n]) for i in range(len(w) - n + 1)} for w in (plain(text), plain(" ".join(words))))
+            if len(own & there) / len(own) >= 0.8:
+                want.add(other)
+        assert {m[1] for m in library.scan([" ".join(words)])} == want
+
+
 # -- pipeline ----------------------------------------------------------------------
 
 def test_pipeline_against_brute_force(spark, hf, tmp_path):
