@@ -213,10 +213,16 @@ class CopyIndex:
 
     def _post(self) -> None:
         row = np.repeat(np.arange(len(self.rows), dtype=np.int32), np.diff(self.begin))
-        weight = (1 + np.log(self.times.astype(np.float32))) * self.idf[self.term]
-        self.weight = weight / np.sqrt(np.bincount(row, weight**2, len(self.rows))).astype(np.float32)[row]
+        self.weight = np.log(self.times, dtype=np.float32)
+        self.weight += 1
+        self.weight *= self.idf[self.term]
+        for lo in range(0, len(self.rows), 1000):  # a part at a time for the sake of memory
+            at = slice(self.begin[lo], self.begin[min(lo + 1000, len(self.rows))])
+            norm = np.sqrt(np.bincount(row[at] - lo, self.weight[at]**2)).astype(np.float32)
+            self.weight[at] /= norm[row[at] - lo]
         order = np.argsort(self.term, kind="stable")
         self.posts, self.post_weight = row[order], self.weight[order]
+        del order, row
         self.post = np.append(0, np.cumsum(np.bincount(self.term, minlength=len(self.words))))
 
     def search(self, h: np.ndarray, n: np.ndarray) -> list[tuple[int, float]]:
