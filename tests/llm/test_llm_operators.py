@@ -1,7 +1,9 @@
 """Each operator against a brute-force version, an exact round trip or held-out labels."""
 
+import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -11,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shopcast.llm import dedup, licenses, mixing, packing, quality, simhash, tokens, topk, toxicity
+from shopcast.llm import centroids, dedup, divergence, licenses, mixing, packing, pieces, quality, simhash, tokens, topk, toxicity
 from shopcast.llm import queries as registered
 from shopcast.testing import compare, duck
 
@@ -540,3 +542,101 @@ def test_pipeline_against_brute_force(spark, hf, tmp_path):
             assert max(seqs.values()) <= 1024
     final = corpus_pipeline.run(spark, SF)
     assert final.count() == docs.count()
+
+
+# -- centroid clustering -----------------------------------------------------------
+
+def _lloyd(vectors, k, rounds, scale=1024, seed=3):
+    x = [(i, [int(np.floor(scale * np.float64(np.float32(c)))) for c in v]) for i, v in vectors]
+    c = [v for _, v in sorted(x, key=lambda r: (hashlib.sha256(f"{seed}:{r[0]}".encode()).hexdigest(), r[1]))[:k]]
+    nearest = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, m, strict=True)), j) for j, m in enumerate(c))
+    for _ in range(rounds):
+        of = [nearest(v)[1] for _, v in x]
+        c = [[sum(col) // of.count(j) for col in zip(*(v for (_, v), z in zip(x, of, strict=True) if z == j), strict=True)] if j in of else m for j, m in enumerate(c)]
+    return sorted((i, *nearest(v)[::-1], hashlib.sha256(",".join(map(str, c[nearest(v)[1]])).encode()).hexdigest()) for i, v in x)
+
+
+@pytest.mark.parametrize("spread", [0.02, 2.0])
+def test_centroids_brute_force(spark, spread):
+    """Grouped vectors, where boxes settle most blocks, and scattered ones; a third of the rows is one vector."""
+    rng = np.random.default_rng(2)
+    middles = rng.normal(size=(6, 5)) * 3
+    x = np.concatenate([m + rng.normal(size=(60, 5)) * spread for m in middles] + [np.repeat(middles[:1], 180, axis=0)])
+    vectors = [(int(i), [float(c) for c in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(5)
+    got = centroids.cluster(df, k=7, rounds=4, dims=5).collect()
+    assert sorted((r.vec_id, r.cluster, r.distance, r.centroid_sha256) for r in got) == _lloyd(vectors, 7, 4)
+    for c in {r.cluster for r in got}:
+        assert {r.cluster_inertia for r in got if r.cluster == c} == {sum(r.distance for r in got if r.cluster == c)}
+    table = centroids.blocks(topk.scaled(df, 1024), 5, 16).collect()
+    assert sum(r.n for r in table) == len(x) and all(r.n <= 16 for r in table)
+    left = [len(centroids.candidates(np.array(r.lo), np.array(r.hi), np.floor(1024 * middles).astype(np.int64))) for r in table]
+    if spread < 1:
+        assert np.mean(left) < 2
+
+
+# -- sentencepiece -----------------------------------------------------------------
+
+def test_pieces_of_whole_documents(spark):
+    import public_tokenizers
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    texts |= {10_000: "日本執" * 40_000, 10_001: "a" * 300_000, 10_002: " " * 5000 + "x", 10_003: ("wörd " * 100_000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    ids = {i: sp.encode(t, add_bos=True, add_eos=True) for i, t in texts.items()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in pieces.round_trip(docs).collect()}
+    assert got == {i: (len(x), sha(np.array(x, "<u4").tobytes()), sha(sp.decode(x).encode())) for i, x in ids.items()}
+    encoded = pieces.encode(docs)
+    assert {r.doc_id: r.ids for r in encoded.collect()} == ids
+    assert {r.doc_id: r.text for r in pieces.decode(encoded).collect()} == {i: sp.decode(x) for i, x in ids.items()}
+
+
+# -- source divergence -------------------------------------------------------------
+
+def _audit(rows, min_docs, top=50):
+    def words(t):
+        return re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    docs = [(g or "", s or "", words(t)) for t, g, s in rows]
+    out = []
+    for lang in {d[0] for d in docs}:
+        mine = [d for d in docs if d[0] == lang]
+        kept = [t for t in {t for d in mine for t in d[2]} if sum(t in d[2] for d in mine) >= min_docs]
+        count = {s: {t: sum(d[2].count(t) for d in mine if d[1] == s) for t in kept} for s in {d[1] for d in mine}}
+        whole = {t: sum(c[t] for c in count.values()) for t in kept}
+        p = lambda c: {t: 1 + 10**9 * (c[t] + 5) // (sum(c.values()) + 5 * len(kept)) for t in kept}
+        ps, q = {s: p(c) for s, c in count.items()}, p(whole)
+        for s in ps:
+            pairs = sorted((-sum(abs(ps[s][t] - ps[o][t]) for t in kept), o.encode()) for o in ps if o != s)
+            lead = sorted((q[t] - ps[s][t], t.encode()) for t in kept if count[s][t] and ps[s][t] > q[t])[:top]
+            out += [(lang, s, part, i.decode(), -v, n) for part, g in (("pair", pairs), ("term", lead)) for n, (v, i) in enumerate(g, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("rows", "columns"), [(512, 4096), (3, 7)])
+def test_divergence_brute_force(spark, rows, columns):
+    """In one tile and in many bands and slices; one source has a third of the rows, some have one without terms."""
+    rng = random.Random(4)
+    vocabulary = ["a", "B", "éa", "Éa", "ÀZz", "日本", "x" * 300, *(f"w{chr(97 + i)}" for i in range(26))]
+    data = []
+    for i in range(600):
+        source = "hot" if i % 3 == 0 else rng.choice(["s1", "s2", "é", "Z", None, "s10", "s3", "s4"])
+        text = None if i % 50 == 1 else rng.choice([" ", "7", "\n", "--"]).join(rng.choice(vocabulary[:rng.randint(2, len(vocabulary))]) for _ in range(rng.randint(0, 30)))
+        data.append((text, rng.choice(["en", "en", "de", None]), source))
+    data += [("", "en", "empty"), ("alone once", "fr", "one"), (None, "fr", "two")]
+    df = spark.createDataFrame(data, "text string, lang string, source string").repartition(6)
+    got = sorted(tuple(r) for r in divergence.audit(df, min_docs=10, rows=rows, columns=columns).select("lang", "source", "part", "item", "value", "rank").collect())
+    assert got == _audit(data, 10)
+    assert any(r[2] == "term" for r in got) and any(r[0] == "fr" and r[4] == 0 for r in got)
+
+
+def test_divergence_passes_counts_on_when_a_task_holds_many(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = sorted(divergence.term_counts(docs).collect())
+    assert sorted(divergence.term_counts(docs, 100).collect()) == want
+    assert divergence.terms("Aé b1C\x00日") == ["aé".encode(), b"b", b"c", "日".encode()]
+    small = spark.createDataFrame([(t, "en", "s") for t in ("one two one", "Two three", None)], "text string, lang string, source string").coalesce(1)
+    assert sorted((r.term, r.n, r.docs) for r in divergence.term_counts(small).collect()) == [("", 0, 0), ("one", 2, 1), ("three", 1, 1), ("two", 2, 2)]
+    assert len(want) == len({(r.lang, r.source, r.term) for r in want})

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shopcast.llm import chat, dedup, licenses, mixing, packing, quality, simhash, tokens, topk, toxicity
+from shopcast.llm import centroids, chat, dedup, divergence, licenses, mixing, packing, pieces, quality, simhash, tokens, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `__id` string, Label int, copies int, kept string, `a.b` array<map<string,int>>"
 LONG = "word " * 30_000 + "x" * 5000
@@ -26,8 +26,9 @@ OPERATORS = {
     "dedup": lambda s, d: dedup.groups(d), "dedup_keep": lambda s, d: dedup.keep_unique(d), "packing": lambda s, d: packing.pack(d, with_ids=True),
     "toxicity": lambda s, d: toxicity.scores(d, _labels(s, [(1, 1), (7, 0), (99, 1)])), "toxicity_unlabelled": lambda s, d: toxicity.scores(d, _labels(s)), "reject": lambda s, d: toxicity.reject(d, _labels(s, [(1, 1), (7, 0)])),
     "tokens": lambda s, d: tokens.count_tokens(d), "licenses": lambda s, d: licenses.scan(d),
+    "pieces": lambda s, d: pieces.round_trip(d), "pieces_ids": lambda s, d: pieces.decode(pieces.encode(d)), "divergence": lambda s, d: divergence.audit(d), "divergence_all": lambda s, d: divergence.audit(d, min_docs=1),
 }
-PER_ROW = {"mixing", "simhash", "quality", "quality_unlabelled", "dedup", "toxicity", "toxicity_unlabelled", "tokens"}
+PER_ROW = {"mixing", "simhash", "quality", "quality_unlabelled", "dedup", "toxicity", "toxicity_unlabelled", "tokens", "pieces", "pieces_ids"}
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -50,6 +51,13 @@ def test_odd_rows(spark, name):
     if name == "tokens":
         assert {(r.doc_id, r.n_bytes, r.n_tokens) for r in rows if r.doc_id in (3, 4)} == {(3, 0, 0), (4, 0, 0)}
         assert [r.over_limit for r in rows if r.doc_id == 5] == [True]
+    if name == "pieces":
+        assert {r.n_tokens for r in rows if r.doc_id in (3, 4)} == {2} and all(r.same for r in rows)
+    if name == "pieces_ids":
+        assert sorted((r.doc_id or 0, r.text) for r in rows) == sorted((r[0] or 0, r[1] or "") for r in ROWS)
+    if name == "divergence":  # no term is in 30 documents
+        assert {(r.lang, r.source, r.item, r.value) for r in rows if r.source == "a"} == {("en", "a", s, 0) for s in ("b", "", "c", "d")}
+        assert {r.part for r in rows} == {"pair"} and [r.item for r in sorted(rows, key=lambda r: r["rank"]) if r.source == "a"] == ["", "b", "c", "d"]
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -95,3 +103,18 @@ def test_topk_rows(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
     huge = spark.createDataFrame([(0, [3e30, 1.0]), (1, [3e30, 1.0]), (2, [-3e30, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.vec_id, r.score) for r in topk.top_k(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, -(2**63))]
+
+
+def test_centroid_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    vectors = [(1, [1.0, 0.5]), (1, [1.0, 0.5]), (2, None), (3, [1.0, None]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, []), (7, [1.0]), (8, [0.5, 0.25, 9.0]), (None, [-2.0, -2.0]), (9, [-1.0, -1.0]), (9, [-1.0, 1.0])]
+    df = spark.createDataFrame([(*v, "x", 1) for v in vectors], "vec_id long, embedding array<float>, cluster string, uid int")
+    rows = centroids.cluster(df, k=3, dims=2).collect()
+    assert sorted((r.vec_id or 0) for r in rows) == [0, 1, 1, 9, 9]
+    assert {r.inertia for r in rows} == {sum(r.distance for r in rows)}
+    assert centroids.cluster(df.limit(0), dims=2).collect() == []
+    assert centroids.cluster(df, dims=5).collect() == []
+    few = centroids.cluster(df, k=8, dims=2).collect()  # fewer vectors than clusters: all are starts
+    assert {r.distance for r in few} == {0} and len({r.cluster for r in few}) == 4
+    huge = spark.createDataFrame([(0, [3e30, 1.0]), (1, [3e30, 1.0]), (2, [-3e30, 1.0]), (3, [-3e30, 1.0])], "vec_id long, embedding array<float>")
+    assert {r.distance for r in centroids.cluster(huge, k=1, dims=2).collect()} <= {2**63 - 1} and len(centroids.cluster(huge, k=2, dims=2).collect()) == 4
