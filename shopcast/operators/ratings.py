@@ -8,10 +8,15 @@ partial/final aggregate on the same key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopcast.functions.expr import top_n
+from shopcast.operators import blocked as bl
 from shopcast.operators import spine
 from shopcast.session import materialize
 from shopcast.sources.tables import Tables
@@ -59,21 +64,12 @@ def item_similarity(r: DataFrame, of: DataFrame | None = None, heavy: int = HEAV
     """
     a = r.select("user_id", F.col("product_id").alias("item_i"), F.col("rating").alias("ri"))
     b = r.select("user_id", F.col("product_id").alias("item_j"), F.col("rating").alias("rj"))
-    chunks = (r.groupBy("user_id").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > heavy)
-              .select("user_id", F.ceil(F.col("__n") / heavy).cast("int").alias("__chunks")))
     if of is None:
         once = F.col("item_i") < F.col("item_j")
     else:
         once = F.col("item_i") != F.col("item_j")
         b = b.join(of.select(F.col("product_id").alias("item_j")).distinct(), "item_j", "left_semi")
-    light = a.join(chunks, "user_id", "left_anti").join(b, "user_id").where(once)
-    deal = lambda df, item, own, other: (df.join(chunks, "user_id")
-                                         .withColumn(own, F.pmod(F.xxhash64(item), F.col("__chunks")).cast("int"))
-                                         .withColumn(other, F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)))
-                                         .drop("__chunks"))
-    cut = (deal(a, "item_i", "__one", "__two").join(deal(b, "item_j", "__two", "__one"), ["user_id", "__one", "__two"]).where(once))
-    cols = ["item_i", "item_j", "ri", "rj"]
-    sums = (light.select(*cols).unionByName(cut.select(*cols)).groupBy("item_i", "item_j")
+    sums = (_user_pairs(r, a, b, once, heavy).groupBy("item_i", "item_j")
             .agg(F.sum(F.col("ri") * F.col("rj")).alias("__num"),
                  F.sum(F.col("ri") * F.col("ri")).alias("__si"),
                  F.sum(F.col("rj") * F.col("rj")).alias("__sj")))
@@ -88,6 +84,19 @@ def item_similarity(r: DataFrame, of: DataFrame | None = None, heavy: int = HEAV
         F.col("e.i").alias("item_i"), F.col("e.j").alias("item_j"), "similarity")
 
 
+def _user_pairs(r: DataFrame, a: DataFrame, b: DataFrame, once: Column, heavy: int) -> DataFrame:
+    """Rows of ``a`` and ``b`` (user_id, item_i / item_j, ...) of one user on which ``once`` holds; users with more than ``heavy`` rows in ``r`` chunk by chunk."""
+    chunks = (r.groupBy("user_id").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > heavy)
+              .select("user_id", F.ceil(F.col("__n") / heavy).cast("int").alias("__chunks")))
+    deal = lambda df, item, own, other: (df.join(chunks, "user_id")
+                                         .withColumn(own, F.pmod(F.xxhash64(item), F.col("__chunks")).cast("int"))
+                                         .withColumn(other, F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)))
+                                         .drop("__chunks"))
+    light = a.join(chunks, "user_id", "left_anti").join(b, "user_id").where(once)
+    cut = deal(a, "item_i", "__one", "__two").join(deal(b, "item_j", "__two", "__one"), ["user_id", "__one", "__two"]).where(once)
+    return light.unionByName(cut.drop("__one", "__two"))
+
+
 def global_mean(r: DataFrame) -> Column:
     """Mean of all ratings, as a scalar subquery."""
     return r.agg(F.avg("rating")).scalar()
@@ -97,62 +106,189 @@ def _clipped(estimate: Column) -> Column:
     return F.round(F.least(F.lit(RATING_MAX), F.greatest(F.lit(RATING_MIN), estimate)), ROUND)
 
 
-def _estimate(near: DataFrame, k: int) -> DataFrame:
-    """Weighted mean over the ``k`` most similar rows per (user_id, product_id) of ``near``."""
-    top = top_n(near, ["user_id", "product_id"], [F.col("__s").desc(), F.col("item_j")], k)
-    return top.groupBy("user_id", "product_id").agg(
-        (F.sum(F.col("__s") * F.col("rj")) / F.sum("__s")).alias("__est"),
-        F.count(F.lit(1)).alias("neighbours"))
+def clipped(estimate: np.ndarray | float) -> np.ndarray:
+    """As ``_clipped``, in numpy."""
+    return np.floor(np.clip(estimate, RATING_MIN, RATING_MAX) * 10**ROUND + 0.5) / 10**ROUND
 
 
-def predict(pairs: DataFrame, r: DataFrame, sim: DataFrame, k: int = NEIGHBOURS,
-            mean: Column | None = None) -> DataFrame:
-    """Predicted rating for each (user_id, product_id) of ``pairs``, a list of few products per user.
+#: Users of a block, columns and similarities of a slice of a block's part, and terms added up at a time.
+BLOCK, WIDTH, SLICE, TERMS = 16_384, 16_384, 1 << 21, 1 << 21
 
-    Neighbours of (u, i) are the items j rated by u with ``sim(i, j) > 0``;
-    the ``k`` most similar (similarity rounded to 9 decimals, then j) give
-    ``Σ sim·r / Σ sim``. Without neighbours the prediction is the global mean
-    of ``r``. Clipped to [1, 5]. Output ``user_id, product_id, prediction,
-    neighbours``. For all products of a user see :func:`predict_all`.
-    """
-    mean = mean if mean is not None else global_mean(r)
-    rated = r.select("user_id", F.col("product_id").alias("item_j"), F.col("rating").alias("rj"))
-    near = (pairs.select("user_id", "product_id").join(rated, "user_id")
-            .join(sim.select(F.col("item_i").alias("product_id"), "item_j", "similarity"),
-                  ["product_id", "item_j"])
-            .where(F.col("similarity") > 0)
-            .withColumn("__s", F.round("similarity", ROUND)))
-    est = _estimate(near, k)
-    return (pairs.select("user_id", "product_id").join(est, ["user_id", "product_id"], "left")
-            .select("user_id", "product_id", _clipped(F.coalesce("__est", mean)).alias("prediction"),
-                    F.coalesce("neighbours", F.lit(0)).alias("neighbours")))
-
-
-def predict_all(mine: DataFrame, sim: DataFrame, known: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """Predictions for every product that has a neighbour among a user's rated items and is not ``known``.
-
-    ``mine``: ``user_id, product_id, rating`` of the requested users; ``known``:
-    ``user_id, product_id``. One join of the rated items with the similarities.
-    The cut at ``k`` neighbours can only matter for a user with more than ``k``
-    rated items; all others are aggregated without a window. Output
-    ``user_id, product_id, prediction``.
+
+def predict_all(mine: DataFrame, sim: DataFrame, known: DataFrame, products: DataFrame, users: DataFrame, fallback: float,
+                limit: int, k: int = NEIGHBOURS, block: int = BLOCK, width: int = WIDTH, entries: int = SLICE) -> DataFrame:
+    """The ``limit`` best predictions of each user among the ``products`` that are not ``known``: ``user_id, product_id, prediction``.
+
+    Neighbours of (u, i) are the items j rated by u with ``sim(i, j) > 0``; the ``k`` most similar
+    (similarity rounded to 9 decimals, then j) give ``Σ sim·r / Σ sim``, clipped to [1, 5]. A product without
+    neighbours has the prediction ``fallback``. Ties go to the smaller id.
+
+    ``mine``: ``user_id, product_id, rating`` of the ``users`` (``user_id``, distinct); ``known``: ``user_id,
+    product_id``, distinct; ``products``: ``product_id``, distinct; ``sim``: both orders of each pair. All are read more than
+    once: pass written frames. The product of ratings and similarities is made block by block (see
+    ``operators.blocked``): users travel with their ratings and known products, an item's
+    similarities as one packed row per slice of columns to the blocks where somebody rated it. No term of a sum is a Spark row.
     """
-    n = mine.groupBy("user_id").agg(F.count(F.lit(1)).alias("__n"))
-    near = (mine.join(n, "user_id").select("user_id", "__n", F.col("product_id").alias("item_j"), F.col("rating").alias("rj"))
-            .join(sim.where(F.col("similarity") > 0).select("item_j", F.col("item_i").alias("product_id"),
-                                                            F.round("similarity", ROUND).alias("__s")), "item_j"))
-    # Known products take part in the aggregate as marked rows, which drops them without another join.
-    seen = F.lit(1).alias("__known")
-    sums = (near.where(F.col("__n") <= k)
-            .select("user_id", "product_id", (F.col("__s") * F.col("rj")).alias("__num"), "__s", F.lit(0).alias("__known"))
-            .unionByName(known.select("user_id", "product_id", F.lit(0.0).alias("__num"), F.lit(0.0).alias("__s"), seen))
-            .groupBy("user_id", "product_id")
-            .agg(F.sum("__num").alias("__num"), F.sum("__s").alias("__s"), F.max("__known").alias("__known"))
-            .where(F.col("__known") == 0)
-            .select("user_id", "product_id", (F.col("__num") / F.col("__s")).alias("__est")))
-    cut = (_estimate(near.where(F.col("__n") > k), k).select("user_id", "product_id", "__est")
-           .join(known.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti"))
-    return sums.unionByName(cut).select("user_id", "product_id", _clipped(F.col("__est")).alias("prediction"))
+    spark = mine.sparkSession
+    sim = sim.where(F.col("similarity") > 0)
+    grid = bl.Grid.of(users.count(), block, products.count(), width, 2 * spark.sparkContext.defaultParallelism, sim.count(), entries)
+    none = F.lit(None).cast("double")
+    lists = (mine.select("user_id", "product_id", "rating", F.lit(False).alias("known"))
+             .unionByName(known.join(users, "user_id", "left_semi").select("user_id", "product_id", none.alias("rating"), F.lit(True).alias("known")))
+             .unionByName(users.select("user_id", F.lit(None).cast("long").alias("product_id"), none.alias("rating"), F.lit(None).cast("boolean").alias("known")))
+             .groupBy("user_id").agg(F.collect_list(F.when(~F.col("known"), F.struct("product_id", "rating"))).alias("rated"),
+                                     F.collect_list(F.when(F.col("known"), F.col("product_id"))).alias("seen")))
+    columns = products.groupBy(grid.slot("product_id").alias("slot")).agg(F.collect_list("product_id").alias("ids"))
+    near = (sim.groupBy("item_j", grid.slot("item_i").alias("slot"))
+            .agg(F.collect_list(F.struct(F.col("item_i").alias("i"), F.round("similarity", ROUND).alias("s"))).alias("near")))
+    wanted = mine.select(F.col("product_id").alias("item_j"), grid.block("user_id").alias("block")).distinct()
+    rows = (grid.rows(lists, bl.USERS, block=grid.block("user_id"), key=F.col("user_id"), ids=F.col("rated.product_id"), vals=F.col("rated.rating"), more=F.col("seen"))
+            .unionByName(grid.rows(columns, bl.COLUMNS, slot=F.col("slot"), ids=F.col("ids")))
+            .unionByName(grid.rows(near.join(wanted, "item_j"), bl.ROWS, block=F.col("block"), slot=F.col("slot"), key=F.col("item_j"),
+                                   ids=F.col("near.i"), vals=F.col("near.s"))))
+    return grid.run(rows, lambda runs: _predictions(runs, k, limit, fallback), limit).select(
+        "user_id", F.col("column").alias("product_id"), F.col("value").alias("prediction"))
+
+
+def _predictions(runs: Iterator[tuple], k: int, limit: int, fallback: float) -> Iterator[tuple]:
+    """Best predictions of one block of users over one part of the products."""
+    users: list = []
+    slices: dict[int, list] = {}
+    state = best = None
+
+    def close() -> None:
+        for columns, keys, lengths, items, weights in slices.values():
+            cols = np.sort(np.concatenate(columns)) if columns else np.zeros(0, np.int64)
+            joined = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.int64), (lengths, np.int64), (items, np.int64), (weights, float))]
+            _add_slice(state, best, cols, Neighbours.of(cols, *joined), k, limit, fallback)
+        slices.clear()
+
+    for at, tag, rows in runs:
+        if tag == bl.USERS:
+            users.append(rows)
+            continue
+        if state is None:
+            state = _Rated(users)
+            best = bl.Best(len(state.ids), limit)
+        if at not in slices:
+            close()
+            slices[at] = [[], [], [], [], []]
+        columns, keys, lengths, items, weights = slices[at]
+        ids, n = bl.flat(rows.column("ids"))
+        if tag == bl.COLUMNS:
+            columns.append(ids)
+        else:
+            keys.append(rows.column("key").to_numpy())
+            lengths.append(n)
+            items.append(ids)
+            weights.append(bl.flat(rows.column("vals"))[0])
+    if state is not None and len(state.ids):
+        close()
+        yield best.packed(state.ids)
+
+
+class _Rated:
+    """Users of a block: what they rated and what they know, in the order of the users."""
+
+    def __init__(self, batches: list):
+        cols = [[bl.flat(b.column(c)) for b in batches] for c in ("ids", "more")]
+        self.ids = np.concatenate([b.column("key").to_numpy() for b in batches] or [np.zeros(0, np.int64)])
+        join = lambda parts, x: np.concatenate([p[x] for p in parts] or [np.zeros(0, np.int64)])
+        self.item, n = join(cols[0], 0), join(cols[0], 1)
+        self.rating = np.concatenate([bl.flat(b.column("vals"))[0] for b in batches] or [np.zeros(0)])
+        self.known, m = join(cols[1], 0), join(cols[1], 1)
+        self.rated_at, self.known_at = bl.starts(n), bl.starts(m)
+
+
+@dataclass
+class Neighbours:
+    """Similarities of a slice: per item (``keys``, sorted) the columns ``col`` and weights from ``first`` to the next."""
+
+    keys: np.ndarray
+    first: np.ndarray
+    col: np.ndarray
+    weight: np.ndarray
+    width: int
+
+    @classmethod
+    def of(cls, cols: np.ndarray, keys: np.ndarray, lengths: np.ndarray, items: np.ndarray, weights: np.ndarray) -> Neighbours:
+        order = np.argsort(keys, kind="stable")
+        at, _ = bl.spans(bl.starts(lengths)[:-1][order], lengths[order])
+        col, there = bl.find(cols, items[at])
+        n = np.bincount(np.repeat(np.arange(len(keys)), lengths[order])[there], minlength=len(keys))
+        return cls(keys[order], bl.starts(n), col[there], weights[at][there], len(cols))
+
+    def between(self, low: int, high: int) -> Neighbours:
+        """Columns low <= col < high only, numbered as before."""
+        inside = (self.col >= low) & (self.col < high)
+        n = np.bincount(np.repeat(np.arange(len(self.keys)), np.diff(self.first))[inside], minlength=len(self.keys))
+        return Neighbours(self.keys, bl.starts(n), self.col[inside], self.weight[inside], self.width)
+
+
+def _add_slice(users: _Rated, best: bl.Best, cols: np.ndarray, near: Neighbours, k: int, limit: int, fallback: float) -> None:
+    """Predictions of all users of the block for the products ``cols`` of a slice."""
+    row, there = bl.find(near.keys, users.item)
+    terms = np.where(there, np.diff(near.first)[row] if len(near.keys) else 0, 0)
+    load = bl.starts(terms)[users.rated_at]  # terms before each user
+    low = 0
+    while low < len(users.ids):
+        most = np.searchsorted(load, load[low] + TERMS, side="right") - 1
+        high = int(min(len(users.ids), max(low + 1, most), low + max(1, 4 * TERMS // max(1, near.width))))
+        _add_users(users, best, cols, near, row, there, low, high, k, limit, fallback)
+        low = high
+
+
+def _add_users(users, best, cols, near, row, there, low, high, k, limit, fallback) -> None:
+    n = high - low
+    rated = slice(int(users.rated_at[low]), int(users.rated_at[high]))
+    user = np.repeat(np.arange(n), np.diff(users.rated_at[low:high + 1]))[there[rated]]
+    rows, item, rating = (x[rated][there[rated]] for x in (row, users.item, users.rating))
+    cell, estimate = _sums(near, user, rows, item, rating, k)
+    seen = slice(int(users.known_at[low]), int(users.known_at[high]))
+    col, is_col = bl.find(cols, users.known[seen])
+    known = np.unique((np.repeat(np.arange(n), np.diff(users.known_at[low:high + 1])) * near.width + col)[is_col])
+    new = ~bl.find(known, cell)[1]
+    u, c = np.divmod(cell[new], max(1, near.width))
+    best.add(low, high, low + u, cols[c], clipped(estimate[new]))
+    # Products without a neighbour all have the same prediction: the smallest ids can be listed, where it reaches a user's last one.
+    short = np.flatnonzero(best.bar[low:high] <= fallback)
+    taken = np.sort(np.concatenate([known, cell[new]]), kind="stable") if len(short) else known
+    fill = []
+    for u in short.tolist():
+        mine = taken[np.searchsorted(taken, u * near.width):np.searchsorted(taken, (u + 1) * near.width)] - u * near.width
+        front = np.ones(min(near.width, limit + len(mine)), bool)
+        front[mine[mine < len(front)]] = False
+        fill.append(np.flatnonzero(front)[:limit])
+    if fill:
+        free = np.concatenate(fill)
+        best.add(low, high, low + np.repeat(short, [len(f) for f in fill]), cols[free], np.full(len(free), fallback))
+
+
+def _sums(near: Neighbours, user: np.ndarray, rows: np.ndarray, item: np.ndarray, rating: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells (user * width + column) that have a neighbour, sorted, and their estimates."""
+    lengths = near.first[rows + 1] - near.first[rows] if len(rows) else np.zeros(0, np.int64)
+    total = int(lengths.sum())
+    if not total:
+        return np.zeros(0, np.int64), np.zeros(0)
+    if total > 2 * TERMS and len(np.unique(near.col)) > 1:  # one user with more terms than a task should hold: fewer columns at a time
+        middle = int(np.median(np.unique(near.col))) + 1
+        middle = min(middle, int(near.col.max()))
+        parts = [_sums(half, user, rows, item, rating, k) for half in (near.between(0, middle), near.between(middle, near.width))]
+        cell, estimate = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(cell, kind="stable")
+        return cell[order], estimate[order]
+    at, owner = bl.spans(near.first[rows], lengths)
+    s, cell = near.weight[at], user[owner] * near.width + near.col[at]
+    cells, of = bl.numbered(cell)
+    count = np.bincount(of)
+    if k < count.max():  # cells with more than k neighbours keep the k most similar
+        crowded = np.flatnonzero(count[of] > k)
+        order = crowded[np.lexsort((item[owner[crowded]], -s[crowded], of[crowded]))]
+        out = order[bl.place_in_group(of[order]) >= k]
+        s = s.copy()
+        s[out] = 0.0
+    den = np.bincount(of, weights=s)
+    return cells, np.bincount(of, weights=s * rating[owner]) / den
 
 
 def fold_of(n_folds: int = 3) -> Column:
@@ -160,29 +296,39 @@ def fold_of(n_folds: int = 3) -> Column:
     return F.pmod(F.col("user_id") * F.lit(31) + F.col("product_id"), F.lit(n_folds)).cast("int")
 
 
+def fold_pairs(r: DataFrame, folds: int = 3, heavy: int = HEAVY_USER) -> DataFrame:
+    """Every pair of items of a user once: ``user_id, item_i, item_j, ri, rj, fi, fj`` (items, ratings and folds), item_i < item_j."""
+    side = lambda i: r.select("user_id", F.col("product_id").alias(f"item_{i}"), F.col("rating").alias(f"r{i}"), fold_of(folds).alias(f"f{i}"))
+    return _user_pairs(r, side("i"), side("j"), F.col("item_i") < F.col("item_j"), heavy)
+
+
 def cross_validate(r: DataFrame, folds: int = 3, k: int = NEIGHBOURS) -> DataFrame:
     """k-fold RMSE and MAE of the item-based model: ``fold, rmse, mae, n``.
 
-    Each fold trains the similarities on the other folds and predicts its
-    own ratings. The folds run one after the other as this is called; each
-    fold's one-row result is written.
+    Each fold is predicted by the similarities of the other folds, all in one pass: the pairs of
+    items of each user are made once. Summed up per pair of items they give the similarities without
+    fold f, for every f, as conditional sums (both ratings outside f); and the same rows say which rating is
+    the neighbour of which: rating i is predicted from rating j where their folds differ, with the
+    similarity without the fold of i.
     """
     rf = materialize(r.withColumn("__fold", fold_of(folds)))
-    per_fold = []
-    for f in range(folds):
-        train = rf.where(F.col("__fold") != f).drop("__fold")
-        test = rf.where(F.col("__fold") == f).drop("__fold")
-        # each fold's similarities and predictions are written once, which
-        # keeps every later plan a short scan
-        sim = materialize(item_similarity(train))
-        pred = materialize(predict(test, train, sim, k=k))
-        err = (test.join(pred, ["user_id", "product_id"])
-               .select((F.col("prediction") - F.col("rating")).alias("__e")))
-        per_fold.append(materialize(err.agg(F.round(F.sqrt(F.avg(F.col("__e") * F.col("__e"))), 6).alias("rmse"),
-                                F.round(F.avg(F.abs("__e")), 6).alias("mae"),
-                                F.count(F.lit(1)).alias("n"))
-                        .withColumn("fold", F.lit(f))))
-    out = per_fold[0]
-    for p in per_fold[1:]:
-        out = out.unionByName(p)
-    return out.select("fold", "rmse", "mae", "n")
+    pairs = materialize(fold_pairs(rf.drop("__fold"), folds))
+    outside = [(F.col("fi") != f) & (F.col("fj") != f) for f in range(folds)]
+    terms = {"n": F.col("ri") * F.col("rj"), "i": F.col("ri") * F.col("ri"), "j": F.col("rj") * F.col("rj")}
+    sums = pairs.groupBy("item_i", "item_j").agg(*[F.sum(F.when(c, e)).alias(f"{t}{f}") for f, c in enumerate(outside) for t, e in terms.items()])
+    similarity = F.array(*[F.round(F.coalesce(F.when((F.col(f"i{f}") > 0) & (F.col(f"j{f}") > 0), F.col(f"n{f}") / F.sqrt(F.col(f"i{f}") * F.col(f"j{f}"))), F.lit(0.0)), ROUND)
+                           for f in range(folds)])
+    both = F.explode(F.array(*[F.struct(F.col(f"item_{a}").alias("product_id"), F.col(f"item_{b}").alias("item_j"), F.col(f"r{b}").alias("rj"), F.get("__sim", F.col(f"f{a}")).alias("__s"))
+                               for a, b in (("i", "j"), ("j", "i"))])).alias("e")
+    near = (pairs.where(F.col("fi") != F.col("fj")).join(sums.select("item_i", "item_j", similarity.alias("__sim")), ["item_i", "item_j"])
+            .select("user_id", both).select("user_id", "e.*").where(F.col("__s") > 0))
+    # Only a user with more than k ratings can have more than k neighbours for one.
+    many = rf.groupBy("user_id").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > k).select("user_id")
+    sum_up = lambda d: d.groupBy("user_id", "product_id").agg((F.sum(F.col("__s") * F.col("rj")) / F.sum("__s")).alias("__est"))
+    near = materialize(near)
+    crowded = top_n(near.join(many, "user_id", "left_semi"), ["user_id", "product_id"], [F.col("__s").desc(), F.col("item_j")], k)
+    estimates = sum_up(near.join(many, "user_id", "left_anti")).unionByName(sum_up(crowded))
+    means = F.array(*[rf.agg(F.avg(F.when(F.col("__fold") != f, F.col("rating")))).scalar() for f in range(folds)])
+    error = (rf.join(estimates, ["user_id", "product_id"], "left")
+             .select(F.col("__fold").alias("fold"), (_clipped(F.coalesce("__est", F.get(means, F.col("__fold")))) - F.col("rating")).alias("__e")))
+    return error.groupBy("fold").agg(F.round(F.sqrt(F.avg(F.col("__e") * F.col("__e"))), 6).alias("rmse"), F.round(F.avg(F.abs("__e")), 6).alias("mae"), F.count(F.lit(1)).alias("n"))

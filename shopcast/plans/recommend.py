@@ -13,12 +13,13 @@ from __future__ import annotations
 import datetime as dt
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopcast.functions.expr import global_rank, top_n
+from shopcast.functions.expr import top_n
 from shopcast.operators import ratings as rt
 from shopcast.operators import spine
+from shopcast.operators.shared_buyers import shared_buyer_counts
 from shopcast.session import materialize
 from shopcast.sources.tables import Tables, unknown_emails, user_lookup
 
@@ -64,8 +65,8 @@ def trending_products(t: Tables, as_of: dt.datetime | None = None, days: int = D
     return top_n(out, [], [F.col("trend_score").desc(), F.col("product_id")], limit)
 
 
-#: Products whose buyers are summed up instead of paired: the HOT most bought ones.
-HOT = 8
+#: Buyers of a product from which on they are not paired, but found by packed bits.
+HOT = 512
 
 
 def similar_users(t: Tables, users: DataFrame, min_rating: float = 0, min_purchases: int = 0,
@@ -74,26 +75,11 @@ def similar_users(t: Tables, users: DataFrame, min_rating: float = 0, min_purcha
 
     Output per requested user: ``user_id, product_id, product_name,
     purchased_by_similar_users, average_rating`` (top ``limit``). A user
-    without purchases, or without similar users, gets no rows.
-
-    A popular product makes all its buyers neighbours of each other, so buyers
-    are not paired through the ``HOT`` most bought products. A user's hot
-    products are a bit set, of which there are at most ``2**HOT - 1``; lines are
-    summed per bit set and product, and per requested bit set over all bit sets
-    that overlap it. Users who share no hot product are found through the other
-    products, as pairs. Of the sums for a bit set, a user needs the best
-    ``limit`` plus as many as the user's own products, and those of products that pairs
-    add to: any other product is behind ``limit`` products of the list.
+    without purchases, or without similar users, gets no rows. Products with more than
+    ``HOT`` buyers don't pair them, see ``operators.shared_buyers``.
     """
     spine.check_semantics(semantics)
-    buy = materialize(spine.purchases(t).select("user_id", "product_id", "lines"))
-    hot = [r["product_id"] for r in buy.where(F.col("product_id").isNotNull()).groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
-           .orderBy(F.desc("n"), "product_id").limit(HOT).select("product_id").collect()]
-    bit = F.lit(0)
-    for i, p in enumerate(hot):
-        bit = F.when(F.col("product_id") == p, F.lit(1 << i)).otherwise(bit)
-    sets = buy.groupBy("user_id").agg(F.bit_or(bit).alias("hot"), F.count(F.lit(1)).alias("owned"))
-    buy = materialize(buy.join(sets, "user_id"))
+    buy = materialize(spine.purchases(t).where(F.col("product_id").isNotNull()).select("user_id", "product_id", "lines"))
     req = users.select("user_id").where(F.col("user_id").isNotNull()).distinct()
     mine = materialize(buy.join(req, "user_id", "left_semi"))
 
@@ -106,47 +92,9 @@ def similar_users(t: Tables, users: DataFrame, min_rating: float = 0, min_purcha
         .select("product_id", "product_name", F.coalesce(F.col("avg_rating"), F.lit(0.0)).alias("average_rating"),
                 factor.cast("long").alias("factor"))
         .where(F.col("average_rating") >= F.lit(float(min_rating))))
-
-    # Lines by the buyers of a hot product, per requested bit set.
-    wanted = sorted(r["hot"] for r in mine.where("hot > 0").select("hot").distinct().collect())  # at most 2**HOT - 1
-    by_set = buy.where("hot > 0").groupBy("hot", "product_id").agg(F.sum("lines").alias("lines"))
-    overlapping = F.filter(F.array(*map(F.lit, wanted)).cast("array<int>"), lambda w: w.bitwiseAND(F.col("hot")) != 0)
-    base = (by_set.select("product_id", "lines", F.explode(overlapping).alias("hot"))
-            .groupBy("hot", "product_id").agg(F.sum("lines").alias("lines"))
-            .join(info.select("product_id", "factor"), "product_id")
-            .select("hot", "product_id", (F.col("lines") * F.col("factor")).alias("n")))
-    base = materialize(base.withColumn("rank", F.row_number().over(
-        Window.partitionBy("hot").orderBy(F.desc("n"), "product_id"))))
-    own = mine.select("user_id", "hot", "owned").distinct()
-    listed = (own.where("hot > 0")
-              .select("user_id", "hot", F.explode(F.sequence(F.lit(1), (F.col("owned") + limit).cast("int"))).alias("rank"))
-              .join(base, ["hot", "rank"])
-              .select("user_id", "product_id", "n"))
-
-    # Lines by users who share another product, and no hot one.
-    cold = lambda df: df.where(~F.col("product_id").isin(hot)) if hot else df
-    other = cold(buy).select("product_id", F.col("user_id").alias("other"), F.col("hot").alias("other_hot"))
-    pairs = (cold(mine).select("user_id", "hot", "product_id").join(other, "product_id")
-             .where((F.col("other") != F.col("user_id")) & (F.col("hot").bitwiseAND(F.col("other_hot")) == 0))
-             .select("user_id", "hot", "other").distinct())
-    # A user's own products take part in the aggregate as marked rows, which drops them without another join.
-    lines = (pairs.join(buy.select(F.col("user_id").alias("other"), "product_id", "lines"), "other")
-             .select("user_id", "hot", "product_id", "lines", F.lit(0).alias("own"))
-             .unionByName(mine.select("user_id", "hot", "product_id", F.lit(0).cast("long").alias("lines"), F.lit(1).alias("own"))))
-    paired = (lines.groupBy("user_id", "hot", "product_id").agg(F.sum("lines").alias("lines"), F.max("own").alias("own"))
-              .where("own = 0").join(info.select("product_id", "factor"), "product_id")
-              .select("user_id", "hot", "product_id", (F.col("lines") * F.col("factor")).alias("n")))
-
-    # With hot products, the count is that of the pairs and that of the bit set; a product in both lists has it whole in the larger.
-    with_set = (paired.where("hot > 0").join(base.select("hot", "product_id", F.col("n").alias("n_base")), ["hot", "product_id"], "left")
-                .select("user_id", "product_id", (F.col("n") + F.coalesce("n_base", F.lit(0))).alias("n")))
-    either = (listed.join(mine.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")
-              .unionByName(with_set).groupBy("user_id", "product_id").agg(F.max("n").alias("n")))
-    counts = either.unionByName(paired.where("hot = 0").select("user_id", "product_id", "n"))
-    best = top_n(counts.where(F.col("n") >= F.lit(min_purchases)).join(info.select("product_id"), "product_id", "left_semi"),
-                 ["user_id"], [F.col("n").desc(), F.col("product_id")], limit)
+    best = shared_buyer_counts(buy, mine, info.select("product_id", "factor"), limit, HOT, float(min_purchases))
     return best.join(info, "product_id").select(
-        "user_id", "product_id", "product_name", F.col("n").cast("long").alias("purchased_by_similar_users"), "average_rating")
+        "user_id", "product_id", "product_name", F.col("n").alias("purchased_by_similar_users"), "average_rating")
 
 
 def user_average_rating(t: Tables, users: DataFrame, default: float = 3.0) -> DataFrame:
@@ -191,44 +139,20 @@ def collaborative(t: Tables, users: DataFrame, limit: int = DEFAULT_LIMIT, k: in
     predicted_rating, price`` (top ``limit``, ties by ``product_id``).
     Known products (completed purchases and any review) are excluded.
 
-    Every product with a similar rated item is predicted by one join of the
-    users' ratings with the similarities (``similarity`` where a trained table is
-    given; with ``few_users`` only those of items that the users rated); every other unknown product has the global-mean prediction, and
-    of those only the ``limit`` smallest ids can be kept — found by an
-    equi-join on the id rank, not by pairing each user with every product.
+    The product of the users' ratings with the similarities (``similarity`` where a trained table is
+    given; with ``few_users`` only those of items that the users rated) is made in blocks, see
+    ``ratings.predict_all``; every other unknown product has the global mean as its prediction.
     Intermediate results are written as this is called.
     """
     r = materialize(rt.ratings(t))
     req = materialize(users.select("user_id").where(F.col("user_id").isNotNull()).distinct())
-    mine = r.join(req, "user_id", "left_semi")
-    sim = similarity if similarity is not None else materialize(rt.item_similarity(r, of=mine if few_users else None))
+    mine = materialize(r.join(req, "user_id", "left_semi"))
+    sim = materialize(similarity if similarity is not None else rt.item_similarity(r, of=mine if few_users else None))
     known = materialize(spine.known_products(t, req))
-    mean = rt.global_mean(r)
-    fallback = F.round(F.least(F.lit(rt.RATING_MAX), F.greatest(F.lit(rt.RATING_MIN), mean)), rt.ROUND)
-    scored = rt.predict_all(mine, sim, known, k).join(
-        t.product.select(F.col("id").alias("product_id")), "product_id", "left_semi")
-    scored = materialize(top_n(scored, ["user_id"], [F.col("prediction").desc(), F.col("product_id")], limit)
-                         .select("user_id", "product_id", "prediction"))
-
-    # A product without neighbours can only be listed where the global mean reaches a user's last listed prediction.
-    last = scored.groupBy("user_id").agg(F.count(F.lit(1)).alias("__n"), F.min("prediction").alias("__last"))
-    short = materialize(req.join(last, "user_id", "left")
-                        .where(F.coalesce(F.col("__n"), F.lit(0)) < limit).select("user_id")
-                        .unionByName(last.where((F.col("__n") >= limit) & (F.col("__last") <= fallback)).select("user_id")))
-    # Of those users, the smallest ids that are neither known nor predicted.
-    theirs = rt.predict_all(mine.join(short, "user_id", "left_semi"), sim, known, k).select("user_id", "product_id")
-    taken = materialize(known.join(short, "user_id", "left_semi").unionByName(theirs))
-    n_taken = taken.groupBy("user_id").agg(F.count(F.lit(1)).alias("__x"))
-    ids = global_rank(t.product.select(F.col("id").alias("product_id")), [F.col("product_id")], "__k")
-    fill = (short.join(n_taken, "user_id", "left")
-            .withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(limit) + F.coalesce("__x", F.lit(0)))))
-            .join(ids, "__k")
-            .join(taken, ["user_id", "product_id"], "left_anti")
-            .select("user_id", "product_id", fallback.alias("prediction")))
-    fill = top_n(fill, ["user_id"], [F.col("product_id")], limit)
-
-    cands = scored.unionByName(fill)
-    top = top_n(cands, ["user_id"], [F.col("prediction").desc(), F.col("product_id")], limit)
+    mean = r.agg(F.avg("rating").alias("m")).first()["m"]
+    fallback = float(rt.clipped(rt.RATING_MIN if mean is None else mean))
+    products = materialize(t.product.select(F.col("id").alias("product_id")).where(F.col("product_id").isNotNull()).distinct())
+    top = rt.predict_all(mine, sim, known, products, req, fallback, limit, k)
     info = t.product.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"), "price")
     return top.join(info, "product_id").select(
         "user_id", "product_id", "product_name", F.col("prediction").alias("predicted_rating"),

@@ -10,7 +10,7 @@ from helpers import tables, ts
 from shopcast import session
 from shopcast.functions import expr
 from shopcast.functions.expr import global_rank
-from shopcast.operators import banded_topk, knn, ratings
+from shopcast.operators import banded_topk, knn, ratings, shared_buyers, spine
 from shopcast.plans import forecast, recommend
 
 
@@ -111,7 +111,7 @@ def test_plans_have_no_cartesian_product(spark, monkeypatch):
         seen.append(_plan(df))
         return written(df)
 
-    for module in (recommend, banded_topk, ratings, expr):
+    for module in (recommend, banded_topk, shared_buyers, ratings, expr):
         monkeypatch.setattr(module, "materialize", spy)
     for df in (recommend.similar_users(t, users), recommend.personalized(t, users),
                recommend.collaborative(t, users), recommend.popular_products(t), ratings.cross_validate(ratings.ratings(t))):
@@ -131,9 +131,7 @@ def test_trending_drops_old_lines_before_the_aggregate(spark):
 
 
 def test_per_user_top_n_uses_window_group_limit(spark):
-    t = _shop(spark)
-    users = spark.createDataFrame([(1,), (2,)], "user_id long")
-    df = recommend.similar_users(t, users)
+    df = expr.top_n(spine.purchases(_shop(spark)), ["user_id"], [F.desc("lines"), F.col("product_id")], 2)
     df.collect()
     assert "WindowGroupLimit" in _plan(df)
 
