@@ -1,14 +1,16 @@
 """Exact k-nearest neighbours by cosine similarity.
 
-Method. Items are dealt to cells by the nearest of at most ``CELLS`` centres
-(items chosen by hash); a cell has its centre and the largest angle of an item to
-it. A query first meets its own cell, which gives it a bar: its k-th similarity
-there. It then visits only the cells that may hold an item as near as that: by
-the triangle inequality on the sphere, the angle between a query and an item
-is at least the query's angle to the cell's centre less the cell's largest
-angle. Cells are cut into blocks; a block of queries meets a block of items in
+Method. A tree of two levels: about √n cells for n items, each with a centre (an
+item chosen by hash) and the largest angle of an item to it, below about √√n
+top cells with the same two. Items and queries go down the tree to a cell. A query first meets its own cell, which gives
+it a bar: its k-th similarity there. By the triangle inequality on the sphere, the angle
+between a query and an item is at least the query's angle to a centre less the largest
+angle of the centre's items; so whole top cells are skipped, and in the others the cells that can't hold
+an item as near as the bar. The most promising cells are visited first, and the bar
+they leave is carried to the rest, fewer of which are then visited. Cells are cut into blocks; a block of queries meets a block of items in
 one task with one matrix product. No pair becomes a row, a task holds two
-blocks, and skipped cells are proven to hold no neighbour.
+blocks, and skipped cells are proven to hold no neighbour. The centres (at most ``MOST_CELLS`` vectors) travel to the
+tasks.
 
 Zero vectors have similarity 0 with everything (as cosine distance 1 does in the
 usual libraries). A zero query takes the ``k`` smallest item ids; zero items form
@@ -21,20 +23,28 @@ All rankings are ``similarity desc, id asc`` on the similarity rounded to
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopcast.functions.expr import top_n
+from shopcast.operators.blocked import place_in_group, starts
 from shopcast.session import materialize
 
 ROUND = 9
-CELLS = 256
+#: Most cells of a tree, and cells that a query visits before its bar is raised.
+MOST_CELLS, FIRST = 16_384, 4
 _SLACK = 1e-6
 
 
+def _order() -> list[Column]:
+    return [F.col("similarity").desc(), F.col("item_id")]
+
+
 def _dot(a: Column, b: Column, d: int) -> Column:
     """Dot product unrolled over ``d`` elements (plain arithmetic, whole-stage codegen)."""
     out = F.lit(0.0)
@@ -58,116 +68,171 @@ def as_vectors(df: DataFrame, key: str, cols: list[str] | None = None, array_col
     return df.select(F.col(key).alias("id"), vec.alias("vec"))
 
 
-def _top(qdf: pd.DataFrame, idf: pd.DataFrame, k: int, exclude_self: bool) -> pd.DataFrame:
-    """The ``k`` most similar items of one block for each query of another."""
-    if qdf.empty or idf.empty:
-        return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
-    qv, iv = _matrix(qdf["vec"]), _matrix(idf["vec"])
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    arrays = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    flat = [a.flatten().to_numpy(zero_copy_only=False) for a in arrays]
+    rows = sum(len(a) for a in arrays)
+    return np.concatenate(flat).astype(float).reshape(rows, -1) if rows else np.zeros((0, 0))
+
+
+def _top(q: pa.Table, it: pa.Table, k: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in ``q`` and ``it`` and similarities of the ``k`` most similar items of one block for each query of another, from the query's bar on."""
+    qv, iv = _matrix(q.column("vec")), _matrix(it.column("vec"))
     denom = np.sqrt(np.outer((qv * qv).sum(axis=1), (iv * iv).sum(axis=1)))
     sim = np.round(np.where(denom > 0, (qv @ iv.T) / np.where(denom > 0, denom, 1.0), 0.0), ROUND)
-    qid, iid = qdf["id"].to_numpy(), idf["id"].to_numpy()
+    qid, iid = (t.column("id").to_numpy() for t in (q, it))
     if exclude_self:
-        sim = np.where(qid[:, None] == iid[None, :], -np.inf, sim)
-    take = min(k, sim.shape[1])
-    # Only items that reach the k-th similarity are ordered: by similarity
-    # desc, then item id asc (columns stand in id order, the sort is stable).
+        sim[qid[:, None] == iid[None, :]] = -np.inf
     by_id = np.argsort(iid, kind="stable")
-    sim, iid = sim[:, by_id], iid[by_id]
+    sim = sim[:, by_id]
+    take = min(k, sim.shape[1])
     bar = np.partition(sim, sim.shape[1] - take, axis=1)[:, sim.shape[1] - take]
-    order = np.stack([(c := np.flatnonzero(row >= b))[np.argsort(-row[c], kind="stable")[:take]]
-                      for row, b in zip(sim, bar, strict=True)])
-    found = np.take_along_axis(sim, order, axis=1).ravel()
-    keep = np.isfinite(found)
-    return pd.DataFrame({"query_id": np.repeat(qid, take)[keep], "item_id": iid[order].ravel()[keep], "similarity": found[keep]})
-
-
-def _matrix(vecs: pd.Series) -> np.ndarray:
-    return np.stack(vecs.to_numpy()).astype(float)
+    # Only items that reach the k-th similarity, and the bar that the query brings, are ordered: by similarity desc, then item id asc.
+    bar = np.maximum(bar, q.column("bar").to_numpy().astype(float))
+    row, col = np.nonzero((sim >= bar[:, None]) & (sim > -np.inf))
+    order = np.lexsort((col, -sim[row, col], row))
+    row, col = row[order], col[order]
+    keep = place_in_group(row) < take
+    row, col = row[keep], col[keep]
+    return row, by_id[col], sim[row, col]
 
 
-def _angles(vecs: pd.Series, centres: np.ndarray) -> np.ndarray:
+def _angles(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Angle of each vector to each centre."""
-    v = _matrix(vecs)
     norm = np.sqrt(np.outer((v * v).sum(axis=1), (centres * centres).sum(axis=1)))
     return np.arccos(np.clip((v @ centres.T) / norm, -1.0, 1.0))
 
 
+@dataclass
+class Tree:
+    """Two levels of cells: ``centres`` of the cells, those below one top centre in a row (from ``first`` to the next)."""
+
+    tops: np.ndarray
+    centres: np.ndarray
+    first: np.ndarray
+    radius: np.ndarray | None = None
+    top_radius: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, chosen: np.ndarray) -> Tree:
+        """The first √c of the ``c`` chosen vectors are the tops; each chosen vector is the centre of a cell below its nearest top."""
+        tops = chosen[:math.ceil(math.sqrt(len(chosen)))]
+        below = _angles(chosen, tops).argmin(axis=1)
+        used, below = np.unique(below, return_inverse=True)
+        order = np.argsort(below, kind="stable")
+        return cls(tops[used], chosen[order], starts(np.bincount(below)))
+
+    def locate(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per vector its cell (the nearest one below the nearest top) and the angles to its centre and top."""
+        high = _angles(v, self.tops)
+        top = high.argmin(axis=1)
+        cell, angle = np.zeros(len(v), np.int64), np.zeros(len(v))
+        for t in np.unique(top).tolist():
+            mine = np.flatnonzero(top == t)
+            low = _angles(v[mine], self.centres[self.first[t]:self.first[t + 1]])
+            best = low.argmin(axis=1)
+            cell[mine], angle[mine] = self.first[t] + best, low[np.arange(len(mine)), best]
+        return cell, angle, high[np.arange(len(v)), top]
+
+    def reach(self, v: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of a vector and a cell that may hold an item at an angle up to the vector's ``limit``, and the least angle possible there."""
+        found = []
+        go = _angles(v, self.tops) - self.top_radius <= limit[:, None]
+        for t in range(len(self.tops)):
+            mine = np.flatnonzero(go[:, t])
+            cells = np.arange(self.first[t], self.first[t + 1])
+            cells = cells[self.radius[cells] >= 0]  # cells that hold items
+            least = np.maximum(_angles(v[mine], self.centres[cells]) - self.radius[cells], 0.0)
+            r, c = np.nonzero(least <= limit[mine][:, None])
+            found.append((mine[r], cells[c], least[r, c]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _limit(bar: np.ndarray) -> np.ndarray:
+    """Largest angle of an item that reaches the bar. Similarities are rounded, and angles lose digits near 0: a little more."""
+    return np.arccos(np.clip(bar - 2e-9, -1.0, 1.0)) + _SLACK
+
+
 def _meet(q: DataFrame, it: DataFrame, k: int, exclude_self: bool, block: int) -> DataFrame:
-    """Best items per query and block: ``q`` meets the items of the same ``cell``, block by block."""
-    schema = f"query_id {q.schema['id'].dataType.simpleString()}, item_id {it.schema['id'].dataType.simpleString()}, similarity double"
-    n_q = {r["cell"]: math.ceil(r["n"] / block) for r in q.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_i = {r["cell"]: math.ceil(r["n"] / block) for r in it.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    both = sorted(set(n_q) & set(n_i))  # at most CELLS, or the zero cell
-    if not both:
-        return q.sparkSession.createDataFrame([], schema)
-    parts = lambda n: F.create_map(*[F.lit(x) for c in both for x in (c, n[c])])[F.col("cell")]
-    deal = lambda df, own, other: (df.where(F.col("cell").isin(both))
-                                   .withColumn(own, F.pmod(F.xxhash64("id"), parts(n_q if own == "__q" else n_i)).cast("int"))
-                                   .withColumn(other, F.explode(F.sequence(F.lit(0), parts(n_q if other == "__q" else n_i) - 1))))
+    """Best items per query and block: ``q`` (id, vec, cell, bar) meets the items (id, vec, cell) of the same cell, block by block."""
+    ids = (q.schema["id"].dataType.simpleString(), it.schema["id"].dataType.simpleString())
+    schema = f"query_id {ids[0]}, item_id {ids[1]}, similarity double"
+    blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name)).select(F.col("cell").alias("cell"), name)
+    # One row per cell, of which there are at most MOST_CELLS.
+    both = F.broadcast(blocks(q, "__nq").join(blocks(it, "__ni"), "cell"))
+    deal = lambda df, own, n, other, m: (df.join(both, "cell").withColumn(own, F.pmod(F.xxhash64("id"), F.col(n)).cast("int"))
+                                         .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1))).drop(n, m))
     keys = ["cell", "__q", "__i"]
-    return (deal(q.select("id", "vec", "cell"), "__q", "__i").groupBy(*keys)
-            .cogroup(deal(it.select("id", "vec", "cell"), "__i", "__q").groupBy(*keys))
-            .applyInPandas(lambda a, b: _top(a, b, k, exclude_self), schema))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        names = ["query_id", "item_id", "similarity"]
+        if not a.num_rows or not b.num_rows:
+            return pa.table([pa.array([], a.schema.field("id").type), pa.array([], b.schema.field("id").type), pa.array([], pa.float64())], names)
+        row, col, sim = _top(a, b, k, exclude_self)
+        return pa.table([a.column("id").take(pa.array(row)), b.column("id").take(pa.array(col)), pa.array(sim, pa.float64())], names)
+
+    return (deal(q.select("id", "vec", "cell", "bar"), "__q", "__nq", "__i", "__ni").groupBy(*keys)
+            .cogroup(deal(it.select("id", "vec", "cell"), "__i", "__ni", "__q", "__nq").groupBy(*keys))
+            .applyInArrow(run, schema))
 
 
 def cosine_topk(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool = True,
-                block: int = 2048, cells: int = CELLS, visits: list[int] | None = None) -> DataFrame:
+                block: int = 2048, cells: int | None = None, visits: list[int] | None = None) -> DataFrame:
     """Top ``k`` items per query by cosine similarity.
 
     ``queries`` and ``items``: ``id, vec`` (one length). Output ``query_id, item_id,
     similarity`` (rounded to ``ROUND`` decimals). With ``exclude_self`` an item
-    never matches the query with the same id. ``visits`` gets the number of
-    (query, other cell) pairs visited and possible.
+    never matches the query with the same id. ``cells``: by default √n of n items, and one where they fit
+    into one ``block``. ``visits`` gets the number of (query, item) pairs compared and possible.
     """
     zero = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x) == 0
-    items, queries = (df.select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec")) for df in (items, queries))
+    # Columns get names of their own, as both may be one frame.
+    items, queries = (df.select(F.col("id").alias("id"), F.transform("vec", lambda x: x.cast("double")).alias("vec")) for df in (items, queries))
     items, queries = materialize(items.withColumn("zero", zero)), materialize(queries.withColumn("zero", zero))
-    n = items.count()
-    chosen = items.where(~F.col("zero")).orderBy(F.xxhash64("id"), "id").limit(max(1, min(cells, math.ceil(n / block)))).collect()
-    centres = np.array([r["vec"] for r in chosen], dtype=float)  # at most ``cells`` vectors
-    columns = lambda df: f"id {df.schema['id'].dataType.simpleString()}, vec array<double>, cell int, angle double"
-
-    def dealt(batches):
-        for rows in batches:
-            if len(rows):
-                a = _angles(rows["vec"], centres)
-                cell = a.argmin(axis=1)
-                yield rows.assign(cell=cell, angle=a[np.arange(len(a)), cell])
-
-    def in_cells(df):
-        df = df.where(~F.col("zero")).select("id", "vec")
-        if len(chosen) < 2:  # one cell: nothing to skip
-            return df.withColumns({"cell": F.lit(0), "angle": F.lit(0.0)})
-        return materialize(df.mapInPandas(dealt, columns(df)))
-
-    it, q = in_cells(items), in_cells(queries)
-    radius = {r["cell"]: r["r"] for r in it.groupBy("cell").agg(F.max("angle").alias("r")).collect()}
-    near = materialize(top_n(_meet(q, it, k, exclude_self, block), ["query_id"], [F.col("similarity").desc(), F.col("item_id")], k))
-    bars = near.groupBy("query_id").agg(F.min("similarity").alias("bar"), F.count(F.lit(1)).alias("n"))
-    bars = q.join(bars, q["id"] == bars["query_id"], "left").select("id", "vec", "cell", F.when(F.col("n") >= k, F.col("bar")).alias("bar"))
-
-    def visiting(batches):
-        cell_ids = np.array(sorted(radius), dtype=int)
-        reach = np.array([radius[c] for c in cell_ids])
-        for rows in batches:
-            if len(rows):
-                a = _angles(rows["vec"], centres)[:, cell_ids]
-                # Similarities are rounded, and angles lose digits near 0: visit a little more.
-                limit = np.arccos(np.clip(rows["bar"].fillna(-1.0).to_numpy() - 2e-9, -1.0, 1.0)) + _SLACK
-                go = (a - reach[None, :] <= limit[:, None]) & (cell_ids[None, :] != rows["cell"].to_numpy()[:, None])
-                r, c = np.nonzero(go)
-                yield pd.DataFrame({"id": rows["id"].to_numpy()[r], "vec": rows["vec"].to_numpy()[r], "cell": cell_ids[c], "angle": 0.0})
-
     ids = queries.schema["id"].dataType.simpleString()
-    found = near
-    if len(chosen) > 1:
-        away = materialize(bars.mapInPandas(visiting, f"id {ids}, vec array<double>, cell int, angle double"))
-        found = found.unionByName(_meet(away, it, k, exclude_self, block))
+    n = items.where(~F.col("zero")).count()
+    count = cells or (math.ceil(math.sqrt(n)) if n > block else 1)
+    chosen = items.where(~F.col("zero")).orderBy(F.xxhash64("id"), "id").limit(min(count, MOST_CELLS)).collect()
+    least = F.lit(float("-inf")).alias("bar")
+    it, q = (df.where(~F.col("zero")).select("id", "vec") for df in (items, queries))
+    if len(chosen) < 2:  # one cell: nothing to skip
+        it, q = it.withColumn("cell", F.lit(0)), q.withColumn("cell", F.lit(0))
+        near = materialize(top_n(_meet(q.select("*", least), it, k, exclude_self, block), ["query_id"], _order(), k))
+        if visits is not None:
+            visits += [n * q.count(), n * q.count()]
+    else:
+        tree = Tree.of(np.array([r["vec"] for r in chosen], dtype=float))
+
+        def dealt(batches):
+            for b in batches:
+                if b.num_rows:
+                    cell, angle, top = tree.locate(_matrix(b.column("vec")))
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(angle), pa.array(top)], ["id", "vec", "cell", "angle", "top"])
+
+        place = lambda df: materialize(df.mapInArrow(dealt, f"id {df.schema['id'].dataType.simpleString()}, vec array<double>, cell int, angle double, top double"))
+        it, q = place(it), place(q)
+        widest = {r["cell"]: r for r in it.groupBy("cell").agg(F.max("angle").alias("r"), F.max("top").alias("t"), F.count(F.lit(1)).alias("n")).collect()}  # a row per cell
+        tree.radius = np.array([widest[c]["r"] if c in widest else -1.0 for c in range(len(tree.centres))])
+        tops = np.array([widest[c]["t"] if c in widest else -1.0 for c in range(len(tree.centres))])
+        tree.top_radius = np.maximum.reduceat(tops, tree.first[:-1])
+        near = materialize(top_n(_meet(q.select("id", "vec", "cell", least), it, k, exclude_self, block), ["query_id"], _order(), k))
+        compared = q.groupBy("cell").count()
+        for first in (True, False):
+            # The bar so far decides which cells are visited: the most promising ones, and with the bar that these leave the rest.
+            bars = near.groupBy("query_id").agg(F.min("similarity").alias("b"), F.count(F.lit(1)).alias("m")).select("query_id", F.when(F.col("m") >= k, F.col("b")).alias("b"))
+            q = q.join(bars, F.col("id") == F.col("query_id"), "left").select("id", "vec", "cell", F.coalesce("b", F.lit(-2.0)).alias("bar"), *([] if first else [F.col("bar").alias("before")]))
+            q = materialize(q)
+            away = materialize(q.mapInArrow(_visits(tree, first), f"id {ids}, vec array<double>, cell int, bar double"))
+            compared = compared.unionByName(away.groupBy("cell").count())
+            found = near.unionByName(_meet(away, it, k, exclude_self, block))
+            near = materialize(top_n(found, ["query_id"], _order(), k))
         if visits is not None:
-            visits += [away.count(), q.count() * (len(radius) - 1)]
+            visits += [sum(r["count"] * widest[r["cell"]]["n"] for r in compared.collect() if r["cell"] in widest), n * q.count()]
     zeros = items.where("zero").select("id", "vec", F.lit(-1).alias("cell"))
-    to_zeros = bars.where(F.col("bar").isNull() | (F.col("bar") <= 0)).select("id", "vec", F.lit(-1).alias("cell"))
-    found = found.unionByName(_meet(to_zeros, zeros, k, exclude_self, block))
+    bars = near.groupBy("query_id").agg(F.min("similarity").alias("b"), F.count(F.lit(1)).alias("m"))
+    to_zeros = (q.select("id", "vec").join(bars, F.col("id") == F.col("query_id"), "left").where((F.coalesce("m", F.lit(0)) < k) | (F.col("b") <= 0))
+                .select("id", "vec", F.lit(-1).alias("cell"), least))
+    found = near.unionByName(_meet(to_zeros, zeros, k, exclude_self, block))
     # A zero query is as near to every item.
     first = [r["id"] for r in items.orderBy("id").limit(k + 1).select("id").collect()]
     if first:
@@ -176,7 +241,37 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool
             rest = F.filter(rest, lambda x: x != F.col("id"))
         found = found.unionByName(queries.where("zero").select(
             F.col("id").alias("query_id"), F.explode(F.slice(rest, 1, k)).alias("item_id"), F.lit(0.0).alias("similarity")))
-    return top_n(found, ["query_id"], [F.col("similarity").desc(), F.col("item_id")], k)
+    return top_n(found, ["query_id"], _order(), k)
+
+
+def _visits(tree: Tree, first: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (id, vec, cell, bar) of queries for the other cells they visit: the ``FIRST`` most promising ones, or those but for these."""
+
+    def promising(v: np.ndarray, bar: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, cell, least = tree.reach(v, _limit(bar))
+        other = cell != own[row]
+        row, cell, least = row[other], cell[other], least[other]
+        order = np.lexsort((cell, least, row))
+        return row[order], cell[order], place_in_group(row[order])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                v, own, bar = _matrix(b.column("vec")), b.column("cell").to_numpy(), b.column("bar").to_numpy()
+                row, cell, place = promising(v, bar if first else b.column("before").to_numpy(), own)
+                early = place < FIRST
+                if first:
+                    row, cell = row[early], cell[early]
+                else:  # what the first visits left, as far as the new bar doesn't rule it out
+                    seen = row[early] * len(tree.centres) + cell[early]
+                    row, cell, _ = promising(v, bar, own)
+                    new = ~np.isin(row * len(tree.centres) + cell, seen)
+                    row, cell = row[new], cell[new]
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), b.column("vec").take(pa.array(row)), pa.array(cell, pa.int32()), pa.array(bar[row], pa.float64())],
+                                                 ["id", "vec", "cell", "bar"])
+
+    return run
 
 
 def brute_force_topk(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:

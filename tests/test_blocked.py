@@ -193,3 +193,23 @@ def test_cross_validation_makes_the_pairs_once(spark, monkeypatch):
         assert got[f].n == len(errors)
         assert got[f].mae == pytest.approx(sum(map(abs, errors)) / len(errors), abs=2e-6)
         assert got[f].rmse == pytest.approx((sum(e * e for e in errors) / len(errors)) ** 0.5, abs=2e-6)
+
+
+def test_the_share_of_compared_pairs_falls_with_the_number_of_items(spark):
+    """√n cells in a tree of two levels: four times the items, a smaller share of the pairs, and the answer of all pairs."""
+    from shopcast.operators import knn
+    rng, share = np.random.default_rng(7), []
+    for n in (1200, 4800):
+        x = rng.normal(size=(n, 3))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+        q, visits = df.where("id < 60"), []
+        got = {}
+        for r in knn.cosine_topk(q, df, 5, block=200, visits=visits).collect():
+            got.setdefault(r.query_id, set()).add(r.item_id)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        sim = np.round(unit @ unit.T, 9)
+        np.fill_diagonal(sim, -2)
+        assert all(got[i] == set(np.argsort(-sim[i], kind="stable")[:5].tolist()) for i in range(60))
+        share.append(visits[0] / visits[1])
+    print(f"share of pairs compared: {share}")
+    assert share[1] < 0.75 * share[0] < 0.2
