@@ -75,6 +75,12 @@ def product_tiers(df: DataFrame, k: int = 3, path: str | None = None) -> DataFra
                                     labels=TIER_LABELS if k == 3 else None, out="performance_tier")
 
 
+def tier_silhouette(tiers: DataFrame) -> DataFrame:
+    """How well the tiers of :func:`product_tiers` are apart: ``performance_tier, products, silhouette`` (mean, 6 decimals)."""
+    each = clustering.silhouette(tiers, [c + "_scaled" for c in FEATURES], "performance_tier")
+    return each.groupBy("performance_tier").agg(F.count(F.lit(1)).alias("products"), F.round(F.avg("silhouette"), 6).alias("silhouette"))
+
+
 def product_summary(scored: DataFrame, semantics: str = "corrected") -> DataFrame:
     """One row: ``avg_score`` (1 dp), ``top_product`` (name of the highest
     score, lowest id on ties), ``total_revenue`` (2 dp).

@@ -14,8 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shopcast.operators import clustering, spine
 from shopcast.operators import ratings as ratings_op
-from shopcast.operators import spine
 from shopcast.plans import employees, features, forecast, products, recommend, training
 from shopcast.session import materialize
 from shopcast.sources.tables import (mapping_ctes, tpch_employee_records, tpch_product_records, tpch_tables,
@@ -156,6 +156,10 @@ def q_product_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.product_tiers(tpch_product_records(spark, sf_dir))
 
 
+def q_product_tier_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.tier_silhouette(q_product_tiers(spark, sf_dir))
+
+
 def q_employee_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return employees.employee_scores(tpch_employee_records(spark, sf_dir))
 
@@ -240,6 +244,7 @@ QUERIES: dict[str, QueryFn] = {
     "product_performance_score": q_product_performance_score,
     "product_summary": q_product_summary,
     "product_tiers": q_product_tiers,
+    "product_tier_silhouette": q_product_tier_silhouette,
     "employee_score": q_employee_score,
     "employee_clusters": q_employee_clusters,
     "employee_anomalies": q_employee_anomalies,
@@ -766,25 +771,46 @@ from g
 """
 
 
+def _hash(x: str, salt: str) -> str:
+    """``operators.iforest.mixed`` in SQL."""
+    one = f"((({x}) % 2147483647 + 1) * ((({salt}) * 7919 + 104729) % 2147483647) % 2147483647)"
+    two = f"(xor({one}, {one} >> 15) * 48271 % 2147483647)"
+    return f"(xor({two}, {two} >> 13) * 69621 % 2147483647)"
+
+
 def _kmeans(src: str, cols: list[str], k: int = 3) -> str:
     """CTEs that cluster the rows of ``src``: ``km`` has its columns and ``g``, the number of the cluster.
 
     The steps of ``operators.clustering``, the Lloyd steps as a recursive CTE.
     """
     row, centre = ", ".join(cols), [f"c{i}" for i in range(len(cols))]
+    apart = lambda p, q: " + ".join(["0.0E0", *(f"({p}.{c} - {q}.{c}) * ({p}.{c} - {q}.{c})" for c in cols)])
+    draw = lambda salt: f"({_hash('h', str(salt))} / 2147483647.0E0)"
+    of = lambda t: ", ".join(f"{t}.{c}" for c in cols)
+    steps = [f"km_rows as materialized (select * from {src})",
+             f"km_h as materialized (select {row}, count(*) as m, 0::bigint as h from km_rows group by {row})"]
+    for j, c in enumerate(cols):
+        value = f"((cast(floor({c} * 1e6 + 0.5E0) as bigint) % 2147483647 + 2147483647) % 2147483647)"
+        steps.append(f"km_h{j} as materialized (select * replace ({_hash(f'(h + {value})', str(j))} as h) from km_h{j - 1 if j else ''})")
+    points = f"km_h{len(cols) - 1}"
+    steps.append(f"km_d0 as materialized (select {row} from {points} order by {draw(100)}, {row} limit 1)")
+    for r in range(1, clustering.ROUNDS + 1):
+        steps.append(f"km_n{r} as materialized (select {of('p')}, any_value(p.m) as m, any_value(p.h) as h, min({apart('p', 'c')}) as d2 from {points} p, km_d{r - 1} c group by {of('p')})")
+        steps.append(f"km_d{r} as materialized (select {row} from km_d{r - 1} union select {row} from km_n{r}, (select sum(m * d2) as total from km_n{r}) where {draw(100 + r)} * total < {2 * k} * m * d2)")
+    last = f"km_d{clustering.ROUNDS}"
+    steps.append(f"km_w as materialized (select {row}, sum(m) as w from (select {of('c')}, p.m from {points} p, {last} c "
+                 f"qualify row_number() over (partition by {of('p')} order by {apart('p', 'c')}, {of('c')}) = 1) group by {row})")
     firsts = []
     for j in range(k):
-        unlike = " and ".join(f"not exists (select 1 from km{i} o where {' and '.join(f'f.{c} = o.{x}' for c, x in zip(cols, centre))})"
-                              for i in range(j)) or "true"
-        firsts.append(f"km{j} as materialized (select {', '.join(f'f.{c} as {x}' for c, x in zip(cols, centre))} from km_rows f, km_range b "
-                      f"where {unlike} order by round(abs(f.km_sum - (b.lo + (b.hi - b.lo) * {j} / {k - 1}.0E0)), 9), {row} limit 1)")
+        taken = " union all ".join(f"select {', '.join(f'{x} as {c}' for c, x in zip(cols, centre))} from km{i}" for i in range(j))
+        order = f"f.w * (select min({apart('f', 'o')}) from ({taken}) o) desc" if j else "f.w desc"
+        firsts.append(f"km{j} as materialized (select {', '.join(f'f.{c} as {x}' for c, x in zip(cols, centre))} from km_w f order by {order}, {of('f')} limit 1)")
     d = [" + ".join(["0.0E0", *(f"(f.{c} - r.c[{n}][{m}]) * (f.{c} - r.c[{n}][{m}])" for m, c in enumerate(cols, 1))]) for n in range(1, k + 1)]
     near = f"list_position([{', '.join(d)}], least({', '.join(d)}))"
     start = ", ".join(f"[{', '.join(f'km{j}.{x}' for x in centre)}]" for j in range(k))
     means = ", ".join(f"round(avg({c}), 9)" for c in cols)
     return f"""
-km_rows as materialized (select *, round({' + '.join(['0.0E0', *cols])}, 9) as km_sum from {src}),
-km_range as (select min(km_sum) as lo, max(km_sum) as hi from km_rows),
+{", ".join(steps)},
 {", ".join(firsts)},
 km_steps(i, c, done) as (
   select 0, [{start}], false from {", ".join(f"km{j}" for j in range(k))}
@@ -810,6 +836,18 @@ select product_id, name, price, units_sold, stock, revenue, stock_ratio, sales_v
 from km join ranks using (g)
 """)
 
+ORACLES["product_tier_silhouette"] = "with tier as (" + ORACLES["product_tiers"] + """),
+d as (
+  select a.product_id, a.performance_tier as g, b.performance_tier as o,
+         avg((a.revenue_scaled - b.revenue_scaled) ** 2 + (a.stock_ratio_scaled - b.stock_ratio_scaled) ** 2
+             + (a.sales_velocity_scaled - b.sales_velocity_scaled) ** 2) as d
+  from tier a join tier b on a.product_id <> b.product_id group by all),
+ab as (select product_id, g, max(d) filter (where o = g) as a, min(d) filter (where o <> g) as b from d group by product_id, g)
+select g as performance_tier, count(*) as products,
+       round(avg(case when a is null or b is null or greatest(a, b) = 0 then 0.0E0 else (b - a) / greatest(a, b) end), 6) as silhouette
+from ab group by g
+"""
+
 _EMPLOYEE = """,
 f as (select employee_id, coalesce(completed_tasks, 0) as completed_tasks, coalesce(total_tasks, 0) as total_tasks,
              coalesce(avg_task_hours, 0) as avg_task_hours
@@ -833,13 +871,6 @@ select employee_id, r as performance_cluster, performance_score from km join ran
 """)
 
 
-def _hash(x: str, salt: str) -> str:
-    """``operators.iforest.mixed`` in SQL."""
-    one = f"((({x}) % 2147483647 + 1) * ((({salt}) * 7919 + 104729) % 2147483647) % 2147483647)"
-    two = f"(xor({one}, {one} >> 15) * 48271 % 2147483647)"
-    return f"(xor({two}, {two} >> 13) * 69621 % 2147483647)"
-
-
 def _forest(src: str, key: str, cols: list[str], trees: int = 100, psi: int = 256) -> str:
     """CTEs of an isolation forest over ``src``: ``anomaly`` has ``key`` and ``anomaly_score``. A level of all trees per CTE."""
     levels = psi.bit_length() - 1

@@ -139,6 +139,38 @@ def test_three_blobs_recovered(spark):
     assert labels == {0: {"Low"}, 1: {"Medium"}, 2: {"High"}}
 
 
+def test_blobs_of_equal_sum_are_recovered(spark):
+    """The features' sum tells nothing; a third of the rows is one point."""
+    import random
+    rnd = random.Random(3)
+    middles = [(0.0, 6.0, 0.0), (6.0, 0.0, 0.0), (0.0, 0.0, 6.0), (2.0, 2.0, 2.0)]
+    rows = [(100 * b + i, *(c + rnd.gauss(0, 0.1) for c in m)) for b, m in enumerate(middles) for i in range(30)] + [(1000 + i, *middles[1]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    model = clustering.fit_kmeans(df, ["x", "y", "z"], k=4)
+    assert model == clustering.fit_kmeans(df.repartition(7), ["x", "y", "z"], k=4)  # the order of the rows doesn't matter
+    found = {(r.id // 100 if r.id < 1000 else 1, r.cluster) for r in clustering.assign(model, df, ["x", "y", "z"]).collect()}
+    assert len(found) == 4 == len({c for _, c in found})
+
+
+def test_silhouette_brute_force(spark):
+    import random
+    rnd = random.Random(9)
+    rows = [(i, rnd.choice(["a", "b", "c", None]), rnd.gauss(0, 1), rnd.gauss(0, 5)) for i in range(60)] + [(60, "alone", 1.0, 1.0), (61, "a", 0.0, 0.0), (62, "a", 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, g string, x double, y double")
+    dist = lambda p, q: (p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2
+    for r in clustering.silhouette(df, ["x", "y"], "g").collect():
+        p = rows[r.id]
+        mean = {}
+        for g in {q[1] for q in rows}:
+            others = [dist(p, q) for q in rows if q[1] == g and q[0] != r.id]
+            if others:
+                mean[g] = sum(others) / len(others)
+        a, b = mean.get(p[1]), min(v for g, v in mean.items() if g != p[1])
+        assert r.silhouette == pytest.approx((b - a) / max(a, b) if a is not None else 0.0, abs=1e-9)
+    one = clustering.silhouette(df.where("g = 'a'"), ["x", "y"], "g").collect()
+    assert {r.silhouette for r in one} == {0.0}
+
+
 def test_isolation_forest_flags_far_point(spark):
     import random
     rnd = random.Random(7)
