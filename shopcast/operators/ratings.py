@@ -62,28 +62,80 @@ def item_similarity(r: DataFrame, of: DataFrame | None = None, heavy: int = HEAV
     task holds all pairs of one user. A partial aggregate on the pair folds
     them before the shuffle.
     """
-    a = r.select("user_id", F.col("product_id").alias("item_i"), F.col("rating").alias("ri"))
-    b = r.select("user_id", F.col("product_id").alias("item_j"), F.col("rating").alias("rj"))
     if of is None:
-        once = F.col("item_i") < F.col("item_j")
-    else:
-        once = F.col("item_i") != F.col("item_j")
-        b = b.join(of.select(F.col("product_id").alias("item_j")).distinct(), "item_j", "left_semi")
-    sums = (_user_pairs(r, a, b, once, heavy).groupBy("item_i", "item_j")
-            .agg(F.sum(F.col("ri") * F.col("rj")).alias("__num"),
-                 F.sum(F.col("ri") * F.col("ri")).alias("__si"),
-                 F.sum(F.col("rj") * F.col("rj")).alias("__sj")))
-    similarity = F.when((F.col("__si") > 0) & (F.col("__sj") > 0),
-                        F.col("__num") / F.sqrt(F.col("__si") * F.col("__sj"))).otherwise(F.lit(0.0)).alias("similarity")
-    sim = sums.select("item_i", "item_j", similarity)
-    if of is not None:
-        return sim
+        return similarity_of(pair_statistics(r, heavy))
+    a, b = _sides(r)
+    b = b.join(of.select(F.col("product_id").alias("item_j")).distinct(), "item_j", "left_semi")
+    sums = _user_pairs(r, a, b, F.col("item_i") != F.col("item_j"), heavy).groupBy("item_i", "item_j").agg(*_statistics())
+    return sums.select("item_i", "item_j", _cosine().alias("similarity"))
+
+
+def _sides(r: DataFrame) -> list[DataFrame]:
+    return [r.select("user_id", F.col("product_id").alias(f"item_{x}"), F.col("rating").alias(f"r{x}")) for x in "ij"]
+
+
+def _statistics(sign: Column | None = None) -> list[Column]:
+    one = sign if sign is not None else F.lit(1)
+    return [F.sum(one).cast("long").alias("n"), *[F.sum(one * F.col(a) * F.col(b)).alias(c) for a, b, c in (("ri", "rj", "sij"), ("ri", "ri", "sii"), ("rj", "rj", "sjj"))]]
+
+
+def _cosine() -> Column:
+    return F.when((F.col("sii") > 0) & (F.col("sjj") > 0), F.col("sij") / F.sqrt(F.col("sii") * F.col("sjj"))).otherwise(F.lit(0.0))
+
+
+def pair_statistics(r: DataFrame, heavy: int = HEAVY_USER) -> DataFrame:
+    """What the similarities are made of: ``item_i, item_j, n, sij, sii, sjj`` (common raters, sums of rᵢrⱼ, rᵢ², rⱼ²), item_i < item_j."""
+    a, b = _sides(r)
+    return _user_pairs(r, a, b, F.col("item_i") < F.col("item_j"), heavy).groupBy("item_i", "item_j").agg(*_statistics())
+
+
+def similarity_of(statistics: DataFrame) -> DataFrame:
+    """Similarities in both orders from :func:`pair_statistics`."""
+    sim = statistics.select("item_i", "item_j", _cosine().alias("similarity"))
     ends = F.array(F.struct(F.col("item_i").alias("i"), F.col("item_j").alias("j")),
                    F.struct(F.col("item_j").alias("i"), F.col("item_i").alias("j")))
     return sim.select(F.explode(ends).alias("e"), "similarity").select(
         F.col("e.i").alias("item_i"), F.col("e.j").alias("item_j"), "similarity")
 
 
+def rating_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Pairs (user, product) whose rating differs: ``user_id, product_id, rating`` as it is now, NULL where it is gone."""
+    old = before.select("user_id", "product_id", F.col("rating").alias("__old"), F.lit(True).alias("__was"))
+    both = after.select("user_id", "product_id", "rating", F.lit(True).alias("__is")).join(old, ["user_id", "product_id"], "full")
+    return both.where(F.col("__is").isNull() | F.col("__was").isNull() | (F.col("rating") != F.col("__old"))).select("user_id", "product_id", "rating")
+
+
+def update_ratings(before: DataFrame, changes: DataFrame) -> DataFrame:
+    """Ratings after ``changes`` (a NULL rating deletes, another inserts or replaces; a pair at most once)."""
+    return (before.join(changes, ["user_id", "product_id"], "left_anti").select("user_id", "product_id", "rating")
+            .unionByName(changes.where(F.col("rating").isNotNull()).select("user_id", "product_id", "rating")))
+
+
+def update_statistics(statistics: DataFrame, before: DataFrame, changes: DataFrame, heavy: int = HEAVY_USER) -> DataFrame:
+    """:func:`pair_statistics` of the ratings after ``changes``, from those of the ratings ``before``.
+
+    Only pairs of items of one user of which at least one rating changed are made, before (to be taken off) and after (to be
+    added); all else is the sum by pair with the old table. A pair that nobody rates any more is dropped by its count,
+    which is exact.
+    """
+    def touched(r: DataFrame, sign: int) -> DataFrame:
+        mine = r.join(changes.select("user_id").distinct(), "user_id", "left_semi")
+        hit = changes.select("user_id", "product_id", F.lit(True).alias("__hit"))
+        marked = materialize(mine.join(hit, ["user_id", "product_id"], "left").withColumn("__hit", F.coalesce("__hit", F.lit(False))))
+        a = marked.where("__hit").select("user_id", F.col("product_id").alias("item_i"), F.col("rating").alias("ra"))
+        b = marked.select("user_id", F.col("product_id").alias("item_j"), F.col("rating").alias("rb"), "__hit")
+        # A pair of two changed items is met from both sides, and counted from one.
+        pairs = _user_pairs(marked, a, b, (F.col("item_i") != F.col("item_j")) & (~F.col("__hit") | (F.col("item_i") < F.col("item_j"))), heavy)
+        first = F.col("item_i") < F.col("item_j")
+        return pairs.select(F.least("item_i", "item_j").alias("item_i"), F.greatest("item_i", "item_j").alias("item_j"),
+                            F.when(first, F.col("ra")).otherwise(F.col("rb")).alias("ri"), F.when(first, F.col("rb")).otherwise(F.col("ra")).alias("rj"),
+                            F.lit(sign).alias("__sign"))
+
+    change = touched(before, -1).unionByName(touched(update_ratings(before, changes), 1)).groupBy("item_i", "item_j").agg(*_statistics(F.col("__sign")))
+    sums = [F.sum(c).alias(c) for c in ("n", "sij", "sii", "sjj")]
+    return statistics.unionByName(change).groupBy("item_i", "item_j").agg(*sums).where(F.col("n") > 0)
+
+
 def _user_pairs(r: DataFrame, a: DataFrame, b: DataFrame, once: Column, heavy: int) -> DataFrame:
     """Rows of ``a`` and ``b`` (user_id, item_i / item_j, ...) of one user on which ``once`` holds; users with more than ``heavy`` rows in ``r`` chunk by chunk."""
     chunks = (r.groupBy("user_id").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > heavy)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from shopcast.functions.expr import guarded_ratio, minmax
 from shopcast.operators import clustering, iforest
-from shopcast.session import exists, materialize
+from shopcast.session import materialize, publish, published
 from shopcast.sources.tables import require_columns, require_rows
 
 METRICS = ["completed_tasks", "total_tasks", "avg_task_hours"]
@@ -61,16 +61,18 @@ class EmployeeModel:
         return out
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Two tables under ``path``: the forest's nodes, and one row of JSON with the rest."""
+        """Two tables, published together under ``path``: the forest's nodes, and one row of JSON with the rest."""
         meta = {"mean": self.mean, "std": self.std, "centres": self.kmeans.centres, "cols": self.forest.cols,
                 "psi": self.forest.psi, "threshold": self.forest.threshold}
-        spark.createDataFrame(self.forest.nodes).write.mode("overwrite").parquet(f"{path}/forest")
-        spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").parquet(f"{path}/meta")
+        publish(spark, path, {"forest": spark.createDataFrame(self.forest.nodes), "meta": spark.createDataFrame([(json.dumps(meta),)], "meta string")})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> EmployeeModel:
-        meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
-        nodes = spark.read.parquet(f"{path}/forest").toPandas()
+        version = published(spark, path)
+        if version is None:
+            raise FileNotFoundError(f"no model is published under {path}")
+        meta = json.loads(spark.read.parquet(f"{version}/meta").first()["meta"])
+        nodes = spark.read.parquet(f"{version}/forest").toPandas()
         forest = iforest.Forest(nodes=nodes, cols=meta["cols"], psi=meta["psi"], threshold=meta["threshold"])
         return cls(meta["mean"], meta["std"], clustering.KMeans(meta["cols"], meta["centres"]), forest)
 
@@ -100,7 +102,7 @@ def fit(df: DataFrame, id_col: str = "employee_id", k: int = 3, contamination: f
 def load_or_fit(df: DataFrame, path: str, **kw) -> EmployeeModel:
     """Load the model saved under ``path``; when there is none, fit on ``df`` and save it there."""
     spark = df.sparkSession
-    if exists(spark, f"{path}/meta"):
+    if published(spark, path) is not None:
         return EmployeeModel.load(spark, path)
     model = fit(df, **kw)
     model.save(spark, path)

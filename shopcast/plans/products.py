@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shopcast.functions.expr import minmax
 from shopcast.operators import clustering
 from shopcast.operators.spine import check_semantics
-from shopcast.session import exists, materialize
+from shopcast.session import materialize, publish, published
 from shopcast.sources.tables import require_columns, require_rows
 
 REQUIRED = ["product_id", "name", "price", "units_sold", "stock"]
@@ -46,13 +46,13 @@ def product_performance(df: DataFrame) -> DataFrame:
 
 
 def save_tiers(spark: SparkSession, model: clustering.KMeans, path: str) -> None:
-    """The tier model as one row of JSON under ``path``."""
+    """The tier model as one row of JSON, published under ``path``."""
     meta = json.dumps({"cols": model.cols, "centres": model.centres})
-    spark.createDataFrame([(meta,)], "meta string").write.mode("overwrite").parquet(path)
+    publish(spark, path, {"meta": spark.createDataFrame([(meta,)], "meta string")})
 
 
 def load_tiers(spark: SparkSession, path: str) -> clustering.KMeans:
-    return clustering.KMeans(**json.loads(spark.read.parquet(path).first()["meta"]))
+    return clustering.KMeans(**json.loads(spark.read.parquet(f"{published(spark, path)}/meta").first()["meta"]))
 
 
 def product_tiers(df: DataFrame, k: int = 3, path: str | None = None) -> DataFrame:
@@ -64,7 +64,7 @@ def product_tiers(df: DataFrame, k: int = 3, path: str | None = None) -> DataFra
     scored = materialize(product_performance(df))
     require_rows(scored, "product records")
     cols = [c + "_scaled" for c in FEATURES]
-    if path and exists(spark, path):
+    if path and published(spark, path) is not None:
         model = load_tiers(spark, path)
     else:
         model = clustering.fit_kmeans(scored, cols, k=k)

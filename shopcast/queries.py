@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from shopcast.operators import clustering, spine
 from shopcast.operators import ratings as ratings_op
 from shopcast.plans import employees, features, forecast, products, recommend, training
-from shopcast.session import materialize
-from shopcast.sources.tables import (mapping_ctes, tpch_employee_records, tpch_product_records, tpch_tables,
+from shopcast.session import materialize, scratch_dir
+from shopcast.sources.tables import (ingest_records, mapping_ctes, tpch_employee_records, tpch_product_records, tpch_tables,
                                      user_lookup)
 
 AS_OF = dt.datetime(2001, 8, 1)
@@ -189,6 +189,54 @@ def q_recommend_by_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.recommend(t, "similar_users", emails=t.users.select("email"), limit=LIMIT)
 
 
+def q_recommend_popular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recommend.recommend(tpch_tables(spark, sf_dir), limit=LIMIT)
+
+
+def q_recommend_trending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recommend.recommend(tpch_tables(spark, sf_dir), "trending", as_of=AS_OF, limit=LIMIT)
+
+
+def q_recommend_personalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tpch_tables(spark, sf_dir)
+    return recommend.recommend(t, "personalized", emails=t.users.select("email"), limit=LIMIT)
+
+
+def q_recommend_collaborative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tpch_tables(spark, sf_dir)
+    return recommend.recommend(t, "collaborative", users=_all_users(t), limit=LIMIT)
+
+
+def q_recommend_content_based(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tpch_tables(spark, sf_dir)
+    return recommend.recommend(t, "content_based", targets=t.product.select(F.col("id").alias("product_id")), limit=LIMIT)
+
+
+def q_item_similarity_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarities kept up to date: from ratings without fold 1 and with fold 2 at 1.0 to those of folds 1 and 2 as they are."""
+    r = materialize(ratings_op.ratings(tpch_tables(spark, sf_dir)).withColumn("fold", ratings_op.fold_of(3)))
+    before = materialize(r.where("fold <> 1").select("user_id", "product_id", F.when(F.col("fold") == 2, F.lit(1.0)).otherwise(F.col("rating")).alias("rating")))
+    changes = materialize(ratings_op.rating_changes(before, r.where("fold <> 0").select("user_id", "product_id", "rating")))
+    statistics = materialize(ratings_op.pair_statistics(before))
+    sim = ratings_op.similarity_of(ratings_op.update_statistics(statistics, before, changes))
+    return sim.withColumn("similarity", F.round("similarity", 6))
+
+
+def q_employee_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Employee records written as lines of JSON, some damaged, and read again: records and tasks by outcome."""
+    records = tpch_employee_records(spark, sf_dir)
+    whole, key = F.to_json(F.struct(*records.columns)), F.col("employee_id")
+    line = (F.when(key % 11 == 0, F.substring(whole, 1, 20)).when(key % 7 == 0, F.concat(F.lit('{"employee_id":'), key.cast("string"), F.lit(',"completed_tasks":"n/a"}')))
+            .when(key % 5 == 0, F.lit('{"completed_tasks":1}')).otherwise(whole))
+    path = scratch_dir(spark, "employee_records")
+    records.select(line.alias("value")).write.text(path)
+    got = ingest_records(spark, path, "employee_record", "employee_id", multi_line=False)
+    out = (got.accepted.select(F.lit("accepted").alias("status"), F.lit("").alias("reason"), "completed_tasks")
+           .unionByName(got.rejected.select(F.lit("rejected").alias("status"), "reason", F.lit(0.0).alias("completed_tasks"))))
+    read = F.lit(got.counts["accepted"] + got.counts["rejected"]).cast("long")
+    return out.groupBy("status", "reason").agg(F.count(F.lit(1)).alias("records"), F.sum(F.coalesce("completed_tasks", F.lit(0.0))).alias("completed_tasks")).withColumn("read", read)
+
+
 def q_content_based(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tpch_tables(spark, sf_dir)
     return features.content_based(t, t.product.select(F.col("id").alias("product_id")), limit=LIMIT)
@@ -251,6 +299,13 @@ QUERIES: dict[str, QueryFn] = {
     "employee_performance": q_employee_performance,
     "recommender_evaluation": q_recommender_evaluation,
     "recommend_by_email": q_recommend_by_email,
+    "recommend_popular": q_recommend_popular,
+    "recommend_trending": q_recommend_trending,
+    "recommend_personalized": q_recommend_personalized,
+    "recommend_collaborative": q_recommend_collaborative,
+    "recommend_content_based": q_recommend_content_based,
+    "item_similarity_updated": q_item_similarity_updated,
+    "employee_ingest": q_employee_ingest,
     "content_based": q_content_based,
     "content_holdout_distance": q_content_holdout_distance,
     "embedding_knn": q_embedding_knn,
@@ -937,6 +992,23 @@ union all select 'cv_rmse_mean', round(avg(rmse), 6) from cv
 union all select 'cv_mae_mean', round(avg(mae), 6) from cv
 """
 
+for _name in ("popular", "trending", "personalized", "collaborative", "content_based"):
+    ORACLES[f"recommend_{_name}"] = ORACLES[_name]
+
+ORACLES["item_similarity_updated"] = (mapping_ctes() + _RATINGS.replace("r as (", "rr as (") + f""",
+r as (select * from rr where (user_id * 31 + product_id) % 3 <> 0),
+sim as ({_SIM})
+select i as item_i, j as item_j, round(s, 6) as similarity from sim
+""")
+
+ORACLES["employee_ingest"] = mapping_ctes() + """,
+e as (select case when employee_id % 11 = 0 then 'unreadable' when employee_id % 7 = 0 then 'completed_tasks is no double'
+                  when employee_id % 5 = 0 then 'no employee_id' else '' end as reason, completed_tasks from employee_record)
+select case when reason = '' then 'accepted' else 'rejected' end as status, reason, count(*) as records,
+       sum(case when reason = '' then coalesce(completed_tasks, 0) else 0 end) as completed_tasks, (select count(*) from e) as read
+from e group by all
+"""
+
 ORACLES["recommend_by_email"] = ORACLES["similar_users"]
 
 

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job relies on: ANSI-safe arithmetic is written with try_divide,
 # timestamps are wall-clock (TIMESTAMP_NTZ) and compared in UTC, AQE re-plans
@@ -87,6 +89,29 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def publish(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> str:
+    """Write ``tables`` as one new version of what is at ``path`` and return its folder.
+
+    Every version has a folder of its own, so readers of an older one are not disturbed. A row of the manifest, written last,
+    makes the version known: a job that ends before that leaves the version before in place, never a mixture. Folders of
+    older versions stay until somebody removes them.
+    """
+    version = f"{path}/versions/{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{version}/{name}")
+    row = spark.createDataFrame([(time.time_ns(), version.rsplit("/", 1)[1])], "published_at long, version string")
+    row.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return version
+
+
+def published(spark: SparkSession, path: str) -> str | None:
+    """Folder of the version that was published last at ``path``, or None."""
+    if not exists(spark, f"{path}/manifest"):
+        return None
+    last = spark.read.parquet(f"{path}/manifest").orderBy(F.desc("published_at"), F.desc("version")).first()
+    return f"{path}/versions/{last['version']}" if last else None
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per Spark context, so that functions run there wherever the driver was started."""
     sc = spark.sparkContext

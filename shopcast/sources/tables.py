@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shopcast.session import materialize
+
 SCHEMAS: dict[str, T.StructType] = {
     "product": T.StructType([
         T.StructField("id", T.LongType()),
@@ -137,6 +139,45 @@ def read_records(spark: SparkSession, path: str, kind: str, fmt: str = "json",
     return normalize(df, kind)
 
 
+@dataclass(frozen=True)
+class Ingest:
+    """Records of files: those ``accepted``, with their types; those ``rejected`` (``reason, record``); and how many of each (``counts``: read, accepted, rejected)."""
+
+    accepted: DataFrame
+    rejected: DataFrame
+    counts: dict[str, int]
+
+
+def ingest_records(spark: SparkSession, path: str, kind: str, key: str, fmt: str = "json", multi_line: bool = True,
+                   extra: T.StructType | None = None) -> Ingest:
+    """Employee or product records from files, with those that can't be read set aside instead of filled with NULLs.
+
+    Every value is read as text first. A record is rejected when it is no record of the format ("unreadable"), when its
+    ``key`` is missing ("no <key>"), or when a value is not of its column's type ("<column> is no <type>", the first such column in the
+    order of the schema). A missing value, or NaN, is NULL and no reason. The files are read once: what was read and judged is
+    written, and the two tables and the counts come from that.
+    """
+    fields = [*SCHEMAS[kind].fields, *(extra.fields if extra else [])]
+    corrupt, reason = "__unreadable", F.lit(None).cast("string")
+    text = T.StructType([*[T.StructField(f.name, T.StringType()) for f in fields], T.StructField(corrupt, T.StringType())])
+    if fmt in ("json", "csv"):
+        raw = spark.read.schema(text).option("columnNameOfCorruptRecord", corrupt).option("multiLine", multi_line).option("header", True).format(fmt).load(path)
+    else:
+        have = spark.read.format(fmt).load(path)
+        raw = have.select(*[(F.col(f"`{f.name}`") if f.name in have.columns else F.lit(None)).cast("string").alias(f.name) for f in fields], F.lit(None).cast("string").alias(corrupt))
+    for f in reversed(fields):
+        reason = F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), F.lit(f"{f.name} is no {f.dataType.simpleString()}")).otherwise(reason)
+    reason = F.when(F.col(corrupt).isNotNull(), F.lit("unreadable")).when(F.col(key).isNull(), F.lit(f"no {key}")).otherwise(reason)
+    judged = materialize(raw.withColumn("__reason", reason))
+    n = judged.agg(F.count(F.lit(1)).alias("read"), F.count_if(F.col("__reason").isNull()).alias("accepted"), F.count("__reason").alias("rejected")).first()
+    values = F.to_json(F.struct(*[F.col(f.name) for f in fields]))
+    rejected = judged.where(F.col("__reason").isNotNull()).select(F.col("__reason").alias("reason"), F.coalesce(corrupt, values).alias("record"))
+    accepted = normalize(judged.where(F.col("__reason").isNull()).select(*[F.col(f.name) for f in fields]), kind)
+    if extra:
+        accepted = accepted.withColumns({f.name: F.col(f.name).try_cast(f.dataType) for f in extra.fields})
+    return Ingest(accepted, rejected, n.asDict())
+
+
 # ---------------------------------------------------------------------------
 # Mapping of the TPC-H-style test tables onto the logical inputs.
 # The same SELECTs are used as leading CTEs of the DuckDB oracles, so both

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from helpers import tables, ts
+from shopcast import session
 from shopcast.operators import ratings as rt
 from shopcast.operators import spine
 from shopcast.plans import recommend, training
-from shopcast.sources.tables import normalize, read_records
+from shopcast.session import published
+from shopcast.sources.tables import ingest_records, normalize, read_records
 
 
 def _fanout(spark):
@@ -228,14 +230,14 @@ def test_trained_recommender_is_served(spark, tmp_path):
     path = f"{tmp_path}/model"
     model = training.load_or_train(t, path)
     assert {"knn_test_mean_distance", "cv_rmse_mean", "cv_mae_mean"} <= {m.metric for m in model.metrics.collect()}
-    before = (tmp_path / "model/similarity/_SUCCESS").stat().st_mtime_ns
+    before = published(spark, path)
     again = training.load_or_train(t, path)  # loaded, not trained anew
-    assert (tmp_path / "model/similarity/_SUCCESS").stat().st_mtime_ns == before
+    assert published(spark, path) == before
     users, targets = spark.createDataFrame([(3,), (4,)], "user_id long"), spark.createDataFrame([(2,)], "product_id long")
     for kw in ({"strategy": "collaborative", "users": users}, {"strategy": "content_based", "targets": targets}):
         served, live = (sorted(map(tuple, recommend.recommend(t, model=m, **kw).collect())) for m in (again, None))
         assert [x[:2] for x in served] == [x[:2] for x in live] and served
-    shutil.rmtree(tmp_path / "model/scaler")
+    shutil.rmtree(f"{published(spark, path)}/scaler")
     with pytest.raises(AnalysisException):  # a damaged model is an error, not a reason to overwrite it
         training.load_or_train(t, path)
 
@@ -256,3 +258,67 @@ def test_read_records(spark, tmp_path):
     (tmp_path / "none.json").write_text("[]")
     with pytest.raises(ValueError):
         read_records(spark, str(tmp_path / "none.json"), "employee_record")
+
+
+@pytest.mark.parametrize("heavy", [2000, 4])
+def test_updated_statistics_are_those_of_retraining(spark, heavy):
+    """Random runs of inserted, deleted and replaced ratings; user 0 rated everything."""
+    rnd = random.Random(11)
+    r = {(0, p): float(rnd.randint(1, 5)) for p in range(14)} | {(rnd.randrange(1, 8), rnd.randrange(14)): rnd.choice([1.0, 2.5, 5.0, 3.3]) for _ in range(40)}
+    frame = lambda d: spark.createDataFrame([(*k, v) for k, v in d.items()], "user_id long, product_id long, rating double")
+    statistics = rt.pair_statistics(frame(r), heavy)
+    for _ in range(3):
+        after = dict(r)
+        for k in rnd.sample(sorted(after), 9):
+            after.pop(k)
+        for _ in range(9):
+            after[rnd.randrange(10), rnd.randrange(16)] = rnd.choice([1.0, 4.0, 0.0])
+        changes = rt.rating_changes(frame(r), frame(after))
+        assert {(c.user_id, c.product_id, c.rating) for c in changes.collect()} == {(*k, after.get(k)) for k in set(r) | set(after) if r.get(k) != after.get(k)}
+        assert sorted(rt.update_ratings(frame(r), changes).collect()) == sorted(frame(after).collect())
+        statistics = session.materialize(rt.update_statistics(statistics, frame(r), changes, heavy))
+        got = {(x.item_i, x.item_j): tuple(x)[2:] for x in statistics.collect()}
+        want = {(x.item_i, x.item_j): tuple(x)[2:] for x in rt.pair_statistics(frame(after)).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+        r = after
+
+
+def test_a_served_model_is_brought_up_to_date(spark, tmp_path):
+    path = f"{tmp_path}/model"
+    training.train_recommender(_random_shop(spark, 6), path)
+    later = _random_shop(spark, 7)
+    model, first = training.update(later, path), published(spark, path)
+    fresh = {(x.item_i, x.item_j): x.similarity for x in rt.item_similarity(rt.ratings(later)).collect()}
+    assert {(x.item_i, x.item_j): x.similarity for x in model.similarity.collect()} == {k: pytest.approx(v, abs=1e-9) for k, v in fresh.items()}
+    assert training.update(later, path).ratings.count() == model.ratings.count() and published(spark, path) != first
+    with pytest.raises(FileNotFoundError):
+        training.load(spark, f"{tmp_path}/nothing")
+
+
+def test_records_that_cannot_be_read_are_set_aside(spark, tmp_path):
+    lines = ['{"employee_id": 1, "completed_tasks": 2, "total_tasks": 4.5, "team": "a"}', '{"employee_id": "2", "completed_tasks": "NaN", "avg_task_hours": null}',
+             '{"employee_id": 3, "completed_tasks": "many", "total_tasks": "x"}', '{"completed_tasks": 1}', '{"employee_id": 4, "completed', '{"employee_id": "e5"}', '{"employee_id": 6, "team": {"a": 1}}']
+    (tmp_path / "e.json").write_text("\n".join(lines))
+    extra = StructType([StructField("team", StringType())])
+    got = ingest_records(spark, str(tmp_path / "e.json"), "employee_record", "employee_id", multi_line=False, extra=extra)
+    assert got.counts == {"read": 7, "accepted": 3, "rejected": 4}
+    rows = {r.employee_id: r for r in got.accepted.collect()}
+    assert set(rows) == {1, 2, 6} and rows[1].total_tasks == 4.5 and rows[1].team == "a" and rows[2].completed_tasks is None
+    assert sorted(r.reason for r in got.rejected.collect()) == ["completed_tasks is no double", "employee_id is no bigint", "no employee_id", "unreadable"]
+    assert {r.record for r in got.rejected.where("reason = 'unreadable'").collect()} == {lines[4]}
+    (tmp_path / "a.json").write_text('[{"employee_id": 1}, {"employee_id": null}]')
+    whole = ingest_records(spark, str(tmp_path / "a.json"), "employee_record", "employee_id")
+    assert whole.counts == {"read": 2, "accepted": 1, "rejected": 1}
+    got.accepted.write.parquet(f"{tmp_path}/p")
+    assert ingest_records(spark, f"{tmp_path}/p", "employee_record", "employee_id", fmt="parquet").counts == {"read": 3, "accepted": 3, "rejected": 0}
+
+
+def test_router_serves_every_strategy_with_and_without_a_model(spark, tmp_path):
+    t = _random_shop(spark, 6)
+    model = training.load_or_train(t, f"{tmp_path}/model")
+    users, emails = spark.createDataFrame([(3,), (4,)], "user_id long"), spark.createDataFrame([("u3@x",), ("u4@x",)], "email string")
+    for name, direct in (("popular", recommend.popular_products(t)), ("trending", recommend.trending_products(t, ts(2001, 1, 2))),
+                         ("personalized", recommend.personalized(t, users)), ("collaborative", recommend.collaborative(t, users))):
+        kw = {"as_of": ts(2001, 1, 2)} | ({"emails": emails} if name in recommend.USER_STRATEGIES else {})
+        for m in (None, model):
+            assert sorted(map(tuple, recommend.recommend(t, name, model=m, **kw).collect())) == sorted(map(tuple, direct.collect())), name

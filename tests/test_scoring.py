@@ -6,10 +6,12 @@ from decimal import Decimal
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrameWriter
 
 from shopcast.functions.expr import minmax
 from shopcast.operators import clustering, iforest
 from shopcast.plans import employees, forecast, products
+from shopcast.session import published
 
 SALE = "id long, user_id long, status string, grand_total double, created_at timestamp_ntz"
 
@@ -210,11 +212,39 @@ def test_employee_model_round_trip(spark, tmp_path):
     again = employees.employee_performance(df, employees.load_or_fit(df.limit(5), path)).collect()  # loaded
     assert sorted(first) == sorted(again)
     assert {r.employee_id for r in first if r.is_anomaly} >= {999}
-    shutil.rmtree(tmp_path / "employees/forest")
+    shutil.rmtree(f"{published(spark, path)}/forest")
     with pytest.raises(AnalysisException):  # a damaged model is an error, not a reason to overwrite it
         employees.load_or_fit(df, path)
 
 
+def test_an_aborted_save_leaves_the_old_model(spark, tmp_path, monkeypatch):
+    """The forest of a new version is written, its threshold is not: readers keep the version before, whole."""
+    rows = [(i, float(i % 9), 10.0, float(i % 4)) for i in range(80)] + [(999, 500.0, 500.0, 90.0)]
+    df, path = spark.createDataFrame(rows, EMP), f"{tmp_path}/employees"
+    old = employees.load_or_fit(df, path)
+    new = employees.fit(df.limit(40))
+    parquet, written = DataFrameWriter.parquet, []
+
+    def fails(self, to, *args, **kw):
+        if to.endswith("/meta"):
+            raise OSError("the executor's disk is gone")
+        written.append(to)
+        return parquet(self, to, *args, **kw)
+
+    with monkeypatch.context() as m:
+        m.setattr(DataFrameWriter, "parquet", fails)
+        with pytest.raises(OSError):
+            new.save(spark, path)
+    assert [w.rsplit("/", 1)[1] for w in written] == ["forest"]
+    again = employees.EmployeeModel.load(spark, path)
+    assert again.forest.threshold == old.forest.threshold and again.mean == old.mean
+    before = published(spark, path)
+    new.save(spark, path)
+    assert published(spark, path) != before and employees.EmployeeModel.load(spark, path).mean == new.mean
+    assert employees.EmployeeModel.load(spark, path).forest.nodes.shape == new.forest.nodes.shape
+    spark.read.parquet(f"{before}/forest").count()  # a reader of the old version is not disturbed
+
+
 def test_tier_model_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(i, f"p{i}", 1.0 + i % 5, float(i * i), 10.0, "x") for i in range(30)], PROD)
     path = f"{tmp_path}/tiers"
