@@ -1,7 +1,7 @@
 """Quality scores by supervised subword embeddings.
 
-Method. A text's features are its words (between ASCII white space) and the byte
-n-grams of length 3 to 5 of each word with a blank before and after it, hashed
+Method. A text's features are its words (between ASCII white space) and the character
+n-grams (code points) of length 3 to 5 of each word with a blank before and after it, hashed
 into ``BUCKETS`` rows of a learned embedding table; a word that is the one before it
 again (within pieces of about a million characters, in which texts are read) has
 row 0 as a further feature, whatever the word. The rows are averaged over the
@@ -48,8 +48,9 @@ def features(texts: list[str | None]) -> tuple[Joined, list[tuple[np.ndarray, np
     words = segments(j.raw, j.begin, j.end)
     again = np.flatnonzero((words[1:] == words[:-1]) & (j.doc[1:] == j.doc[:-1])) + 1
     out = [((words % np.uint64(BUCKETS)).astype(np.int32), j.begin), (np.zeros(len(again), np.int32), j.begin[again])]
-    space = _SPACE[j.raw]
-    b = np.where(space, 32, j.raw).astype(np.uint32)
+    place, code = characters(j.raw)
+    space = _SPACE[j.raw[place]]
+    b = np.where(space, 32, code).astype(np.uint32)
     for n in (3, 4, 5):
         size = max(0, len(b) - n + 1)
         h, inner = np.full(size, n, np.uint32), np.ones(size, bool)
@@ -60,10 +61,21 @@ def features(texts: list[str | None]) -> tuple[Joined, list[tuple[np.ndarray, np
                 inner &= ~space[i:size + i]
         at = np.flatnonzero(inner)
         h = h[at] * np.uint32(0x85EBCA6B)
-        out.append(((h >> np.uint32(16)).astype(np.int32), at))
+        out.append(((h >> np.uint32(16)).astype(np.int32), place[at]))
     return j, out
 
 
+def characters(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each character of UTF-8 bytes begins, and its bytes as one number, the first lowest."""
+    place = np.flatnonzero((raw & 0xC0) != 0x80)
+    code = raw[place].astype(np.uint32)
+    size = np.diff(np.append(place, len(raw)))
+    for i in range(1, 4):
+        long = np.flatnonzero(size > i)
+        code[long] |= raw[place[long] + i].astype(np.uint32) << np.uint32(8 * i)
+    return place, code
+
+
 def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and how often each occurs."""
     n = np.zeros(BUCKETS, np.int64)

@@ -476,7 +476,7 @@ def test_licenses(spark):
     got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert sorted(map(tuple, got)) == every
     for r in got[:50]:
-        assert licenses.Shingles([(texts[r.doc_id]).encode()[r.begin_byte:r.end_byte].decode()]).words.size >= 5
+        assert licenses.Shingles([(texts[r.doc_id]).encode()[r.begin_byte:r.end_byte].decode()]).words.size >= 4  # an SPDX line has four words
 
 
 def test_licenses_do_not_depend_on_windows():
@@ -640,3 +640,52 @@ def test_divergence_passes_counts_on_when_a_task_holds_many(spark):
     small = spark.createDataFrame([(t, "en", "s") for t in ("one two one", "Two three", None)], "text string, lang string, source string").coalesce(1)
     assert sorted((r.term, r.n, r.docs) for r in divergence.term_counts(small).collect()) == [("", 0, 0), ("one", 2, 1), ("three", 1, 1), ("two", 2, 2)]
     assert len(want) == len({(r.lang, r.source, r.term) for r in want})
+
+
+def test_plain_notices_are_found(spark):
+    """Notices as projects write them, among other words; each is found by its license, and nothing in the words alone."""
+    notices = {"Licensed under the GNU Lesser General Public License": "LGPL", "SPDX-License-Identifier: MIT": "MIT", "Released under the BSD 2-Clause License.": "BSD-2-Clause",
+               "This is free and unencumbered software released into the public domain.": "Unlicense", "Licensed under the MIT license": "MIT", "// SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0",
+               "under the terms of the GNU Affero General Public License": "AGPL", "Licensed under CC BY-SA 4.0": "CC-BY-SA", "distributed under the ISC license": "ISC",
+               "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "CC-BY-SA", **{t: k for k, t in licenses.NOTICES.items()}}
+    rows = [(2 * i + j, f"alpha beta gamma {t} delta epsilon" if j else "alpha beta gamma under the terms agreed, released in public delta") for i, t in enumerate(notices) for j in (0, 1)]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    for i, (t, name) in enumerate(notices.items()):
+        assert any(g.startswith(name) for g in got.get(2 * i + 1, ())), t
+        assert 2 * i not in got
+
+
+def _quality_features(text):
+    """Buckets of a text by the method's words: words, repeated words, and 3- to 5-grams of code points of each word between blanks."""
+    words = [w for w in re.split("[ \t\n\x0b\x0c\r]", text or "") if w]
+
+    def of_word(w):
+        h = (sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 2**64) for i, b in enumerate(w.encode())) + len(w.encode())) % 2**64
+        h = (h ^ (h >> 31)) * 0xBF58476D1CE4E5B9 % 2**64
+        return (h ^ (h >> 29)) % quality.BUCKETS
+
+    def of_gram(g):
+        h = len(g)
+        for c in g:
+            h = (h * 0x01000193 % 2**32) ^ int.from_bytes(c.encode(), "little")
+        return (h * 0x85EBCA6B % 2**32) >> 16
+
+    out = [of_word(w) for w in words] + [0 for a, b in zip(words, words[1:], strict=False) if a == b]
+    return out + [of_gram(f" {w} "[i:i + n]) for w in words for n in (3, 4, 5) for i in range(len(w) + 3 - n)]
+
+
+def test_quality_brute_force():
+    """Features and logits rebuilt from the method's text alone, in scripts of one to four bytes a character."""
+    rng = random.Random(2)
+    letters = ["a", "b", "Z", "é", "ß", "日", "本", "語", "😀", "𝄞", "\x00", "\u2003"]
+    texts = ["", None, " \n", "a", "日本語 日本語", "one one two"] + [rng.choice([" ", "  ", "\n", "\t\x0b"]).join("".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    weights = np.random.default_rng(1).normal(size=quality.BUCKETS + 1).astype(np.float32)
+    got = quality.Model(weights, -0.7).logits(texts)
+    for t, z in zip(texts, got, strict=True):
+        f = _quality_features(t)
+        assert z == pytest.approx(-0.7 + (float(np.mean(weights[f].astype(float))) + float(weights[-1]) if f else 0.0), abs=1e-6)
+        ids, n = quality.counts(t)
+        assert dict(zip(ids.tolist(), n.tolist(), strict=True)) == {b: f.count(b) for b in set(f)}
+    assert len(_quality_features("日本語")) == 1 + 3 + 2 + 1
