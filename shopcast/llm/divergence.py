@@ -242,7 +242,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, rows: int =
     cols = ["lang", "source", "band", "slice", "term", "n", "whole", "size", "kept", "lang_size", "width"]
     sides = [F.least("band", "other").alias("left"), F.greatest("band", "other").alias("right")]
     tiles = heads.select(*cols, *sides).unionByName(body.select(*cols, *sides)).groupBy("lang", "left", "right", "slice")
-    found = tiles.applyInArrow(_tile, "lang string, source string, part string, item string, value long")
+    found = materialize(tiles.applyInArrow(_tile, "lang string, source string, part string, item string, value long"))  # once for both parts
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     both = F.explode(F.array(F.struct(F.col("source"), F.col("item")), F.struct(F.col("item").alias("source"), F.col("source").alias("item")))).alias("e")
     pairs = pairs.select("lang", both, "value").select("lang", "e.source", F.lit("pair").alias("part"), "e.item", "value")

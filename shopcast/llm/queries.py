@@ -118,8 +118,8 @@ ORACLES["op6_exact_dedup"] = r"""
 with d as (
   select doc_id, length(coalesce(text, '')) as n, sha256(translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) as h
   from documents),
-g as (select *, first_value(doc_id) over (partition by h order by n desc, doc_id nulls last) as keep_id, count(*) over (partition by h) as group_size from d)
-select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, h as text_sha256 from g
+g as (select *, first_value(doc_id) over (partition by h order by n desc, doc_id nulls last) as keep_id, max(n) over (partition by h) as most, count(*) over (partition by h) as group_size from d)
+select doc_id, keep_id, group_size, doc_id is not distinct from keep_id and n = most as kept, h as text_sha256 from g
 """
 
 
