@@ -23,7 +23,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopcast.sources.tables import COMPLETED, Tables
+from shopcast.sources.tables import COMPLETED, SALE_MONTH, Tables
 
 SEMANTICS = ("corrected", "reference")
 
@@ -38,6 +38,8 @@ def qualifying_sales(t: Tables, since: dt.datetime | None = None) -> DataFrame:
     s = t.sale.where(F.col("status") == COMPLETED)
     if since is not None:
         s = s.where(F.col("created_at") >= F.lit(since).cast("timestamp_ntz"))
+        if SALE_MONTH in s.columns:  # a stored table: months before are not read
+            s = s.where(F.col(SALE_MONTH) >= F.lit(since.date().replace(day=1)))
     return s
 
 

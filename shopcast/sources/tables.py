@@ -66,6 +66,8 @@ SCHEMAS: dict[str, T.StructType] = {
 RELATIONAL = ("product", "stock", "sale", "sale_detail", "review", "users")
 
 COMPLETED = "completed"
+#: Column by which a stored sale table is partitioned.
+SALE_MONTH = "sale_month"
 
 
 @dataclass(frozen=True)
@@ -87,6 +89,30 @@ class Tables:
         return cls(**{name: normalize(frames[name], name) for name in RELATIONAL})
 
 
+def store_bucketed(t: Tables, prefix: str, folder: str, buckets: int = 64) -> None:
+    """Write ``t`` as tables ``<prefix>_<name>`` of the catalog, with their files below ``folder``.
+
+    ``sale`` and ``sale_detail`` are dealt into the same buckets by the id of the sale and sorted by it, so the join of the
+    two largest tables needs no shuffle; ``sale`` is also partitioned by the month it was made in, so that
+    recent sales are read alone. ``buckets`` is fixed for the life of the tables: some MB to a bucket of a month.
+    """
+    month = F.trunc(F.col("created_at").cast("date"), "month")
+    layouts = {"sale": (t.sale.withColumn(SALE_MONTH, month), "id", [SALE_MONTH]), "sale_detail": (t.sale_detail, "sale_id", [])}
+    for name in RELATIONAL:
+        df, key, parts = layouts.get(name, (getattr(t, name), None, []))
+        if key:  # a task has whole buckets, so it writes a file for each
+            writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+        else:
+            writer = df.write
+        writer = writer.partitionBy(*parts) if parts else writer
+        writer.mode("overwrite").option("path", f"{folder}/{name}").saveAsTable(f"{prefix}_{name}")
+
+
+def catalog_tables(spark: SparkSession, prefix: str) -> Tables:
+    """The tables that :func:`store_bucketed` wrote."""
+    return Tables(**{name: spark.table(f"{prefix}_{name}") for name in RELATIONAL})
+
+
 def normalize(df: DataFrame, name: str) -> DataFrame:
     """Cast the known columns to the fixed schema; NaN becomes NULL.
 

@@ -1,5 +1,6 @@
 """Pruned operators against brute force, rank helper, and plan shape."""
 
+import itertools
 import random
 
 import numpy as np
@@ -12,6 +13,7 @@ from shopcast.functions import expr
 from shopcast.functions.expr import global_rank
 from shopcast.operators import banded_topk, knn, ratings, shared_buyers, spine
 from shopcast.plans import forecast, recommend
+from shopcast.sources.tables import catalog_tables, store_bucketed
 
 
 def _rows(df, cols):
@@ -151,3 +153,31 @@ def test_sales_filter_pushed_to_parquet(spark, tmp_path):
     assert "EqualTo(status,completed)" in plan
     assert "GreaterThanOrEqual(created_at" in plan and "LessThan(created_at" in plan
     assert "ReadSchema: struct<id:bigint,status:string,grand_total:double,created_at:timestamp_ntz>" in plan
+
+
+def test_stored_tables_join_without_a_shuffle(spark, tmp_path):
+    """Bucketed sale and sale_detail: no exchange below their join, months before the window are not read, same answers as the frames."""
+    rnd = random.Random(5)
+    sales = [(i, rnd.randrange(9), rnd.choice(["completed", "pending"]), 1.0, ts(2001, rnd.randint(1, 8), rnd.randint(1, 28))) for i in range(120)]
+    details = [(rnd.randrange(120), 10 * rnd.randint(1, 6), float(rnd.randint(1, 4))) for _ in range(300)]
+    t = tables(spark, product=[(i, f"p{i}", 1.0) for i in range(1, 7)], stock=[(10 * i, i) for i in range(1, 7)], sale=sales, sale_detail=details,
+               review=[(i, rnd.randrange(9), rnd.randint(1, 6), float(rnd.randint(1, 5))) for i in range(40)], users=[(u, f"u{u}@x") for u in range(9)])
+    store_bucketed(t, "shop_test", str(tmp_path), buckets=4)
+    stored, as_of = catalog_tables(spark, "shop_test"), ts(2001, 8, 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (spine.purchases(stored), spine.product_sales(stored), spine.product_sales(stored, semantics="reference")):
+            lines = _plan(df).splitlines()
+            at = next(i for i, line in enumerate(lines) if "Join" in line and "sale_id" in line)
+            depth = len(lines[at]) - len(lines[at].lstrip(" :+-"))
+            below = list(itertools.takewhile(lambda line: len(line) - len(line.lstrip(" :+-")) > depth, lines[at + 1:]))  # noqa: B023
+            assert sum("FileScan" in line for line in below) == 2 and not any("Exchange" in line for line in below)
+        recent = _plan(spine.product_sales(stored, since=ts(2001, 7, 11)))
+        assert "PartitionFilters: [isnotnull(sale_month" in recent and "sale_month" not in _plan(spine.product_sales(t, since=ts(2001, 7, 11)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for job in (recommend.popular_products, lambda x: recommend.trending_products(x, as_of=as_of), lambda x: recommend.trending_products(x, as_of=as_of, semantics="reference"),
+                lambda x: spine.purchases(x).select("user_id", "product_id", "lines", "units")):
+        assert sorted(map(tuple, job(stored).collect())) == sorted(map(tuple, job(t).collect()))
+    for name in ("product", "stock", "sale", "sale_detail", "review", "users"):
+        spark.sql(f"drop table shop_test_{name}")
