@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopcast.session import materialize
+from shopcast.session import materialize, scratch_dir
 
-__all__ = ["materialize", "read", "text_slices", "text_pieces", "ascii_words", "row_key", "id_key", "free_name", "keep_rows"]
+__all__ = ["materialize", "written", "read", "text_slices", "text_pieces", "ascii_words", "row_key", "id_key", "free_name", "keep_rows"]
 
 #: Runs of anything but ASCII white space, as the Spark side splits words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,6 +21,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written as a table in the shared folder and read again."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that a task holds few texts as Python objects at a time."""
     for batch in batches:

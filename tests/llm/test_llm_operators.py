@@ -152,10 +152,31 @@ def test_topk_brute_force(spark):
         s = v @ v[q]
         order = sorted((j for j in range(len(x)) if j != q), key=lambda j: (-s[j], j))[:5]
         want += [(q, k + 1, j, int(s[j])) for k, j in enumerate(order)]
-    for chunk, queries in ((16_384, 1024), (100, 3)):
+    for chunk, queries in ((16_384, 1024), (100, 3), (2, 30)):
         assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0, chunk=chunk, queries=queries).collect())) == want
 
 
+def test_topk_with_bars():
+    rng = np.random.default_rng(2)
+    x = rng.integers(-40, 40, (500, 24)).astype(np.float64)
+    q, own, rank = x[:130], np.arange(130), np.arange(500)
+    plain = list(topk.search(q, x, own, rank, 5))
+    sums = q @ x.T
+    sums[own, own] = -np.inf
+    for i, (rows, found) in enumerate(plain):
+        assert rows.tolist() == sorted(range(500), key=lambda j: (-sums[i, j], j))[:5] and found.tolist() == sums[i, rows].tolist()
+    for shift in (-1.0, 0.0, 1.0):  # of the bars from the fifth product; rows that reach them stay
+        bars = np.array([found[4] + shift for _, found in plain])
+        for (rows, found), (kept, left), bar in zip(plain, topk.search(q, x, own, rank, 5, bars=bars), bars, strict=True):
+            assert kept.tolist() == rows[found >= bar].tolist() and left.tolist() == found[found >= bar].tolist()
+
+
+def test_topk_of_several_blocks_and_chunks(spark):
+    df = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(*[F.rand(i) for i in range(4)]).alias("embedding"))
+    rows = topk.top_k(df, F.col("vec_id") % 50 == 0, chunk=500, queries=60)
+    assert rows.groupBy("query_id").count().where("count = 5").count() == 60
+
+
 # -- exact dedup -------------------------------------------------------------------
 
 def test_cuckoo_index():
@@ -276,6 +297,21 @@ def test_packing(spark, hf):
     assert all(len(p.ids) == p.length for p in with_ids)
 
 
+def test_packing_pads_the_same_in_any_number_of_partitions(spark, hf):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    tokens = sum(len(hf.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts.values())
+    for n, window in ((64, packing.WINDOW), (16, 5000)):
+        pieces = packing.pack(docs.repartition(n), window=window, with_ids=True).collect()
+        used = _check_packing(pieces, texts, hf)
+        assert all(len(p.ids) == p.length for p in pieces)
+        second = {p.sequence_id for p in pieces if p.sequence_id >= packing.SECOND}
+        tasks = len({s >> 33 for s in second})
+        # All sequences but one of each task of the second pass are full.
+        assert round(used * tokens / 1024) <= -(-tokens // 1024) + tasks - 1
+        assert second and (window < packing.WINDOW or tasks == 1)
+
+
 def test_assignment_is_balanced():
     rng = random.Random(4)
     lengths = [min(1023, 1 + int(rng.expovariate(1 / 150))) for _ in range(4000)]
