@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from shopcast.llm.common import materialize
 
 K = 5
-CHUNK, QUERIES, BLOCK = 65_536, 65_536, 8
+CHUNK, QUERIES, BLOCK = 16_384, 65_536, 8
 #: Queries whose products with a chunk are held at a time.
 STEP = 64
 _RESULT = "query_uid long, query_id long, vec_id long, uid long, score long"
