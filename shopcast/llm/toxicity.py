@@ -146,6 +146,11 @@ def hashed(counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     return h[order], np.fromiter(counts.values(), np.int32, len(counts))[order]
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Counts in the smallest type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
 class Examples:
     """Labelled texts, in order of doc_id: ids, labels, sketches, and of each text the places of its words among all words' hashes, and how often each occurs."""
 
@@ -200,30 +205,44 @@ class CopyIndex:
         chosen = np.zeros(len(e.ids), bool)
         chosen[kept] = True
         entries = np.flatnonzero(chosen[e.rows()])
-        self.term, self.times = e.term[entries], e.n[entries]
+        self.term, self.times = e.term[entries], _narrow(e.n[entries])
         self.begin = np.append(0, np.cumsum(np.diff(e.begin)[chosen]))
         self.posts: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
         """Without what each task can make anew, which is most of it."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("weight", "post_weight", "post")} | {"posts": None, "times": zlib.compress(self.times.tobytes(), 1)}
+        times = zlib.compress(self.times.tobytes(), 1), self.times.dtype
+        return {k: v for k, v in self.__dict__.items() if k not in ("norm", "post_weight", "post")} | {"posts": None, "times": times}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state | {"times": np.frombuffer(zlib.decompress(state["times"]), np.int32)}
+        times, kind = state["times"]
+        self.__dict__ |= state | {"times": np.frombuffer(zlib.decompress(times), kind)}
+
+    def _weight(self, at: slice | np.ndarray) -> np.ndarray:
+        """Weights of these entries, before their rows are scaled to length 1."""
+        weight = np.log(self.times[at], dtype=np.float32)
+        weight += 1
+        weight *= self.idf[self.term[at]]
+        return weight
 
     def _post(self) -> None:
-        row = np.repeat(np.arange(len(self.rows), dtype=np.int32), np.diff(self.begin))
-        self.weight = np.log(self.times, dtype=np.float32)
-        self.weight += 1
-        self.weight *= self.idf[self.term]
-        for lo in range(0, len(self.rows), 1000):  # a part at a time for the sake of memory
-            at = slice(self.begin[lo], self.begin[min(lo + 1000, len(self.rows))])
-            norm = np.sqrt(np.bincount(row[at] - lo, self.weight[at]**2)).astype(np.float32)
-            self.weight[at] /= norm[row[at] - lo]
-        order = np.argsort(self.term, kind="stable")
-        self.posts, self.post_weight = row[order], self.weight[order]
-        del order, row
-        self.post = np.append(0, np.cumsum(np.bincount(self.term, minlength=len(self.words))))
+        """Lengths of the rows, and the entries in order of their terms. Both a part at a time for the sake of memory."""
+        self.norm = np.empty(len(self.rows), np.float32)
+        for lo in range(0, len(self.rows), 1000):
+            begin = self.begin[lo:lo + 1001]
+            row = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+            self.norm[lo:lo + 1000] = np.sqrt(np.bincount(row, self._weight(slice(begin[0], begin[-1]))**2, len(begin) - 1))
+        held = np.bincount(self.term, minlength=len(self.words))
+        self.post = np.append(0, np.cumsum(held))
+        self.posts, self.post_weight = np.empty(len(self.term), np.min_scalar_type(len(self.rows))), np.empty(len(self.term), np.float32)
+        step = max(1, len(self.term) // 16)
+        edge = np.unique(np.append(np.searchsorted(self.post, np.arange(0, len(self.term), step)), len(self.words)))
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            entries = np.flatnonzero((self.term >= lo) & (self.term < hi))
+            entries = entries[np.argsort(self.term[entries], kind="stable")]
+            row = np.searchsorted(self.begin, entries, "right") - 1
+            self.posts[self.post[lo]:self.post[hi]] = row
+            self.post_weight[self.post[lo]:self.post[hi]] = self._weight(entries) / self.norm[row]
 
     def search(self, h: np.ndarray, n: np.ndarray) -> list[tuple[int, float]]:
         """(place in ``rows``, cosine) of the examples that reach the level, the nearest first."""
@@ -250,9 +269,10 @@ class CopyIndex:
         words, values = at[place], weight[place]
         cosine = np.zeros(len(found))
         for k, i in enumerate(found.tolist()):
-            own = self.term[self.begin[i]:self.begin[i + 1]]  # ascending
+            whole = slice(self.begin[i], self.begin[i + 1])
+            own = self.term[whole]  # ascending
             p = np.minimum(np.searchsorted(words, own), len(words) - 1)
-            cosine[k] = np.where(words[p] == own, values[p], 0.0) @ self.weight[self.begin[i]:self.begin[i + 1]]
+            cosine[k] = np.where(words[p] == own, values[p], 0.0) @ (self._weight(whole) / self.norm[i])
         cosine = np.minimum(np.round(cosine, 6), 1.0)
         hit = np.flatnonzero(cosine >= self.level - 1e-6)
         return sorted(zip(found[hit].tolist(), cosine[hit].tolist(), strict=True), key=lambda x: (-x[1], self.rows[x[0]][0][0]))
