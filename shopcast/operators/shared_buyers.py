@@ -12,10 +12,15 @@ product with b buyers there are b² pairs, so products are split by their buyers
 
 A pair that meets in a hot product is left out of the light pairs, so nobody counts twice.
 A user's own lines are only on own products, which are never listed.
+
+Users without a hot product, as a rule nearly all, need neither patterns nor pairs as rows: a user's purchases
+travel once to each block where somebody shares a product with the user, and the task finds there who
+shares with whom. The blocks are few and large, so what travels grows with the purchases.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +32,8 @@ from shopcast.operators import blocked as bl
 from shopcast.session import materialize
 
 BLOCK, WIDTH, TERMS = 1024, 16_384, 1 << 21
+#: Blocks of the users without hot products: at least so many, and more for more users or pairs of buyers of a product to a block than these.
+BLOCKS, USERS, PAIRS = 32, 1 << 16, 1 << 23
 
 
 def shared_buyer_counts(buy: DataFrame, mine: DataFrame, products: DataFrame, limit: int, hot: int, least: float = 0, block: int = BLOCK, width: int = WIDTH) -> DataFrame:
@@ -36,8 +43,103 @@ def shared_buyer_counts(buy: DataFrame, mine: DataFrame, products: DataFrame, li
     ``products``: ``product_id, factor`` of the products that may be listed. All are read several times: pass written frames.
     """
     tasks = 2 * buy.sparkSession.sparkContext.defaultParallelism
-    grid = bl.Grid.of(mine.select("user_id").distinct().count(), block, products.count(), width, tasks)
     bits = materialize(hot_bits(buy, hot))
+    cool = materialize(mine.join(bits.select("user_id"), "user_id", "left_anti"))
+    users = cool.select("user_id").distinct().count()
+    out = [] if not users else [_cool_counts(buy, cool, users, products, limit, least, tasks)]
+    if not out or not bits.isEmpty():
+        out.append(_hot_counts(buy, mine.join(bits.select("user_id"), "user_id", "left_semi"), bits, products, limit, hot, least, block, width, tasks))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
+def _cool_counts(buy: DataFrame, mine: DataFrame, users: int, products: DataFrame, limit: int, least: float, tasks: int) -> DataFrame:
+    """The counts of the ``users`` of ``mine``, who have no hot product: nobody shares one with them, and every product they own has few buyers."""
+    asked = mine.groupBy("product_id").agg(F.count(F.lit(1)).alias("asked"))
+    pairs = asked.join(buy.groupBy("product_id").agg(F.count(F.lit(1)).alias("n")), "product_id").agg(F.sum(F.col("asked") * F.col("n"))).first()[0] or 0
+    grid = bl.Grid(max(min(max(BLOCKS, tasks), math.ceil(users / 64)), math.ceil(users / USERS), math.ceil(pairs / PAIRS)), 1)
+    # Products by number in order of their ids, so that ties go by number, too. Those that may not be listed have the factor 0.
+    listed = products.groupBy("product_id").agg(F.max("factor").alias("factor"))
+    numbers = materialize(global_rank(buy.select("product_id").distinct(), [F.col("product_id")], "nr").join(listed, "product_id", "left")
+                          .select("product_id", "nr", F.coalesce("factor", F.lit(0)).alias("factor")))
+    where = mine.groupBy("product_id").agg(F.collect_set(grid.block("user_id")).alias("blocks"))
+    whole = (buy.join(numbers, "product_id").join(where, "product_id", "left").groupBy("user_id")
+             .agg(F.collect_list(F.struct("nr", (F.col("lines") * F.col("factor")).alias("value"))).alias("c"), F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
+             .join(mine.select("user_id").distinct().withColumn("asked", F.lit(True)), "user_id", "left")
+             .select("user_id", "c", "asked", F.explode("blocks").alias("block")))
+    # Whoever is asked for shares the own products, so the row of a user of the block is among those sent there.
+    own = F.coalesce("asked", F.lit(False)) & (F.col("block") == grid.block("user_id"))
+    rows = grid.rows(whole, F.when(own, F.lit(bl.USERS)).otherwise(F.lit(bl.ROWS)), block=F.col("block"), slot=F.lit(0), key=F.col("user_id"), ids=F.col("c.nr"), vals=F.col("c.value"))
+    found = grid.run(rows, lambda runs: _shared(runs, limit, least), limit, ordered=False)
+    return (found.withColumnRenamed("column", "nr").join(numbers.select("nr", "product_id"), "nr")
+            .select("user_id", "product_id", F.col("value").cast("long").alias("n")))
+
+
+def _shared(runs: Iterator[tuple], limit: int, least: float) -> Iterator[tuple]:
+    """Best products of one block of users from the purchases of all who share a product with them, in any order."""
+    key, asked, size, ids, lines = ([] for _ in range(5))
+    for _, tag, rows in runs:
+        nr, n = bl.flat(rows.column("ids"))
+        value = bl.flat(rows.column("vals"))[0]
+        key.append(rows.column("key").to_numpy())
+        asked.append(np.full(len(n), tag == bl.USERS))
+        size.append(n)
+        ids.append(nr.astype(np.int32))
+        lines.append(value.astype(np.min_scalar_type(int(value.max(initial=0)))))
+    if not key:
+        return
+    key, asked, size, ids, lines = (np.concatenate(x) for x in (key, asked, size, ids, lines))
+    first, width = bl.starts(size), int(ids.max()) + 1
+    users = np.flatnonzero(asked)
+    users = users[np.argsort(key[users])]
+    at, owner = bl.spans(first[users], size[users])
+    # Own products of the block's users, by product.
+    by_product = np.argsort(ids[at], kind="stable")
+    product, user = ids[at][by_product], owner[by_product].astype(np.int32)
+    own = np.sort(owner * width + ids[at])
+    one, other = [], []
+    low = 0
+    while low < len(key):  # a part of the rows at a time
+        high = min(len(key), max(low + 1, int(np.searchsorted(first, first[low] + TERMS, side="right")) - 1))
+        part = ids[first[low]:first[high]]
+        begin = np.searchsorted(product, part)
+        held = np.searchsorted(product, part, side="right") - begin
+        where, entry = bl.spans(begin, held)
+        pair = np.unique(user[where].astype(np.int64) * len(key) + (low + np.repeat(np.arange(high - low), size[low:high]))[entry])
+        u, v = np.divmod(pair, len(key))
+        apart = users[u] != v
+        one.append(u[apart].astype(np.int32))
+        other.append(v[apart].astype(np.int32))
+        low = high
+    one, other = np.concatenate(one), np.concatenate(other)
+    order = np.argsort(one, kind="stable")
+    one, other = one[order], other[order]
+    del order
+    best = bl.Best(len(users), limit)
+    edge = np.searchsorted(one, np.arange(len(users) + 1))
+    terms = bl.starts(size[other])
+    load = terms[edge]
+    low = 0
+    while low < len(users):  # users with about TERMS terms at a time; a user with more is summed up part by part
+        high = max(low + 1, int(np.searchsorted(load, load[low] + TERMS, side="right")) - 1)
+        sums = _Sums()
+        a, end = int(edge[low]), int(edge[high])
+        while a < end:
+            b = min(end, max(a + 1, int(np.searchsorted(terms, terms[a] + TERMS, side="right")) - 1))
+            where, pair = bl.spans(first[other[a:b]], size[other[a:b]])
+            sums.add(one[a:b].astype(np.int64)[pair] * width + ids[where], lines[where].astype(float))
+            a = b
+        cell, value = sums.total()
+        mine = own[np.searchsorted(own, low * width):np.searchsorted(own, high * width)]
+        keep = ~bl.find(mine, cell)[1] & (value >= least) & (value > 0)
+        u, nr = np.divmod(cell[keep], width)
+        best.add(low, high, u, nr, value[keep])
+        low = high
+    yield best.packed(key[users])
+
+
+def _hot_counts(buy: DataFrame, mine: DataFrame, bits: DataFrame, products: DataFrame, limit: int, hot: int, least: float, block: int, width: int, tasks: int) -> DataFrame:
+    """The counts of the users of ``mine``, who have hot products."""
+    grid = bl.Grid.of(mine.select("user_id").distinct().count(), block, products.count(), width, tasks)
     lists = (mine.groupBy("user_id").agg(F.collect_list("product_id").alias("own"), F.first(grid.block("user_id")).alias("block"))
              .join(bits, "user_id", "left"))
     columns = products.groupBy(grid.slot("product_id").alias("slot")).agg(F.collect_list(F.struct("product_id", "factor")).alias("c"))

@@ -135,6 +135,28 @@ def test_shared_buyers_with_products_that_everybody_bought(spark, monkeypatch, h
     assert packed <= users * grid.parts + slots * grid.blocks * (users + 1) + slots * pairs
 
 
+@pytest.mark.parametrize(("hot", "terms"), [(512, 1 << 21), (512, 7), (6, 1 << 21), (6, 7)])
+def test_shared_buyers_travel_by_user_and_block(spark, monkeypatch, hot, terms):
+    """Users without a hot product: a user's purchases go once to each block where a product is shared, and nothing goes to all blocks."""
+    monkeypatch.setattr(shared_buyers, "TERMS", terms)
+    monkeypatch.setattr(shared_buyers, "USERS", 3)
+    rnd, users = random.Random(hot + terms), 60
+    lines = {(u, 10 * (u // 5) + rnd.randrange(10)): rnd.randint(1, 300) for u in range(users) for _ in range(3)}
+    lines |= {(u, 1000): 2 for u in range(0, users, 4)} | {(u, 2000 + u): 1 for u in range(users)}
+    factor = {p: rnd.randint(0, 3) for p in {p for _, p in lines} if rnd.random() < 0.9} | dict.fromkeys(range(5000, 6000), 1)
+    buy = spark.createDataFrame([(*x, n) for x, n in lines.items()], "user_id long, product_id long, lines long")
+    mine = buy.where("user_id % 3 > 0")
+    grids = _grids(monkeypatch)
+    out = shared_buyers.shared_buyer_counts(buy, mine, spark.createDataFrame(list(factor.items()), "product_id long, factor long"), 4, hot, 2)
+    want = _shared(lines, [u for u in range(users) if u % 3], factor, 4, 2)
+    assert {tuple(r) for r in out.collect()} == {x for x in want if x[2] > 0}
+    grid, rows = grids[0]
+    assert grid.blocks > 5 and len(grids) == (1 if hot > 100 else 2)
+    sharing = {(v, u) for u, p in lines for v, q in lines if p == q}
+    got = [(r.key, r.gid) for r in rows.select("key", "gid").collect()]
+    assert len(got) == len(set(got)) <= len(sharing)
+
+
 def test_patterns_meet_where_they_share_a_bit():
     rng = np.random.default_rng(3)
     sets = [sorted(set(rng.integers(0, 300, n).tolist())) for n in (0, 1, 3, 40, 0, 5, 200)]
