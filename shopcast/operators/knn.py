@@ -6,7 +6,8 @@ top cells with the same two. Items and queries go down the tree to a cell. A que
 it a bar: its k-th similarity there. By the triangle inequality on the sphere, the angle
 between a query and an item is at least the query's angle to a centre less the largest
 angle of the centre's items; so whole top cells are skipped, and in the others the cells that can't hold
-an item as near as the bar. The most promising cells are visited first, and the bar
+an item as near as the bar. Vectors of few components have a second bound, the distance of the query's direction to
+the box around the directions of a cell's items, which rules out cells whose angle reaches far past their items. The most promising cells are visited first, and the bar
 they leave is carried to the rest, fewer of which are then visited. Cells are cut into blocks; a block of queries meets a block of items in
 one task with one matrix product. No pair becomes a row, a task holds two
 blocks, and skipped cells are proven to hold no neighbour. The centres (at most ``MOST_CELLS`` vectors) travel to the
@@ -38,6 +39,8 @@ from shopcast.session import materialize
 ROUND = 9
 #: Most cells of a tree, and cells that a query visits before its bar is raised.
 MOST_CELLS, FIRST = 16_384, 4
+#: Most components of vectors whose cells have boxes; with many, boxes rule out nothing that the angles leave.
+BOXED = 16
 _SLACK = 1e-6
 
 
@@ -112,6 +115,9 @@ class Tree:
     first: np.ndarray
     radius: np.ndarray | None = None
     top_radius: np.ndarray | None = None
+    #: Of each cell, smallest and largest components of its items' directions.
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
 
     @classmethod
     def of(cls, chosen: np.ndarray) -> Tree:
@@ -138,16 +144,30 @@ class Tree:
         """Pairs of a vector and a cell that may hold an item at an angle up to the vector's ``limit``, and the least angle possible there."""
         found = []
         go = _angles(v, self.tops) - self.top_radius <= limit[:, None]
+        if self.low is not None:
+            go &= _beside(v, np.minimum.reduceat(self.low, self.first[:-1]), np.maximum.reduceat(self.high, self.first[:-1])) <= limit[:, None]
         for t in range(len(self.tops)):
             mine = np.flatnonzero(go[:, t])
             cells = np.arange(self.first[t], self.first[t + 1])
             cells = cells[self.radius[cells] >= 0]  # cells that hold items
             least = np.maximum(_angles(v[mine], self.centres[cells]) - self.radius[cells], 0.0)
+            if self.low is not None:
+                least = np.maximum(least, _beside(v[mine], self.low[cells], self.high[cells]))
             r, c = np.nonzero(least <= limit[mine][:, None])
             found.append((mine[r], cells[c], least[r, c]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _beside(v: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Least possible angle of each vector to a direction in each box: that of the chord from the vector's direction to the box."""
+    v = v / np.sqrt((v * v).sum(axis=1))[:, None]
+    chord = np.zeros((len(v), len(low)))
+    for d in range(v.shape[1]):
+        x = v[:, d, None]
+        chord += np.maximum(np.maximum(low[:, d] - x, x - high[:, d]), 0.0)**2
+    return 2 * np.arcsin(np.minimum(np.sqrt(chord) / 2, 1.0))
+
+
 def _limit(bar: np.ndarray) -> np.ndarray:
     """Largest angle of an item that reaches the bar. Similarities are rounded, and angles lose digits near 0: a little more."""
     return np.arccos(np.clip(bar - 2e-9, -1.0, 1.0)) + _SLACK
@@ -182,7 +202,7 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool
 
     ``queries`` and ``items``: ``id, vec`` (one length). Output ``query_id, item_id,
     similarity`` (rounded to ``ROUND`` decimals). With ``exclude_self`` an item
-    never matches the query with the same id. ``cells``: by default √n of n items, and one where they fit
+    never matches the query with the same id. ``cells``: by default √n of n items (three times as many with at most ``BOXED`` components), and one where they fit
     into one ``block``. ``visits`` gets the number of (query, item) pairs compared and possible.
     """
     zero = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x) == 0
@@ -191,7 +211,9 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool
     items, queries = materialize(items.withColumn("zero", zero)), materialize(queries.withColumn("zero", zero))
     ids = queries.schema["id"].dataType.simpleString()
     n = items.where(~F.col("zero")).count()
-    count = cells or (math.ceil(math.sqrt(n)) if n > block else 1)
+    short = items.where(F.size("vec") > BOXED).isEmpty()
+    # Cells with boxes are seldom visited in vain, so they can be smaller.
+    count = cells or (math.ceil(math.sqrt(n)) * (3 if short else 1) if n > block else 1)
     chosen = items.where(~F.col("zero")).orderBy(F.xxhash64("id"), "id").limit(min(count, MOST_CELLS)).collect()
     least = F.lit(float("-inf")).alias("bar")
     it, q = (df.where(~F.col("zero")).select("id", "vec") for df in (items, queries))
@@ -215,6 +237,14 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool
         tree.radius = np.array([widest[c]["r"] if c in widest else -1.0 for c in range(len(tree.centres))])
         tops = np.array([widest[c]["t"] if c in widest else -1.0 for c in range(len(tree.centres))])
         tree.top_radius = np.maximum.reduceat(tops, tree.first[:-1])
+        size = tree.centres.shape[1]
+        if short:
+            norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+            ends = it.select("cell", F.transform("vec", lambda x: x / norm).alias("v")).groupBy("cell").agg(
+                F.array(*[F.min(F.get("v", F.lit(d))) for d in range(size)]).alias("low"), F.array(*[F.max(F.get("v", F.lit(d))) for d in range(size)]).alias("high")).collect()  # a row per cell
+            tree.low, tree.high = np.full((len(tree.centres), size), np.inf), np.full((len(tree.centres), size), -np.inf)
+            for r in ends:
+                tree.low[r["cell"]], tree.high[r["cell"]] = r["low"], r["high"]
         near = materialize(top_n(_meet(q.select("id", "vec", "cell", least), it, k, exclude_self, block), ["query_id"], _order(), k))
         compared = q.groupBy("cell").count()
         for first in (True, False):
