@@ -235,3 +235,44 @@ def test_the_share_of_compared_pairs_falls_with_the_number_of_items(spark):
         share.append(visits[0] / visits[1])
     print(f"share of pairs compared: {share}")
     assert share[1] < 0.75 * share[0] < 0.2
+
+
+@pytest.mark.parametrize(("terms", "ratings_of_a_block"), [(1 << 21, 1 << 23), (40, 60)])
+def test_cross_validation_writes_lists_of_ratings_only(spark, monkeypatch, terms, ratings_of_a_block):
+    """Item 0 is rated by everybody and user 0 rated everything: the same errors by brute force, and no pair of items is written as a row."""
+    monkeypatch.setattr(ratings, "TERMS", terms)
+    monkeypatch.setattr(ratings, "RATINGS", ratings_of_a_block)
+    rnd, written, write = random.Random(5), [], ratings.materialize
+    monkeypatch.setattr(ratings, "materialize", lambda df: written.append(write(df)) or written[-1])
+    r = {(u, 0): float(rnd.randint(1, 5)) for u in range(25)} | {(0, i): float(rnd.randint(1, 5)) for i in range(20)}
+    r |= {(rnd.randrange(25), rnd.randrange(20)): rnd.choice([1.0, 2.5, 4.0, 5.0]) for _ in range(90)} | {(40, 77): 2.0}
+    df = spark.createDataFrame([(*x, v) for x, v in r.items()], "user_id long, product_id long, rating double")
+    fold, errors = {x: (x[0] * 31 + x[1]) % 3 for x in r}, {0: [], 1: [], 2: []}
+    for f in range(3):
+        train = {x: v for x, v in r.items() if fold[x] != f}
+        sim = {}
+        for i in range(20):
+            for j in range(20):
+                both = [(train[u, i], train[u, j]) for u in range(25) if (u, i) in train and (u, j) in train]
+                if both and i != j:
+                    sim[i, j] = round(sum(a * b for a, b in both) / (sum(a * a for a, _ in both) * sum(b * b for _, b in both)) ** 0.5, 9)
+        for (u, i), v in r.items():
+            if fold[u, i] == f:
+                near = sorted((-sim[i, j], j) for j in range(20) if (u, j) in train and (i, j) in sim)[:4]
+                e = sum(-s * r[u, j] for s, j in near) / -sum(s for s, _ in near) if near else sum(train.values()) / len(train)
+                errors[f].append(min(5.0, max(1.0, e)) - v)
+    got = {x.fold: (x.rmse, x.mae, x.n) for x in ratings.cross_validate(df, 3, 4).collect()}
+    assert got == {f: (pytest.approx((sum(x * x for x in e) / len(e)) ** 0.5, abs=2e-6), pytest.approx(sum(map(abs, e)) / len(e), abs=2e-6), len(e)) for f, e in errors.items()}
+    assert all(w.count() <= len(r) for w in written)
+
+
+def test_changes_of_sums_travel_once(spark):
+    """The old sums and the changes are added up in one aggregate by pair."""
+    df = spark.createDataFrame([(u, i, float(1 + (u * i) % 5)) for u in range(6) for i in range(5)], "user_id long, product_id long, rating double")
+    changes = spark.createDataFrame([(1, 2, None), (2, 3, 1.5), (7, 1, 2.0), (7, 2, 3.0)], "user_id long, product_id long, rating double")
+    old = ratings.materialize(ratings.pair_statistics(df))
+    new = ratings.update_statistics(old, df, changes)
+    plan = new._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("HashAggregate(keys=[item_i#") == 2  # partial and final
+    want = {(x.item_i, x.item_j): (x.n, pytest.approx(x.sij), pytest.approx(x.sii), pytest.approx(x.sjj)) for x in ratings.pair_statistics(ratings.update_ratings(df, changes)).collect()}
+    assert {(x.item_i, x.item_j): (x.n, x.sij, x.sii, x.sjj) for x in new.collect()} == want
