@@ -53,7 +53,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -500,10 +499,11 @@ def score(docs: DataFrame, model: Model, text: Column) -> Column:
     """Score of each text of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
         m, known = shared.value, {}
-        return pd.Series([m.judge(t, known)[0] for t in texts], dtype="float64")
+        # One text at a time becomes a Python string.
+        return pa.array((m.judge(t.as_py(), known)[0] for t in texts), pa.float64())
 
     return run(text.cast("string"))
 

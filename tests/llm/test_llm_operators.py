@@ -725,3 +725,16 @@ def test_quality_brute_force():
         ids, n = quality.counts(t)
         assert dict(zip(ids.tolist(), n.tolist(), strict=True)) == {b: f.count(b) for b in set(f)}
     assert len(_quality_features("日本語")) == 1 + 3 + 2 + 1
+
+
+def test_toxicity_reject_reads_texts_as_arrow_arrays(spark):
+    """A batch's texts stay in Arrow and become Python strings one at a time; as a pandas series all of them would be strings at once."""
+    from pyspark.util import PythonEvalType
+
+    docs = spark.createDataFrame([(i, f"word{i % 3} vile thing" if i % 2 else None) for i in range(12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(12)], "doc_id long, y int")
+    out = toxicity.reject(docs, labels)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert f"], {PythonEvalType.SQL_SCALAR_ARROW_UDF}" in plan
+    kept = {r.doc_id for r in out.collect()}
+    assert kept <= set(range(12)) and kept == {r.doc_id for r in toxicity.scores(docs, labels).where("score < 0.5").collect()}
