@@ -276,3 +276,42 @@ def test_changes_of_sums_travel_once(spark):
     assert plan.count("HashAggregate(keys=[item_i#") == 2  # partial and final
     want = {(x.item_i, x.item_j): (x.n, pytest.approx(x.sij), pytest.approx(x.sii), pytest.approx(x.sjj)) for x in ratings.pair_statistics(ratings.update_ratings(df, changes)).collect()}
     assert {(x.item_i, x.item_j): (x.n, x.sij, x.sii, x.sjj) for x in new.collect()} == want
+
+
+def _ratings_with_hot_items(seed, users=30, items=24):
+    """Item 0 is rated by everybody and user 0 rated everything."""
+    rnd = random.Random(seed)
+    r = {(u, 0): float(rnd.randint(1, 5)) for u in range(users)} | {(0, i): float(rnd.randint(1, 5)) for i in range(items)}
+    return r | {(rnd.randrange(users), rnd.randrange(items)): rnd.choice([0.0, 1.0, 2.5, 4.0, 5.0]) for _ in range(110)}
+
+
+def _pair_sums(r):
+    want = {}
+    for (u, i), x in r.items():
+        for (v, j), y in r.items():
+            if u == v and i != j:
+                want[i, j] = [a + b for a, b in zip(want.get((i, j), (0, 0, 0, 0)), (1, x * y, x * x, y * y), strict=True)]
+    return want
+
+
+@pytest.mark.parametrize(("terms", "ratings_of_a_block", "heavy"), [(1 << 21, 1 << 23, 2000), (30, 100, 2000), (30, 100, 5), (1 << 21, 300, 2000)])
+def test_pairs_are_summed_in_blocks_of_items(spark, monkeypatch, terms, ratings_of_a_block, heavy):
+    """No pair is shuffled before its sums are whole, but for those of an item that everybody rated; NULL keys pair with nothing."""
+    monkeypatch.setattr(ratings, "TERMS", terms)
+    monkeypatch.setattr(ratings, "RATINGS", ratings_of_a_block)
+    r = _ratings_with_hot_items(3)
+    df = spark.createDataFrame([(*x, v) for x, v in r.items()] + [(None, 3, 2.0), (None, 4, 2.0), (5, None, 1.0)], "user_id long, product_id long, rating double")
+    want = _pair_sums(r)
+    got = ratings.pair_statistics(df, heavy)
+    assert {(x.item_i, x.item_j): tuple(x)[2:] for x in got.collect()} == {k: pytest.approx(v) for k, v in want.items() if k[0] < k[1]}
+    assert got.count() == sum(i < j for i, j in want)
+    hot = ratings._terms(df, df)[1]
+    if ratings_of_a_block == 100:
+        assert {0} <= {x.product_id for x in hot.collect()}
+    if hot is None:
+        for plan in (got, ratings.item_similarity(df, heavy=heavy)):
+            assert "keys=[item_i#" not in plan._jdf.queryExecution().sparkPlan().toString()
+    cosine = {k: v[1] / (v[2] * v[3]) ** 0.5 if v[2] > 0 and v[3] > 0 else 0.0 for k, v in want.items()}
+    assert {(x.item_i, x.item_j): x.similarity for x in ratings.item_similarity(df, heavy=heavy).collect()} == {k: pytest.approx(v) for k, v in cosine.items()}
+    of = spark.createDataFrame([(0,), (7,), (7,), (99,)], "product_id long")
+    assert {(x.item_i, x.item_j): x.similarity for x in ratings.item_similarity(df, of, heavy).collect()} == {k: pytest.approx(v) for k, v in cosine.items() if k[1] in (0, 7)}
