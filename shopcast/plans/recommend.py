@@ -139,20 +139,22 @@ def collaborative(t: Tables, users: DataFrame, limit: int = DEFAULT_LIMIT, k: in
     predicted_rating, price`` (top ``limit``, ties by ``product_id``).
     Known products (completed purchases and any review) are excluded.
 
-    The product of the users' ratings with the similarities (``similarity`` where a trained table is
-    given; with ``few_users`` only those of items that the users rated) is made in blocks, see
-    ``ratings.predict_all``; every other unknown product has the global mean as its prediction.
+    The product of the users' ratings with the similarities is made in blocks: with a trained table, ``similarity``,
+    see ``ratings.predict_all``, else with those of the ratings (with ``few_users`` only those of items that the users
+    rated), see ``ratings.predict_from_ratings``. Every other unknown product has the global mean as its prediction.
     Intermediate results are written as this is called.
     """
     r = materialize(rt.ratings(t))
     req = materialize(users.select("user_id").where(F.col("user_id").isNotNull()).distinct())
     mine = materialize(r.join(req, "user_id", "left_semi"))
-    sim = materialize(similarity if similarity is not None else rt.item_similarity(r, of=mine if few_users else None))
     known = materialize(spine.known_products(t, req))
     mean = r.agg(F.avg("rating").alias("m")).first()["m"]
     fallback = float(rt.clipped(rt.RATING_MIN if mean is None else mean))
     products = materialize(t.product.select(F.col("id").alias("product_id")).where(F.col("product_id").isNotNull()).distinct())
-    top = rt.predict_all(mine, sim, known, products, req, fallback, limit, k)
+    if similarity is None:
+        top = rt.predict_from_ratings(r, mine, known, products, req, fallback, limit, k, few_users)
+    else:
+        top = rt.predict_all(mine, materialize(similarity), known, products, req, fallback, limit, k)
     info = t.product.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"), "price")
     return top.join(info, "product_id").select(
         "user_id", "product_id", "product_name", F.col("prediction").alias("predicted_rating"),

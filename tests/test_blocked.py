@@ -315,3 +315,38 @@ def test_pairs_are_summed_in_blocks_of_items(spark, monkeypatch, terms, ratings_
     assert {(x.item_i, x.item_j): x.similarity for x in ratings.item_similarity(df, heavy=heavy).collect()} == {k: pytest.approx(v) for k, v in cosine.items()}
     of = spark.createDataFrame([(0,), (7,), (7,), (99,)], "product_id long")
     assert {(x.item_i, x.item_j): x.similarity for x in ratings.item_similarity(df, of, heavy).collect()} == {k: pytest.approx(v) for k, v in cosine.items() if k[1] in (0, 7)}
+
+
+@pytest.mark.parametrize(("k", "limit", "most", "held", "terms", "ratings_of_a_block"), [(40, 50, None, 1 << 24, 1 << 21, 1 << 23), (3, 6, 1, 1 << 24, 1 << 21, 1 << 23), (3, 6, 1, 60, 40, 100), (5, 8, 2, 400, 1 << 21, 300)])
+@pytest.mark.parametrize("few", [False, True])
+def test_predictions_write_no_similarities(spark, monkeypatch, k, limit, most, held, terms, ratings_of_a_block, few):
+    """As by brute force, also where a part has more of a user's best than it gives at first; what is written is linear in ratings and users."""
+    monkeypatch.setattr(ratings, "TERMS", terms)
+    monkeypatch.setattr(ratings, "RATINGS", ratings_of_a_block)
+    rnd, users = random.Random(k), 30
+    r = {x: v for x, v in _ratings_with_hot_items(k).items() if v > 0}
+    asked = [*range(0, users + 2, 2)] if few else [*range(users + 2)]
+    known = set(list(r)[::2]) | {(u, rnd.randrange(28)) for u in range(users) for _ in range(2)}
+    products = [*range(1, 30)]  # some that nobody rated; item 0 is not sold any more
+    sim = {x: round(v[1] / (v[2] * v[3]) ** 0.5, 9) for x, v in _pair_sums(r).items()}
+    want = {}
+    for u in asked:
+        pred = []
+        for i in set(products) - {p for v, p in known if v == u}:
+            near = sorted(((-sim[i, j], j) for j in range(24) if (u, j) in r and (i, j) in sim))[:k]
+            pred.append((-round(min(5.0, max(1.0, sum(-s * r[u, j] for s, j in near) / -sum(s for s, _ in near) if near else 3.3)), 9), i))
+        want[u] = [(i, pytest.approx(-p, abs=2e-9)) for p, i in sorted(pred)[:limit]]
+    frame = lambda rows, schema: spark.createDataFrame(list(rows), schema)
+    df = frame([(*x, v) for x, v in r.items()], "user_id long, product_id long, rating double")
+    mine = df.where(df.user_id.isin(asked))
+    written, write = [], ratings.materialize
+    monkeypatch.setattr(ratings, "materialize", lambda d: written.append(write(d)) or written[-1])
+    out = ratings.predict_from_ratings(df, mine, frame([x for x in known if x[0] in asked], "user_id long, product_id long"), frame([(p,) for p in products], "product_id long"),
+                                       frame([(u,) for u in asked], "user_id long"), 3.3, limit, k, few, held, 2000, most)
+    got = {u: [] for u in asked}
+    for x in out.orderBy("user_id", (-out.prediction), "product_id").collect():
+        got[x.user_id].append((x.product_id, x.prediction))
+    assert got == want
+    assert written and all(w.count() <= len(r) for w in written)
+    if most:
+        assert sum("best" in w.columns for w in written) == 2
