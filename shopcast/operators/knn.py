@@ -8,7 +8,8 @@ between a query and an item is at least the query's angle to a centre less the l
 angle of the centre's items; so whole top cells are skipped, and in the others the cells that can't hold
 an item as near as the bar. Vectors of few components have a second bound, the distance of the query's direction to
 the box around the directions of a cell's items, which rules out cells whose angle reaches far past their items. The most promising cells are visited first, and the bar
-they leave is carried to the rest, fewer of which are then visited. Cells are cut into blocks; a block of queries meets a block of items in
+they leave is carried to the rest, fewer of which are then visited. Where the bars would still leave more than a quarter of
+all pairs (many nearly isotropic components), the rest is met in large blocks of all items instead. Cells are cut into blocks; a block of queries meets a block of items in
 one task with one matrix product. No pair becomes a row, a task holds two
 blocks, and skipped cells are proven to hold no neighbour. The centres (at most ``MOST_CELLS`` vectors) travel to the
 tasks.
@@ -42,6 +43,10 @@ MOST_CELLS, FIRST = 16_384, 4
 #: Most components of vectors whose cells have boxes; with many, boxes rule out nothing that the angles leave.
 BOXED = 16
 _SLACK = 1e-6
+#: Similarities of a block that are held at a time.
+STRIP = 1 << 24
+#: Vectors of a block, and share of the pairs from which on cells are left aside: queries in many cells travel more often than in blocks of all items.
+WHOLE, CROWDED, SAMPLE = 16_384, 0.25, 1024
 
 
 def _order() -> list[Column]:
@@ -79,25 +84,51 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _top(q: pa.Table, it: pa.Table, k: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places in ``q`` and ``it`` and similarities of the ``k`` most similar items of one block for each query of another, from the query's bar on."""
+    """Places in ``q`` and ``it`` and similarities of the ``k`` most similar items of one block for each query of another, from the query's bar on.
+
+    Directions in single precision tell which items may reach the bar, or the k-th similarity; only those are compared exactly.
+    """
     qv, iv = _matrix(q.column("vec")), _matrix(it.column("vec"))
-    denom = np.sqrt(np.outer((qv * qv).sum(axis=1), (iv * iv).sum(axis=1)))
-    sim = np.round(np.where(denom > 0, (qv @ iv.T) / np.where(denom > 0, denom, 1.0), 0.0), ROUND)
+    qn, im = (qv * qv).sum(axis=1), (iv * iv).sum(axis=1)
     qid, iid = (t.column("id").to_numpy() for t in (q, it))
+    unit = lambda v, n: np.where(n > 0, 1 / np.sqrt(np.where(n > 0, n, 1.0)), 0.0)[:, None] * v
+    qu, iu = unit(qv, qn).astype(np.float32), unit(iv, im).astype(np.float32).T
+    # Single precision may be off by this much; bars are rounded.
+    off = np.float32((qv.shape[1] + 8) * 2.0**-23 + 2e-9)
+    same = np.zeros(len(qid), np.int64)
     if exclude_self:
-        sim[qid[:, None] == iid[None, :]] = -np.inf
-    by_id = np.argsort(iid, kind="stable")
-    sim = sim[:, by_id]
-    take = min(k, sim.shape[1])
-    bar = np.partition(sim, sim.shape[1] - take, axis=1)[:, sim.shape[1] - take]
-    # Only items that reach the k-th similarity, and the bar that the query brings, are ordered: by similarity desc, then item id asc.
-    bar = np.maximum(bar, q.column("bar").to_numpy().astype(float))
-    row, col = np.nonzero((sim >= bar[:, None]) & (sim > -np.inf))
-    order = np.lexsort((col, -sim[row, col], row))
-    row, col = row[order], col[order]
-    keep = place_in_group(row) < take
-    row, col = row[keep], col[keep]
-    return row, by_id[col], sim[row, col]
+        ids = np.sort(iid)
+        same = np.searchsorted(ids, qid, side="right") - np.searchsorted(ids, qid)
+    bars = q.column("bar").to_numpy().astype(float)
+    found = []
+    strip = max(1, STRIP // max(1, len(iid)))
+    for low in range(0, len(qid), strip):
+        part = slice(low, low + strip)
+        near = qu[part] @ iu
+        cut = np.maximum(bars[part], -2.0).astype(np.float32) - off
+        take = k + int(same[part].max())
+        able = near >= cut[:, None]
+        many = np.flatnonzero(able.sum(axis=1) > 4 * take) if near.shape[1] > take else []
+        if len(many):  # a bar that rules out little: the k-th similarity of the block is higher
+            last = np.partition(near[many], near.shape[1] - take, axis=1)[:, near.shape[1] - take]
+            cut[many] = np.maximum(cut[many], last - 2 * off)
+            able[many] = near[many] >= cut[many][:, None]
+        row, col = np.nonzero(able)
+        row += low
+        if exclude_self:
+            other = qid[row] != iid[col]
+            row, col = row[other], col[other]
+        sim = np.zeros(len(row))
+        for at in range(0, len(row), STRIP // 64):
+            r, c = row[at:at + STRIP // 64], col[at:at + STRIP // 64]
+            norm = np.sqrt(qn[r] * im[c])
+            sim[at:at + len(r)] = np.where(norm > 0, np.einsum("ij,ij->i", qv[r], iv[c]) / np.where(norm > 0, norm, 1.0), 0.0)
+        sim = np.round(sim, ROUND)
+        order = np.lexsort((iid[col], -sim, row))
+        row, col, sim = row[order], col[order], sim[order]
+        keep = place_in_group(row) < k
+        found.append((row[keep], col[keep], sim[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _angles(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -252,6 +283,12 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool
             bars = near.groupBy("query_id").agg(F.min("similarity").alias("b"), F.count(F.lit(1)).alias("m")).select("query_id", F.when(F.col("m") >= k, F.col("b")).alias("b"))
             q = q.join(bars, F.col("id") == F.col("query_id"), "left").select("id", "vec", "cell", F.coalesce("b", F.lit(-2.0)).alias("bar"), *([] if first else [F.col("bar").alias("before")]))
             q = materialize(q)
+            if not first and _share(tree, q, widest, n) > CROWDED:
+                # The bars rule out few cells: all items are met in blocks, with the bars.
+                near = materialize(top_n(_meet(q.withColumn("cell", F.lit(0)), it.withColumn("cell", F.lit(0)), k, exclude_self, max(block, WHOLE)), ["query_id"], _order(), k))
+                compared = q.groupBy(F.lit(0).alias("cell")).count()
+                widest = {0: {"n": n}}
+                break
             away = materialize(q.mapInArrow(_visits(tree, first), f"id {ids}, vec array<double>, cell int, bar double"))
             compared = compared.unionByName(away.groupBy("cell").count())
             found = near.unionByName(_meet(away, it, k, exclude_self, block))
@@ -274,6 +311,13 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool
     return top_n(found, ["query_id"], _order(), k)
 
 
+def _share(tree: Tree, q: DataFrame, widest: dict, n: int) -> float:
+    """Share of the pairs in the cells that are left to visit, from ``SAMPLE`` queries. It only chooses how the rest is compared."""
+    some = materialize(q.orderBy(F.xxhash64("id"), "id").limit(SAMPLE))
+    visits = some.mapInArrow(_visits(tree, False), f"id {q.schema['id'].dataType.simpleString()}, vec array<double>, cell int, bar double").groupBy("cell").count().collect()  # a row per cell
+    return sum(r["count"] * widest[r["cell"]]["n"] for r in visits) / max(1, n * some.count())
+
+
 def _visits(tree: Tree, first: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (id, vec, cell, bar) of queries for the other cells they visit: the ``FIRST`` most promising ones, or those but for these."""
 

@@ -350,3 +350,30 @@ def test_predictions_write_no_similarities(spark, monkeypatch, k, limit, most, h
     assert written and all(w.count() <= len(r) for w in written)
     if most:
         assert sum("best" in w.columns for w in written) == 2
+
+
+@pytest.mark.parametrize(("strip", "items"), [(1 << 24, "all"), (1000, "all"), (1 << 24, "near")])
+def test_isotropic_vectors_meet_in_blocks(spark, monkeypatch, strip, items):
+    """Cells rule out nothing: queries don't travel once per cell, and ties, copies and zero vectors come as by brute force."""
+    from shopcast.operators import knn
+    monkeypatch.setattr(knn, "STRIP", strip)
+    monkeypatch.setattr(knn, "WHOLE", 150)
+    rng, k = np.random.default_rng(5), 4
+    x = rng.normal(size=(500, 24))
+    x[20], x[33], x[34] = x[7], 3 * x[7], 0
+    if items == "near":  # similarities that single precision can't tell apart
+        x[100:140] = x[8] + 1e-7 * rng.normal(size=(40, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    written, write = [], knn.materialize
+    monkeypatch.setattr(knn, "materialize", lambda d: written.append(write(d)) or written[-1])
+    got, visits = {}, []
+    for r in knn.cosine_topk(df, df, k, block=100, visits=visits).collect():
+        got.setdefault(r.query_id, []).append((-r.similarity, r.item_id))
+    norm = np.sqrt((x * x).sum(axis=1))
+    sim = np.round((x @ x.T) / np.where(norm > 0, norm, 1.0)[:, None] / np.where(norm > 0, norm, 1.0), 9)
+    for i in range(500):
+        want = sorted((-s, j) for j, s in enumerate(sim[i]) if j != i)[:k]
+        assert [s for s, _ in sorted(got[i])] == pytest.approx([s for s, _ in want], abs=2e-9)
+        if items == "all":
+            assert [j for _, j in sorted(got[i])] == [j for _, j in want]
+    assert visits[0] >= visits[1] and all(w.count() <= 500 * max(k, knn.FIRST) for w in written)
