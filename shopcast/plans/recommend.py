@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from shopcast.functions.expr import top_n
 from shopcast.operators import ratings as rt
 from shopcast.operators import spine
+from shopcast.operators.blocked import attach
 from shopcast.operators.shared_buyers import shared_buyer_counts
-from shopcast.session import materialize
+from shopcast.session import compact, materialize
 from shopcast.sources.tables import Tables, unknown_emails, user_lookup
 
 if TYPE_CHECKING:
@@ -141,22 +142,23 @@ def collaborative(t: Tables, users: DataFrame, limit: int = DEFAULT_LIMIT, k: in
 
     The product of the users' ratings with the similarities is made in blocks: with a trained table, ``similarity``,
     see ``ratings.predict_all``, else with those of the ratings (with ``few_users`` only those of items that the users
-    rated), see ``ratings.predict_from_ratings``. Every other unknown product has the global mean as its prediction.
+    rated), see ``ratings.best_from_ratings``. Every other unknown product has the global mean as its prediction.
     Intermediate results are written as this is called.
     """
-    r = materialize(rt.ratings(t))
+    r = compact(rt.ratings(t))
     req = materialize(users.select("user_id").where(F.col("user_id").isNotNull()).distinct())
-    mine = materialize(r.join(req, "user_id", "left_semi"))
-    known = materialize(spine.known_products(t, req))
+    mine = compact(r.join(req, "user_id", "left_semi"))
+    known = compact(spine.known_products(t, req))
     mean = r.agg(F.avg("rating").alias("m")).first()["m"]
     fallback = float(rt.clipped(rt.RATING_MIN if mean is None else mean))
     products = materialize(t.product.select(F.col("id").alias("product_id")).where(F.col("product_id").isNotNull()).distinct())
+    info = t.product.select(F.col("id").cast("long").alias("product_id"), F.col("name").alias("product_name"), "price")
     if similarity is None:
-        top = rt.predict_from_ratings(r, mine, known, products, req, fallback, limit, k, few_users)
+        best = rt.best_from_ratings(r, mine, known, products, req, fallback, limit, k, few_users)
+        top = attach(best, info, "product_id", "prediction", rt.predicted)
     else:
-        top = rt.predict_all(mine, materialize(similarity), known, products, req, fallback, limit, k)
-    info = t.product.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"), "price")
-    return top.join(info, "product_id").select(
+        top = rt.predict_all(mine, materialize(similarity), known, products, req, fallback, limit, k).join(info, "product_id")
+    return top.select(
         "user_id", "product_id", "product_name", F.col("prediction").alias("predicted_rating"),
         F.col("price").cast("double").alias("price"))
 
