@@ -92,3 +92,19 @@ def test_attached_columns_are_those_of_a_join(spark):
     got = blocked.attach(df, info, "p", "score")
     cols = ["user_id", "score", "p", "name", "price", "l"]
     assert got.columns == cols and sorted(map(str, got.collect())) == sorted(map(str, want.select(*cols).collect()))
+
+
+@pytest.mark.parametrize(("pair_rows", "ratings_of_a_block"), [(1 << 23, 1 << 23), (60, 1 << 23), (60, 100)])
+def test_sums_are_updated_in_waves(spark, monkeypatch, pair_rows, ratings_of_a_block):
+    """Item 0 is rated by everybody, user 0 rated everything; the result is that of summing anew, and some items' rows are shuffled at a time."""
+    before = _ratings(spark, 5).unionByName(spark.createDataFrame([(u, 90, 2.0) for u in range(40)] + [(90, i, 3.0) for i in range(30)], "user_id long, product_id long, rating double"))
+    changes = spark.createDataFrame([(u, p, v) for u in (0, 3, 7, 90) for p, v in ((90, None), (1, 1.5), (29, 4.0))] + [(200, 1, 2.0), (200, 2, 3.0)], "user_id long, product_id long, rating double")
+    after = ratings.update_ratings(before, changes)
+    old, want = session.materialize(ratings.pair_statistics(before)), {tuple(x)[:3]: pytest.approx(tuple(x)[3:]) for x in ratings.pair_statistics(after).collect()}
+    for name, value in (("PAIR_ROWS", pair_rows), ("RATINGS", ratings_of_a_block), ("TERMS", 50)):
+        monkeypatch.setattr(ratings, name, value)
+    written, compact = [], ratings.compact
+    monkeypatch.setattr(ratings, "compact", lambda *d: written.append(len(d)) or compact(*d))
+    got = ratings.update_statistics(old, before, changes)
+    assert {tuple(x)[:3]: tuple(x)[3:] for x in got.collect()} == want
+    assert (written[-1] > 10) == (pair_rows == 60)
