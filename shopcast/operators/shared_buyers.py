@@ -14,45 +14,48 @@ A pair that meets in a hot product is left out of the light pairs, so nobody cou
 A user's own lines are only on own products, which are never listed.
 
 Users without a hot product, as a rule nearly all, need neither patterns nor pairs as rows: a user's purchases
-travel once to each block where somebody shares a product with the user, and the task finds there who
-shares with whom. The blocks are few and large, so what travels grows with the purchases.
+travel once to each block where somebody shares a product with the user, many users as one compressed value, and the task finds there who
+shares with whom. The blocks are few and large; where the copies are many nevertheless, blocks run in waves, and the disk holds those of one wave.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopcast.functions.expr import global_rank
 from shopcast.operators import blocked as bl
-from shopcast.session import materialize
+from shopcast.session import compact, materialize
 
 BLOCK, WIDTH, TERMS = 1024, 16_384, 1 << 21
 #: Blocks of the users without hot products: at least so many, and more for more users or pairs of buyers of a product to a block than these.
 BLOCKS, USERS, PAIRS = 32, 1 << 16, 1 << 23
 
 
-def shared_buyer_counts(buy: DataFrame, mine: DataFrame, products: DataFrame, limit: int, hot: int, least: float = 0, block: int = BLOCK, width: int = WIDTH) -> DataFrame:
+def shared_buyer_counts(buy: DataFrame, mine: DataFrame, products: DataFrame, limit: int, hot: int, least: float = 0, block: int = BLOCK, width: int = WIDTH,
+                        info: DataFrame | None = None) -> DataFrame:
     """``user_id, product_id, n``: per user the ``limit`` products with the largest count times ``factor``, at least ``least``; ties by id.
 
-    ``buy``: ``user_id, product_id, lines`` of all users (one row per pair, no nulls); ``mine``: those of the requested users;
+    With ``info`` (``product_id`` and others) also its other columns, as by a join. ``buy``: ``user_id, product_id, lines`` of all users (one row per pair, no nulls); ``mine``: those of the requested users;
     ``products``: ``product_id, factor`` of the products that may be listed. All are read several times: pass written frames.
     """
     tasks = 2 * buy.sparkSession.sparkContext.defaultParallelism
     bits = materialize(hot_bits(buy, hot))
     cool = materialize(mine.join(bits.select("user_id"), "user_id", "left_anti"))
     users = cool.select("user_id").distinct().count()
-    out = [] if not users else [_cool_counts(buy, cool, users, products, limit, least, tasks)]
+    out = [] if not users else [_cool_counts(buy, cool, users, products, limit, least, tasks, info)]
     if not out or not bits.isEmpty():
-        out.append(_hot_counts(buy, mine.join(bits.select("user_id"), "user_id", "left_semi"), bits, products, limit, hot, least, block, width, tasks))
+        found = _hot_counts(buy, mine.join(bits.select("user_id"), "user_id", "left_semi"), bits, products, limit, hot, least, block, width, tasks)
+        out.append(found if info is None else found.join(info, "product_id").select("user_id", "product_id", "n", *[c for c in info.columns if c != "product_id"]))
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
-def _cool_counts(buy: DataFrame, mine: DataFrame, users: int, products: DataFrame, limit: int, least: float, tasks: int) -> DataFrame:
+def _cool_counts(buy: DataFrame, mine: DataFrame, users: int, products: DataFrame, limit: int, least: float, tasks: int, info: DataFrame | None) -> DataFrame:
     """The counts of the ``users`` of ``mine``, who have no hot product: nobody shares one with them, and every product they own has few buyers."""
     asked = mine.groupBy("product_id").agg(F.count(F.lit(1)).alias("asked"))
     pairs = asked.join(buy.groupBy("product_id").agg(F.count(F.lit(1)).alias("n")), "product_id").agg(F.sum(F.col("asked") * F.col("n"))).first()[0] or 0
@@ -62,32 +65,54 @@ def _cool_counts(buy: DataFrame, mine: DataFrame, users: int, products: DataFram
     numbers = materialize(global_rank(buy.select("product_id").distinct(), [F.col("product_id")], "nr").join(listed, "product_id", "left")
                           .select("product_id", "nr", F.coalesce("factor", F.lit(0)).alias("factor")))
     where = mine.groupBy("product_id").agg(F.collect_set(grid.block("user_id")).alias("blocks"))
-    whole = (buy.join(numbers, "product_id").join(where, "product_id", "left").groupBy("user_id")
-             .agg(F.collect_list(F.struct("nr", (F.col("lines") * F.col("factor")).alias("value"))).alias("c"), F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
-             .join(mine.select("user_id").distinct().withColumn("asked", F.lit(True)), "user_id", "left")
-             .select("user_id", "c", "asked", F.explode("blocks").alias("block")))
     # Whoever is asked for shares the own products, so the row of a user of the block is among those sent there.
-    own = F.coalesce("asked", F.lit(False)) & (F.col("block") == grid.block("user_id"))
-    rows = grid.rows(whole, F.when(own, F.lit(bl.USERS)).otherwise(F.lit(bl.ROWS)), block=F.col("block"), slot=F.lit(0), key=F.col("user_id"), ids=F.col("c.nr"), vals=F.col("c.value"))
-    found = grid.run(rows, lambda runs: _shared(runs, limit, least), limit, ordered=False)
-    return (found.withColumnRenamed("column", "nr").join(numbers.select("nr", "product_id"), "nr")
-            .select("user_id", "product_id", F.col("value").cast("long").alias("n")))
+    whole = compact(buy.join(numbers, "product_id").join(where, "product_id", "left").groupBy("user_id")
+                    .agg(F.collect_list(F.struct("nr", (F.col("lines") * F.col("factor")).alias("value"))).alias("c"), F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
+                    .join(mine.select("user_id").distinct().withColumn("asked", F.lit(True)), "user_id", "left")
+                    .select("user_id", "c.nr", "c.value", "blocks", F.when(F.col("asked"), grid.block("user_id")).otherwise(-1).alias("home")))
+    entries, copies = whole.agg(F.coalesce(F.sum(F.size("nr")), F.lit(0)), F.coalesce(F.sum(F.size("nr") * F.size("blocks")), F.lit(0))).first()
+
+    def found(wave: tuple[int, int]) -> DataFrame:
+        dealt = whole.mapInArrow(_to_blocks(*wave), "user_id long, block int, blob binary")
+        rows = grid.rows(dealt, bl.ROWS, block=F.col("block"), slot=F.lit(0), key=F.col("user_id"), blob=F.col("blob"))
+        return grid.run(rows, lambda runs: _shared(runs, limit, least), limit, ordered=False, wave=wave)
+
+    best = compact(*[found(wave) for wave in bl.waves(grid.blocks, copies, entries, tasks)])
+    about = numbers.select("nr", "product_id")
+    about = about if info is None else about.join(info, "product_id")
+    return bl.attach(best, about, "nr", "n").select("user_id", "product_id", F.col("n").cast("long").alias("n"), *[c for c in about.columns if c not in ("nr", "product_id")])
+
+
+def _to_blocks(low: int, high: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Users' purchases once to each of their blocks low <= block < high: :func:`blocked.pack` of users, whether they are asked for there, numbers of products, these, and their values; by the first user."""
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            users, (nr, n), (blocks, many) = b.column("user_id").to_numpy(), bl.flat(b.column("nr")), bl.flat(b.column("blocks"))
+            value, home, first = bl.flat(b.column("value"))[0], b.column("home").to_numpy(), bl.starts(n)
+            row = np.repeat(np.arange(len(n)), many)
+            order = np.argsort(blocks, kind="stable")
+            order = order[(blocks[order] >= low) & (blocks[order] < high)]
+            out = []
+            for rows in np.split(row[order], np.flatnonzero(np.diff(blocks[order])) + 1) if len(order) else []:
+                block = int(blocks[order[sum(len(x[2]) for x in out)]])
+                at, _ = bl.spans(first[rows], n[rows])
+                out.append((int(users[rows[0]]), block, rows, bl.pack(users[rows], home[rows] == block, bl.narrow(n[rows]), nr[at].astype(np.int32), bl.narrow(value[at]))))
+            if out:
+                key, block, _, blob = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(block, pa.int32()), pa.array(blob, pa.binary())], ["user_id", "block", "blob"])
+
+    return deal
 
 
 def _shared(runs: Iterator[tuple], limit: int, least: float) -> Iterator[tuple]:
     """Best products of one block of users from the purchases of all who share a product with them, in any order."""
-    key, asked, size, ids, lines = ([] for _ in range(5))
-    for _, tag, rows in runs:
-        nr, n = bl.flat(rows.column("ids"))
-        value = bl.flat(rows.column("vals"))[0]
-        key.append(rows.column("key").to_numpy())
-        asked.append(np.full(len(n), tag == bl.USERS))
-        size.append(n)
-        ids.append(nr.astype(np.int32))
-        lines.append(value.astype(np.min_scalar_type(int(value.max(initial=0)))))
-    if not key:
+    parts = [bl.unpack(blob.as_py()) for _, _, rows in runs for blob in rows.column("blob")]
+    if not parts:
         return
-    key, asked, size, ids, lines = (np.concatenate(x) for x in (key, asked, size, ids, lines))
+    key, asked, size, ids, lines = (np.concatenate(x) for x in zip(*parts, strict=True))
+    size = size.astype(np.int64)
+    del parts
     first, width = bl.starts(size), int(ids.max()) + 1
     users = np.flatnonzero(asked)
     users = users[np.argsort(key[users])]

@@ -80,9 +80,9 @@ def similar_users(t: Tables, users: DataFrame, min_rating: float = 0, min_purcha
     ``HOT`` buyers don't pair them, see ``operators.shared_buyers``.
     """
     spine.check_semantics(semantics)
-    buy = materialize(spine.purchases(t).where(F.col("product_id").isNotNull()).select("user_id", "product_id", "lines"))
+    buy = compact(spine.purchases(t).where(F.col("product_id").isNotNull()).select("user_id", "product_id", "lines"))
     req = users.select("user_id").where(F.col("user_id").isNotNull()).distinct()
-    mine = materialize(buy.join(req, "user_id", "left_semi"))
+    mine = compact(buy.join(req, "user_id", "left_semi"))
 
     # What a product needs to be listed: its name, rating and factor of the count.
     reviews = spine.product_reviews(t)
@@ -93,9 +93,8 @@ def similar_users(t: Tables, users: DataFrame, min_rating: float = 0, min_purcha
         .select("product_id", "product_name", F.coalesce(F.col("avg_rating"), F.lit(0.0)).alias("average_rating"),
                 factor.cast("long").alias("factor"))
         .where(F.col("average_rating") >= F.lit(float(min_rating))))
-    best = shared_buyer_counts(buy, mine, info.select("product_id", "factor"), limit, HOT, float(min_purchases))
-    return best.join(info, "product_id").select(
-        "user_id", "product_id", "product_name", F.col("n").alias("purchased_by_similar_users"), "average_rating")
+    best = shared_buyer_counts(buy, mine, info.select("product_id", "factor"), limit, HOT, float(min_purchases), info=info.drop("factor"))
+    return best.select("user_id", "product_id", "product_name", F.col("n").alias("purchased_by_similar_users"), "average_rating")
 
 
 def user_average_rating(t: Tables, users: DataFrame, default: float = 3.0) -> DataFrame:

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shopcast import session
-from shopcast.operators import blocked, ratings
+from shopcast.operators import blocked, ratings, shared_buyers
 
 
 def _files(top):
@@ -108,3 +108,28 @@ def test_sums_are_updated_in_waves(spark, monkeypatch, pair_rows, ratings_of_a_b
     got = ratings.update_statistics(old, before, changes)
     assert {tuple(x)[:3]: tuple(x)[3:] for x in got.collect()} == want
     assert (written[-1] > 10) == (pair_rows == 60)
+
+
+@pytest.mark.parametrize("factor", [1, 3])
+def test_similar_users_in_waves(spark, monkeypatch, factor):
+    """Blocks in several waves: the same lists as in one, with names attached; what a wave sends are compressed values, one for a block and batch of users at most."""
+    rnd = random.Random(9)
+    lines = {(u, rnd.randrange(70)): rnd.randint(1, 300) for u in range(90) for _ in range(4)}
+    buy = spark.createDataFrame([(*x, n) for x, n in lines.items()], "user_id long, product_id long, lines long")
+    products = spark.createDataFrame([(p, factor) for p in range(60)], "product_id long, factor long")
+    info = spark.createDataFrame([(p, f"n{p}") for p in range(58)] + [(5, "again")], "product_id long, name string")
+    args = (buy, buy.where("user_id % 3 > 0"), products, 5, 512, 2)
+    monkeypatch.setattr(shared_buyers, "USERS", 3)
+    want = shared_buyers.shared_buyer_counts(*args)
+    named = want.join(info, "product_id").select("user_id", "product_id", "n", "name")
+    ran, run = [], blocked.Grid.run
+    monkeypatch.setattr(blocked.Grid, "run", lambda self, rows, *a, **kw: ran.append((kw["wave"], rows)) or run(self, rows, *a, **kw))
+    monkeypatch.setattr(blocked, "WAVE", 1)
+    monkeypatch.setattr(blocked, "COPIES", 1)
+    assert sorted(shared_buyers.shared_buyer_counts(*args).collect()) == sorted(want.collect())
+    assert len(ran) > 1
+    for (low, high), rows in ran:
+        sent = [(x.key, x.gid) for x in rows.select("key", "gid").collect()]
+        assert len(set(sent)) == len(sent) and {gid for _, gid in sent} <= set(range(low, high))
+    got = shared_buyers.shared_buyer_counts(*args, info=info)
+    assert got.columns == ["user_id", "product_id", "n", "name"] and sorted(got.collect()) == sorted(named.collect())
