@@ -133,3 +133,17 @@ def test_similar_users_in_waves(spark, monkeypatch, factor):
         assert len(set(sent)) == len(sent) and {gid for _, gid in sent} <= set(range(low, high))
     got = shared_buyers.shared_buyer_counts(*args, info=info)
     assert got.columns == ["user_id", "product_id", "n", "name"] and sorted(got.collect()) == sorted(named.collect())
+
+
+def test_cross_validation_in_waves(spark, monkeypatch):
+    """Blocks in several waves: the same errors as in one, and the ratings are written once, not once for a block."""
+    r = _ratings(spark, 4)
+    monkeypatch.setattr(ratings, "RATINGS", 60)
+    want = sorted(ratings.cross_validate(r, 3, 4).collect())
+    written, write = [], ratings.materialize
+    monkeypatch.setattr(ratings, "materialize", lambda d: written.append(write(d)) or written[-1])
+    monkeypatch.setattr(blocked, "WAVE", 1)
+    got = sorted(ratings.cross_validate(r, 3, 4).collect())
+    assert [(x.fold, x.n) for x in got] == [(x.fold, x.n) for x in want] and [(x.rmse, x.mae) for x in got] == [pytest.approx((x.rmse, x.mae), abs=2e-6) for x in want]
+    errors = [w for w in written if "fold" in w.columns]
+    assert len(errors) > 1 and not any("block" in w.columns for w in written)
